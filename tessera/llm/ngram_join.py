@@ -14,8 +14,8 @@ similarity is at least 0.75.
    than a block limit is split over cells of a triangle, so no task holds a whole hot list.
 4. Remaining candidates are verified exactly; components of all links give ``component_id``.
 
-The frequency table only steers the order, never the result; it holds at most 2^22 entries by construction
-(a shingle is frequent from max(64, N / 2^22) occurrences on, N being all occurrences), so it may be broadcast.
+The frequency table only steers the order, never the result; it starts at the smallest count that leaves at most
+2^22 entries (of 8 bytes), so it may be broadcast.
 
 Edge cases.  Null, empty or all-space text: no shingles, its own component.  Fewer than five words: the whole
 sequence is the one shingle.  Rows that share a doc_id are one node of the link graph (each row is returned).
@@ -38,6 +38,7 @@ from .common import U64, SHINGLE_MUL, checkpoint, components, mix, parallelism,
 WIDTH, SIMILARITY = 5, Fraction(3, 4)
 KEYS = 6  # min-hash keys a class proposes leaders by
 FREQUENT_BOUND = 1 << 22
+TOP_COUNT = 1 << 16  # larger counts are told apart no further
 LIST_BLOCK = 64
 CELL_ROWS = 2048
 
@@ -101,18 +102,43 @@ def _frequencies(width: int):
     return run
 
 
-def _frequent(least: int):
-    def run(group: pa.Table) -> pa.Table:
-        heads = np.concatenate([np.frombuffer(h, np.uint16).astype(np.uint32) << np.uint32(16) | np.frombuffer(l, np.uint16) for h, l in zip(group["high"].to_pylist(), group["low"].to_pylist(), strict=True)])
-        heads.sort()
-        at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
-        count = np.diff(np.append(at, len(heads)))
-        keep = count >= least
-        return pa.table({"head": heads[at][keep].astype(np.int64), "df": count[keep].astype(np.int64)})
+def _counted(group: pa.Table) -> pa.Table:
+    """One first byte's shingle heads that occur twice or more, with their counts, and how many have each count."""
+    heads = np.concatenate([np.frombuffer(h, np.uint16).astype(np.uint32) << np.uint32(16) | np.frombuffer(l, np.uint16) for h, l in zip(group["high"].to_pylist(), group["low"].to_pylist(), strict=True)])
+    heads.sort()
+    at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
+    count = np.minimum(np.diff(np.append(at, len(heads))), TOP_COUNT)
+    keep = count > 1
+    hist = np.bincount(count, minlength=TOP_COUNT + 1)
+    return pa.table({"head": [heads[at][keep].tobytes()], "df": [count[keep].astype(np.uint32).tobytes()], "hist": [hist.tolist()]}, pa.schema([("head", pa.binary()), ("df", pa.binary()), ("hist", pa.list_(pa.int64()))]))
+
+
+def _at_least(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, c in zip(batch.column("head"), batch.column("df"), strict=True):
+                df = np.frombuffer(c.as_buffer(), np.uint32)
+                keep = df >= least
+                yield pa.record_batch([pa.array([np.frombuffer(h.as_buffer(), np.uint32)[keep].tobytes()], pa.binary()), pa.array([df[keep].tobytes()], pa.binary())], names=["head", "df"])
 
     return run
 
 
+def _frequencies_of(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle heads from the smallest count on that leaves at most ``FREQUENT_BOUND`` of them, sorted; their counts."""
+    counted = checkpoint(docs.mapInArrow(_frequencies(width), "p int, high binary, low binary").groupBy("p").applyInArrow(_counted, "head binary, df binary, hist array<long>"))
+    hist = np.zeros(TOP_COUNT + 1, np.int64)
+    for count, n in counted.select(F.posexplode("hist")).groupBy("pos").agg(F.sum("col")).collect():
+        hist[count] = n
+    above = np.cumsum(hist[::-1])[::-1]
+    fits = np.flatnonzero(above <= FREQUENT_BOUND)
+    least = max(2, int(fits[0])) if len(fits) else TOP_COUNT + 1
+    kept = counted.mapInArrow(_at_least(least), "head binary, df binary").toArrow()
+    heads, df = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32) for x in kept[c] if x.as_py())]) for c in ("head", "df"))
+    order = np.argsort(heads)
+    return heads[order], df[order]
+
+
 def _postings(width: int, similarity: Fraction, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, counts = frequent.value
@@ -126,7 +152,7 @@ def _postings(width: int, similarity: Fraction, frequent):
                 if len(heads):
                     h = (s >> U64(32)).astype(np.uint32)
                     j = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
-                    df = np.where(heads[j] == h, counts[j], 0)
+                    df = np.where(heads[j] == h, counts[j], 0).astype(np.int64)
                     if df.any():
                         order = np.argsort(df, kind="stable")
                         s, df = s[order], df[order]
@@ -188,7 +214,7 @@ def _candidates(similarity: Fraction):
         del got
         token, doc, label, n, pos, block, cell = (t[c].to_numpy() for c in ("token", "doc", "label", "n", "pos", "block", "cell"))
         del t
-        order = np.lexsort((cell, token))
+        order = np.lexsort((cell, token)) if cell.any() else np.argsort(token)
         token, cell = token[order], cell[order]
         at = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]))))
         end = np.append(at[1:], len(token))
@@ -261,9 +287,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction
     told = checkpoint(member.join(clusters.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("rep") .alias("rep"), F.coalesce("component", "rep").alias("label")).where("doc_id != rep or doc_id != label").groupBy("doc_id").agg(F.min(F.when(F.col("rep") == F.col("doc_id"), F.col("label"))).alias("label")))
 
     total = rows.agg(F.sum("n")).first()[0] or 0
-    least = max(64, -(-total // FREQUENT_BOUND))
-    frequent = known.mapInArrow(_frequencies(width), "p int, high binary, low binary").groupBy("p").applyInArrow(_frequent(least), "head long, df long").toArrow().sort_by("head")
-    steer = spark.sparkContext.broadcast((frequent["head"].to_numpy().astype(np.uint32), frequent["df"].to_numpy()))
+    steer = spark.sparkContext.broadcast(_frequencies_of(known, width))
 
     told = told.withColumn("told", F.lit(True))
     posted = known.join(sized_broadcast(told), "doc_id", "left").where("told is null or label is not null").select("doc_id", "text", F.coalesce("label", "doc_id").alias("label"))
