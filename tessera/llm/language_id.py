@@ -136,7 +136,7 @@ def _has_letter(raw: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> np.nda
     return found
 
 
-def _predict(net: ByteNet | None):
+def _predict(net: ByteNet | None, keep: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = part.column("text")
@@ -154,7 +154,7 @@ def _predict(net: ByteNet | None):
                 best = total.argmax(axis=1)
                 name[known] = np.array(net.classes, object)[best[known]]
                 score[known] = np.clip(total[known, best[known]], 0, 1)
-            yield pa.record_batch([part.column("doc_id"), part.column("held_out"), pa.array(name, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.record_batch([*(part.column(c) for c in keep), pa.array(name, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     return run
 
@@ -187,12 +187,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
     return ByteNet(classes).fit(rows[full], np.array(labels)[text[full]], epochs)
 
 
-def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, held_out, lang_pred, score."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(4, 2).alias("held_out"))
-    return rows.mapInArrow(_predict(net), "doc_id long, held_out boolean, lang_pred string, score double")
+def predict(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs`` (with ``text``): the columns ``keep``, lang_pred and score."""
+    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return rows.mapInArrow(_predict(net, tuple(keep)), f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the labelled rows outside the held-out fold, then predict every row."""
-    return predict(docs, train(docs))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(4, 2).alias("held_out"))
+    return predict(rows, train(docs), ("doc_id", "held_out"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, language_id, mixing, ngram_join, ppm, token_store, warc
+from . import bit_topk, html_text, language_id, mixing, ngram_join, piece_codec, polytope, ppm, token_store, warc
 from .common import table
 
 
@@ -23,10 +23,22 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -43,9 +55,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (op1_ngram_jaccard_join, op2_token_output, op3_sentencepiece, op4_warc, op5_nearest_neighbours, op6_exact_topk, op7_language_id, op8_html_extraction, op9_lm_scoring, op10_source_mixing)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_output, op4_warc, op7_language_id, op8_html_extraction, op9_lm_scoring, op10_source_mixing)}
+    return {f.__name__: f for f in (*OPERATORS, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op4_warc": warc.SQL, "op6_exact_topk": bit_topk.SQL, "op10_source_mixing": mixing.SQL}
