@@ -39,17 +39,21 @@ MAGIC, VERSION = b"TDAC", 1
 BLOCK_WORDS = 8  # bitmap words a rank entry covers
 SEGMENT_TOKENS = 1 << 20
 END_ID = 2
-CACHE_UNITS = 400_000
+CACHE_UNITS = 1_200_000
+MARK = "\x00"  # stands before a text's first unit
+NONE = np.uint32(0xFFFFFFFF)  # stands before a text's first id
+FIRST = NONE.tobytes()
+#: White space beside single spaces between other characters; texts with it are cut with more care.
+EXOTIC = ("  ", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library, remembering units between single spaces.
 
     A byte-level pre-tokenizer always cuts before a single space that stands between two non-space characters, so the
-    units there are encoded on their own; every new unit goes through the library.
+    units there are encoded on their own; every new unit goes through the library, many in one text.
     """
 
-    _exotic = re.compile(r"[^\S \n]")
     _cut = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -57,31 +61,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
-
-    def _split(self, text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or self._exotic.search(text):
-            return self._cut.split(text)
-        return text.split(" ")
-
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        for unit, got in zip(new, self.tokenizer.encode_batch([lead + u for u in new], add_special_tokens=False), strict=True):
-            known[unit] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str], tail: bytes = b"") -> list[bytes]:
-        """The ids of each text as little-endian u32 bytes, with ``tail`` behind."""
-        if len(self.units) + len(self.heads) > CACHE_UNITS:
-            self.units.clear()
-            self.heads.clear()
-        parts = [self._split(t) if t else [] for t in texts]
-        self._learn(self.heads, list({p[0] for p in parts if p} - self.heads.keys()), "")
-        new: set[str] = set()
-        for p in parts:
-            new.update(p[1:])
-        self._learn(self.units, list(new - self.units.keys()), " ")
-        heads, unit = self.heads, self.units.__getitem__
-        return [b"".join([heads[p[0]], *map(unit, p[1:]), tail]) if p else tail for p in parts]
+        opens = [t.startswith("\u0120") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.opens = np.array(opens + [False])  # pieces that begin with a space, which only a unit's first piece does
+
+    def _learn(self, new: list[str]) -> None:
+        """Units with a mark in front begin a text; those with spaces inside go alone; all others many to a text."""
+        plain = [u for u in new if u[0] != MARK and " " not in u]
+        alone = [u for u in new if u[0] == MARK or " " in u]
+        texts = [u[1:] if u[0] == MARK else " " + u for u in alone]
+        for unit, got in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            self.units[unit] = (FIRST if unit[0] == MARK else b"") + np.array(got.ids, "<u4").tobytes()
+        groups = [plain[a : a + 512] for a in range(0, len(plain), 512)]
+        for part, got in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            cut = np.flatnonzero(self.opens[ids])
+            if len(cut) != len(part):  # a special piece swallowed a space: one by one
+                for unit, one in zip(part, self.tokenizer.encode_batch_fast([" " + u for u in part], add_special_tokens=False), strict=True):
+                    self.units[unit] = np.array(one.ids, "<u4").tobytes()
+                continue
+            cut = [*(4 * cut).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            for unit, x, y in zip(part, cut[:-1], cut[1:], strict=True):
+                self.units[unit] = data[x:y]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text (u32)."""
+        at = [i for i, t in enumerate(texts) if t]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        odd: list[int] = []
+        whole = (" " + MARK).join([texts[i] for i in at])
+        if at and (any(x in whole for x in EXOTIC) or whole.count(MARK) != len(at) - 1 or f"{MARK} " in whole or whole[0] == " " or whole[-1].isspace()):
+            marked = [i for i in at if MARK in texts[i]]
+            for i, got in zip(marked, self.tokenizer.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False), strict=True):
+                out[i] = np.array(got.ids, np.uint32)
+            odd = [i for i in at if MARK not in texts[i] and (texts[i][0] == " " or texts[i][-1].isspace() or any(x in texts[i] for x in EXOTIC))]
+            at = sorted(set(at) - set(marked) - set(odd))
+            whole = (" " + MARK).join([texts[i] for i in at])
+        parts = (MARK + whole).split(" ") if at else []
+        for i in odd:
+            units = self._cut.split(texts[i])
+            parts.append(MARK + units[0])
+            parts += units[1:]
+        known, units = self.units, set(parts)
+        new = [u for u in units if u not in known]
+        if new:
+            self._learn(new)
+        local = {u: known[u] for u in units}
+        flat = np.frombuffer(b"".join(map(local.__getitem__, parts)), "<u4")
+        if len(known) > CACHE_UNITS:
+            self.units = local
+        first = np.flatnonzero(flat == NONE)
+        for i, a, b in zip([*at, *odd], first.tolist(), [*first[1:].tolist(), len(flat)] if len(first) else [], strict=True):
+            out[i] = flat[a + 1 : b]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -93,10 +126,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """The segment file of these documents."""
+def pack(doc_ids: list[int | None], ids: list[np.ndarray], tails: list[np.ndarray] | None = None) -> bytes:
+    """The segment file of these documents, each with its tail behind."""
+    if tails is not None:
+        ids = [x for pair in zip(ids, tails, strict=True) for x in pair]
     flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.uint32)
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype("<u8")
+    ends = np.cumsum([len(x) for x in ids])
+    offsets = np.concatenate(([0], ends if tails is None else ends[1::2])).astype("<u8")
     levels, rest = [], flat
     while True:
         more = rest >> np.uint32(8)
@@ -111,7 +147,7 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
         rest = more[bits]
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
-    return b"".join([MAGIC, struct.pack("<IQQI", VERSION, len(flat), len(ids), len(levels)), known.tobytes(), null.tobytes(), offsets.tobytes(), *levels])
+    return b"".join([MAGIC, struct.pack("<IQQI", VERSION, len(flat), len(doc_ids), len(levels)), known.tobytes(), null.tobytes(), offsets.tobytes(), *levels])
 
 
 class Segment:
@@ -175,7 +211,7 @@ class Segment:
 
 
 def _writer(path: str, end_id: int):
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
@@ -183,13 +219,13 @@ def _writer(path: str, end_id: int):
         use = encoder(path)
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(docs, ids)], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "file"])
+            return pa.record_batch([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(docs, ids[::2], ids[1::2])], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "file"])
 
-        for piece in slices(batches):
-            for doc, got in zip(piece.column("doc_id").to_pylist(), use.encode(piece.column("text").to_pylist(), tail), strict=True):
+        for piece in slices(batches, limit=6 << 20):
+            for doc, got in zip(piece.column("doc_id").to_pylist(), use.encode(piece.column("text").to_pylist()), strict=True):
                 docs.append(doc)
-                ids.append(np.frombuffer(got, "<u4"))
-                size += len(ids[-1])
+                ids += (got, tail)
+                size += len(got) + 1
                 if size >= SEGMENT_TOKENS:
                     yield flush()
                     docs, ids, seq, size = [], [], seq + 1, 0
