@@ -61,10 +61,8 @@ def mock_embedding(dim: int):
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        known = texts.notna()
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        if known.any():
-            out[known] = list(mock_embed(texts[known].tolist(), dim))
-        return out
+        known = [t is not None and t == t for t in texts]
+        made = iter(mock_embed([t for t, k in zip(texts, known, strict=True) if k], dim))
+        return pd.Series([next(made) if k else None for k in known], dtype=object)
 
     return embed

@@ -123,7 +123,7 @@ def token_bucket(requests: DataFrame, rate: float, burst: float, *key: str, ts:
     long enough to refill the bucket: each part starts full and is folded on its own, wherever it is.
     """
     w = Window.partitionBy(*key).orderBy(ts, order)
-    t = F.unix_micros(ts).cast("double") / 1e6
+    t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / 1e6
     gap = t - F.lag(t).over(w)
     rows = requests.withColumn("at", t).withColumn("island", F.sum(F.when(gap.isNull() | (gap * rate >= burst), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     grouped = rows.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("at", order))).alias("log"))

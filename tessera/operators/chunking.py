@@ -92,7 +92,7 @@ def chunked(docs: DataFrame, size: int = 600, overlap: float = 0.15, tokenizer:
     ``tokenizer`` is ``bytes`` (four bytes a token), ``words`` or ``byte_pairs`` with a vocabulary file.  Rows may
     carry ``max_tokens`` and ``overlap_ratio`` of their own.  Null texts have no chunks.
     """
-    names = [*keep, "text", "strategy", "max_tokens", "overlap_ratio"]
+    names = list(dict.fromkeys([*keep, "text", "strategy", "max_tokens", "overlap_ratio"]))
     have = docs.columns
     rows = docs
     for c, value, kind in (("max_tokens", size, "int"), ("overlap_ratio", overlap, "double")):

@@ -6,6 +6,7 @@ joins shuffle.  Ties are broken by chunk_id, so results are total orders.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,8 +166,6 @@ def cover_density(places: dict[str, list[int]], needed: list[str], weight: float
 
 def fts_topk(units: DataFrame, query: str, k: int = FTS_K, key: str = "chunk_id") -> DataFrame:
     """Matches of a query ranked by cover density, then by (document_id, chunk_index)."""
-    import pandas as pd
-
     needed = [t for group in parse_search(query)["groups"] for t in group[0]]
 
     @F.pandas_udf("double")

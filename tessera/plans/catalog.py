@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from . import admin, corpus, search  # noqa: F401  registering their queries
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "sparse_topk"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:

@@ -16,7 +16,9 @@ def read_table(spark: SparkSession, path: str, files_per_trigger: int | None = N
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    path = path.rstrip("/")
+    rows = reader.parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a single file will do as well as a folder
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
 def tumbling(events: DataFrame, every: str, late: str = "10 minutes", *keys: str) -> DataFrame:
