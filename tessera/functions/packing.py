@@ -85,8 +85,10 @@ class Packer:
 
 
 def by_chars(text: str, budget: int, overlap: float) -> list[str]:
-    """Words under a byte budget of four bytes a token (at least 400); a chunk begins with the last characters of the
-    one before, which the next word follows without a space, as the buffer of the original order of work does."""
+    """Words under a byte budget of four bytes a token (at least 400).
+
+    A chunk begins with the last characters of the one before, and the next word follows them without a space.
+    """
     limit = int(max(budget * float(BYTES_PER_TOKEN), LEAST_CHARS))
     again = int(limit * ratio(overlap))
     raw = text.encode()
