@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: A text slice handed to the vectorised code holds about this many bytes, or one document.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Up to this many rows of a few integers are broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -39,6 +40,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of documents in an Arrow batch; Spark's default of 10000 rows would hold tens of megabytes on both sides.
+BATCH_ROWS = 2000
+
+
+def light_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session's plans from now on (rows hold whole documents), unless set lower."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -48,6 +61,15 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and the next stage needs the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only the GNU library has it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``limit`` bytes in each."""
     for batch in batches:
@@ -181,3 +203,28 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
         if not changed:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
+
+
+def unit_codes(texts: pa.Array, more: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The units of texts between single spaces (and of texts cut already): distinct units, a code for each unit, and
+    the number of units of each text."""
+    split = pc.split_pattern(texts, " ")
+    values, counts = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    if more:
+        values = pa.concat_arrays([values, pa.array([u for m in more for u in m], values.type)])
+        counts = np.concatenate([counts, np.array([len(m) for m in more], np.int64)])
+    coded = values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
+
+
+def gathered(blobs: list[bytes], codes: np.ndarray, counts: np.ndarray, kind: str) -> tuple[np.ndarray, list[int]]:
+    """The numbers behind all codes in a row, and where those of each text end."""
+    flat = np.frombuffer(b"".join(blobs), kind)
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // flat.itemsize
+    start = np.cumsum(size) - size
+    size = size[codes]
+    until = np.cumsum(size)
+    total = int(until[-1]) if len(until) else 0
+    index = np.repeat(start[codes] - (until - size), size)
+    index += np.arange(total)
+    return flat[index], np.concatenate(([0], until))[np.cumsum(counts)].tolist()

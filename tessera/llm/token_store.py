@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import parallelism, shared_dir, sized_broadcast, slices
+from .common import gathered, give_back, light_batches, parallelism, shared_dir, sized_broadcast, slices, unit_codes
 
 MAGIC, VERSION = b"TDAC", 1
 BLOCK_WORDS = 8  # bitmap words a rank entry covers
@@ -41,8 +41,6 @@ SEGMENT_TOKENS = 1 << 20
 END_ID = 2
 CACHE_UNITS = 1_200_000
 MARK = "\x00"  # stands before a text's first unit
-NONE = np.uint32(0xFFFFFFFF)  # stands before a text's first id
-FIRST = NONE.tobytes()
 #: White space beside single spaces between other characters; texts with it are cut with more care.
 EXOTIC = ("  ", " \n", "\n ", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
@@ -71,7 +69,7 @@ class Encoder:
         alone = [u for u in new if u[0] == MARK or " " in u]
         texts = [u[1:] if u[0] == MARK else " " + u for u in alone]
         for unit, got in zip(alone, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.units[unit] = (FIRST if unit[0] == MARK else b"") + np.array(got.ids, "<u4").tobytes()
+            self.units[unit] = np.array(got.ids, "<u4").tobytes()
         groups = [plain[a : a + 512] for a in range(0, len(plain), 512)]
         for part, got in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
@@ -87,33 +85,29 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text (u32)."""
-        at = [i for i, t in enumerate(texts) if t]
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        at = [i for i, t in enumerate(texts) if t]
         odd: list[int] = []
-        whole = (" " + MARK).join([texts[i] for i in at])
-        if at and (any(x in whole for x in EXOTIC) or whole.count(MARK) != len(at) - 1 or f"{MARK} " in whole or whole[0] == " " or whole[-1].isspace()):
+        whole = "".join([f" {MARK}{texts[i]}" for i in at])
+        if any(x in whole for x in EXOTIC) or whole.count(MARK) != len(at) or f"{MARK} " in whole or whole[-1:].isspace():
             marked = [i for i in at if MARK in texts[i]]
             for i, got in zip(marked, self.tokenizer.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False), strict=True):
                 out[i] = np.array(got.ids, np.uint32)
             odd = [i for i in at if MARK not in texts[i] and (texts[i][0] == " " or texts[i][-1].isspace() or any(x in texts[i] for x in EXOTIC))]
             at = sorted(set(at) - set(marked) - set(odd))
-            whole = (" " + MARK).join([texts[i] for i in at])
-        parts = (MARK + whole).split(" ") if at else []
-        for i in odd:
-            units = self._cut.split(texts[i])
-            parts.append(MARK + units[0])
-            parts += units[1:]
-        known, units = self.units, set(parts)
+        del whole
+        if not at and not odd:
+            return out
+        units, codes, counts = unit_codes(pa.array([MARK + texts[i] for i in at], pa.large_string()), [[MARK + u if k == 0 else u for k, u in enumerate(self._cut.split(texts[i]))] for i in odd])
+        known = self.units
         new = [u for u in units if u not in known]
         if new:
             self._learn(new)
-        local = {u: known[u] for u in units}
-        flat = np.frombuffer(b"".join(map(local.__getitem__, parts)), "<u4")
+        flat, ends = gathered([known[u] for u in units], codes, counts, "<u4")
         if len(known) > CACHE_UNITS:
-            self.units = local
-        first = np.flatnonzero(flat == NONE)
-        for i, a, b in zip([*at, *odd], first.tolist(), [*first[1:].tolist(), len(flat)] if len(first) else [], strict=True):
-            out[i] = flat[a + 1 : b]
+            self.units = {u: known[u] for u in units}
+        for i, a, b in zip([*at, *odd], [0, *ends[:-1]], ends, strict=True):
+            out[i] = flat[a:b]
         return out
 
 
@@ -221,7 +215,7 @@ def _writer(path: str, end_id: int):
         def flush() -> pa.RecordBatch:
             return pa.record_batch([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(docs, ids[::2], ids[1::2])], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "file"])
 
-        for piece in slices(batches, limit=6 << 20):
+        for piece in slices(batches, limit=8 << 20):
             for doc, got in zip(piece.column("doc_id").to_pylist(), use.encode(piece.column("text").to_pylist()), strict=True):
                 docs.append(doc)
                 ids += (got, tail)
@@ -231,13 +225,15 @@ def _writer(path: str, end_id: int):
                     docs, ids, seq, size = [], [], seq + 1, 0
         if docs:
             yield flush()
+        docs, ids = [], []
+        give_back()
 
     return run
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID) -> str:
     """Write ``docs(doc_id, text)`` as token segments in ascending doc_id order under ``out``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = light_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_writer(tokenizer_path, end_id), "part long, seq long, n_docs long, n_tokens long, file binary").write.option("compression", "zstd").parquet(out)
     return out
