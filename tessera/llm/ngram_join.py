@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SHINGLE_MUL, checkpoint, components, mix, parallelism, shingle_sets, signed, sized_broadcast, slices
+from .common import SHINGLE_MUL, U64, checkpoint, components, give_back, light_batches, mix, parallelism, shingle_sets, signed, sized_broadcast, slices
 
 WIDTH, SIMILARITY = 5, Fraction(3, 4)
 KEYS = 6  # min-hash keys a class proposes leaders by
 FREQUENT_BOUND = 1 << 22
-TOP_COUNT = 1 << 16  # larger counts are told apart no further
+GRADES = 8 * 64
 LIST_BLOCK = 64
 CELL_ROWS = 2048
 
@@ -71,6 +71,7 @@ def _signatures(width: int):
                     got[live] = (np.add if k < 2 else np.minimum).reduceat(v, at[live])
                 cols.append(signed(got))
             yield pa.record_batch(cols, names=["doc_id", "n", "s0", "s1", *(f"m{k}" for k in range(KEYS))])
+        give_back()
 
     return run
 
@@ -98,18 +99,25 @@ def _frequencies(width: int):
                 held, size = [], 0
         if size:
             yield from pack(held)
+        held = []
+        give_back()
 
     return run
 
 
+def _grade(count: np.ndarray) -> np.ndarray:
+    """Counts graded by their logarithm, eight grades to a doubling; 1, 2, 3 and 4 have grades of their own."""
+    return np.floor(np.log2(count) * 8).astype(np.int64)
+
+
 def _counted(group: pa.Table) -> pa.Table:
-    """One first byte's shingle heads that occur twice or more, with their counts, and how many have each count."""
+    """One first byte's shingle heads that occur twice or more, with their counts, and how many have each grade."""
     heads = np.concatenate([np.frombuffer(h, np.uint16).astype(np.uint32) << np.uint32(16) | np.frombuffer(l, np.uint16) for h, l in zip(group["high"].to_pylist(), group["low"].to_pylist(), strict=True)])
     heads.sort()
     at = np.flatnonzero(np.concatenate(([True], heads[1:] != heads[:-1])))
-    count = np.minimum(np.diff(np.append(at, len(heads))), TOP_COUNT)
+    count = np.diff(np.append(at, len(heads)))
     keep = count > 1
-    hist = np.bincount(count, minlength=TOP_COUNT + 1)
+    hist = np.bincount(_grade(count), minlength=GRADES)
     return pa.table({"head": [heads[at][keep].tobytes()], "df": [count[keep].astype(np.uint32).tobytes()], "hist": [hist.tolist()]}, pa.schema([("head", pa.binary()), ("df", pa.binary()), ("hist", pa.list_(pa.int64()))]))
 
 
@@ -118,21 +126,21 @@ def _at_least(least: int):
         for batch in batches:
             for h, c in zip(batch.column("head"), batch.column("df"), strict=True):
                 df = np.frombuffer(c.as_buffer(), np.uint32)
-                keep = df >= least
+                keep = _grade(df) >= least
                 yield pa.record_batch([pa.array([np.frombuffer(h.as_buffer(), np.uint32)[keep].tobytes()], pa.binary()), pa.array([df[keep].tobytes()], pa.binary())], names=["head", "df"])
 
     return run
 
 
 def _frequencies_of(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle heads from the smallest count on that leaves at most ``FREQUENT_BOUND`` of them, sorted; their counts."""
+    """The shingle heads from the smallest grade of counts on that leaves at most ``FREQUENT_BOUND`` of them, sorted; their counts."""
     counted = checkpoint(docs.mapInArrow(_frequencies(width), "p int, high binary, low binary").groupBy("p").applyInArrow(_counted, "head binary, df binary, hist array<long>"))
-    hist = np.zeros(TOP_COUNT + 1, np.int64)
+    hist = np.zeros(GRADES, np.int64)
     for count, n in counted.select(F.posexplode("hist")).groupBy("pos").agg(F.sum("col")).collect():
         hist[count] = n
     above = np.cumsum(hist[::-1])[::-1]
     fits = np.flatnonzero(above <= FREQUENT_BOUND)
-    least = max(2, int(fits[0])) if len(fits) else TOP_COUNT + 1
+    least = max(int(_grade(np.array([2]))[0]), int(fits[0])) if len(fits) else GRADES
     kept = counted.mapInArrow(_at_least(least), "head binary, df binary").toArrow()
     heads, df = (np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x.as_buffer(), np.uint32) for x in kept[c] if x.as_py())]) for c in ("head", "df"))
     order = np.argsort(heads)
@@ -177,6 +185,7 @@ def _postings(width: int, similarity: Fraction, frequent):
                     cols = [c[back] for c in cols]
                     cell = np.where(blocks[back] > 1, 1 + np.minimum(cols[5], other) * (1 << 15) + np.maximum(cols[5], other), 0).astype(np.int32)
                 yield pa.record_batch([pa.array(c) for c in (*cols, cell)], names=["token", "doc", "label", "n", "pos", "block", "cell"])
+        give_back()
 
     return run
 
@@ -234,6 +243,8 @@ def _candidates(similarity: Fraction):
                     seen = seen[:0]
         seen = np.unique(np.concatenate([seen, *held]), axis=0)
         yield pa.record_batch([pa.array(np.ascontiguousarray(seen[:, 0])), pa.array(np.ascontiguousarray(seen[:, 1]))], names=["a", "b"])
+        del token, doc, label, n, pos, block, cell, order, lab, seen
+        give_back()
 
     return run
 
@@ -254,6 +265,7 @@ def _linked(width: int, similarity: Fraction):
                     keep.append(q * both >= p * (len(x) + len(y) - both) and both > 0)
                 keep = pa.array(keep)
                 yield pa.record_batch([piece.column("a").filter(keep), piece.column("b").filter(keep)], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -269,7 +281,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, width: int, similarity: Fraction)
 def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, class_id (the smallest doc_id with the same set)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = light_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = ", ".join(f"m{k} long" for k in range(KEYS))
     rows = checkpoint(docs.mapInArrow(_signatures(width), f"doc_id long, n long, s0 long, s1 long, {keys}"))
     live = rows.where("n > 0 and doc_id is not null")
@@ -292,8 +304,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction
     told = told.withColumn("told", F.lit(True))
     posted = known.join(sized_broadcast(told), "doc_id", "left").where("told is null or label is not null").select("doc_id", "text", F.coalesce("label", "doc_id").alias("label"))
     postings = posted.mapInArrow(_postings(width, similarity, steer), "token long, doc long, label long, n int, pos int, block int, cell int")
-    lists = postings.repartition(max(parallelism(spark), -(-total // 4_000_000)), "token", "cell")
+    lists = postings.repartition(max(parallelism(spark), -(-total // 1_000_000)), "token", "cell")
     candidates = checkpoint(lists.mapInArrow(_candidates(similarity), "a long, b long").distinct())
+    steer.unpersist()
     links = near.union(_verify(known, candidates, width, similarity))
     whole = components(links)
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, slices
+from .common import checkpoint, light_batches, shared_dir, slices
 
 LEAST_BYTES = 100
 CHUNK_BYTES = 1 << 16
@@ -108,7 +108,7 @@ def _archives(archive: int, segment: int):
 def write_archives(pages: DataFrame, out: str, archive_bytes: int = ARCHIVE_BYTES, segment_bytes: int = SEGMENT_BYTES) -> str:
     """Write ``pages(page_id, url, html)`` as WARC files under ``out``."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
+    rows = light_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     equal = checkpoint(rows.where(F.octet_length("html") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     if equal.count() <= 100_000:  # digests of repeated payloads: some 100 bytes each
         joined = rows.join(F.broadcast(equal), "digest", "left")
