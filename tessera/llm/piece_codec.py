@@ -22,6 +22,7 @@ pipeline keeps them.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, parallelism, slices
+from .common import U64, checkpoint, gathered, give_back, light_batches, mix, parallelism, slices, unit_codes
 
 SPACE = "▁"
 CHUNK_CHARS = 1 << 16
-WORD_CACHE = 500_000
+WORD_CACHE, PAIR_CACHE = 250_000, 1_000_000
 WHOLE = -1  # the state at a word boundary: any piece may have ended there
 
 
@@ -54,13 +55,25 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece of this model crosses a word boundary")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.own: dict[str, bool] = {}
+        self.own: dict[str, list[tuple[float, str, str]]] = {}
         self.words: dict[str, bytes] = {}
-
-    def _merged(self, text: str) -> list[str]:
-        """The model's rule on a short text: merge the best-scored neighbours, the leftmost of equals, until none fits."""
-        parts = list(text)
+        self.units_known: dict[str, bytes] = {}
+        whole = [p for p in self.ids if self.whole(p)]
+        key = np.array([_key(p) for p in whole], np.uint64)
+        order = np.argsort(key)
+        self._keys, self._key_ids = key[order], np.array([self.ids[p] for p in whole], np.int64)[order]
+        self._maybe = np.zeros(1 << 20, bool)  # heads of all keys: most ranges are told apart here
+        self._maybe[(key >> U64(44)).astype(np.int64)] = True
+        self._pair_keys, self._pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        raw = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([self.bytes[i]]) if i in self.bytes else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
+        self._raw, self._raw_at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+
+    def _steps(self, text: str) -> list[tuple[float, str, str]]:
+        """The model's rule on a short text: merge the best-scored neighbours, the leftmost of equals, until none fits.
+
+        Returns for each merge its score, and the text's first and last part after it.
+        """
+        parts, out = list(text), []
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -70,22 +83,43 @@ class Pieces:
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            out.append((best, parts[0], parts[-1]))
+        return out
+
+    def steps(self, piece: str) -> list[tuple[float, str, str]]:
+        got = self.own.get(piece)
+        if got is None:
+            got = self.own[piece] = self._steps(piece)
+        return got
 
     def whole(self, piece: str) -> bool:
         """Whether the rule leaves a text of just this piece in one."""
-        if piece not in self.own:
-            self.own[piece] = len(self._merged(piece)) == 1
-        return self.own[piece]
+        return len(self.steps(piece)) == len(piece) - 1
 
     def neighbours(self, a: str, b: str) -> bool:
-        """The weight between two pieces: allowed (0) or not (minus infinity)."""
-        key = (a, b)
-        if key not in self.pairs:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[key] = self._merged(a + b) == [a, b]
-        return self.pairs[key]
+        """The weight between two whole pieces: allowed (0) or not (minus infinity).
+
+        Encoding both together repeats each one's own merges, best score first, until a merge across the border is due.
+        """
+        left, right = self.steps(a), self.steps(b)
+        end, begin, i, j = a[-1], b[0], 0, 0
+        low = -math.inf
+        across = self.scores.get(end + begin, low)
+        while True:
+            x = left[i][0] if i < len(left) else low
+            y = right[j][0] if j < len(right) else low
+            if across > x and across >= y:
+                return False
+            if x == low and y == low:
+                return True
+            if x >= y:
+                changed, i = left[i][2] != end, i + 1
+                end = left[i - 1][2]
+            else:
+                changed, j = right[j][1] != begin, j + 1
+                begin = right[j - 1][1]
+            if changed:
+                across = self.scores.get(end + begin, low)
 
     def ending(self, text: str, end: int, start: int = 0) -> Iterator[str]:
         """The pieces (or the single character) that end at a place."""
@@ -126,6 +160,130 @@ class Pieces:
             got = self.words[word] = np.array(self.numbers(self.path(word)), "<i4").tobytes()
         return got
 
+    def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The weights of many neighbours, by numbers: pieces by id, characters without a piece by code point."""
+        key = a << 22 | b
+        for _ in range(2):
+            if len(self._pair_keys):
+                j = np.minimum(np.searchsorted(self._pair_keys, key), len(self._pair_keys) - 1)
+                strange = self._pair_keys[j] != key
+            else:
+                strange = np.ones(len(key), bool)
+            if not strange.any():
+                break
+            if len(self._pair_keys) > PAIR_CACHE:
+                self._pair_keys, self._pair_ok, strange = self._pair_keys[:0], self._pair_ok[:0], np.ones(len(key), bool)
+            fresh = np.unique(key[strange])
+            ok = np.array([self.neighbours(self._name(k >> 22), self._name(k & (1 << 22) - 1)) for k in fresh.tolist()], bool)
+            at = np.searchsorted(self._pair_keys, fresh)
+            self._pair_keys, self._pair_ok = np.insert(self._pair_keys, at, fresh), np.insert(self._pair_ok, at, ok)
+        return self._pair_ok[j]
+
+    def _name(self, number: int) -> str:
+        return self.names[number] if number < len(self.names) else chr(number - len(self.names))
+
+    def paths(self, words: list[str]) -> list[bytes]:
+        """The ids of many words: the search of ``path`` in lock-step, place by place, over all of them."""
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        codes, starts, ends = _codes([words[i] for i in order])
+        lengths = ends - starts
+        value = mix(codes.astype(np.uint64) + FIRST_CODE)
+        n = len(self.names)
+        size_at = np.zeros(len(codes) + 1, np.int64)  # of the piece that ends a prefix, by the prefix's last place
+        number_at = np.zeros(len(codes) + 1, np.int64)
+        hashes = [np.zeros(len(words), np.uint64)]  # of the prefixes of each length
+        for end in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
+            live = int(np.searchsorted(-lengths, -end, side="right"))  # longer words come first
+            stop = starts[:live] + end
+            hashes.append(hashes[-1][:live] * BASE + value[stop - 1])
+            if end > self.longest:
+                hashes[end - self.longest - 1] = hashes[0][:0]
+            open_ = np.ones(live, bool)
+            for size in range(min(self.longest, end), 0, -1):
+                key = hashes[end] - hashes[end - size][:live] * POWERS[size]
+                hit = np.flatnonzero(self._maybe[(key >> U64(44)).astype(np.int64)] & open_) if size > 1 else np.flatnonzero(open_)
+                if not len(hit):
+                    continue
+                key = key[hit]
+                j = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+                number = np.where(self._keys[j] == key, self._key_ids[j], n + codes[stop[hit] - 1] if size == 1 else -1)
+                found = number >= 0
+                hit, number = hit[found], number[found]
+                if size < end and len(hit):
+                    ok = self._allowed(number_at[stop[hit] - size - 1], number)
+                    hit, number = hit[ok], number[ok]
+                size_at[stop[hit] - 1], number_at[stop[hit] - 1] = size, number
+                open_[hit] = False
+        # Backtrace of all words at once, one piece a round.
+        place, word = ends.copy(), np.arange(len(words))
+        got_word, got = [], []
+        while len(word):
+            got_word.append(word)
+            got.append(number_at[place - 1])
+            place = place - size_at[place - 1]
+            more = place > starts[word]
+            place, word = place[more], word[more]
+        if not got:
+            return []
+        which, number, step = np.concatenate(got_word), np.concatenate(got), np.concatenate([np.full(len(g), -k) for k, g in enumerate(got)])
+        sort = np.lexsort((step, which))
+        which, number = which[sort], number[sort]
+        cut = np.searchsorted(which, np.arange(len(words) + 1)).tolist()
+        data = number.astype("<i4").tobytes()
+        strange = set(which[number >= n].tolist())
+        out = [b""] * len(words)
+        for k, i in enumerate(order):
+            out[i] = data[4 * cut[k] : 4 * cut[k + 1]] if k not in strange else np.array(self.numbers([self._name(x) for x in number[cut[k] : cut[k + 1]].tolist()]), "<i4").tobytes()
+        return out
+
+    def forget(self) -> None:
+        """Drop the words remembered, at the end of a task."""
+        self.units_known, self.words = {}, {}
+        give_back()
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of many texts.  Words between single spaces are looked up together; odd texts go word by word."""
+        out = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if "  " in t or t[0] == " " or t[-1] == " " or SPACE in t:
+                out[i] = self.encode_words(normalised(t))
+            else:
+                plain.append(i)
+        if not plain:
+            return out
+        units, codes, counts = unit_codes(pa.array([texts[i] for i in plain], pa.large_string()), [])
+        known = self.units_known
+        new = [u for u in units if u not in known]
+        known.update(zip(new, self.paths([SPACE + u for u in new]), strict=True))
+        flat, ends = gathered([known[u] for u in units], codes, counts, "<i4")
+        if len(known) > WORD_CACHE:
+            self.units_known = {u: known[u] for u in units}
+        data = flat.tobytes()
+        for i, a, b in zip(plain, [0, *ends[:-1]], ends, strict=True):
+            out[i] = data[4 * a : 4 * b]
+        return out
+
+    def decode_batch(self, ids: list[np.ndarray]) -> pa.Array:
+        """The texts of many id lists: piece bytes gathered at once; lists whose bytes are no UTF-8 go one by one."""
+        flat = np.concatenate([*ids, np.zeros(0, "<i4")]).astype(np.int64)
+        size = self._raw_at[flat + 1] - self._raw_at[flat]
+        until = np.cumsum(size)
+        data = self._raw[np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self._raw_at[flat] - (until - size), size)]
+        bounds = np.concatenate(([0], until))[np.concatenate(([0], np.cumsum([len(x) for x in ids])))]
+        first = bounds[:-1][bounds[1:] > bounds[:-1]]
+        drop = first[data[first] == 32]
+        data = np.delete(data, drop)
+        bounds = bounds - np.searchsorted(drop, bounds)
+        texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(x.tolist()) for x in ids], pa.string())
+        return texts.cast(pa.string())
+
     def units(self, text: str) -> list[str]:
         """Cut before every run of space marks; a run and the word behind it stay together."""
         parts = text.split(SPACE)
@@ -232,6 +390,25 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all words in a row, and where each begins and ends."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return codes, ends - np.fromiter(map(len, words), np.int64, len(words)), ends
+
+
+BASE, FIRST_CODE = U64(0x9E3779B97F4A7C15), U64(0x51ED27)
+POWERS = np.concatenate(([U64(1)], np.cumprod(np.full(64, BASE, np.uint64))))
+
+
+def _key(piece: str) -> int:
+    """The 64-bit key of a piece: a polynomial over its mixed code points."""
+    key = np.zeros(1, np.uint64)
+    for v in mix(_codes([piece])[0].astype(np.uint64) + FIRST_CODE):
+        key = key * BASE + v
+    return int(key[0])
+
+
 def boundary(text: str, at: int) -> bool:
     """A word boundary: a space mark begins here, after something else."""
     return 0 < at < len(text) and text[at] == SPACE and text[at - 1] != SPACE
@@ -284,9 +461,10 @@ def _short(path: str, chunk: int):
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             keep = [i for i, t in enumerate(texts) if t is None or len(t) < chunk]
-            ids = [use.encode_words(normalised(texts[i])) for i in keep]
+            ids = use.encode_batch([texts[i] for i in keep])
             some = part.take(pa.array(keep, pa.int64()))
             yield pa.record_batch([some.column("row"), some.column("doc_id"), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
+        use.forget()
 
     return run
 
@@ -367,7 +545,9 @@ def _joined(group: pa.Table) -> pa.Table:
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS) -> DataFrame:
     """Per row of ``docs(row, doc_id, text)``: row, doc_id and ids (little-endian 32-bit, in one binary)."""
-    docs = docs.select(F.col("row").cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if chunk < 40 or chunk < 2 * pieces_of(path).longest:
+        raise ValueError("chunks must be longer than two pieces")
+    docs = light_batches(docs).select(F.col("row").cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     short = docs.mapInArrow(_short(path, chunk), _IDS)
     long = docs.where(F.length("text") >= chunk).mapInArrow(_chunks(path, chunk), "row long, doc_id long, k int, offset long, a long, b long, text string")
     parts = checkpoint(long.repartition(parallelism(docs.sparkSession), "row", "k"))
@@ -381,9 +561,8 @@ def _decoded(path: str):
         use = pieces_of(path)
         for part in slices(batches, "ids"):
             ids = [np.frombuffer(x.as_buffer(), "<i4") for x in part.column("ids")]
-            texts = [use.decode(i.tolist()) for i in ids]
             crc = [zlib.crc32(i.tobytes()) for i in ids]
-            yield pa.record_batch([part.column("row"), part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(crc, pa.int64()), part.column("ids"), pa.array(texts, pa.string())], names=["row", "doc_id", "n_pieces", "ids_crc32", "ids", "decoded"])
+            yield pa.record_batch([part.column("row"), part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(crc, pa.int64()), part.column("ids"), use.decode_batch(ids)], names=["row", "doc_id", "n_pieces", "ids_crc32", "ids", "decoded"])
 
     return run
 
