@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, slices, text_bytes
+from .common import LOWER, checkpoint, give_back, light_batches, sized_broadcast, slices, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 4, 6)
@@ -155,6 +155,7 @@ def _predict(net: ByteNet | None, keep: tuple[str, ...]):
                 name[known] = np.array(net.classes, object)[best[known]]
                 score[known] = np.clip(total[known, best[known]], 0, 1)
             yield pa.record_batch([*(part.column(c) for c in keep), pa.array(name, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+        give_back()
 
     return run
 
@@ -172,7 +173,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
     room = F.greatest(F.lit(1), F.length("text") - WINDOW)
     pieces = F.array(F.substring("text", 1, WINDOW), F.substring(F.col("text"), (F.pmod(h, room) + 1).cast("int"), F.lit(WINDOW)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = usable.select("doc_id", "lang", h.alias("h"), F.length("text").alias("n")).where("n >= 40").withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id")
+    long = usable.where(F.length("text") >= 40).select("doc_id", "lang", h.alias("h"))
+    # Each language's share of hashes that holds some four times as many rows as are wanted goes to the ranking.
+    share = checkpoint(long.groupBy("lang").agg((F.lit(4.0 * per_language + 100) / F.count(F.lit(1))).alias("share")))
+    near = long.join(sized_broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("h", F.pmod("h", F.lit(1 << 30)))
+    ids = near.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id")
     got = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").where(F.length("text") >= 40).select("lang", "doc_id", pieces.alias("pieces")).orderBy("lang", "doc_id").toArrow()
     classes = sorted(set(got["lang"].to_pylist()))
     if not classes:
@@ -189,7 +194,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCH
 
 def predict(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of ``docs`` (with ``text``): the columns ``keep``, lang_pred and score."""
-    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    rows = light_batches(docs).select(*keep, *(["text"] if "text" not in keep else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     return rows.mapInArrow(_predict(net, tuple(keep)), f"{schema}, lang_pred string, score double")
 
