@@ -117,27 +117,29 @@ def positions(units: DataFrame, key: str = "chunk_id", text: str = "text") -> Da
     return rows.groupBy(key, "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
-def _holds(terms: Column, phrase: list[str]) -> Column:
-    if len(phrase) == 1:
-        return F.array_contains(terms, phrase[0])
-    wanted = F.array(*map(F.lit, phrase))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(terms) - len(phrase) + 1))
-    return F.exists(starts, lambda i: F.slice(terms, i, len(phrase)) == wanted)
-
-
 def fts_matches(units: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """The units that satisfy a web-search query; nothing for a query without words."""
+    """The units that satisfy a web-search query; nothing for a query without words.
+
+    A unit's terms become one line with single spaces, made once a row; terms and phrases are then substrings of it.
+    """
     parsed = parse_search(query)
-    terms = T.terms(text)
-    condition = F.lit(bool(parsed["groups"] or parsed["negated"]))
-    for group in parsed["groups"]:
-        one = F.lit(False)
-        for item in group:
-            one = one | _holds(terms, item)
-        condition = condition & one
-    for item in parsed["negated"]:
-        condition = condition & ~_holds(terms, item)
-    return units.where(condition)
+    if not (parsed["groups"] or parsed["negated"]):
+        return units.where(F.lit(False))
+
+    def condition(line: Column) -> Column:
+        holds = lambda item: line.contains(f" {' '.join(item)} ")
+        out = F.lit(True)
+        for group in parsed["groups"]:
+            one = F.lit(False)
+            for item in group:
+                one = one | holds(item)
+            out = out & one
+        for item in parsed["negated"]:
+            out = out & ~holds(item)
+        return out
+
+    line = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    return units.where(F.exists(F.array(line), condition))
 
 
 def cover_density(places: dict[str, list[int]], needed: list[str], weight: float = 0.1) -> float:

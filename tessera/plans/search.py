@@ -211,7 +211,7 @@ WITH {_ASKED}
 SELECT 'run-' || query_id AS run_id, 'completed' AS status, CASE WHEN c OR h OR a OR e THEN 'route_query,retrieve_evidence,compose_answer,final_answer' ELSE 'route_query,baseline_answer,final_answer' END AS steps FROM fl""")
 def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routed graph over every query, with the mock model."""
-    hits = _context_hits(spark, sf_dir).where("rank <= 5")
+    hits = _context_hits(spark, sf_dir).where("rank <= 5").cache()  # a few rows a query, used by every branch
     runs = _asked(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run-"), F.col("query_id").cast("string")))
     done = agents.execute(specs.ROUTED, runs, agents.retrieval_tasks(hits))
     return done.select("run_id", "status", F.array_join("steps", ",").alias("steps"))
