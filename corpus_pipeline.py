@@ -55,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add SentencePiece ids and whether they decode to the text."""
     path = tokenizer_file("piece_bpe_32k.model")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    back = piece_codec.decode(piece_codec.encode(rows, path), path)
+    back = piece_codec.encode(rows, path, back=True)
     return back.select("doc_id", "n_pieces", "ids_crc32", "ids", F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha"))
 
 

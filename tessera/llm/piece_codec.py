@@ -455,7 +455,17 @@ def scan(matrices: list[tuple[list, list, list[int]]]) -> list[tuple[int, int]]:
 _IDS = "row long, doc_id long, ids binary"
 
 
-def _short(path: str, chunk: int):
+_BOTH = "row long, doc_id long, n_pieces long, ids_crc32 long, ids binary, decoded string"
+
+
+def _both(use: Pieces, row: pa.Array, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    """Ids with their number, checksum and decoded text."""
+    numbers = [np.frombuffer(x, "<i4") for x in ids]
+    columns = [row, doc_id, pa.array([len(x) for x in numbers], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary()), use.decode_batch(numbers)]
+    return pa.record_batch(columns, names=["row", "doc_id", "n_pieces", "ids_crc32", "ids", "decoded"])
+
+
+def _short(path: str, chunk: int, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = pieces_of(path)
         for part in slices(batches):
@@ -463,7 +473,10 @@ def _short(path: str, chunk: int):
             keep = [i for i, t in enumerate(texts) if t is None or len(t) < chunk]
             ids = use.encode_batch([texts[i] for i in keep])
             some = part.take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([some.column("row"), some.column("doc_id"), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
+            if back:
+                yield _both(use, some.column("row"), some.column("doc_id"), ids)
+            else:
+                yield pa.record_batch([some.column("row"), some.column("doc_id"), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
         use.forget()
 
     return run
@@ -543,37 +556,38 @@ def _joined(group: pa.Table) -> pa.Table:
     return pa.table([group["row"][:1], group["doc_id"][:1], pa.array([b"".join(group["ids"].to_pylist())], pa.binary())], names=["row", "doc_id", "ids"])
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """Per row of ``docs(row, doc_id, text)``: row, doc_id and ids (little-endian 32-bit, in one binary)."""
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS, back: bool = False) -> DataFrame:
+    """Per row of ``docs(row, doc_id, text)``: row, doc_id and ids (little-endian 32-bit, in one binary).
+
+    With ``back`` the ids are decoded at once, by the same task: the columns of ``decode``.
+    """
     if chunk < 40 or chunk < 2 * pieces_of(path).longest:
         raise ValueError("chunks must be longer than two pieces")
     docs = light_batches(docs).select(F.col("row").cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    short = docs.mapInArrow(_short(path, chunk), _IDS)
+    short = docs.mapInArrow(_short(path, chunk, back), _BOTH if back else _IDS)
     long = docs.where(F.length("text") >= chunk).mapInArrow(_chunks(path, chunk), "row long, doc_id long, k int, offset long, a long, b long, text string")
     parts = checkpoint(long.repartition(parallelism(docs.sparkSession), "row", "k"))
     states = parts.mapInArrow(_transfers(path), "row long, k int, entries array<long>, exits array<long>, matrix binary").groupBy("row").applyInArrow(_scanned, "row long, k int, entry array<long>, leave array<long>")
     traced = parts.join(states, ["row", "k"]).mapInArrow(_backtraced(path), "row long, doc_id long, k int, ids binary")
-    return short.union(traced.groupBy("row").applyInArrow(_joined, _IDS))
+    joined = traced.groupBy("row").applyInArrow(_joined, _IDS)
+    return short.union(decode(joined, path) if back else joined)
 
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = pieces_of(path)
         for part in slices(batches, "ids"):
-            ids = [np.frombuffer(x.as_buffer(), "<i4") for x in part.column("ids")]
-            crc = [zlib.crc32(i.tobytes()) for i in ids]
-            yield pa.record_batch([part.column("row"), part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(crc, pa.int64()), part.column("ids"), use.decode_batch(ids)], names=["row", "doc_id", "n_pieces", "ids_crc32", "ids", "decoded"])
+            yield _both(use, part.column("row"), part.column("doc_id"), part.column("ids").to_pylist())
 
     return run
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Per row of ``encoded(row, doc_id, ids)``: row, doc_id, n_pieces, ids_crc32, ids and the decoded text."""
-    return encoded.mapInArrow(_decoded(path), "row long, doc_id long, n_pieces long, ids_crc32 long, ids binary, decoded string")
+    return encoded.mapInArrow(_decoded(path), _BOTH)
 
 
 def encode_documents(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS) -> DataFrame:
-    """Encode ``docs(doc_id, text)``, decode the ids: doc_id, n_pieces, ids_crc32, text_sha (of the decoded text)."""
+    """Encode ``docs(doc_id, text)`` and decode the ids: doc_id, n_pieces, ids_crc32, text_sha, n_chars (decoded)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    back = decode(encode(rows, path, chunk), path)
-    return back.select("doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha"), F.length("decoded").cast("long").alias("n_chars"))
+    return encode(rows, path, chunk, back=True).select("doc_id", "n_pieces", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha"), F.length("decoded").cast("long").alias("n_chars"))
