@@ -41,6 +41,7 @@ FREQUENT_BOUND = 1 << 22
 GRADES = 8 * 64
 LIST_BLOCK = 64
 CELL_ROWS = 2048
+CELLS = 1 << 31  # more blocks than a list can have
 
 
 def _min_needed(n: int, similarity: Fraction) -> int:
@@ -178,12 +179,12 @@ def _postings(width: int, similarity: Fraction, frequent):
                 blocks = np.maximum(1, -(-df // CELL_ROWS)).astype(np.int32)
                 mine = (mix(doc.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int32)
                 cols = [token.view(np.int64), doc, np.concatenate(clusters), np.concatenate(sizes), np.concatenate(places), mine]
-                cell = np.zeros(len(token), np.int32)
+                cell = np.zeros(len(token), np.int64)
                 if (blocks > 1).any():  # a long list: each entry meets each of the list's blocks in one cell
                     back = np.repeat(np.arange(len(token)), blocks)
                     other = (np.arange(len(back)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.int32)
                     cols = [c[back] for c in cols]
-                    cell = np.where(blocks[back] > 1, 1 + np.minimum(cols[5], other) * (1 << 15) + np.maximum(cols[5], other), 0).astype(np.int32)
+                    cell = np.where(blocks[back] > 1, 1 + np.minimum(cols[5], other).astype(np.int64) * CELLS + np.maximum(cols[5], other), 0)
                 yield pa.record_batch([pa.array(c) for c in (*cols, cell)], names=["token", "doc", "label", "n", "pos", "block", "cell"])
         give_back()
 
@@ -233,7 +234,7 @@ def _candidates(similarity: Fraction):
         for g in live.tolist():
             o = order[at[g] : end[g]]
             w = int(cell[at[g]]) - 1
-            a, b = _list_pairs(doc[o], label[o], n[o], pos[o], block[o], w < 0 or w >> 15 == w & 32767, similarity)
+            a, b = _list_pairs(doc[o], label[o], n[o], pos[o], block[o], w < 0 or w // CELLS == w % CELLS, similarity)
             if len(a):
                 held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             if sum(map(len, held)) > 500_000:
@@ -303,7 +304,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction
 
     told = told.withColumn("told", F.lit(True))
     posted = known.join(sized_broadcast(told), "doc_id", "left").where("told is null or label is not null").select("doc_id", "text", F.coalesce("label", "doc_id").alias("label"))
-    postings = posted.mapInArrow(_postings(width, similarity, steer), "token long, doc long, label long, n int, pos int, block int, cell int")
+    postings = posted.mapInArrow(_postings(width, similarity, steer), "token long, doc long, label long, n int, pos int, block int, cell long")
     lists = postings.repartition(max(parallelism(spark), -(-total // 1_000_000)), "token", "cell")
     candidates = checkpoint(lists.mapInArrow(_candidates(similarity), "a long, b long").distinct())
     steer.unpersist()
