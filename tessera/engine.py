@@ -82,7 +82,7 @@ class Engine:
         p = F.col("payload")
         everyone = self.table("points").where(p["collection"] == collection)
         units = everyone.select("chunk_id", p["text"].alias("text"))
-        scored = retrieval.sparse_scores(queries, I.postings(units), units.agg(F.count(F.lit(1)).alias("n"))).withColumn("score", F.round("score", 9))
+        scored = retrieval.sparse_scores(queries, retrieval.asked_postings(queries, units), units.agg(F.count(F.lit(1)).alias("n"))).withColumn("score", F.round("score", 9))
         own = scored.join(self._points(tenant, collection).select("chunk_id"), "chunk_id", "left_semi")
         return retrieval.top(own, k or self.settings.sparse_top_k, F.desc("score"), "chunk_id")
 

@@ -58,6 +58,16 @@ def sparse_scores(queries: DataFrame, postings: DataFrame, total: DataFrame, key
     return hits.join(small(weighted), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
+def asked_postings(queries: DataFrame, units: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Postings of the queries' terms alone, for searches without a stored index.
+
+    Terms are filtered right where they are split off, so only the queries' occurrences are counted and shuffled.
+    """
+    wanted = small(query_terms(queries).select("term").distinct())
+    each = units.select(key, T.terms(text).alias("terms")).select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    return each.join(wanted, "term", "left_semi").groupBy(key, "term", "length").agg(F.count(F.lit(1)).cast("int").alias("tf")).select(key, "term", "tf", "length")
+
+
 def sparse_topk(queries: DataFrame, postings: DataFrame, total: DataFrame, k: int = SPARSE_K, key: str = "chunk_id") -> DataFrame:
     """Top k by BM25; scores are rounded to 9 places so that summation order cannot reorder ties."""
     scored = sparse_scores(queries, postings, total, key).withColumn("score", F.round("score", 9))

@@ -9,7 +9,6 @@ from ..functions import text as T
 from ..operators import agents, chat, evals, routing
 from ..operators import context as C
 from ..operators import fusion as FU
-from ..operators import index as I
 from ..operators import retrieval as R
 from ..sources import specs
 from .corpus import CHUNKS, chunks
@@ -44,7 +43,8 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top 20 of every benchmark query over the chunks of the corpus."""
     units = chunks(spark, sf_dir).select(_keyed().alias("key"), "text")
     total = units.agg(F.count(F.lit(1)).alias("n"))
-    found = R.sparse_topk(benchmark_queries(spark, sf_dir), I.postings(units, "key"), total, key="key")
+    queries = benchmark_queries(spark, sf_dir)
+    found = R.sparse_topk(queries, R.asked_postings(queries, units, "key").cache(), total, key="key")
     return found.select("query_id", "key", F.round("score", 6).alias("score"), "rank")
 
 
@@ -79,7 +79,8 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     units = docs.select(F.col("doc_id").cast("string").alias("key"), "text")
     total = units.agg(F.count(F.lit(1)).alias("n"))
-    sparse = R.sparse_topk(benchmark_queries(spark, sf_dir), I.postings(units, "key"), total, key="key")
+    queries = benchmark_queries(spark, sf_dir)
+    sparse = R.sparse_topk(queries, R.asked_postings(queries, units, "key").cache(), total, key="key")
     dense = _dense(spark, sf_dir).join(units.select("key"), "key", "left_semi")
     return FU.hybrid(dense, sparse, key="key")
 
