@@ -37,12 +37,12 @@ def empty_to_null(x: Column | str) -> Column:
 
 def terms(x: Column | str) -> Column:
     """Lower-cased runs of letters and digits: the tokens of BM25 and of full-text search."""
-    return F.filter(F.split(F.lower(col(x)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(col(x)), r"[^\p{L}\p{N}]+"), "")
 
 
 def words(x: Column | str) -> Column:
     """What stands between single spaces."""
-    return F.filter(F.split(col(x), " "), lambda t: t != "")
+    return F.array_remove(F.split(col(x), " "), "")
 
 
 def token_estimate(x: Column | str) -> Column:
