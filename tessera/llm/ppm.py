@@ -4,8 +4,10 @@ The model is a byte-context trie of order 3 with escape method C and symbol excl
 one end symbol, after three start symbols.  Counts of all 4-grams of the training texts are summed by Spark; shorter
 contexts are their marginal sums.  A context's exclusions are fixed by its longer context (what was seen after ``abc``
 was seen after ``bc``), so every node's escape and its denominator under exclusion are computed once, and scoring a
-byte is one hash lookup in most cases.  A level of the trie holds at most ``NODE_BUDGET`` nodes: beyond it the rarest
-go, by one count threshold.  ``adaptive_log10`` scores a single text while it learns from it.
+byte is one hash lookup in most cases.  Up to ``NODE_BUDGET`` distinct 4-grams the whole trie is broadcast.  Beyond it
+the most frequent 4-grams are, with their exact values; all others that occur in a text, learned or not, meet the
+counts of every level in shuffled joins, so nothing is left out.  ``adaptive_log10`` scores a single text while it
+learns from it.
 
 The unigram score counts every word of the training texts.  Words above a count threshold (at most ``FREQUENT``
 of them) are broadcast; the others meet their counts in a shuffled join.
@@ -119,6 +121,44 @@ def _sorted(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return key[order].view(np.uint64), n[order]
 
 
+class Top:
+    """Values of 4-grams in an open hash table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, EMPTY, np.uint32)
+        self.values = np.zeros(1 << self.bits, np.float32)
+        left, slot, self.probes = np.arange(len(keys)), self._slot(keys), 0
+        while len(left):
+            self.probes += 1
+            free = self.slots[slot] == EMPTY
+            self.slots[slot[free]] = keys[left[free]]  # of several claims on a slot one wins
+            won = self.slots[slot] == keys[left]
+            self.values[slot[won]] = values[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(2654435769) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def find(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each 4-gram, 0 for those that are not here, and the places of these."""
+        slot = self._slot(part)
+        hit = self.slots[slot] == part
+        value = np.where(hit, self.values[slot], np.float32(0)).astype(float)
+        left = np.flatnonzero(~hit)
+        at = slot[left]
+        for _ in range(self.probes - 1):
+            more = self.slots[at] != EMPTY
+            left_on, at = left[more], (at[more] + 1) & ((1 << self.bits) - 1)
+            found = self.slots[at] == part[left_on]
+            value[left_on[found]] = self.values[at[found]]
+            hit[left_on[found]] = True
+            left, at = left_on[~found], at[~found]
+            if not len(left):
+                break
+        return value, np.flatnonzero(~hit)
+
+
 class Trie:
     """The static model: for each order the nodes (context and symbol) and what escaping costs."""
 
@@ -157,24 +197,7 @@ class Trie:
                 self.escape_below.append(np.zeros(len(at)))
             self._totals, self._distinct = total, distinct
         top = self.keys[-1]
-        self.bits = max(4, int(2 * len(top)).bit_length())
-        self.slots = np.full(1 << self.bits, EMPTY, np.uint32)
-        self.values = np.zeros(1 << self.bits, np.float32)
-        if len(top):
-            value = (self.logn[-1] - self.logall[-1][np.searchsorted(self.contexts[-1], top >> np.uint32(8))]).astype(np.float32)
-            left, slot, self.probes = np.arange(len(top)), self._slot(top), 0
-            while len(left):
-                self.probes += 1
-                free = self.slots[slot] == EMPTY
-                self.slots[slot[free]] = top[left[free]]  # of several claims on a slot one wins
-                won = self.slots[slot] == top[left]
-                self.values[slot[won]] = value[left[won]]
-                left, slot = left[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
-        else:
-            self.probes = 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint32(2654435769) >> np.uint32(32 - self.bits)).astype(np.int64)
+        self.top = Top(top, (self.logn[-1] - self.logall[-1][np.searchsorted(self.contexts[-1], top >> np.uint32(8))]).astype(np.float32))
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +206,7 @@ class Trie:
         j = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return table[j] == keys, j
 
-    def _slow(self, g: np.ndarray) -> np.ndarray:
+    def slow(self, g: np.ndarray) -> np.ndarray:
         """log10 of the 4-grams that the highest order has not: escapes down, with exclusion."""
         out = np.zeros(len(g))
         live = np.arange(len(g))
@@ -215,31 +238,59 @@ class Trie:
             out[live] -= np.where(none, math.log10(256), self.logall_below[0][0] if len(self.logall_below[0]) else math.log10(256))
         return out
 
-    def log10(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The log10 probability of each text."""
-        g, first, last = grams(raw, offsets)
-        out = np.zeros(len(g) + 1)
-        for a in range(0, len(g), 1 << 18):
-            part = g[a : a + (1 << 18)]
-            slot = self._slot(part)
-            hit = self.slots[slot] == part
-            value = np.where(hit, self.values[slot], np.float32(0)).astype(float)
-            left = np.flatnonzero(~hit)
-            at = slot[left]
-            for _ in range(self.probes - 1):
-                more = self.slots[at] != EMPTY
-                left_on, at = left[more], (at[more] + 1) & ((1 << self.bits) - 1)
-                found = self.slots[at] == part[left_on]
-                value[left_on[found]] = self.values[at[found]]
-                hit[left_on[found]] = True
-                left, at = left_on[~found], at[~found]
-                if not len(left):
-                    break
-            missed = np.flatnonzero(~hit)
-            value[missed] = self._slow(part[missed])
-            out[a : a + len(part)] = value
-        pairs = np.stack([first, last], 1).ravel()
-        return np.add.reduceat(out, pairs)[::2] if len(first) else np.zeros(0)
+
+def log10(top: Top, trie: Trie | None, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The log10 probability of each text; without a whole trie, that of the 4-grams in ``top`` and each text's others."""
+    g, first, last = grams(raw, offsets)
+    out = np.zeros(len(g) + 1)
+    missing = []
+    for a in range(0, len(g), 1 << 18):
+        part = g[a : a + (1 << 18)]
+        value, missed = top.find(part)
+        if trie:
+            value[missed] = trie.slow(part[missed])
+        else:
+            missing.append(a + missed)
+        out[a : a + len(part)] = value
+    pairs = np.stack([first, last], 1).ravel()
+    total = np.add.reduceat(out, pairs)[::2] if len(first) else np.zeros(0)
+    at = np.concatenate([np.zeros(0, np.int64), *missing])
+    return total, [g[at[x:y]] for x, y in zip(np.searchsorted(at, first).tolist(), np.searchsorted(at, last).tolist(), strict=True)]
+
+
+def _tail(k: int):
+    """The context of order k and the symbol of a 4-gram."""
+    return F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+
+
+def _marginals(gram_rows: DataFrame) -> list[DataFrame]:
+    """The nodes ``(key, n)`` of each order."""
+    return [*(gram_rows.groupBy(_tail(k).alias("key")).agg(F.sum("n").alias("n")) for k in range(ORDER)), gram_rows]
+
+
+def _context_sums(nodes: list[DataFrame], k: int) -> DataFrame:
+    """Per context of order k: total and distinct symbols, and what these symbols count one order below."""
+    rows = nodes[k].withColumn("low", _tail(k - 1)) if k else nodes[k].withColumn("under", F.lit(0))
+    if k:
+        rows = rows.join(nodes[k - 1].select(F.col("key").alias("low"), F.col("n").alias("under")), "low")
+    return rows.groupBy(F.shiftright("key", 8).alias(f"c{k}")).agg(F.sum("n").alias(f"total{k}"), F.count(F.lit(1)).alias(f"distinct{k}"), F.sum("under").alias(f"under{k}"))
+
+
+def exact_values(asked: DataFrame, nodes: list[DataFrame], sums: list[DataFrame]) -> DataFrame:
+    """The log10 probability, as ``value``, of each 4-gram of ``asked(key)``, from the counts of every order."""
+    for k in range(ORDER, -1, -1):
+        node = nodes[k].select(F.col("key").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
+        asked = asked.withColumns({f"g{k}": _tail(k), f"c{k}": F.shiftright(_tail(k), 8)})
+        # Two bytes have 65536 values at most.
+        asked = asked.join(F.broadcast(node) if k < 2 else node, f"g{k}", "left").join(F.broadcast(sums[k]) if k < 3 else sums[k], f"c{k}", "left")
+    value = -F.log10(F.lit(256) - F.coalesce("distinct0", F.lit(0)))
+    for k in range(ORDER + 1):
+        t, d = F.col(f"total{k}"), F.col(f"distinct{k}")
+        if k < ORDER:
+            t, d = F.coalesce(t - F.col(f"under{k + 1}"), t), F.coalesce(d - F.col(f"distinct{k + 1}"), d)
+        escape = F.when(t + d > 0, F.log10(d / (t + d))).otherwise(0.0)
+        value = F.when(F.col(f"n{k}").isNotNull(), F.log10(F.col(f"n{k}") / (t + d))).otherwise(value + escape)
+    return asked.select("key", value.alias("value"))
 
 
 def adaptive_log10(text: str | None, order: int = ORDER) -> float:
@@ -267,9 +318,9 @@ def adaptive_log10(text: str | None, order: int = ORDER) -> float:
     return total
 
 
-def _scored(trie, frequent, n_train: int, n_words: int):
+def _scored(model, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, (known, log_count) = trie.value, frequent.value
+        (top, trie), (known, log_count) = model.value, frequent.value
         for part in slices(batches):
             raw, offsets = text_bytes(part.column("text"))
             starts, ends, at = words(raw, offsets)
@@ -286,19 +337,27 @@ def _scored(trie, frequent, n_train: int, n_words: int):
                 k, c = np.unique(h[a:b][~hit[a:b]], return_counts=True)
                 rare.append(k.tobytes())
                 rare_n.append(c.astype(np.int32).tobytes())
-            cols = [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at) + 1), pa.array(hits[at[1:]] - hits[at[:-1]]), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(tree.log10(raw, offsets)), pa.array(rare, pa.binary()), pa.array(rare_n, pa.binary())]
-            yield pa.record_batch(cols, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_n"])
+            total, missing = log10(top, trie, raw, offsets)
+            other = [np.unique(m, return_counts=True) for m in missing]
+            cols = [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at) + 1), pa.array(hits[at[1:]] - hits[at[:-1]]), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(total), pa.array(rare, pa.binary()), pa.array(rare_n, pa.binary())]
+            cols += [pa.array([k.astype(np.int64).tobytes() for k, _ in other], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in other], pa.binary())]
+            yield pa.record_batch(cols, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "rare_n", "grams", "grams_n"])
 
     return run
 
 
-def _rare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("rare")]
-        if sum(map(len, keys)):
-            counts = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("rare_n")]
-            rows = np.repeat(batch.column("row").to_numpy(), [len(k) for k in keys])
-            yield pa.record_batch([pa.array(rows), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["row", "key", "times"])
+def _rare_rows(name: str):
+    """Rows (row, key, times) of the keys packed in the columns ``name`` and ``name_n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(name)]
+            if sum(map(len, keys)):
+                counts = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(f"{name}_n")]
+                rows = np.repeat(batch.column("row").to_numpy(), [len(k) for k in keys])
+                yield pa.record_batch([pa.array(rows), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["row", "key", "times"])
+
+    return run
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -309,23 +368,34 @@ def score(docs: DataFrame) -> DataFrame:
     counted = checkpoint(train.mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     word_rows, gram_rows = (counted.where(F.col("kind") == k).select("key", "n") for k in (0, 1))
 
-    levels = []
-    for k in range(ORDER, -1, -1):
-        rows = gram_rows if k == ORDER else gram_rows.groupBy((F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))).alias("key")).agg(F.sum("n").alias("n"))
-        levels.insert(0, _sorted(rows, _threshold(rows, NODE_BUDGET)))
-    trie = spark.sparkContext.broadcast(Trie(levels))
+    nodes, whole = _marginals(gram_rows), gram_rows.count() <= NODE_BUDGET
+    if whole:
+        trie = Trie([_sorted(rows, 0) for rows in nodes])
+        model = spark.sparkContext.broadcast((trie.top, trie))
+    else:
+        nodes = [*map(checkpoint, nodes[:ORDER]), gram_rows]
+        sums = [checkpoint(_context_sums(nodes, k)) for k in range(ORDER + 1)]
+        often = exact_values(gram_rows.where(_grade("n") >= _threshold(gram_rows, NODE_BUDGET)).select("key"), nodes, sums).toArrow()
+        model = spark.sparkContext.broadcast((Top(often["key"].to_numpy().astype(np.uint32), often["value"].to_numpy()), None))
 
     n_train, n_words = word_rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = _threshold(word_rows, FREQUENT)
     known, n = _sorted(word_rows, least)
     frequent = spark.sparkContext.broadcast((known, np.log10(n + 1.0)))
 
-    scored = checkpoint(docs.mapInArrow(_scored(trie, frequent, n_train, n_words), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare binary, rare_n binary"))
+    scored = checkpoint(docs.mapInArrow(_scored(model, frequent), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare binary, rare_n binary, grams binary, grams_n binary"))
     rest = word_rows.where(_grade("n") < least)
-    found = scored.select("row", "rare", "rare_n").mapInArrow(_rare_rows, "row long, key long, times int").join(rest, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_base"))
+    found = scored.select("row", "rare", "rare_n").mapInArrow(_rare_rows("rare"), "row long, key long, times int").join(rest, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("more_base"))
     end = word_rows.where(F.col("key") == int(END_WORD.astype(np.int64))).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()[0]
     tokens = F.col("n_tokens")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(math.log10(end + 1)) - tokens * F.lit(math.log10(n_train + n_words + 1))
-    return scored.join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(int(end > 0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+    scored = scored.join(found, "row", "left")
+    value = F.col("score")
+    if not whole:
+        others = scored.select("row", "grams", "grams_n").mapInArrow(_rare_rows("grams"), "row long, key long, times int")
+        values = exact_values(others.select("key").distinct(), nodes, sums)
+        scored = scored.join(others.join(values, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_score")), "row", "left")
+        value = value + F.coalesce("more_score", F.lit(0.0))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(int(end > 0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), value.alias("score")
     )

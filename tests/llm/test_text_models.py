@@ -126,6 +126,16 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
     assert P.score(df.limit(0)).count() == 0
 
 
+def test_lm_scores_keep_rare_grams(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["the cat sat on the mat", "the cat sat", "", None, "漢字 and more", "qZ7xW0pLk9", "the mat the cat", "漢字漢文", "x" * 60, "thecatqZ7", "fresh ñ", "abracadabra the the the"])]
+    df = spark.createDataFrame([*rows, (None, "the qZ8 漢")], "doc_id long, text string")
+    train = [t or "" for d, t in rows if not fold(d)]
+    want = {d: round(brute_ppm(train, t or ""), 3) for d, t in [*rows, (None, "the qZ8 漢")]}
+    for budget in (0, 8):  # nearly all grams and contexts go the shuffled way
+        monkeypatch.setattr(P, "NODE_BUDGET", budget)
+        assert {r.doc_id: round(r.score, 3) for r in P.score(df).collect()} == want
+
+
 def test_adaptive_scores_learn():
     assert P.adaptive_log10("abababababababab") / 17 > P.adaptive_log10("axbyczdwevfugthr") / 17
     assert P.adaptive_log10(None) == pytest.approx(-math.log10(256))
