@@ -3,7 +3,8 @@
 A page becomes a sequence of tokens: words and tags.  Each word scores by a logistic model of its context (the
 elements and the class or id hints around it), positive where such words are content; each tag scores negative.
 A linear scan finds the run with the largest sum, the content region.  Inside it, blocks whose words score negative
-(a menu, advert, form or comment within the article) are left out.
+(a menu, advert, form or comment within the article) are left out.  As they are, such blocks cost ``BRIDGE`` at most
+between two pieces of content, however long they are, unless the article or main element has ended before them.
 
 The weights come from labelled pages: ``labelled_pages`` composes pages of many layouts with known content words
 (fixed seed), and ``learn`` fits the model on them in numpy.  Pass other labelled pages to ``learn`` for other sites.
@@ -51,6 +52,9 @@ HINTS = {
     "edge": "header masthead footer copyright legal social share sharing login search toolbar skip",
     "content": "content article post entry story main text body paragraph",
 }
+#: The most that rejected blocks between two pieces of content cost: about one word of a plain paragraph.
+BRIDGE = 5.0
+FRAMES = {"in:article", "in:main"}
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
 ELEMENTS = ("a", "article", "aside", "blockquote", "button", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "head", "header", "label", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "select", "summary", "table", "ul", "dialog", "details", "option")
 FEATURES = {name: i for i, name in enumerate(["bias", *(f"in:{e}" for e in ELEMENTS), *(f"hint:{h}" for h in HINTS), "hidden", "header-of-article"])}
@@ -241,6 +245,7 @@ def extract(page: str | None, model: Model | None = None) -> str:
     pieces: list[tuple[str, float]] = []  # text between tags with its word score; a break is ("", score)
     best = total = 0.0
     first = start = last = 0  # the best run is pieces[first:last]
+    left, frames = BRIDGE, frozenset()  # what rejected blocks may still cost, and the frames of the last content
     for kind, context, value in tokens(page):
         if kind == "text":
             value = html.unescape(value)
@@ -254,6 +259,12 @@ def extract(page: str | None, model: Model | None = None) -> str:
                 pieces.append(("", 0.0))
             else:
                 pieces.append((None, 0.0))
+        if model.word(context) <= 0:
+            if frames <= context:
+                gain = max(gain, -left)
+                left += gain
+        elif kind == "text" and gain > 0:
+            left, frames = BRIDGE, FRAMES & context
         if total <= 0:
             total, start = 0.0, len(pieces) - 1
         total += gain

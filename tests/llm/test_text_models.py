@@ -60,6 +60,18 @@ def test_main_text():
     assert H.extract(cut).startswith("Main & title") and "Buy" not in H.extract(cut)
 
 
+def test_long_junk_in_the_article_cuts_nothing_off():
+    lead, body, close = "Headline here Short lead of it.", "Body text of the article " * 30, "Closing words."
+    many = "<p>" + "junk words to be left out " * 60 + "</p>"
+    junk = [f'<div class="advert">{many}</div>', f"<form><label>{many}</label></form>", f'<div class="newsletter">{many}</div>', f"<aside>{many * 3}</aside>", f'<section class="comments"><article class="comment">{many}</article><article class="comment">{many}</article></section>']
+    for frame in ("article", "main", "div"):
+        for block in junk:
+            page = f"<html><body><nav><a href=x>Home</a></nav>{junk[0]}<{frame}><h1>Headline here</h1><p>Short lead of it.</p>{block}<p>{body}</p>{block}{junk[0]}<p>{close}</p></{frame}>{block}<footer>{many}</footer></body></html>"
+            assert H.extract(page) == " ".join(f"{lead} {body} {close}".split())
+    after = f"<body><article><h1>Headline here</h1><p>{body}</p></article><aside>{many}</aside><div>Site words.</div></body>"
+    assert H.extract(after) == " ".join(f"Headline here {body}".split())
+
+
 def test_labelled_pages_come_back():
     model = H.learn(H.labelled_pages())
     good = 0
