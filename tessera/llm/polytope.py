@@ -4,6 +4,8 @@ A table rotates unit vectors by three rounds of random signs and a fast Hadamard
 nearest signed axis of the rotated vector (the position of its largest absolute entry, with the sign).  With several
 ``hashes`` a table's code joins theirs.  Each row is stored under its code in every table; a query visits, in every
 table, the ``probes`` codes whose axes are nearest to it, and the rows there are ranked exactly on the original vectors.
+Where these hold too few rows, the query goes on to the next nearest codes until it meets ``k`` other ones or has seen
+every code, so it returns ``k`` rows, or all candidates if there are fewer.
 
 A code's rows are split over sub-buckets of at most ``BUCKET_ROWS`` or so, by a hash; a query visits all of them, so a
 code that holds a third of all rows is neither cut nor kept in one task.  Codes are counted first: there are at most
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bit_topk import K, QUERY_MOD, valid_vectors
-from .common import parallelism
+from .common import checkpoint
 
 TABLES = 3
 PROBES = 44
@@ -48,9 +50,14 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def room(x: np.ndarray) -> int:
+    """The dimension of the rotated vectors, a power of two."""
+    return 1 << max(1, int(x.shape[1] - 1).bit_length())
+
+
 def rotations(x: np.ndarray, table: int, hashes: int = HASHES) -> list[np.ndarray]:
     """The pseudo-rotated unit vectors of one table, once for each hash."""
-    d = 1 << max(1, int(x.shape[1] - 1).bit_length())
+    d = room(x)
     unit = np.zeros((len(x), d))
     unit[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = []
@@ -93,7 +100,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.asarray(v.values) for v in column])
 
 
-def _stored(tables: int, hashes: int):
+KEY, COLUMNS = ("dim", "t", "code"), ("vec_id", "embedding")
+
+
+def _stored(tables: int, hashes: int, columns: tuple[str, ...] = (*KEY, *COLUMNS)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -101,12 +111,25 @@ def _stored(tables: int, hashes: int):
                 part = batch.filter(pa.array(dims == dim))
                 x = _matrix(part.column("embedding"))
                 for t in range(tables):
-                    yield pa.record_batch([part.column("dim"), pa.array(np.full(len(x), t, np.int32)), pa.array(codes(x, t, hashes)), part.column("vec_id"), part.column("embedding")], names=["dim", "t", "code", "vec_id", "embedding"])
+                    yield pa.record_batch([part.column("dim"), pa.array(np.full(len(x), t, np.int32)), pa.array(codes(x, t, hashes)), part.column("vec_id"), part.column("embedding")], names=[*KEY, *COLUMNS]).select(list(columns))
 
     return run
 
 
-def _asked(tables: int, probes: int, hashes: int):
+def _visited(x: np.ndarray, t: int, probes: int, hashes: int, held: dict[int, int], enough: int) -> list[np.ndarray]:
+    """The codes each row visits: ``probes``, and then the next ones until they hold ``enough`` distinct vec_ids, or all."""
+    visit = list(probed(x, t, probes, hashes))
+    for i, near in enumerate(visit):
+        n = sum(held.get(c, 0) for c in near.tolist())
+        if n < enough:
+            every = probed(x[i : i + 1], t, (2 * room(x)) ** hashes, hashes)[0]
+            more = every[~np.isin(every, near) & np.isin(every, list(held))]
+            until = np.searchsorted(n + np.cumsum([held[c] for c in more.tolist()]), enough) + 1
+            visit[i] = np.concatenate([near, more[:until]])
+    return visit
+
+
+def _asked(tables: int, probes: int, hashes: int, held: dict[tuple[int, int], dict[int, int]], enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -114,22 +137,25 @@ def _asked(tables: int, probes: int, hashes: int):
                 part = batch.filter(pa.array(dims == dim))
                 x = _matrix(part.column("embedding"))
                 for t in range(tables):
-                    visit = pa.array(list(probed(x, t, probes, hashes)), pa.list_(pa.int64()))
+                    visit = pa.array(_visited(x, t, probes, hashes, held.get((dim, t), {}), enough), pa.list_(pa.int64()))
                     yield pa.record_batch([part.column("dim"), pa.array(np.full(len(x), t, np.int32)), visit, part.column("vec_id"), part.column("embedding")], names=["dim", "t", "codes", "vec_id", "embedding"])
 
     return run
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows with their Euclidean distances, ties to the smaller id, the query's own id left out."""
+def nearest(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, repeated: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest ids with their Euclidean distances, ties to the smaller id, the query's own id left out."""
     other = np.flatnonzero(ids != query_id)
-    if len(other) > 2 * k:
+    if len(other) > 2 * k and not repeated:
         # A first cut by |x|^2 - 2 x q keeps all within rounding of the k-th; the distances themselves decide.
         rough = np.einsum("ij,ij->i", x[other], x[other]) - 2 * (x[other] @ q)
         edge = np.partition(rough, k - 1)[k - 1]
         other = other[rough <= edge + 1e-9 * max(1.0, abs(edge), float(q @ q))]
     distance = np.sqrt(((x[other] - q) ** 2).sum(axis=1))
-    order = np.lexsort((ids[other], distance))[:k]
+    order = np.lexsort((ids[other], distance))
+    if repeated:  # an id counts by its nearest row
+        order = order[np.sort(np.unique(ids[other[order]], return_index=True)[1])]
+    order = order[:k]
     return ids[other[order]], distance[order]
 
 
@@ -140,7 +166,8 @@ def _bucket(k: int):
             return schema.empty_table()
         ids, x = rows["vec_id"].to_numpy(), _matrix(rows["embedding"].combine_chunks())
         query_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["embedding"].combine_chunks())
-        found = [nearest(ids, x, i, v, k) for i, v in zip(query_ids.tolist(), q, strict=True)]
+        repeated = len(np.unique(ids)) < len(ids)
+        found = [nearest(ids, x, i, v, k, repeated) for i, v in zip(query_ids.tolist(), q, strict=True)]
         return pa.table([np.repeat(query_ids, [len(a) for a, _ in found]), np.concatenate([a for a, _ in found]), np.concatenate([s for _, s in found])], schema=schema)
 
     return run
@@ -153,10 +180,17 @@ def search(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, tables: i
     """
     rows = valid_vectors(vectors).where(F.exists("embedding", lambda c: c != 0))
     stored = rows.mapInArrow(_stored(tables, hashes), "dim int, t int, code long, vec_id long, embedding array<double>")
-    parts = stored.groupBy("dim", "t", "code").count().select("dim", "t", "code", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts"))
+    coded = checkpoint(rows.mapInArrow(_stored(tables, hashes, (*KEY, "vec_id")), "dim int, t int, code long, vec_id long"))
+    counted = coded.groupBy(*KEY).count()
+    parts = counted.select(*KEY, F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts"))
     parts = F.broadcast(parts)  # as many rows as there are codes at most
     left = stored.join(parts, ["dim", "t", "code"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts")).cast("int"))
-    asked = rows.where(F.col("vec_id") % query_mod == 0).mapInArrow(_asked(tables, probes, hashes), "dim int, t int, codes array<long>, vec_id long, embedding array<double>")
+    # What each code adds to a table's distinct vec_ids: one that has rows under several codes counts at the smallest.
+    first = coded.groupBy("dim", "t", "vec_id").agg(F.min("code").alias("code")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("held"))
+    held: dict[tuple[int, int], dict[int, int]] = {}
+    for dim, t, code, n in counted.select(*KEY).join(first, [*KEY], "left").select(*KEY, F.coalesce("held", F.lit(0))).collect():
+        held.setdefault((dim, t), {})[code] = n
+    asked = rows.where(F.col("vec_id") % query_mod == 0).mapInArrow(_asked(tables, probes, hashes, held, k + 1), "dim int, t int, codes array<long>, vec_id long, embedding array<double>")
     right = asked.withColumn("code", F.explode("codes")).join(parts, ["dim", "t", "code"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key, columns = ["dim", "t", "code", "part"], ["vec_id", "embedding"]
     found = left.select(*key, *columns).groupBy(*key).cogroup(right.select(*key, *columns).groupBy(*key)).applyInArrow(_bucket(k), "query_id long, vec_id long, score double")

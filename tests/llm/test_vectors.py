@@ -57,6 +57,23 @@ def test_fewer_candidates_and_no_rows(spark):
     assert X.search(two.limit(0)).count() == 0
 
 
+def test_few_or_outlying_rows_are_all_met(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(8, 64)).astype(np.float32)
+    ids = [0, 100, 200, 300, 400, 500, 600, 700]
+    got = sorted((q, v) for q, v in X.search(frame(spark, [(i, v.tolist()) for i, v in zip(ids, x)])).select("query_id", "vec_id").collect())
+    assert got == [(a, b) for a in ids for b in ids if a != b]
+    centres = r.normal(size=(2, 64))
+    x = (centres[np.arange(300) % 2] + r.normal(scale=0.001, size=(300, 64))).tolist()
+    near = r.normal(size=(40, 64)).tolist()  # queries outside the clusters
+    rows = [(1 + i + i // 99, v) for i, v in enumerate(x)] + [(1000 + 100 * i, v) for i, v in enumerate(near)]
+    count = X.search(frame(spark, rows)).groupBy("query_id").count().collect()
+    assert {c["query_id"]: c["count"] for c in count if c["query_id"] >= 1000} == {1000 + 100 * i: 10 for i in range(40)}
+    same = [(0, near[0])] + [(1, near[0])] * 30 + [(i, v) for i, v in enumerate(near[1:12], 2)]  # an id of many rows counts once
+    assert X.search(frame(spark, same)).select("vec_id").distinct().count() == X.search(frame(spark, same)).count() == 10
+    assert X.search(frame(spark, same), hashes=2, probes=3).count() == 10
+
+
 def test_neighbours_recall_and_measure(spark):
     x = sample(3000, 64, 5)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7000, [0.0] * 64), (7100, None), (7200, [float("nan")] * 64)]
