@@ -155,9 +155,9 @@ def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every strategy over every document (the strategy by doc_id), in Arrow batches."""
+    """Every strategy over every document, in Arrow batches."""
     names = F.array(*(F.lit(s) for s in CH.P.STRATEGIES))
-    rows = corpus(spark, sf_dir).withColumn("strategy", F.get(names, (F.col("doc_id") % len(CH.P.STRATEGIES)).cast("int")))
+    rows = corpus(spark, sf_dir).withColumn("strategy", F.explode(names))
     return CH.chunked(rows, 64, OVERLAP, tokenizer="words", keep=("doc_id", "strategy"))
 
 

@@ -4,6 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import chunking as CH
 
 duckdb = pytest.importorskip("duckdb")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -47,5 +48,11 @@ def test_query(spark, sf, oracle, name):
     assert rows(df.columns, got) == rows(columns, want.fetchall())
 
 
+def test_every_strategy_meets_every_document(spark, sf):
+    got = {tuple(r) for r in entry.queries()["chunk_strategies"](spark, sf).select("doc_id", "strategy").distinct().collect()}
+    docs = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where("trim(text) != ''").select("doc_id").collect()]
+    assert {(d, s) for d in docs for s in CH.P.STRATEGIES} <= got
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(5).count() >= 0
