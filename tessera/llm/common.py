@@ -61,6 +61,25 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def beside(rows: DataFrame, queries: DataFrame, most: int, key: str = "vec_id", least: int = 8192) -> DataFrame:
+    """Blocks of rows, by hash, one a partition, each followed by all queries: the columns of both with ``asks``.
+
+    Rows are shuffled once and queries once a block; a task holds one block (``most`` rows or so) and streams past it.
+    Smaller blocks, down to ``least`` rows, keep all tasks busy.
+    """
+    n = rows.count()
+    blocks = max(1, -(-n // most), min(parallelism(rows.sparkSession), -(-n // least)))
+    left = rows.withColumn("asks", F.lit(False)).withColumn("block", F.pmod(F.xxhash64(key, F.lit("block")), F.lit(blocks)).cast("int"))
+    right = queries.withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return left.union(right).repartitionById(blocks, "block").sortWithinPartitions("asks").drop("block")
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers outlive their tasks, and the next stage needs the room."""
     pa.default_memory_pool().release_unused()

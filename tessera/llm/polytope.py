@@ -1,23 +1,25 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe.
 
-A table rotates unit vectors by three rounds of random signs and a fast Hadamard transform; a vector's code is the
-nearest signed axis of the rotated vector (the position of its largest absolute entry, with the sign).  With several
-``hashes`` a table's code joins theirs.  Each row is stored under its code in every table; a query visits, in every
-table, the ``probes`` codes whose axes are nearest to it, and the rows there are ranked exactly on the original vectors.
-Where these hold too few rows, the query goes on to the next nearest codes until it meets ``k`` other ones or has seen
-every code, so it returns ``k`` rows, or all candidates if there are fewer.
+A table rotates unit vectors by rounds of random signs and a fast Hadamard transform, twice (``HASHES``); a vector's
+code is the pair of nearest signed axes of the rotated vectors (the position of the largest absolute entry, with the
+sign).  A query visits a table's codes in the order of its summed projections on their axes, until they hold the rows
+that the table may contribute: ``VISIT * n ** 0.7`` of n rows, ``LEAST`` at least.  The distinct rows met in all tables
+are its candidates, ranked exactly on the original vectors.
 
-A code's rows are split over sub-buckets of at most ``BUCKET_ROWS`` or so, by a hash; a query visits all of them, so a
-code that holds a third of all rows is neither cut nor kept in one task.  Codes are counted first: there are at most
-tables x (2 x dim)^hashes of them, which bounds what is collected.
+Rows are dealt into blocks by hash, once; a block keeps its own tables, and all queries stream past it, each with the
+block's share of the rows to visit.  So a code that holds a third of all rows is spread over all blocks, and no row is
+copied for another table.  The first ``PROBES`` codes are looked up; where they hold too few rows, the block's occupied
+codes are ranked instead, and a query that still meets fewer than ``k`` other ids of a block visits all its rows.  So
+it gets ``k`` rows, or all candidates if there are fewer.
 
-The defaults suit up to some ten million rows of dimension 64; for more rows give ``hashes=2`` and more probes.  The
-synthetic vectors have little structure (neighbours near cosine 0.45), so many codes must be visited for their recall.
+The exponent follows from the theory of such codes (see the README for the recall and visits measured): the share of
+the rows that is visited falls as n grows.
 
 Edge cases.  Vectors that are null, empty, zero, or hold null or non-finite components take no part.  Vectors of
 different lengths do not meet.  A query meets every row but those with its own vec_id; ties go to the smaller vec_id; a
-vec_id that occurs twice counts by its nearest row.  Rows with a null vec_id take no part.  Other columns are ignored,
-whatever their names.
+vec_id that occurs twice counts by its nearest row.  Rows with a null vec_id take no part.  Vectors whose squares leave
+the double range get an infinite or zero distance, as the measure has it.  Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -28,121 +30,85 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .bit_topk import K, QUERY_MOD, valid_vectors
-from .common import checkpoint
+from .bit_topk import K, QUERY_MOD, met, ranked, valid_vectors
+from .common import beside
 
-TABLES = 3
-PROBES = 44
-HASHES = 1
-BUCKET_ROWS = 2048
+TABLES = 24
+HASHES = 2
+PROBES = 96
+VISIT, POWER, LEAST = 0.11, 0.7, 12
+ROW_BLOCK = 1 << 18
+HASH_ROWS = 1 << 13
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of each row (a power of two long), scaled to keep lengths."""
     n, d = x.shape
-    step = 1
+    x, other, step = x.copy(), np.empty_like(x), 1
     while step < d:
-        x = x.reshape(n, d // (2 * step), 2, step)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
-        step *= 2
-    return x / np.sqrt(d)
+        a, b = x.reshape(n, -1, 2, step), other.reshape(n, -1, 2, step)
+        np.add(a[:, :, 0], a[:, :, 1], out=b[:, :, 0])
+        np.subtract(a[:, :, 0], a[:, :, 1], out=b[:, :, 1])
+        x, other, step = other, x, 2 * step
+    x *= x.dtype.type(1 / np.sqrt(d))
+    return x
 
 
-def room(x: np.ndarray) -> int:
+def room(dim: int) -> int:
     """The dimension of the rotated vectors, a power of two."""
-    return 1 << max(1, int(x.shape[1] - 1).bit_length())
+    return 1 << max(1, int(dim - 1).bit_length())
 
 
-def rotations(x: np.ndarray, table: int, hashes: int = HASHES) -> list[np.ndarray]:
-    """The pseudo-rotated unit vectors of one table, once for each hash."""
-    d = room(x)
-    unit = np.zeros((len(x), d))
-    unit[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
-    out = []
-    for h in range(hashes):
-        r, y = np.random.Generator(np.random.PCG64([table, h, d])), unit
-        for _ in range(3):
-            y = hadamard(y * r.choice((-1.0, 1.0), d))
-        out.append(y)
+def units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision, padded to ``room``; scaled first, so that no square leaves the range."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    out = np.zeros((len(x), room(x.shape[1])), np.float32)
+    out[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
     return out
 
 
-def codes(x: np.ndarray, table: int, hashes: int = HASHES) -> np.ndarray:
-    """The code of each row's nearest signed axis (or tuple of axes)."""
-    code = np.zeros(len(x), np.int64)
-    for y in rotations(x, table, hashes):
+def rotated(unit: np.ndarray, table: int, h: int) -> np.ndarray:
+    """One pseudo-rotation: three rounds of random signs and the transform."""
+    r, d = np.random.Generator(np.random.PCG64([table, h, unit.shape[1]])), unit.shape[1]
+    for _ in range(3):
+        unit = hadamard(unit * r.choice(np.array((-1, 1), np.float32), d))
+    return unit
+
+
+def codes(unit: np.ndarray, table: int, hashes: int = HASHES) -> np.ndarray:
+    """The code of each row's nearest signed axes."""
+    code = np.zeros(len(unit), np.int64)
+    for h in range(hashes):
+        y = rotated(unit, table, h)
         axis = np.abs(y).argmax(axis=1)
         code = code * (2 * y.shape[1]) + 2 * axis + (y[np.arange(len(y)), axis] < 0)
     return code
 
 
-def probed(x: np.ndarray, table: int, probes: int = PROBES, hashes: int = HASHES) -> np.ndarray:
-    """For each row the codes to visit, nearest first: those with the largest sums of axis projections."""
+def projections(unit: np.ndarray, table: int, hashes: int = HASHES) -> list[np.ndarray]:
+    """For each hash the projection on axis a with sign s, at 2 a + s."""
+    return [np.stack([y, -y], axis=2).reshape(len(y), -1) for y in (rotated(unit, table, h) for h in range(hashes))]
+
+
+def probed(near: list[np.ndarray], probes: int = PROBES) -> np.ndarray:
+    """For each row the ``probes`` codes with the largest summed projections, largest first."""
     total = code = None
-    for y in rotations(x, table, hashes):
-        near = np.stack([y, -y], axis=2).reshape(len(y), -1)  # the projection on axis a with sign s is at 2 a + s
-        take = min(probes, near.shape[1])
-        first = np.argsort(-near, axis=1, kind="stable")[:, :take]
-        value = np.take_along_axis(near, first, axis=1)
+    for y in near:
+        first = np.argsort(-y, axis=1, kind="stable")[:, : min(probes, y.shape[1])]
+        value = np.take_along_axis(y, first, axis=1)
         if code is None:
             total, code = value, first.astype(np.int64)
-        else:
-            total = (total[:, :, None] + value[:, None, :]).reshape(len(y), -1)
-            code = (code[:, :, None] * near.shape[1] + first[:, None, :]).reshape(len(y), -1)
-            keep = np.argsort(-total, axis=1, kind="stable")[:, :probes]
-            total, code = np.take_along_axis(total, keep, axis=1), np.take_along_axis(code, keep, axis=1)
+            continue
+        # Of two falling lists, the sum at places (i, j) has (i + 1)(j + 1) - 1 others before it.
+        i, j = np.nonzero((np.arange(total.shape[1])[:, None] + 1) * (np.arange(value.shape[1])[None, :] + 1) <= probes)
+        total, code = total[:, i] + value[:, j], code[:, i] * y.shape[1] + first[:, j]
+        keep = np.argsort(-total, axis=1, kind="stable")[:, :probes]
+        total, code = np.take_along_axis(total, keep, axis=1), np.take_along_axis(code, keep, axis=1)
     return code
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.asarray(v.values) for v in column])
-
-
-KEY, COLUMNS = ("dim", "t", "code"), ("vec_id", "embedding")
-
-
-def _stored(tables: int, hashes: int, columns: tuple[str, ...] = (*KEY, *COLUMNS)):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = _matrix(part.column("embedding"))
-                for t in range(tables):
-                    yield pa.record_batch([part.column("dim"), pa.array(np.full(len(x), t, np.int32)), pa.array(codes(x, t, hashes)), part.column("vec_id"), part.column("embedding")], names=[*KEY, *COLUMNS]).select(list(columns))
-
-    return run
-
-
-def _visited(x: np.ndarray, t: int, probes: int, hashes: int, held: dict[int, int], enough: int) -> list[np.ndarray]:
-    """The codes each row visits: ``probes``, and then the next ones until they hold ``enough`` distinct vec_ids, or all."""
-    visit = list(probed(x, t, probes, hashes))
-    for i, near in enumerate(visit):
-        n = sum(held.get(c, 0) for c in near.tolist())
-        if n < enough:
-            every = probed(x[i : i + 1], t, (2 * room(x)) ** hashes, hashes)[0]
-            more = every[~np.isin(every, near) & np.isin(every, list(held))]
-            until = np.searchsorted(n + np.cumsum([held[c] for c in more.tolist()]), enough) + 1
-            visit[i] = np.concatenate([near, more[:until]])
-    return visit
-
-
-def _asked(tables: int, probes: int, hashes: int, held: dict[tuple[int, int], dict[int, int]], enough: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                x = _matrix(part.column("embedding"))
-                for t in range(tables):
-                    visit = pa.array(_visited(x, t, probes, hashes, held.get((dim, t), {}), enough), pa.list_(pa.int64()))
-                    yield pa.record_batch([part.column("dim"), pa.array(np.full(len(x), t, np.int32)), visit, part.column("vec_id"), part.column("embedding")], names=["dim", "t", "codes", "vec_id", "embedding"])
-
-    return run
-
-
 def nearest(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int, repeated: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The k nearest ids with their Euclidean distances, ties to the smaller id, the query's own id left out."""
     other = np.flatnonzero(ids != query_id)
@@ -159,41 +125,82 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int
     return ids[other[order]], distance[order]
 
 
-def _bucket(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not rows.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        ids, x = rows["vec_id"].to_numpy(), _matrix(rows["embedding"].combine_chunks())
-        query_ids, q = queries["vec_id"].to_numpy(), _matrix(queries["embedding"].combine_chunks())
-        repeated = len(np.unique(ids)) < len(ids)
-        found = [nearest(ids, x, i, v, k, repeated) for i, v in zip(query_ids.tolist(), q, strict=True)]
-        return pa.table([np.repeat(query_ids, [len(a) for a, _ in found]), np.concatenate([a for a, _ in found]), np.concatenate([s for _, s in found])], schema=schema)
-
-    return run
-
-
-def search(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, tables: int = TABLES, probes: int = PROBES, hashes: int = HASHES) -> DataFrame:
+class Tables:
+    """A block's rows of one length under their codes in every table."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES):
+        self.ids, self.x, self.tables, self.hashes, self.probes = ids, x, tables, hashes, probes
+        self.repeated = len(np.unique(ids)) < len(ids)
+        self.axes = 2 * room(x.shape[1])
+        n, self.codes, self.starts = len(x), [], []
+        self.order = np.empty((tables, n), np.int32)
+        code = np.empty((tables, n), np.int64)
+        for a in range(0, n, HASH_ROWS):
+            unit = units(x[a : a + HASH_ROWS])
+            for t in range(tables):
+                code[t, a : a + HASH_ROWS] = codes(unit, t, hashes)
+        for t in range(tables):
+            self.order[t] = np.argsort(code[t], kind="stable")
+            sorted_ = code[t, self.order[t]]
+            at = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+            self.codes.append(sorted_[at])
+            self.starts.append(np.append(at, n))
+
+    def _visited(self, t: int, near: np.ndarray, sums: list[np.ndarray], least: int) -> np.ndarray:
+        """The rows under the codes that a query visits in one table: the nearest codes that hold ``least`` rows."""
+        known, starts = self.codes[t], self.starts[t]
+        j = np.minimum(np.searchsorted(known, near), len(known) - 1)
+        j = j[known[j] == near]
+        if (starts[j + 1] - starts[j]).sum() < least:  # rank the occupied codes themselves
+            value, rest = np.zeros(len(known), np.float32), known
+            for y in reversed(sums):
+                value += y[rest % self.axes]
+                rest = rest // self.axes
+            j = np.argsort(-value, kind="stable")
+        size = starts[j + 1] - starts[j]
+        j = j[: np.searchsorted(np.cumsum(size), least) + 1]
+        return np.concatenate([self.order[t, starts[i] : starts[i + 1]] for i in j.tolist()])
+
+    def candidates(self, q: np.ndarray, least: int) -> Iterator[np.ndarray]:
+        """For each query the distinct rows that it visits, each table contributing ``least`` of them or all."""
+        unit, least = units(q), min(least, len(self.ids))
+        sums = [projections(unit, t, self.hashes) for t in range(self.tables)]
+        near = [probed(s, self.probes) for s in sums]
+        for i in range(len(q)):
+            seen = np.zeros(len(self.ids), bool)
+            for t in range(self.tables):
+                seen[self._visited(t, near[t][i], [s[i] for s in sums[t]], least)] = True
+            yield np.flatnonzero(seen)
+
+    def nearest(self, query_ids: np.ndarray, q: np.ndarray, k: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, distances) of each query's nearest rows found."""
+        for a in range(0, len(q), 256):
+            part, ids = q[a : a + 256].astype(np.float64), query_ids[a : a + 256]
+            for query_id, v, rows in zip(ids.tolist(), part, self.candidates(part, least), strict=True):
+                got = nearest(self.ids[rows], self.x[rows].astype(np.float64), query_id, v, k, self.repeated)
+                if len(got[0]) < k and len(rows) < len(self.ids):
+                    got = nearest(self.ids, self.x.astype(np.float64), query_id, v, k, self.repeated)
+                yield query_id, *got
+
+
+def to_visit(n: int, visit: float = VISIT, power: float = POWER, least: int = LEAST) -> int:
+    """How many of n rows a query visits in each table."""
+    return max(least, int(np.ceil(visit * n**power)))
+
+
+def search(vectors: DataFrame, k: int = K, query_mod: int = QUERY_MOD, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, visit: float = VISIT) -> DataFrame:
     """Queries are rows of ``vectors(vec_id, embedding)`` whose vec_id is divisible by ``query_mod``.
 
     Returns query_id, rank (from 1), vec_id and score, the Euclidean distance in double precision.
     """
     rows = valid_vectors(vectors).where(F.exists("embedding", lambda c: c != 0))
-    stored = rows.mapInArrow(_stored(tables, hashes), "dim int, t int, code long, vec_id long, embedding array<double>")
-    coded = checkpoint(rows.mapInArrow(_stored(tables, hashes, (*KEY, "vec_id")), "dim int, t int, code long, vec_id long"))
-    counted = coded.groupBy(*KEY).count()
-    parts = counted.select(*KEY, F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # as many rows as there are codes at most
-    left = stored.join(parts, ["dim", "t", "code"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts")).cast("int"))
-    # What each code adds to a table's distinct vec_ids: one that has rows under several codes counts at the smallest.
-    first = coded.groupBy("dim", "t", "vec_id").agg(F.min("code").alias("code")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("held"))
-    held: dict[tuple[int, int], dict[int, int]] = {}
-    for dim, t, code, n in counted.select(*KEY).join(first, [*KEY], "left").select(*KEY, F.coalesce("held", F.lit(0))).collect():
-        held.setdefault((dim, t), {})[code] = n
-    asked = rows.where(F.col("vec_id") % query_mod == 0).mapInArrow(_asked(tables, probes, hashes, held, k + 1), "dim int, t int, codes array<long>, vec_id long, embedding array<double>")
-    right = asked.withColumn("code", F.explode("codes")).join(parts, ["dim", "t", "code"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key, columns = ["dim", "t", "code", "part"], ["vec_id", "embedding"]
-    found = left.select(*key, *columns).groupBy(*key).cogroup(right.select(*key, *columns).groupBy(*key)).applyInArrow(_bucket(k), "query_id long, vec_id long, score double")
+    n = max(1, rows.count())
+    share = to_visit(n, visit) / n
+
+    def answers(block: Tables, ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        return block.nearest(ids, q, k, max(1, int(np.ceil(share * len(block.ids)))))
+
+    run = met(lambda ids, x: Tables(ids, x, tables, hashes, probes), answers, pa.float64())
+    found = beside(rows, rows.where(F.col("vec_id") % query_mod == 0), ROW_BLOCK).mapInArrow(run, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(once, k, "score")

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 
 from tessera.llm import bit_topk as B
@@ -49,6 +52,17 @@ def test_blocks_with_repeated_ids_and_extremes():
             assert a.tolist() == ids[keep].tolist()
 
 
+def test_large_components_are_exact(spark):
+    rows = [(0, [1.0, -2.0]), (100, [1e30, 1.0]), (200, [-1e308, 3.0]), (300, [5e5, 2.0]), (1, [2.5, 0.5]), (2, [1e25, -1e25])]
+    got = [tuple(r) for r in B.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).select("query_id", "rank", "vec_id", "score").collect()]
+    value = {i: [math.floor(Fraction(c) * 1024) for c in v] for i, v in rows}
+    want = []
+    for i in (0, 100, 200, 300):
+        s = {j: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(value[i], value[j])))) for j in value if j != i}
+        want += [(i, r, j, s[j]) for r, j in enumerate(sorted(s, key=lambda j: (-s[j], j)), 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_fewer_candidates_and_no_rows(spark):
     two = frame(spark, [(0, [1.0, 2.0]), (100, [1.0, 0.0])])
     assert sorted(map(tuple, B.top_k(two).select("query_id", "rank", "vec_id", "score").collect())) == [(0, 1, 100, 1 << 20), (100, 1, 0, 1 << 20)]
@@ -71,7 +85,7 @@ def test_few_or_outlying_rows_are_all_met(spark):
     assert {c["query_id"]: c["count"] for c in count if c["query_id"] >= 1000} == {1000 + 100 * i: 10 for i in range(40)}
     same = [(0, near[0])] + [(1, near[0])] * 30 + [(i, v) for i, v in enumerate(near[1:12], 2)]  # an id of many rows counts once
     assert X.search(frame(spark, same)).select("vec_id").distinct().count() == X.search(frame(spark, same)).count() == 10
-    assert X.search(frame(spark, same), hashes=2, probes=3).count() == 10
+    assert X.search(frame(spark, same), tables=2, hashes=1, probes=3).count() == 10
 
 
 def test_neighbours_recall_and_measure(spark):
@@ -97,15 +111,33 @@ def test_neighbours_recall_and_measure(spark):
 def test_hadamard_keeps_lengths_and_probes_start_with_the_code():
     x = np.random.default_rng(0).normal(size=(50, 40))
     assert np.allclose(np.linalg.norm(X.hadamard(np.pad(x, ((0, 0), (0, 24)))), axis=1), np.linalg.norm(x, axis=1))
-    for hashes in (1, 2):
-        p = X.probed(x, 1, 9, hashes)
-        assert (p[:, 0] == X.codes(x, 1, hashes)).all()
+    unit = X.units(x)
+    for hashes in (1, 2, 3):
+        near = X.projections(unit, 1, hashes)
+        p = X.probed(near, 40)
+        assert (p[:, 0] == X.codes(unit, 1, hashes)).all()
         assert all(len(set(row)) == len(row) for row in p.tolist())
+        if hashes == 2:  # the largest sums of all
+            every = (near[0][:, :, None] + near[1][:, None, :]).reshape(50, -1)
+            assert np.allclose(np.sort(every, axis=1)[:, ::-1][:, :40], np.take_along_axis(every, p, 1))
+
+
+def test_few_rows_are_visited():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables = X.Tables(np.arange(len(x)), x)
+    hit, visits = 0, 0
+    for i, rows in enumerate(tables.candidates(x[:40], X.to_visit(len(x)))):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        hit += np.isin(np.argsort(d, kind="stable")[1:11], rows).sum()
+        visits += len(rows)
+    assert hit >= 0.9 * 400 and visits < 0.15 * 40 * len(x)
 
 
-def test_hot_code_is_split(spark, monkeypatch):
+def test_hot_code_is_spread_over_blocks(spark, monkeypatch):
     x = sample(300, 16, 2)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[100].tolist()) for i in range(400)]
-    monkeypatch.setattr(X, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(X, "ROW_BLOCK", 64)
     got = X.search(frame(spark, rows)).where("query_id = 100").orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(1000 + i, 0.0) for i in range(10)]
