@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from .bit_topk import K, QUERY_MOD, met, ranked, valid_vectors
 from .common import beside
 
-TABLES = 24
+TABLES = 32
 HASHES = 2
 PROBES = 96
-VISIT, POWER, LEAST = 0.11, 0.7, 12
+VISIT, POWER, LEAST = 0.1, 0.7, 8
 ROW_BLOCK = 1 << 18
 HASH_ROWS = 1 << 13
 
