@@ -8,7 +8,8 @@ Archives of a bounded size are files written by Spark's text writer (one archive
 line end), so they are committed to any shared store and survive lost executors.
 
 Reading.  Files are parsed record by record; complete records decode where they are, segments are grouped by origin
-identifier, ordered by number, checked against the total length, joined and then decoded.
+identifier, ordered by number, checked (each number from 1 to the last exactly once, one total length, which the joined
+block has), joined and then decoded.  A joined block is one binary value, so it ends at 2 GiB.
 
 Edge cases.  Null html is an empty payload; equal payloads below 100 bytes are all responses.  Rows that share a
 page_id are separate records (record ids hold a row number); if they share the smallest page_id of equal payloads
@@ -27,13 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, light_batches, shared_dir, slices
+from .common import checkpoint, light_batches, shared_dir, sized_broadcast, slices
 
 LEAST_BYTES = 100
 CHUNK_BYTES = 1 << 16
 SEGMENT_BYTES = 1 << 20
 ARCHIVE_BYTES = 8 << 20
-SALTS = 16
+REPEATED = 100_000  # digests that are broadcast
+SALT_ROWS = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 TRAILER = b"\r\n\r\n"
 _NAMES = uuid.UUID("7c1f7a52-9c6e-4f0e-9b0a-0d6a5a8c2f11")
@@ -109,12 +111,15 @@ def write_archives(pages: DataFrame, out: str, archive_bytes: int = ARCHIVE_BYTE
     """Write ``pages(page_id, url, html)`` as WARC files under ``out``."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = light_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    equal = checkpoint(rows.where(F.octet_length("html") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    if equal.count() <= 100_000:  # digests of repeated payloads: some 100 bytes each
+    equal = checkpoint(rows.where(F.octet_length("html") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1"))
+    if equal.count() <= REPEATED:  # digests of repeated payloads: some 100 bytes each
         joined = rows.join(F.broadcast(equal), "digest", "left")
-    else:  # a payload that many pages share is spread over salts
-        salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    else:  # a payload that many pages share is spread over as many salts as it has lots of SALT_ROWS pages
+        salts = equal.withColumn("salts", F.ceil(F.col("c") / SALT_ROWS).cast("int"))
+        hot = checkpoint(salts.where("salts > 1"))  # few: each stands for more than SALT_ROWS pages
+        salted = salts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("digest", "salt", "least")
+        of = rows.join(sized_broadcast(hot.select("digest", "salts")), "digest", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
+        joined = of.join(salted, ["digest", "salt"], "left")
     first = F.when(~F.col("least").eqNullSafe(F.col("page_id")), F.col("least"))
     made = joined.select("page_id", "url", "html", "digest", first.alias("first"), F.monotonically_increasing_id().alias("row")).mapInArrow(_archives(archive_bytes, segment_bytes), "archive binary")
     made.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", TRAILER.decode()).option("maxRecordsPerFile", 1).text(out)
@@ -176,6 +181,14 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), batch.column("record_type"), batch.column("refers_to"), pc.replace_substring(batch.column("digest"), "sha256:", ""), pa.array([n for _, n in got], pa.int64()), pa.array([p for p, _ in got], pa.binary())], names=["page_id", "url", "record_type", "refers_to", "digest", "length", "payload"])
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each record end to end, a record at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = b"".join(p.as_buffer() for p in batch.column("blocks")[i].values)
+            yield pa.record_batch([*(batch.column(c).slice(i, 1) for c in ("page_id", "url", "record_type", "digest", "refers_to")), pa.array([block], pa.binary())], names=["page_id", "url", "record_type", "digest", "refers_to", "block"])
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files under ``path``: page_id, url, record_type, refers_to, digest, length, payload.
 
@@ -184,10 +197,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     parts = files.mapInArrow(_parsed, _DDL)
     whole = parts.where("segment is null")
-    pieces = parts.where("segment is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("pieces"), F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in ("page_id", "url", "digest", "refers_to")), F.min(F.when(F.col("segment") == 1, F.col("record_type"))).alias("record_type"))
-    joined = pieces.withColumn("block", F.concat(F.lit(b""), F.array_join(F.transform("pieces", lambda p: F.hex(p["block"])), "").cast("string"))).withColumn("block", F.unhex("block"))
-    sound = (F.element_at("pieces", -1)["segment"] == F.col("n")) & (F.octet_length("block") == F.col("total"))
-    joined = joined.where(F.assert_true(sound, "segments are missing, repeated or of the wrong total length").isNull())
+    cut = parts.where("segment is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("pieces"), F.sort_array(F.collect_set("total")).alias("totals"), *(F.max(c).alias(c) for c in ("page_id", "url", "digest", "refers_to")), F.min(F.when(F.col("segment") == 1, F.col("record_type"))).alias("record_type"))
+    numbers, total = F.col("pieces.segment"), F.get("totals", F.lit(0))
+    length = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p["block"]))
+    sound = F.coalesce((numbers == F.sequence(F.lit(1).cast("long"), F.size("pieces").cast("long"))) & (F.size("totals") == 1) & (length == total), F.lit(False))
+    whole_pieces = cut.where(F.assert_true(sound, "segments are missing, repeated or of the wrong total length").isNull())
+    joined = whole_pieces.select("page_id", "url", "record_type", "digest", "refers_to", F.col("pieces.block").alias("blocks")).mapInArrow(_joined, "page_id long, url string, record_type string, digest string, refers_to long, block binary")
     names = ["page_id", "url", "record_type", "digest", "refers_to", "block"]
     return whole.select(*names).union(joined.select(*names)).mapInArrow(_decoded, "page_id long, url string, record_type string, refers_to long, digest string, length long, payload binary")
 

@@ -46,3 +46,27 @@ def test_missing_segment_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record + W.TRAILER)
     with pytest.raises(Exception, match="segments are missing"):
         W.read_archives(spark, str(tmp_path)).collect()
+
+
+def test_repeated_missing_and_odd_segments(spark, tmp_path):
+    good = list(W.records(0, 1, "u", b"x" * 400, "d", None, 150))
+    assert len(good) == 4
+    cases = {"twice": [good[0], good[1], good[1], good[3]], "early": good[1:], "gap": [good[0], good[1], good[3]], "last": good[:3], "again": [*good, good[2]]}
+    for name, records in cases.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(b"".join(r + W.TRAILER for r in records))
+        with pytest.raises(Exception, match="segments are missing, repeated"):
+            W.read_archives(spark, str(tmp_path / name)).collect()
+    (tmp_path / "mixed").mkdir()
+    for k, r in enumerate(reversed(good)):  # out of order, in different files
+        (tmp_path / "mixed" / f"{k}.warc").write_bytes(r + W.TRAILER)
+    assert [bytes(r.payload) for r in W.read_archives(spark, str(tmp_path / "mixed")).collect()] == [b"x" * 400]
+
+
+def test_many_repeated_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "REPEATED", 0)
+    monkeypatch.setattr(W, "SALT_ROWS", 4)
+    rows = [(i, f"u{i}", ("a" if i % 3 else f"b{i % 2}") * 120) for i in range(60)] + [(70, None, "s" * 99), (71, None, "s" * 99), (None, None, "a" * 120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    back = W.page_records(df, str(tmp_path / "q")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(str, map(tuple, back))) == sorted(str(x[:5]) for x in want(rows))
