@@ -6,11 +6,13 @@ each offset, so training touches only the rows at the pooled maxima, and predict
 A document's distribution is the mean of its windows', by their length; every byte of the text is read.
 
 Training uses a bounded sample of labelled rows: at most ``PER_LANGUAGE`` documents a language, the first by a hash
-of doc_id, and from each at most two windows.  Everything else covers all rows.
+of doc_id; every window of their whole texts, however short or long, is learned from.  A document's windows share its
+weight, so long ones do not outvote short ones.  Everything else covers all rows.
 
-Edge cases.  Null text, and text without a letter, is ``und`` with score 0.  Without any labelled row everything is
-``und``.  A null doc_id is not held out and not learned from.  Repeated rows give repeated rows.  Null languages are
-not learned from.  Other columns are ignored, whatever their names; lang, source and doc_id never enter a prediction.
+Edge cases.  Null text, and text without a letter, is ``und`` with score 0; such rows are not learned from.  Without
+any other labelled row everything is ``und``.  A null doc_id is not held out and not learned from.  Repeated rows give
+repeated rows; of a doc_id with several labelled texts in the sample all are learned from.  Of languages with equal
+probability the first by code point is told.  Null languages are not learned from.  Other columns are ignored, whatever their names; lang, source and doc_id never enter a prediction.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .common import LOWER, checkpoint, give_back, light_batches, sized_broadcast
 WINDOW = 256
 WIDTHS = (2, 4, 6)
 FILTERS = 8
-PER_LANGUAGE = 600
-EPOCHS = 10
+PER_LANGUAGE = 300
+EPOCHS = 6
 BATCH = 64
 UND = "und"
 
@@ -46,8 +48,9 @@ class ByteNet:
         self.out = np.zeros(len(classes), np.float32)
         self._pairs: list[list[np.ndarray]] | None = None
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 2) -> ByteNet:
-        """Minimise cross entropy with Adam over shuffled batches."""
+    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = 2, weights_of: np.ndarray | None = None) -> ByteNet:
+        """Minimise (weighted) cross entropy with Adam over shuffled batches."""
+        share = np.ones(len(windows), np.float32) if weights_of is None else weights_of.astype(np.float32)
         r = np.random.Generator(np.random.PCG64(seed))
         weights = [*self.tables, *self.bias, self.dense, self.out]
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
@@ -70,7 +73,7 @@ class ByteNet:
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(n), y] -= 1
-                p /= n
+                p *= share[order[a : a + BATCH], None] / n
                 back = (p @ self.dense.T) * (raw > 0)
                 grads = [np.zeros_like(t) for t in self.tables]
                 rows = np.arange(n)[:, None]
@@ -167,29 +170,24 @@ def held_out(modulus: int, remainder: int):
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> ByteNet | None:
     """A network from ``docs(doc_id, text, lang)`` outside the held-out fold; None without labelled text."""
-    usable = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(4, 2))
-    # Two windows of characters a document: its start, and one at a place by the hash.
-    h = F.xxhash64(F.col("doc_id").cast("long"))
-    room = F.greatest(F.lit(1), F.length("text") - WINDOW)
-    pieces = F.array(F.substring("text", 1, WINDOW), F.substring(F.col("text"), (F.pmod(h, room) + 1).cast("int"), F.lit(WINDOW)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    long = usable.where(F.length("text") >= 40).select("doc_id", "lang", h.alias("h"))
+    usable = docs.where("doc_id is not null and lang is not null").where(F.regexp_like("text", F.lit(r"\p{L}"))).where(~held_out(4, 2))
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
+    rows = usable.select("doc_id", "lang", h.alias("h"))
     # Each language's share of hashes that holds some four times as many rows as are wanted goes to the ranking.
-    share = checkpoint(long.groupBy("lang").agg((F.lit(4.0 * per_language + 100) / F.count(F.lit(1))).alias("share")))
-    near = long.join(sized_broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).withColumn("h", F.pmod("h", F.lit(1 << 30)))
-    ids = near.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id")
-    got = usable.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").where(F.length("text") >= 40).select("lang", "doc_id", pieces.alias("pieces")).orderBy("lang", "doc_id").toArrow()
+    share = checkpoint(rows.groupBy("lang").agg((F.lit(4.0 * per_language + 100) / F.count(F.lit(1))).alias("share")))
+    near = rows.join(sized_broadcast(share), "lang").where(F.col("h") < F.col("share") * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = near.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+    got = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.col("text").cast("string").alias("text")).orderBy("lang", "doc_id", "text").toArrow()
     classes = sorted(set(got["lang"].to_pylist()))
     if not classes:
         return None
     where = {c: i for i, c in enumerate(classes)}
-    texts, labels = [], []
-    for lang, pieces in zip(got["lang"].to_pylist(), got["pieces"].to_pylist(), strict=True):
-        texts += pieces
-        labels += [where[lang]] * len(pieces)
-    rows, text, used = cut(*text_bytes(pa.array(texts, pa.string())))
-    full = used >= 24
-    return ByteNet(classes).fit(rows[full], np.array(labels)[text[full]], epochs)
+    labels = np.array([where[c] for c in got["lang"].to_pylist()])
+    windows, text, used = cut(*text_bytes(got["text"].combine_chunks()))
+    # A document's weight is dealt over its windows by their length; the mean weight of a window is 1.
+    weight = used / np.bincount(text, used)[text]
+    return ByteNet(classes).fit(windows, labels[text], epochs, weights_of=weight * len(weight) / len(labels))
 
 
 def predict(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -14,7 +14,7 @@ from tessera.llm import ppm as P
 from tessera.llm.common import text_bytes
 
 
-def test_network_gradients_and_prediction():
+def test_network_prediction():
     r = np.random.default_rng(1)
     net = L.ByteNet(["a", "b"], filters=3)
     x = r.integers(97, 110, (5, 32)).astype(np.uint8)
@@ -40,6 +40,38 @@ def test_languages(spark, sf):
     assert L.identify(odd.limit(0)).count() == 0
 
 
+def test_short_and_long_labelled_texts_are_learned_from(spark):
+    short = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the and", "en"), ("der das", "de")] * 40)] + [(900, "7 %", "zz"), (901, None, "zz")], "doc_id long, text string, lang string")
+    got = L.identify(short).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 == 0 else "de") for r in got if r.doc_id < 900)
+    assert {r.lang_pred for r in got if r.doc_id >= 900} == {"und"}
+    # What tells the languages apart stands only at the end of long texts.
+    late = spark.createDataFrame([(i, "x" * 5000 + (" abcab" if i % 2 else " qrsqr") * 60, "aa" if i % 2 else "bb") for i in range(60)], "doc_id long, text string, lang string")
+    net = L.train(late, epochs=12)
+    ends = spark.createDataFrame([(1, " abcab" * 60), (2, " qrsqr" * 60)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.predict(ends, net).collect()} == {1: "aa", 2: "bb"}
+
+
+def test_training_follows_the_gradient():
+    """One step of plain descent, read off Adam's first moment, against finite differences of the weighted loss."""
+    r = np.random.default_rng(3)
+    x, y, w = r.integers(97, 110, (6, 32)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0]), r.uniform(0.5, 2, 6)
+    loss = lambda net: -(w * np.log(net.probabilities(x)[np.arange(6), y].astype(float))).mean()
+    net = L.ByteNet(["a", "b"], filters=3)
+    before = loss(net)
+    slope = {}
+    for name, at in (("dense", (1, 0)), ("dense", (7, 1)), ("out", (0,))):
+        moved = L.ByteNet(["a", "b"], filters=3)
+        getattr(moved, name)[at] += 1e-2
+        slope[name, at] = (loss(moved) - before) / 1e-2
+    start = {k: getattr(net, k[0])[k[1]].copy() for k in slope}
+    net.fit(x, y, epochs=1, rate=1e-3, weights_of=w)
+    for k, g in slope.items():  # Adam's first step is the rate against the gradient's sign
+        if abs(g) > 1e-3:
+            assert np.sign(getattr(net, k[0])[k[1]] - start[k]) == -np.sign(g)
+    assert loss(net) < before
+
+
 def test_windows_cover_every_byte():
     texts = pa.array(["", "x" * 256, "Y" * 600, None])
     rows, text, used = L.cut(*text_bytes(texts))
