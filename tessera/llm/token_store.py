@@ -5,12 +5,14 @@ chunk of every id, level k the next chunk of those ids that need it.  A bitmap o
 entries continue, and a rank directory (set bits before each 512-bit block) finds an entry's place on the next level.
 So any token is read by a few lookups, without decoding its neighbours.
 
-Layout, little-endian: magic ``TDAC``, u32 version, u64 tokens, u64 documents, u32 levels; i64 doc_ids (with a u8
-null flag each), u64 offsets (documents + 1); then for each level u64 entries, the chunk bytes, u64 bitmap words,
-u32 block ranks.
+Layout, little-endian: magic ``TDAC``, u32 version, i64 part, i64 first (tokens of earlier segments of the part), u64
+tokens, u64 documents, u32 levels; i64 doc_ids (with a u8 null flag each), u64 offsets (documents + 1); then for each
+level u64 entries, the chunk bytes, u64 bitmap words, u32 block ranks.
 
-Segments are written as rows of a Parquet table (part, seq, n_docs, n_tokens, file): Spark's own committer writes
-them, so any shared store works and a lost executor only repeats its tasks.  ``export_files`` unpacks them.
+Segments are stand-alone, uncompressed files, one row of Spark's text writer each (its line end follows the last byte),
+so any shared store works and a lost executor only repeats its tasks.  ``SegmentFile`` reads a token of a stored file
+by seeking: a byte, a bitmap block and a rank a level.  Parts are ranges of doc_id of some ``PART_BYTES`` of text; a
+document's start is its part's start, from the parts' totals, and its place in the part, which the file tells.
 
 Edge cases.  Null text counts as empty: only the end id.  A null doc_id sorts first; rows that share a doc_id follow
 each other by text.  A document is never split, whatever its length.  Empty tables write no segment.  Other columns
@@ -25,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import gathered, give_back, light_batches, parallelism, shared_dir, sized_broadcast, slices, unit_codes
+from .common import checkpoint, gathered, give_back, light_batches, parallelism, shared_dir, sized_broadcast, slices, unit_codes
 
-MAGIC, VERSION = b"TDAC", 1
+MAGIC, VERSION = b"TDAC", 2
+HEAD = struct.Struct("<4sIqqQQI")
 BLOCK_WORDS = 8  # bitmap words a rank entry covers
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 22
+PART_BYTES = 64 << 20
 END_ID = 2
 CACHE_UNITS = 1_200_000
 MARK = "\x00"  # stands before a text's first unit
@@ -120,8 +125,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pack(doc_ids: list[int | None], ids: list[np.ndarray], tails: list[np.ndarray] | None = None) -> bytes:
-    """The segment file of these documents, each with its tail behind."""
+def pack(doc_ids: list[int | None], ids: list[np.ndarray], tails: list[np.ndarray] | None = None, part: int = 0, first: int = 0) -> bytes:
+    """The segment file of these documents, each with its tail behind; ``first`` tokens of the part stand before it."""
     if tails is not None:
         ids = [x for pair in zip(ids, tails, strict=True) for x in pair]
     flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.uint32)
@@ -141,17 +146,17 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], tails: list[np.ndarra
         rest = more[bits]
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.uint8)
-    return b"".join([MAGIC, struct.pack("<IQQI", VERSION, len(flat), len(doc_ids), len(levels)), known.tobytes(), null.tobytes(), offsets.tobytes(), *levels])
+    return b"".join([HEAD.pack(MAGIC, VERSION, part, first, len(flat), len(doc_ids), len(levels)), known.tobytes(), null.tobytes(), offsets.tobytes(), *levels])
 
 
 class Segment:
     """Reads a segment file; ``token`` and ``take`` address single tokens, ``document`` a document's range."""
 
     def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+        magic, version, self.part, self.first, self.n_tokens, self.n_docs, levels = HEAD.unpack_from(data)
+        if (magic, version) != (MAGIC, VERSION):
             raise ValueError("not a token segment")
-        _, self.n_tokens, self.n_docs, levels = struct.unpack_from("<IQQI", data, 4)
-        at = 4 + struct.calcsize("<IQQI")
+        at = HEAD.size
 
         def read(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -204,16 +209,56 @@ class Segment:
         return out
 
 
+class SegmentFile:
+    """Single tokens of a stored segment, by ``read(offset, size)`` of a few bytes each."""
+
+    def __init__(self, file: BinaryIO):
+        self.file = file
+        magic, version, self.part, self.first, self.n_tokens, self.n_docs, levels = HEAD.unpack(self.read(0, HEAD.size))
+        if (magic, version) != (MAGIC, VERSION):
+            raise ValueError("not a token segment")
+        self.offsets = HEAD.size + 9 * self.n_docs
+        at = self.offsets + 8 * (self.n_docs + 1)
+        self.levels = []  # where each level's chunks, bitmap and ranks begin
+        for _ in range(levels):
+            (n,) = struct.unpack("<Q", self.read(at, 8))
+            blocks = -(-n // (64 * BLOCK_WORDS))
+            chunks = at + 8
+            words = chunks + n
+            ranks = words + 8 * BLOCK_WORDS * blocks
+            self.levels.append((chunks, words, ranks))
+            at = ranks + 4 * blocks
+
+    def read(self, offset: int, size: int) -> bytes:
+        self.file.seek(offset)
+        return self.file.read(size)
+
+    def document(self, k: int) -> tuple[int, int]:
+        """Where the k-th document's tokens begin and end."""
+        return struct.unpack("<QQ", self.read(self.offsets + 8 * k, 16))
+
+    def token(self, i: int) -> int:
+        out = 0
+        for k, (chunks, words, ranks) in enumerate(self.levels):
+            out |= self.read(chunks + i, 1)[0] << (8 * k)
+            block, bit = divmod(i, 64 * BLOCK_WORDS)
+            bits = int.from_bytes(self.read(words + 8 * BLOCK_WORDS * block, 8 * BLOCK_WORDS), "little")
+            if not bits >> bit & 1:
+                return out
+            i = struct.unpack("<I", self.read(ranks + 4 * block, 4))[0] + (bits & ((1 << bit) - 1)).bit_count()
+        return out
+
+
 def _writer(path: str, end_id: int):
     tail = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        part, first, size = TaskContext.get().partitionId(), 0, 0
         docs, ids = [], []
         use = encoder(path)
 
         def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64()), pa.array([pack(docs, ids[::2], ids[1::2])], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "file"])
+            return pa.record_batch([pa.array([pack(docs, ids[::2], ids[1::2], part, first)], pa.binary())], names=["file"])
 
         for piece in slices(batches, limit=8 << 20):
             for doc, got in zip(piece.column("doc_id").to_pylist(), use.encode(piece.column("text").to_pylist()), strict=True):
@@ -222,7 +267,7 @@ def _writer(path: str, end_id: int):
                 size += len(got) + 1
                 if size >= SEGMENT_TOKENS:
                     yield flush()
-                    docs, ids, seq, size = [], [], seq + 1, 0
+                    docs, ids, first, size = [], [], first + size, 0
         if docs:
             yield flush()
         docs, ids = [], []
@@ -231,49 +276,40 @@ def _writer(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID) -> str:
+def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> str:
     """Write ``docs(doc_id, text)`` as token segments in ascending doc_id order under ``out``."""
     rows = light_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(tokenizer_path, end_id), "part long, seq long, n_docs long, n_tokens long, file binary").write.option("compression", "zstd").parquet(out)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = rows.repartitionByRange(max(parallelism(docs.sparkSession), -(-size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    made = ordered.mapInArrow(_writer(tokenizer_path, end_id), "file binary")
+    made.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(out)
     return out
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of segment files.  Each document's first and last token are also read by their address."""
     for batch in batches:
-        for base, file in zip(batch.column("base").to_pylist(), batch.column("file"), strict=True):
-            segment = Segment(file.as_buffer().to_pybytes())
+        for file in batch.column("content"):
+            segment = Segment(file.as_buffer())
             ids = segment.all().astype("<u4")
-            cut = segment.offsets.tolist()
+            offsets = segment.offsets
+            ends = np.concatenate([offsets[:-1], offsets[1:] - 1])[np.tile(np.diff(offsets) > 0, 2)]
+            if (segment.take(ends) != ids[ends]).any():
+                raise ValueError("a token read by its address differs from the decoded one")
+            cut = offsets.tolist()
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            start = pa.array(segment.offsets[:-1] + base)
-            yield pa.record_batch([pa.array(segment.doc_ids, pa.int64()), start, pa.array(np.diff(segment.offsets)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The segments under ``path`` with ``base``, the number of tokens before each, by prefix sums in two levels."""
-    files = spark.read.schema("part long, seq long, n_docs long, n_tokens long, file binary").parquet(path)
-    sums = files.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("first"))
-    bases = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inner")).join(parts, "part").select("part", "seq", (F.col("first") + F.col("inner")).alias("base"))
-    return files.join(sized_broadcast(bases), ["part", "seq"])
+            yield pa.record_batch([pa.array(np.full(segment.n_docs, segment.part)), pa.array(segment.doc_ids, pa.int64()), pa.array(offsets[:-1] + segment.first), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], names=["part", "doc_id", "start", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per stored document, from the files: doc_id, start, n_tokens, ids_crc32."""
-    return segments(spark, path).select("base", "file").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def export_files(spark: SparkSession, path: str, folder: str) -> int:
-    """Unpack the segments under ``path`` to stand-alone files in a local ``folder``, one at a time; their number."""
-    n = 0
-    for row in spark.read.parquet(path).select("part", "seq", "file").toLocalIterator():
-        with open(os.path.join(folder, f"{row.part:06d}-{row.seq:06d}.tdac"), "wb") as f:
-            f.write(row.file)
-        n += 1
-    return n
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    docs = checkpoint(files.where("length > 0").select("content").mapInArrow(_documents, "part long, doc_id long, start long, n_tokens long, ids_crc32 long"))
+    totals = docs.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens")).alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part of PART_BYTES or so
+    parts = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return docs.join(sized_broadcast(checkpoint(parts)), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_documents(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -49,6 +49,25 @@ def test_documents_from_files(spark, tmp_path):
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(got, key=str) == sorted(want, key=str)
-    (tmp_path / "files").mkdir()
-    assert S.export_files(spark, out, str(tmp_path / "files")) >= 1
+    paths = sorted((tmp_path / "tokens").glob("part-*"))
+    met = 0
+    for path in paths:  # stand-alone files: any token by its address
+        whole = S.Segment(path.read_bytes())
+        with path.open("rb") as f:
+            stored, every = S.SegmentFile(f), whole.all().tolist()
+            assert (stored.n_tokens, stored.n_docs, stored.part, stored.first) == (whole.n_tokens, whole.n_docs, whole.part, whole.first)
+            assert [stored.document(k) for k in range(stored.n_docs)] == list(zip(whole.offsets[:-1].tolist(), whole.offsets[1:].tolist()))
+            for i in random.Random(2).sample(range(len(every)), min(len(every), 300)):
+                assert stored.token(i) == every[i]
+                met += 1
+    assert met > 300
     assert S.token_documents(df.limit(0), PATH, str(tmp_path / "empty")).count() == 0
+
+
+def test_small_segments_and_parts(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"word {i} and more" * (i % 5)) for i in range(200)], "doc_id long, text string")
+    want = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in S.token_documents(df, PATH, str(tmp_path / "a")).collect()}
+    monkeypatch.setattr(S, "SEGMENT_TOKENS", 40)
+    S.write_tokens(df, PATH, str(tmp_path / "b"), part_bytes=300)
+    assert len(list((tmp_path / "b").glob("part-*"))) > 8
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in S.read_documents(spark, str(tmp_path / "b")).collect()} == want
