@@ -1,13 +1,15 @@
 """Language-model scores by prediction by partial matching over bytes, with a word unigram score beside it.
 
-The model is a byte-context trie of order 3 with escape method C and symbol exclusion.  A text is its UTF-8 bytes and
-one end symbol, after three start symbols.  Counts of all 4-grams of the training texts are summed by Spark; shorter
-contexts are their marginal sums.  A context's exclusions are fixed by its longer context (what was seen after ``abc``
-was seen after ``bc``), so every node's escape and its denominator under exclusion are computed once, and scoring a
-byte is one hash lookup in most cases.  Up to ``NODE_BUDGET`` distinct 4-grams the whole trie is broadcast.  Beyond it
-the most frequent 4-grams are, with their exact values; all others that occur in a text, learned or not, meet the
-counts of every level in shuffled joins, so nothing is left out.  ``adaptive_log10`` scores a single text while it
-learns from it.
+The model is a byte-context trie of order 5 with escape method C and symbol exclusion.  A text is its UTF-8 bytes and
+one end symbol, after five start symbols.  Counts of all 6-grams of the training texts are summed by Spark; the nodes
+of shorter contexts are their marginal sums.  A context's exclusions are fixed by its longer context (what was seen
+after ``abcde`` was seen after ``bcde``), so three sums a context (total, distinct symbols, and what these symbols count
+one order below) give every escape and every denominator.
+
+The trie stays a table, partitioned by key.  The most frequent 6-grams, at most ``FREQUENT_GRAMS``, are broadcast with
+their exact values and meet most bytes of a text by one hash lookup; every other 6-gram that occurs in a text, learned
+or not, meets the nodes and sums of all orders in joins.  So nothing learned is left out at any size, and the split
+changes no score.  ``adaptive_log10`` scores a single text while it learns from it.
 
 The unigram score counts every word of the training texts.  Words above a count threshold (at most ``FREQUENT``
 of them) are broadcast; the others meet their counts in a shuffled join.
@@ -27,28 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, give_back, light_batches, slices, text_bytes, word_hashes, words
+from .common import checkpoint, give_back, light_batches, sized_broadcast, slices, text_bytes, word_hashes, words
 from .language_id import held_out
 
-ORDER = 3
-START, END, EMPTY = 0xFE, 0xFF, np.uint32(0xFEFEFEFE)  # bytes that UTF-8 never has
-NODE_BUDGET = 1 << 20
+ORDER = 5
+START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
+EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+FREQUENT_GRAMS = 1 << 20
+NODE_ROWS = 200_000  # node tables up to this size are broadcast when they meet rare grams
 FREQUENT = 1 << 20
 FLUSH_BYTES = 48 << 20
 END_WORD = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token among word hashes
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 4-gram ending at each symbol (as u32), and where each text's symbols begin and end among them."""
+    """The context and symbol at each symbol (as u64), and where each text's symbols begin and end among them."""
     n = len(offsets) - 1
-    z = np.full(len(raw) + 4 * n + 3, START, np.uint8)
-    first = offsets[:-1] + 4 * np.arange(n)
+    z = np.full(len(raw) + (ORDER + 1) * n + ORDER, START, np.uint8)
+    first = offsets[:-1] + (ORDER + 1) * np.arange(n)
     for a, b, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first.tolist(), strict=True):
-        z[at + 3 : at + 3 + b - a] = raw[a:b]
-        z[at + 3 + b - a] = END
-    z = z.astype(np.uint32)
-    size = len(z) - 3
-    return z[:size] << np.uint32(24) | z[1 : size + 1] << np.uint32(16) | z[2 : size + 2] << np.uint32(8) | z[3:], first, first + np.diff(offsets) + 1
+        z[at + ORDER : at + ORDER + b - a] = raw[a:b]
+        z[at + ORDER + b - a] = END
+    size = len(z) - ORDER
+    out = z[:size].astype(np.uint64)
+    for k in range(1, ORDER + 1):
+        out <<= np.uint64(8)
+        out |= z[k : size + k]
+    return out, first, first + np.diff(offsets) + 1
 
 
 def _inside(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -67,7 +74,7 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of a task: rows (kind, key, n), kind 0 for words and 1 for 4-grams."""
+    """Partial counts of a task: rows (kind, key, n), kind 0 for words and 1 for grams."""
     held = {0: ([], []), 1: ([], [])}
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -122,11 +129,11 @@ def _sorted(rows: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Top:
-    """Values of 4-grams in an open hash table."""
+    """Values of grams in an open hash table."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.slots = np.full(1 << self.bits, EMPTY, np.uint32)
+        self.slots = np.full(1 << self.bits, EMPTY, np.uint64)
         self.values = np.zeros(1 << self.bits, np.float32)
         left, slot, self.probes = np.arange(len(keys)), self._slot(keys), 0
         while len(left):
@@ -138,10 +145,10 @@ class Top:
             left, slot = left[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint32(2654435769) >> np.uint32(32 - self.bits)).astype(np.int64)
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The value of each 4-gram, 0 for those that are not here, and the places of these."""
+        """The value of each gram, 0 for those that are not here, and the places of these."""
         slot = self._slot(part)
         hit = self.slots[slot] == part
         value = np.where(hit, self.values[slot], np.float32(0)).astype(float)
@@ -159,99 +166,15 @@ class Top:
         return value, np.flatnonzero(~hit)
 
 
-class Trie:
-    """The static model: for each order the nodes (context and symbol) and what escaping costs."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """``levels[k]``: sorted keys (k context bytes and the symbol) and counts of order k."""
-        self.keys = [k.astype(np.uint32) for k, _ in levels]
-        self.logn = [np.log10(n) for _, n in levels]
-        self.contexts: list[np.ndarray] = []
-        self.logall: list[np.ndarray] = []  # log of total + distinct, without exclusion
-        self.escape: list[np.ndarray] = []
-        self.logall_below: list[np.ndarray] = []  # the same one order below, the symbols seen here excluded
-        self.escape_below: list[np.ndarray] = []
-        for k, (keys, n) in enumerate(levels):
-            context = self.keys[k] >> np.uint32(8)
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            total = np.add.reduceat(n, at).astype(float) if len(keys) else np.zeros(0)
-            distinct = np.diff(np.append(at, len(keys))).astype(float)
-            self.contexts.append(context[at])
-            self.logall.append(np.log10(total + distinct))
-            self.escape.append(np.log10(distinct / (total + distinct)))
-            if k:
-                below, counts = self.keys[k - 1], levels[k - 1][1]
-                drop = np.uint32((1 << (8 * k)) - 1)
-                j = np.minimum(np.searchsorted(below, self.keys[k] & drop), len(below) - 1)
-                hit = below[j] == self.keys[k] & drop
-                gone = np.add.reduceat(np.where(hit, counts[j], 0), at) if len(keys) else np.zeros(0)
-                gone_n = np.add.reduceat(hit.astype(float), at) if len(keys) else np.zeros(0)
-                shorter = np.searchsorted(self.contexts[k - 1], context[at] & (drop >> np.uint32(8)))
-                shorter = np.minimum(shorter, max(0, len(self.contexts[k - 1]) - 1))
-                t, d = self._totals[shorter] - gone, self._distinct[shorter] - gone_n
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    self.logall_below.append(np.log10(t + d))
-                    self.escape_below.append(np.where(t + d > 0, np.log10(np.maximum(d, 0) / np.maximum(t + d, 1)), 0.0))
-            else:
-                self.logall_below.append(np.full(len(at), math.log10(max(1, 256 - len(keys)))))
-                self.escape_below.append(np.zeros(len(at)))
-            self._totals, self._distinct = total, distinct
-        top = self.keys[-1]
-        self.top = Top(top, (self.logn[-1] - self.logall[-1][np.searchsorted(self.contexts[-1], top >> np.uint32(8))]).astype(np.float32))
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        j = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return table[j] == keys, j
-
-    def slow(self, g: np.ndarray) -> np.ndarray:
-        """log10 of the 4-grams that the highest order has not: escapes down, with exclusion."""
-        out = np.zeros(len(g))
-        live = np.arange(len(g))
-        from_longer = np.full(len(g), -1)  # the longer context's row, once a symbol escaped from it
-        for k in range(ORDER, -1, -1):
-            gram = g[live] & np.uint32((1 << (8 * (k + 1))) - 1) if k < 3 else g[live]
-            known, c = self._find(self.contexts[k], gram >> np.uint32(8))
-            seen, node = self._find(self.keys[k], gram)
-            longer = from_longer[live]
-            escaped = longer >= 0
-            below = k + 1 <= ORDER
-            if seen.any():
-                den = self.logall[k][c[seen]]
-                if below:
-                    e = escaped[seen]
-                    den = np.where(e, self.logall_below[k + 1][np.where(e, longer[seen], 0)] if len(self.logall_below[k + 1]) else 0.0, den)
-                out[live[seen]] += self.logn[k][node[seen]] - den
-            rest = ~seen
-            if known[rest].any():
-                plain = known & rest & ~escaped
-                out[live[plain]] += self.escape[k][c[plain]]
-            excluded = known & rest & escaped
-            if below and excluded.any():
-                out[live[excluded]] += self.escape_below[k + 1][longer[excluded]]
-            from_longer[live[known & rest]] = c[known & rest]
-            live = live[rest]
-        if len(live):
-            none = from_longer[live] < 0
-            out[live] -= np.where(none, math.log10(256), self.logall_below[0][0] if len(self.logall_below[0]) else math.log10(256))
-        return out
-
-
-def log10(top: Top, trie: Trie | None, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The log10 probability of each text; without a whole trie, that of the 4-grams in ``top`` and each text's others."""
+def log10(top: Top, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The log10 probability of each text's grams that are in ``top``, and its others."""
     g, first, last = grams(raw, offsets)
     out = np.zeros(len(g) + 1)
     missing = []
     for a in range(0, len(g), 1 << 18):
         part = g[a : a + (1 << 18)]
-        value, missed = top.find(part)
-        if trie:
-            value[missed] = trie.slow(part[missed])
-        else:
-            missing.append(a + missed)
-        out[a : a + len(part)] = value
+        out[a : a + len(part)], missed = top.find(part)
+        missing.append(a + missed)
     pairs = np.stack([first, last], 1).ravel()
     total = np.add.reduceat(out, pairs)[::2] if len(first) else np.zeros(0)
     at = np.concatenate([np.zeros(0, np.int64), *missing])
@@ -259,30 +182,31 @@ def log10(top: Top, trie: Trie | None, raw: np.ndarray, offsets: np.ndarray) ->
 
 
 def _tail(k: int):
-    """The context of order k and the symbol of a 4-gram."""
+    """The context of order k and the symbol of a gram."""
     return F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
 
 
-def _marginals(gram_rows: DataFrame) -> list[DataFrame]:
-    """The nodes ``(key, n)`` of each order."""
-    return [*(gram_rows.groupBy(_tail(k).alias("key")).agg(F.sum("n").alias("n")) for k in range(ORDER)), gram_rows]
-
-
-def _context_sums(nodes: list[DataFrame], k: int) -> DataFrame:
-    """Per context of order k: total and distinct symbols, and what these symbols count one order below."""
-    rows = nodes[k].withColumn("low", _tail(k - 1)) if k else nodes[k].withColumn("under", F.lit(0))
-    if k:
-        rows = rows.join(nodes[k - 1].select(F.col("key").alias("low"), F.col("n").alias("under")), "low")
-    return rows.groupBy(F.shiftright("key", 8).alias(f"c{k}")).agg(F.sum("n").alias(f"total{k}"), F.count(F.lit(1)).alias(f"distinct{k}"), F.sum("under").alias(f"under{k}"))
+def trie(gram_rows: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """By order: the nodes ``(key, n)``, and per context the total, the distinct symbols, and what these symbols count
+    one order below; all checkpointed."""
+    nodes = [gram_rows]
+    for k in range(ORDER - 1, -1, -1):  # a node is the sum of those with one more byte in front
+        nodes.insert(0, checkpoint(nodes[0].groupBy(_tail(k).alias("key")).agg(F.sum("n").alias("n"))))
+    sums = []
+    for k in range(ORDER + 1):
+        rows = nodes[k].withColumn("under", F.lit(0))
+        if k:
+            rows = nodes[k].withColumn("low", _tail(k - 1)).join(sized_broadcast(nodes[k - 1].select(F.col("key").alias("low"), F.col("n").alias("under")), NODE_ROWS), "low")
+        sums.append(checkpoint(rows.groupBy(F.shiftright("key", 8).alias(f"c{k}")).agg(F.sum("n").alias(f"total{k}"), F.count(F.lit(1)).alias(f"distinct{k}"), F.sum("under").alias(f"under{k}"))))
+    return nodes, sums
 
 
 def exact_values(asked: DataFrame, nodes: list[DataFrame], sums: list[DataFrame]) -> DataFrame:
-    """The log10 probability, as ``value``, of each 4-gram of ``asked(key)``, from the counts of every order."""
+    """The log10 probability, as ``value``, of each gram of ``asked(key)``, from the counts of every order."""
     for k in range(ORDER, -1, -1):
         node = nodes[k].select(F.col("key").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
         asked = asked.withColumns({f"g{k}": _tail(k), f"c{k}": F.shiftright(_tail(k), 8)})
-        # Two bytes have 65536 values at most.
-        asked = asked.join(F.broadcast(node) if k < 2 else node, f"g{k}", "left").join(F.broadcast(sums[k]) if k < 3 else sums[k], f"c{k}", "left")
+        asked = asked.join(sized_broadcast(node, NODE_ROWS), f"g{k}", "left").join(sized_broadcast(sums[k], NODE_ROWS), f"c{k}", "left")
     value = -F.log10(F.lit(256) - F.coalesce("distinct0", F.lit(0)))
     for k in range(ORDER + 1):
         t, d = F.col(f"total{k}"), F.col(f"distinct{k}")
@@ -293,6 +217,13 @@ def exact_values(asked: DataFrame, nodes: list[DataFrame], sums: list[DataFrame]
     return asked.select("key", value.alias("value"))
 
 
+def frequent_values(gram_rows: DataFrame, sums: list[DataFrame], most: int) -> DataFrame:
+    """The values of the grams from the smallest grade of counts on that leaves at most ``most``; these need no escape."""
+    often = gram_rows.where(_grade("n") >= _threshold(gram_rows, most)).withColumn(f"c{ORDER}", F.shiftright("key", 8))
+    value = F.log10(F.col("n") / (F.col(f"total{ORDER}") + F.col(f"distinct{ORDER}")))
+    return often.join(sums[ORDER], f"c{ORDER}").select("key", value.alias("value"))
+
+
 def adaptive_log10(text: str | None, order: int = ORDER) -> float:
     """The log10 probability of one text under a model that starts empty and learns each byte after coding it."""
     data = bytes([START] * order) + (text or "").encode() + bytes([END])
@@ -320,7 +251,7 @@ def adaptive_log10(text: str | None, order: int = ORDER) -> float:
 
 def _scored(model, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (top, trie), (known, log_count) = model.value, frequent.value
+        top, (known, log_count) = model.value, frequent.value
         for part in slices(batches):
             raw, offsets = text_bytes(part.column("text"))
             starts, ends, at = words(raw, offsets)
@@ -337,7 +268,7 @@ def _scored(model, frequent):
                 k, c = np.unique(h[a:b][~hit[a:b]], return_counts=True)
                 rare.append(k.tobytes())
                 rare_n.append(c.astype(np.int32).tobytes())
-            total, missing = log10(top, trie, raw, offsets)
+            total, missing = log10(top, raw, offsets)
             other = [np.unique(m, return_counts=True) for m in missing]
             cols = [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(at) + 1), pa.array(hits[at[1:]] - hits[at[:-1]]), pa.array(sums[at[1:]] - sums[at[:-1]]), pa.array(total), pa.array(rare, pa.binary()), pa.array(rare_n, pa.binary())]
             cols += [pa.array([k.astype(np.int64).tobytes() for k, _ in other], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in other], pa.binary())]
@@ -368,15 +299,10 @@ def score(docs: DataFrame) -> DataFrame:
     counted = checkpoint(train.mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     word_rows, gram_rows = (counted.where(F.col("kind") == k).select("key", "n") for k in (0, 1))
 
-    nodes, whole = _marginals(gram_rows), gram_rows.count() <= NODE_BUDGET
-    if whole:
-        trie = Trie([_sorted(rows, 0) for rows in nodes])
-        model = spark.sparkContext.broadcast((trie.top, trie))
-    else:
-        nodes = [*map(checkpoint, nodes[:ORDER]), gram_rows]
-        sums = [checkpoint(_context_sums(nodes, k)) for k in range(ORDER + 1)]
-        often = exact_values(gram_rows.where(_grade("n") >= _threshold(gram_rows, NODE_BUDGET)).select("key"), nodes, sums).toArrow()
-        model = spark.sparkContext.broadcast((Top(often["key"].to_numpy().astype(np.uint32), often["value"].to_numpy()), None))
+    gram_rows = checkpoint(gram_rows)
+    nodes, sums = trie(gram_rows)
+    often = frequent_values(gram_rows, sums, FREQUENT_GRAMS).toArrow()
+    model = spark.sparkContext.broadcast(Top(often["key"].to_numpy().view(np.uint64), often["value"].to_numpy()))
 
     n_train, n_words = word_rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = _threshold(word_rows, FREQUENT)
@@ -390,12 +316,10 @@ def score(docs: DataFrame) -> DataFrame:
     tokens = F.col("n_tokens")
     base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) + F.lit(math.log10(end + 1)) - tokens * F.lit(math.log10(n_train + n_words + 1))
     scored = scored.join(found, "row", "left")
-    value = F.col("score")
-    if not whole:
-        others = scored.select("row", "grams", "grams_n").mapInArrow(_rare_rows("grams"), "row long, key long, times int")
-        values = exact_values(others.select("key").distinct(), nodes, sums)
-        scored = scored.join(others.join(values, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_score")), "row", "left")
-        value = value + F.coalesce("more_score", F.lit(0.0))
+    others = checkpoint(scored.select("row", "grams", "grams_n").mapInArrow(_rare_rows("grams"), "row long, key long, times int"))
+    values = exact_values(others.select("key").distinct(), nodes, sums)
+    scored = scored.join(others.join(values, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more_score")), "row", "left")
+    value = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(int(end > 0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), value.alias("score")
     )

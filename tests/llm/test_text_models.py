@@ -124,14 +124,14 @@ def test_pages(spark, sf):
 def brute_ppm(train, text):
     tree = collections.defaultdict(collections.Counter)
     for t in train:
-        z = bytes([P.START] * 3) + t.encode() + bytes([P.END])
-        for i in range(3, len(z)):
-            for k in range(4):
+        z = bytes([P.START] * P.ORDER) + t.encode() + bytes([P.END])
+        for i in range(P.ORDER, len(z)):
+            for k in range(P.ORDER + 1):
                 tree[z[i - k : i]][z[i]] += 1
-    z, total = bytes([P.START] * 3) + text.encode() + bytes([P.END]), 0.0
-    for i in range(3, len(z)):
+    z, total = bytes([P.START] * P.ORDER) + text.encode() + bytes([P.END]), 0.0
+    for i in range(P.ORDER, len(z)):
         gone = set()
-        for k in range(3, -1, -1):
+        for k in range(P.ORDER, -1, -1):
             seen = {s: n for s, n in tree[z[i - k : i]].items() if s not in gone} if z[i - k : i] in tree else {}
             if not seen:
                 continue
@@ -176,10 +176,23 @@ def test_lm_scores_keep_rare_grams(spark, monkeypatch):
     train = [t or "" for d, t in rows if not fold(d)]
     want = {d: round(brute_ppm(train, t or ""), 3) for d, t in [*rows, (None, "the qZ8 漢")]}
     for budget in (0, 8):  # nearly all grams and contexts go the shuffled way
-        monkeypatch.setattr(P, "NODE_BUDGET", budget)
+        monkeypatch.setattr(P, "FREQUENT_GRAMS", budget)
+        monkeypatch.setattr(P, "NODE_ROWS", budget)  # and all of the trie in shuffled joins
         assert {r.doc_id: round(r.score, 3) for r in P.score(df).collect()} == want
 
 
+def test_lm_scores_do_not_depend_on_the_split(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.doc_id: r.score for r in P.score(docs).collect()}
+    monkeypatch.setattr(P, "FREQUENT_GRAMS", 20_000)
+    monkeypatch.setattr(P, "NODE_ROWS", 1000)
+    part = {r.doc_id: r.score for r in P.score(docs).collect()}
+    assert whole.keys() == part.keys() and all(part[i] == pytest.approx(whole[i], rel=1e-6) for i in whole)
+    train = [r.text or "" for r in docs.collect() if not fold(r.doc_id)]
+    pick = sorted((r for r in docs.collect() if r.text), key=lambda r: len(r.text))[:3]
+    assert [part[r.doc_id] for r in pick] == pytest.approx([brute_ppm(train, r.text) for r in pick], abs=1e-3)
+
+
 def test_adaptive_scores_learn():
     assert P.adaptive_log10("abababababababab") / 17 > P.adaptive_log10("axbyczdwevfugthr") / 17
     assert P.adaptive_log10(None) == pytest.approx(-math.log10(256))
