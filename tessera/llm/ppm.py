@@ -186,18 +186,25 @@ def _tail(k: int):
     return F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
 
 
+def _small(rows: DataFrame, order: int) -> DataFrame:
+    """Broadcast a table whose keys have ``order`` bytes if they are two at most, or if it is counted to be small."""
+    return F.broadcast(rows) if order <= 2 else sized_broadcast(rows, NODE_ROWS)
+
+
 def trie(gram_rows: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """By order: the nodes ``(key, n)``, and per context the total, the distinct symbols, and what these symbols count
-    one order below; all checkpointed."""
+    one order below; checkpointed but for the lowest orders, which are made anew from a few thousand rows."""
     nodes = [gram_rows]
     for k in range(ORDER - 1, -1, -1):  # a node is the sum of those with one more byte in front
-        nodes.insert(0, checkpoint(nodes[0].groupBy(_tail(k).alias("key")).agg(F.sum("n").alias("n"))))
+        rows = nodes[0].groupBy(_tail(k).alias("key")).agg(F.sum("n").alias("n"))
+        nodes.insert(0, checkpoint(rows) if k > 1 else rows)
     sums = []
     for k in range(ORDER + 1):
         rows = nodes[k].withColumn("under", F.lit(0))
         if k:
-            rows = nodes[k].withColumn("low", _tail(k - 1)).join(sized_broadcast(nodes[k - 1].select(F.col("key").alias("low"), F.col("n").alias("under")), NODE_ROWS), "low")
-        sums.append(checkpoint(rows.groupBy(F.shiftright("key", 8).alias(f"c{k}")).agg(F.sum("n").alias(f"total{k}"), F.count(F.lit(1)).alias(f"distinct{k}"), F.sum("under").alias(f"under{k}"))))
+            rows = nodes[k].withColumn("low", _tail(k - 1)).join(_small(nodes[k - 1].select(F.col("key").alias("low"), F.col("n").alias("under")), k), "low")
+        rows = rows.groupBy(F.shiftright("key", 8).alias(f"c{k}")).agg(F.sum("n").alias(f"total{k}"), F.count(F.lit(1)).alias(f"distinct{k}"), F.sum("under").alias(f"under{k}"))
+        sums.append(checkpoint(rows) if k > 2 else rows)
     return nodes, sums
 
 
@@ -206,7 +213,7 @@ def exact_values(asked: DataFrame, nodes: list[DataFrame], sums: list[DataFrame]
     for k in range(ORDER, -1, -1):
         node = nodes[k].select(F.col("key").alias(f"g{k}"), F.col("n").alias(f"n{k}"))
         asked = asked.withColumns({f"g{k}": _tail(k), f"c{k}": F.shiftright(_tail(k), 8)})
-        asked = asked.join(sized_broadcast(node, NODE_ROWS), f"g{k}", "left").join(sized_broadcast(sums[k], NODE_ROWS), f"c{k}", "left")
+        asked = asked.join(_small(node, k + 1), f"g{k}", "left").join(_small(sums[k], k), f"c{k}", "left")
     value = -F.log10(F.lit(256) - F.coalesce("distinct0", F.lit(0)))
     for k in range(ORDER + 1):
         t, d = F.col(f"total{k}"), F.col(f"distinct{k}")
@@ -299,7 +306,6 @@ def score(docs: DataFrame) -> DataFrame:
     counted = checkpoint(train.mapInArrow(_counts, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     word_rows, gram_rows = (counted.where(F.col("kind") == k).select("key", "n") for k in (0, 1))
 
-    gram_rows = checkpoint(gram_rows)
     nodes, sums = trie(gram_rows)
     often = frequent_values(gram_rows, sums, FREQUENT_GRAMS).toArrow()
     model = spark.sparkContext.broadcast(Top(often["key"].to_numpy().view(np.uint64), often["value"].to_numpy()))
