@@ -38,7 +38,8 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 FREQUENT_GRAMS = 1 << 20
 NODE_ROWS = 200_000  # node tables up to this size are broadcast when they meet rare grams
 FREQUENT = 1 << 20
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 16 << 20  # of text, after which a task looks whether it holds too many keys
+MERGE = 1 << 20
 END_WORD = np.uint64(0x9E3779B97F4A7C15)  # stands for the end token among word hashes
 
 
@@ -73,35 +74,51 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[at], np.add.reduceat(c, at) if len(k) else c
 
 
+class Counts:
+    """Counts of keys; what was added is merged whenever ``MERGE`` entries wait."""
+
+    def __init__(self):
+        self.keys, self.counts, self.waiting = [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting >= MERGE:
+            self.merge()
+
+    def merge(self) -> int:
+        k, c = _summed([np.zeros(0, np.uint64), *self.keys], [np.zeros(0, np.int64), *self.counts])
+        self.keys, self.counts, self.waiting = [k], [c], 0
+        return len(k)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of a task: rows (kind, key, n), kind 0 for words and 1 for grams."""
-    held = {0: ([], []), 1: ([], [])}
+    held = [Counts(), Counts()]
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for kind, (keys, counts) in held.items():
-            if keys:
-                k, c = _summed(keys, counts)
+    def flush(least: int) -> Iterator[pa.RecordBatch]:
+        for kind, counts in enumerate(held):
+            if counts.merge() > least:
+                (k,), (c,) = counts.keys, counts.counts
+                held[kind] = Counts()
                 for a in range(0, len(k), 1 << 18):
                     part = k[a : a + (1 << 18)]
-                    yield pa.record_batch([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.uint64).view(np.int64)), pa.array(c[a : a + (1 << 18)])], names=["kind", "key", "n"])
-            held[kind] = ([], [])
+                    yield pa.record_batch([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(c[a : a + (1 << 18)])], names=["kind", "key", "n"])
 
     size = 0
     for part in slices(batches):
         raw, offsets = text_bytes(part.column("text"))
         h = word_hashes(raw, *words(raw, offsets)[:2])
         g, first, last = grams(raw, offsets)
-        for kind, keys in ((0, h), (1, g[_inside(len(g), first, last)])):
-            k, c = np.unique(keys, return_counts=True)
-            held[kind][0].append(k)
-            held[kind][1].append(c)
-        held[0][0].append(np.array([END_WORD]))
-        held[0][1].append(np.array([part.num_rows]))
+        held[0].add(*np.unique(h, return_counts=True))
+        held[0].add(np.array([END_WORD]), np.array([part.num_rows]))
+        held[1].add(*np.unique(g[_inside(len(g), first, last)], return_counts=True))
         size += len(raw)
         if size >= FLUSH_BYTES:
-            yield from flush()
+            yield from flush(MERGE)
             size = 0
-    yield from flush()
+    yield from flush(0)
     give_back()
 
 
