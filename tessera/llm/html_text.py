@@ -1,24 +1,32 @@
 """Main text of HTML pages by the maximum-scoring contiguous run of tokens.
 
-A page becomes a sequence of tokens: words and tags.  Each word scores by a logistic model of its context (the
-elements and the class or id hints around it), positive where such words are content; each tag scores negative.
-A linear scan finds the run with the largest sum, the content region.  Inside it, blocks whose words score negative
-(a menu, advert, form or comment within the article) are left out.  As they are, such blocks cost ``BRIDGE`` at most
-between two pieces of content, however long they are, unless the article or main element has ended before them.
-
-The weights come from labelled pages: ``labelled_pages`` composes pages of many layouts with known content words
-(fixed seed), and ``learn`` fits the model on them in numpy.  Pass other labelled pages to ``learn`` for other sites.
+A page becomes a sequence of tokens: words and tags.  Each word scores by a logistic model of its place (the elements
+around it, what the class or id values of these hint at, the share of links in its container) and of its block's shape
+(share of links, length, how it ends; outside article and main elements), positive where such words are content; each tag scores negative.  A linear scan
+finds the run with the largest sum, the content region.  Inside it, blocks whose words score negative for their place (a
+menu, advert, form or comment within the article) are left out; a block's shape alone leaves out nothing.  As they are,
+such blocks cost ``BRIDGE`` at most between two pieces of content, however long they are, unless the article or main
+element has ended before them.
+
+The weights come from labelled pages: ``labelled_pages`` composes pages of many layouts with known content words (fixed
+seed), and ``learn`` fits the model on them in numpy.  Half of these pages have class names that hint at nothing, and
+on some the names mislead, so the weights rest on structure as well.  Pass other labelled pages to ``learn`` for other
+sites.
 
 Text rules.  Scripts, styles, comments and other raw elements are never text.  Character references are decoded,
 white space in a block becomes one space, blocks are trimmed and joined in page order by one space.  Inline tags join
-what they separate; block tags and line breaks separate.  Tags left open or cut off are closed as browsers do.
+what they separate; block tags and line breaks separate.  Tags left open or cut off are closed as browsers do.  A
+drawing or player element that closes itself or is never closed hides nothing; a script or style element that is never
+closed hides what comes before the next block tag.
 
-Edge cases.  Null or empty html, and pages without words, give an empty text.  Repeated rows give repeated rows.
-Whole pages are read, whatever their length.  Other columns are ignored, whatever their names.
+Edge cases.  Null or empty html, and pages without words, give an empty text.  Of runs with equal sums the first is
+taken.  Repeated rows give repeated rows.  Whole pages are read, whatever their length, in time linear in it.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import random
 import re
@@ -31,17 +39,23 @@ from pyspark.sql import functions as F
 
 from .common import light_batches, slices
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OPENS = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_STOP = re.compile(r"""[.!?\u2026\u3002\uff01\uff1f:;]["'\u201d\u2019\u00bb)\]]*$""")
 
 # Fixed values of HTML: elements by behaviour.
-RAW = {"script", "style", "title", "noscript", "template", "textarea", "iframe", "noframes", "xmp", "svg", "math", "object", "audio", "video", "canvas"}
+RAW = {"script", "style", "title", "noscript", "textarea", "iframe", "noframes", "noembed", "xmp"}
+DRAWN = {"svg", "math", "object", "audio", "video", "canvas", "template"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SECTIONS = {"article", "aside", "body", "footer", "form", "header", "main", "nav", "section"}
+#: Elements that hold blocks; their class and id values tell about all that is in them.
+BOXES = SECTIONS | {"blockquote", "details", "dialog", "div", "dl", "fieldset", "figure", "menu", "ol", "table", "td", "ul"}
 #: Words in class, id or role values, by what they hint at.
 HINTS = {
     "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner",
@@ -52,66 +66,123 @@ HINTS = {
     "edge": "header masthead footer copyright legal social share sharing login search toolbar skip",
     "content": "content article post entry story main text body paragraph",
 }
-#: The most that rejected blocks between two pieces of content cost: about one word of a plain paragraph.
-BRIDGE = 5.0
+#: The most that rejected blocks between two pieces of content cost: less than one word of a plain paragraph.
+BRIDGE = 2.0
 FRAMES = {"in:article", "in:main"}
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
 ELEMENTS = ("a", "article", "aside", "blockquote", "button", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "head", "header", "label", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "select", "summary", "table", "ul", "dialog", "details", "option")
-FEATURES = {name: i for i, name in enumerate(["bias", *(f"in:{e}" for e in ELEMENTS), *(f"hint:{h}" for h in HINTS), "hidden", "header-of-article"])}
-
-
-def _hints(attributes: str) -> frozenset[str]:
-    found = set()
+#: Of a block: its share of linked words (none, some, most), its words (up to 3, 9, 24, more), and whether it ends like a sentence.
+SHAPES = ("links:some", "links:most", "words:3", "words:9", "words:24", "stop")
+#: Of a container: the share of linked words among its own blocks, and (outside article and main elements) whether it has
+#: several of which none ends like a sentence.
+DENSITY = ("box:some", "box:most")
+LOOSE = "box:loose"
+FEATURES = {name: i for i, name in enumerate(["bias", *(f"in:{e}" for e in ELEMENTS), *(f"hint:{h}" for h in HINTS), *(f"own:{h}" for h in HINTS), "hidden", "header-of-article", *DENSITY, LOOSE, *SHAPES])}
+
+
+def _hints(name: str, attributes: str) -> set[str]:
+    """What an element's class, id or role values hint at: ``hint`` for containers, ``own`` for single blocks."""
+    found, kind = set(), "hint" if name in BOXES else "own"
     for value in _ATTRIBUTE.findall(attributes):
-        found |= {f"hint:{_HINT[p]}" for p in (x.lower() for x in _PART.findall(value)) if p in _HINT}
+        found |= {f"{kind}:{_HINT[p]}" for p in (x.lower() for x in _PART.findall(value)) if p in _HINT}
     if _HIDDEN.search(attributes):
         found.add("hidden")
-    return frozenset(found)
-
-
-def tokens(page: str) -> Iterator[tuple[str, frozenset[str], str]]:
-    """The page in order: ("text", context features, raw text), ("tag", features, name) or ("break", ...)."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    return found
+
+
+class Ends:
+    """Where raw and drawn elements of a page end, each name looked up in one pass."""
+
+    def __init__(self, page: str):
+        self.page, self.closes, self.pairs = page, {}, {}
+
+    def raw(self, name: str, at: int) -> int:
+        """Behind the next end tag; without one, the next block tag."""
+        if name not in self.closes:
+            self.closes[name] = [m.span() for m in re.finditer(rf"</{name}[\s/>]", self.page, re.I)]
+            if "block" not in self.closes:
+                self.closes["block"] = [m.start() for m in re.finditer(rf"</?(?:{'|'.join(sorted(CLOSES_P | {'body', 'head', 'li', 'td', 'tr'}))})[\s/>]", self.page, re.I)]
+        found = self.closes[name]
+        k = bisect.bisect_left(found, (at, at))
+        if k < len(found):
+            end = self.page.find(">", found[k][1] - 1)
+            return end + 1 if end >= 0 else len(self.page)
+        blocks = self.closes["block"]
+        k = bisect.bisect_left(blocks, at)
+        return blocks[k] if k < len(blocks) else len(self.page)
+
+    def drawn(self, name: str, at: int) -> int:
+        """Behind the end tag of the element whose start tag ends at ``at``; ``at`` itself without one."""
+        if name not in self.pairs:
+            self.pairs[name], opened = {}, []
+            for m in re.finditer(rf"<(/?){name}(?=[\s/>])[^>]*>", self.page, re.I):
+                if not m[1]:
+                    if not m[0].endswith("/>"):
+                        opened.append(m.end())
+                elif opened:
+                    self.pairs[name][opened.pop()] = m.end()
+        return self.pairs[name].get(at, at)
+
+
+def walk(page: str) -> Iterator[tuple[str, frozenset[str], str, int]]:
+    """The page in order: (kind, context features, value, container); kinds are text, tag (inline) and break (block)."""
+    stack: list[tuple[str, frozenset[str], int]] = []
     context: frozenset[str] = frozenset()
-    at, size = 0, len(page)
+    at, size, box, boxes = 0, len(page), 0, 0
+    ends, pattern = Ends(page), _TAG
     while at < size:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else size
-        if end > at:
-            yield "text", context, page[at:end]
+        m = _OPENS.search(page, at)
+        start = m.start() if m else size
+        if start > at:
+            yield "text", context, page[at:start], box
         if not m:
             return
-        at = m.end()
-        if not m[2]:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
             continue
-        name = m[2].lower()
-        if m[1]:
+        tag = pattern.match(page, start) if page[start + 1] not in "!?" and page[start + 1 : start + 3] != "/>" else None
+        if not tag:
+            end = page.find(">", start)
+            if end < 0:  # cut off
+                return
+            pattern = _LOOSE if pattern is _TAG and page[start + 1] not in "!?" else pattern  # quotes that never close
+            tag = pattern.match(page, start) if page[start + 1] not in "!?" else None
+            if not tag:
+                at = end + 1
+                continue
+        at = tag.end()
+        name, kind = tag[2].lower(), "tag" if tag[2].lower() in INLINE else "break"
+        if tag[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    context = stack[k][1]
+                    context, box = stack[k][1:]
                     del stack[k:]
                     break
                 if stack[k][0] in SECTIONS and name not in SECTIONS:
                     break
-            yield "tag" if name in INLINE else "break", context, name
+            yield kind, context, name, box
             continue
-        yield "tag" if name in INLINE else "break", context, name
+        yield kind, context, name, box
         if name in VOID:
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else size
+            at = ends.raw(name, at)
+            continue
+        if name in DRAWN:
+            if not tag[3].endswith("/"):
+                at = ends.drawn(name, at)
             continue
         if name in CLOSES_P or name in ("li", "tr", "td", "th", "dt", "dd", "option"):
             shut = "p" if name in CLOSES_P else name
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == shut:
-                    context = stack[k][1]
+                    context, box = stack[k][1:]
                     del stack[k:]
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
-        inside = set(_hints(m[3])) if m[3] else set()
+        inside = _hints(name, tag[3]) if tag[3] else set()
         if f"in:{name}" in FEATURES:
             inside.add(f"in:{name}")
         if name == "header" and "in:article" in context:
@@ -120,12 +191,90 @@ def tokens(page: str) -> Iterator[tuple[str, frozenset[str], str]]:
             inside = set()
         if name == "article" and "hint:comment" not in inside | context:
             inside.discard("hint:ad")
-        stack.append((name, context))
+        stack.append((name, context, box))
+        if name in BOXES:
+            boxes += 1
+            box = boxes
         if not inside <= context:
             context = context | inside
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> Iterator[tuple[str, list[bool]]]:
+def tokens(page: str) -> Iterator[tuple[str, frozenset[str], str]]:
+    """``walk`` without the containers."""
+    return (x[:3] for x in walk(page))
+
+
+def _share(part: int, whole: int) -> int:
+    """0 for no links, 1 for some, 2 for most words."""
+    return 0 if not part else 1 if 2 * part <= whole else 2
+
+
+class Piece:
+    """A token with what the model reads: its place, and for texts their block's shape."""
+
+    __slots__ = ("kind", "value", "words", "place", "shape", "box")
+
+    def __init__(self, kind: str, value: str, words: int, place: frozenset[str], box: int):
+        self.kind, self.value, self.words, self.place, self.box = kind, value, words, place, box
+        self.shape: frozenset[str] = frozenset()
+
+
+def _shape(block: list[Piece]) -> frozenset[str]:
+    """What a block's shape tells; nothing inside an article or main element, whose short blocks are content too."""
+    if any(FRAMES & x.place for x in block):
+        return frozenset()
+    words, links = sum(x.words for x in block), sum(x.words for x in block if "in:a" in x.place)
+    found = {f"words:{n}" for n in (24, 9, 3) if words <= n} | {("", "links:some", "links:most")[_share(links, words)]}
+    last = next((x.value.rstrip() for x in reversed(block) if x.words), "")
+    if _STOP.search(last[-8:]):
+        found.add("stop")
+    return frozenset(found - {""})
+
+
+def pieces(page: str) -> list[Piece]:
+    """The page's tokens with their features, character references in texts decoded."""
+    out: list[Piece] = []
+    counts: dict[int, list[int]] = {}  # of each container's own words and blocks: linked words, words, blocks, sentences
+    block: list[Piece] = []
+
+    def close() -> None:
+        if not block:
+            return
+        shape = _shape(block)
+        count = counts[block[0].box]
+        count[2] += 1
+        count[3] += "stop" in shape or bool(FRAMES & block[0].place)
+        for x in block:
+            x.shape = shape
+        block.clear()
+
+    for kind, context, value, box in walk(page):
+        if kind == "break":
+            close()
+        if kind == "text":
+            value = html.unescape(value)
+        x = Piece(kind, value, len(value.split()) if kind == "text" else 0, context, box)
+        out.append(x)
+        if x.words:
+            count = counts.setdefault(box, [0, 0, 0, 0])
+            count[0] += x.words if "in:a" in context else 0
+            count[1] += x.words
+            block.append(x)
+    close()
+    told: dict[int, frozenset[str]] = {}
+    for box, (links, words, blocks, stops) in counts.items():
+        told[box] = frozenset({("", *DENSITY)[_share(links, words)], LOOSE if blocks > 1 and not stops else ""} - {""})
+    merged: dict[tuple[frozenset[str], frozenset[str]], frozenset[str]] = {}
+    for x in out:
+        if more := told.get(x.box):
+            key = (x.place, more)
+            if key not in merged:
+                merged[key] = x.place | more
+            x.place = merged[key]
+    return out
+
+
+def labelled_pages(n: int = 360, seed: int = 7) -> Iterator[tuple[str, list[bool]]]:
     """Composed pages: (html, for each of its words whether it is content), in many layouts."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ba", "ko", "ri", "tel", "um", "san", "de", "lo")) for _ in range(r.randint(1, 3)))
@@ -133,94 +282,129 @@ def labelled_pages(n: int = 240, seed: int = 7) -> Iterator[tuple[str, list[bool
     for _ in range(n):
         out: list[str] = []
         labels: list[bool] = []
+        telling = r.random() < 0.5  # whether class names tell anything on this page
 
-        def text(k: int, content: bool, out=out, labels=labels) -> str:
+        def text(k: int, content: bool, labels=labels) -> str:
             labels.extend([content] * k)
             return " ".join(word() for _ in range(k))
 
-        def junk(out=out, text=text) -> None:
-            kind = r.choice(("ad", "side", "comment", "notice", "form", "share", "aside", "related", "hidden"))
+        def prose(k: int, content: bool, text=text) -> str:
+            return text(k, content) + r.choice((".", ".", ".", "!", "?", ""))
+
+        def named(*names: str, telling=telling) -> str:
+            return f' class="{r.choice(names) if telling else r.choice(("c", "x", "bx", "u")) + str(r.randint(1, 99))}"'
+
+        def odd(telling=telling) -> str:
+            """Now and then a name on a block of the article that misleads."""
+            return f' class="{r.choice(("lead search-tips", "intro-banner", "note alert", "side-note", "reader", "top header"))}"' if r.random() < 0.08 else ""
+
+        def head(k: int, content: bool, name: str = "", text=text) -> str:
+            level = r.randint(2, 4)
+            return f"<h{level}{name}>" + text(k, content) + f"</h{level}>"
+
+        def link(k: int, text=text) -> str:
+            return "<a href=x>" + text(k, False) + "</a>"
+
+        def junk(framed: bool = False, out=out, text=text, prose=prose, named=named, head=head, link=link, telling=telling) -> None:
+            kind = r.choice(("ad", "side", "comment", "notice", "form", "share", "aside", "related", "hidden", "shop", "menu"))
+            if framed and not telling and kind in ("ad", "side", "notice", "share", "shop"):
+                kind = r.choice(("form", "aside", "hidden", "related", "menu"))  # within an article only structure tells
             if kind == "form":
                 out.append("<form><label>" + text(2, False) + "</label><input><button>" + text(1, False) + "</button></form>")
             elif kind == "aside":
-                out.append("<aside><h3>" + text(2, False) + "</h3><p>" + text(r.randint(4, 30), False) + "</p></aside>")
+                out.append("<aside>" + head(2, False) + "<p>" + prose(r.randint(4, 30), False) + "</p></aside>")
             elif kind == "hidden":
-                out.append('<div style="display:none"><p>' + text(r.randint(4, 20), False) + "</p></div>")
+                out.append('<div style="display:none"><p>' + prose(r.randint(4, 20), False) + "</p></div>")
             elif kind == "comment":
-                out.append('<section class="comments"><h2>' + text(1, False) + "</h2>" + "".join('<article class="comment"><p>' + text(r.randint(5, 30), False) + "</p></article>" for _ in range(r.randint(1, 3))) + "</section>")
+                out.append('<section class="comments">' + head(1, False) + "".join('<article class="comment"><p>' + prose(r.randint(5, 30), False) + "</p></article>" for _ in range(r.randint(1, 3))) + "</section>")
+            elif kind == "related":
+                out.append(f"<div{named('related', 'menu', 'trending')}>" + head(2, False) + "<ul>" + "".join("<li>" + link(r.randint(3, 9)) + "</li>" for _ in range(r.randint(3, 6))) + "</ul></div>")
+            elif kind == "menu":
+                out.append(f"<div{named('nav', 'breadcrumbs', 'tabs')}>" + r.choice((" ", "<br>")).join(link(r.randint(1, 2)) for _ in range(r.randint(3, 9))) + "</div>")
+            elif kind == "shop" or (not telling and kind in ("ad", "side", "notice", "share")):
+                out.append(f"<div{named('promo', 'widget', 'sponsored')}>" + "".join("<p>" + text(r.randint(1, 4), False) + ("" if r.random() < 0.5 else " " + link(2)) + "</p>" for _ in range(r.randint(2, 5))) + "</div>")
             else:
-                hint = r.choice({"ad": ("ad", "advert"), "side": ("sidebar", "widget"), "notice": ("cookie-notice", "newsletter"), "share": ("share", "social"), "related": ("related", "menu")}[kind])
-                out.append(f'<div class="{hint}"><p>' + text(r.randint(3, 30), False) + "</p></div>")
+                names = {"ad": ("ad", "advert"), "side": ("sidebar", "widget"), "notice": ("cookie-notice", "newsletter"), "share": ("share", "social")}[kind]
+                out.append(f"<div{named(*names)}><p>" + prose(r.randint(3, 30), False) + "</p></div>")
 
         out.append("<html><head><title>x</title></head><body>")
         if r.random() < 0.7:
             out.append("<header><p>" + text(r.randint(1, 12), False) + "</p></header>")
-        out.append("<nav><ul>" + "".join("<li><a href=x>" + text(1, False) + "</a></li>" for _ in range(r.randint(2, 8))) + "</ul></nav>")
+        items = "".join("<li>" + link(1) + "</li>" for _ in range(r.randint(2, 8)))
+        out.append(f"<nav><ul>{items}</ul></nav>" if r.random() < 0.6 else f"<div{named('menu', 'navbar')}><ul>{items}</ul></div>")
         for _ in range(r.randint(0, 2)):
             junk()
-        frame = r.choice(("article", "main", 'div class="content"', 'div class="post-body"', "div", "section"))
+        frame = r.choice(("article", "main", f"div{named('content', 'post-body', 'story')}", f"div{named('main', 'entry')}", "div", "section"))
         out.append(f"<{frame}><h1>" + text(r.randint(3, 9), True) + "</h1>")
-        if r.random() < 0.2:
-            out.append("<header><p>" + text(4, True) + "</p></header>" if frame == "article" else "")
-            if frame != "article":
-                pass
-        for _ in range(r.randint(2, 8)):
+        if frame == "article" and r.random() < 0.3:
+            out.append("<header><p>" + text(4, True) + "</p></header>")
+        for _ in range(r.randint(3, 9)):
             pick = r.random()
-            if pick < 0.7:
-                out.append("<p>" + text(r.randint(3, 60), True) + r.choice(("</p>", "")))
+            if pick < 0.66:
+                out.append(f"<p{odd()}>" + prose(r.choice((r.randint(2, 12), r.randint(8, 60), r.randint(20, 60))), True) + r.choice(("</p>", "")))
+            elif pick < 0.72:
+                out.append("<p>" + text(r.randint(8, 30), True) + " <a href=x>" + text(r.randint(1, 5), True) + "</a> " + prose(r.randint(4, 20), True) + "</p>")
             elif pick < 0.78:
-                out.append("<ul>" + "".join("<li>" + text(r.randint(3, 12), True) + "</li>" for _ in range(3)) + "</ul>")
+                out.append("<ul>" + "".join("<li>" + prose(r.randint(3, 12), True) + "</li>" for _ in range(3)) + "</ul>")
             elif pick < 0.86:
-                out.append("<h2>" + text(r.randint(2, 6), True) + "</h2><p>" + text(5, True) + "<a href=x>" + " " + text(2, True) + "</a> " + text(6, True) + "</p>")
-            elif pick < 0.93:
-                out.append("<blockquote><p>" + text(r.randint(5, 25), True) + "</p></blockquote><table><tr><td>" + text(2, True) + "</td></tr></table>")
+                out.append(head(r.randint(2, 6), True, odd()) + "<p>" + prose(r.randint(5, 40), True) + "</p>")
+            elif pick < 0.92:
+                out.append("<blockquote><p>" + prose(r.randint(5, 25), True) + "</p></blockquote><table><tr><td>" + text(2, True) + "</td></tr></table>")
             else:
-                junk()
-        out.append(f"</{frame.split()[0]}>")
+                junk(frame in ("article", "main"))
+        out.append("<p>" + prose(r.randint(12, 40), True) + f"</p></{frame.split()[0]}>")
         for _ in range(r.randint(0, 2)):
             junk()
-        out.append("<footer><p>" + text(r.randint(3, 25), False) + "</p></footer></body></html>")
+        foot = "<p>" + text(r.randint(3, 12), False) + "</p>" + " ".join(link(1) for _ in range(r.randint(0, 3)))
+        out.append((f"<footer>{foot}</footer>" if r.random() < 0.7 else f"<div{named('footer', 'legal')}>{foot}</div>") + "</body></html>")
         yield "".join(out), labels
 
 
 class Model:
-    """Word and tag scores.  ``weights`` by context feature; ``tag`` for inline and ``block`` for block tags."""
+    """Word and tag scores.  ``weights`` by feature; ``tag`` for inline and ``block`` for block tags."""
 
     def __init__(self, weights: np.ndarray, tag: float, block: float):
         self.weights, self.tag, self.block = weights, tag, block
         self._known: dict[frozenset[str], float] = {}
 
-    def word(self, context: frozenset[str]) -> float:
-        if context not in self._known:
-            self._known[context] = float(self.weights[0] + sum(self.weights[FEATURES[f]] for f in context))
-        return self._known[context]
+    def sum(self, features: frozenset[str]) -> float:
+        if features not in self._known:
+            self._known[features] = float(sum(self.weights[FEATURES[f]] for f in features))
+        return self._known[features]
+
+    def place(self, x: Piece) -> float:
+        """A word's score for its place alone."""
+        return self.sum(x.place) + self.weights[0]
+
+    def word(self, x: Piece) -> float:
+        return self.place(x) + self.sum(x.shape)
 
 
 def learn(pages: Iterator[tuple[str, list[bool]]], steps: int = 400) -> Model:
     """Fit the word model by logistic regression (weight decay, full batches); tags cost what they tell against content."""
-    contexts: dict[frozenset[str], list[int]] = {}
+    seen: dict[frozenset[str], list[float]] = {}
     tags = {"tag": [1, 1], "break": [1, 1]}
     for page, labels in pages:
         at = 0
-        for kind, context, value in tokens(page):
-            if kind == "text":
-                for _ in value.split():
-                    contexts.setdefault(context, [0, 0])[labels[at]] += 1
+        for x in pieces(page):
+            if x.kind == "text":
+                for _ in range(x.words):
+                    seen.setdefault(x.place | x.shape, [0, 0])[labels[at]] += 1
                     at += 1
             else:
                 inside = 0 < at < len(labels) and labels[at - 1] and labels[at]
-                tags[kind][inside] += 1
-    x = np.zeros((len(contexts), len(FEATURES)))
-    x[:, 0] = 1
-    for i, context in enumerate(contexts):
-        x[i, [FEATURES[f] for f in context]] = 1
-    y = np.array(list(contexts.values()), float)
+                tags[x.kind][inside] += 1
+    rows = np.zeros((len(seen), len(FEATURES)))
+    rows[:, 0] = 1
+    for i, features in enumerate(seen):
+        rows[i, [FEATURES[f] for f in features]] = 1
+    y = np.array(list(seen.values()), float)
     total = y.sum(axis=1)
     w = np.zeros(len(FEATURES))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x.T * (p * (1 - p) * total + 1e-9)) @ x + np.eye(len(w)) * 0.5
-        step = np.linalg.solve(hess, x.T @ (y[:, 1] - p * total) - 0.5 * w)
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        hess = (rows.T * (p * (1 - p) * total + 1e-9)) @ rows + np.eye(len(w)) * 0.5
+        step = np.linalg.solve(hess, rows.T @ (y[:, 1] - p * total) - 0.5 * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -237,45 +421,51 @@ def default_model() -> Model:
     return _model[0]
 
 
+def best_run(gains: list[float]) -> tuple[int, int]:
+    """The contiguous run with the largest sum, as (first, behind the last); empty if no sum is positive.
+
+    A linear scan: a sum that is not positive is dropped, and of equal sums the first is kept.
+    """
+    best = total = 0.0
+    first = start = last = 0
+    for i, gain in enumerate(gains):
+        if total <= 0:
+            total, start = 0.0, i
+        total += gain
+        if total > best:
+            best, first, last = total, start, i + 1
+    return first, last
+
+
+def gains_of(page: list[Piece], model: Model) -> list[float]:
+    """What each token adds to a run's sum: words their scores, tags their costs, rejected blocks ``BRIDGE`` at most."""
+    out = []
+    left, frames = BRIDGE, frozenset()  # what rejected blocks may still cost, and the frames of the last content
+    for x in page:
+        gain = model.word(x) * x.words if x.kind == "text" else model.tag if x.kind == "tag" else model.block
+        if model.place(x) <= 0 or (x.words and gain <= 0):
+            if frames <= x.place:
+                gain = max(gain, -left)
+                left += gain
+        elif x.words and gain > 0:
+            left, frames = BRIDGE, FRAMES & x.place
+        out.append(gain)
+    return out
+
+
 def extract(page: str | None, model: Model | None = None) -> str:
     """The main text of one page."""
     if not page:
         return ""
     model = model or default_model()
-    pieces: list[tuple[str, float]] = []  # text between tags with its word score; a break is ("", score)
-    best = total = 0.0
-    first = start = last = 0  # the best run is pieces[first:last]
-    left, frames = BRIDGE, frozenset()  # what rejected blocks may still cost, and the frames of the last content
-    for kind, context, value in tokens(page):
-        if kind == "text":
-            value = html.unescape(value)
-            n = len(value.split())
-            score = model.word(context)
-            gain = score * n
-            pieces.append((value, score))
-        else:
-            gain = model.tag if kind == "tag" else model.block
-            if kind == "break":
-                pieces.append(("", 0.0))
-            else:
-                pieces.append((None, 0.0))
-        if model.word(context) <= 0:
-            if frames <= context:
-                gain = max(gain, -left)
-                left += gain
-        elif kind == "text" and gain > 0:
-            left, frames = BRIDGE, FRAMES & context
-        if total <= 0:
-            total, start = 0.0, len(pieces) - 1
-        total += gain
-        if total > best:
-            best, first, last = total, start, len(pieces)
+    rows = pieces(page)
+    first, last = best_run(gains_of(rows, model))
     out: list[str] = []
-    for value, score in pieces[first:last]:
-        if value == "":
+    for x in rows[first:last]:
+        if x.kind == "break":
             out.append(" ")
-        elif value is not None:
-            out.append(value if score > 0 else " ")
+        elif x.kind == "text":
+            out.append(x.value if model.place(x) > 0 else " ")
     return " ".join("".join(out).split())
 
 

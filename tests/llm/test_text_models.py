@@ -114,6 +114,59 @@ def test_labelled_pages_come_back():
     assert good >= 54
 
 
+def test_best_run_equals_brute_force():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 9, 40):
+        for _ in range(60):
+            gains = r.integers(-4, 4, n).astype(float).tolist()
+            every = [(sum(gains[a:b]), -a, -(b - a), b) for a in range(n) for b in range(a + 1, n + 1)]
+            best = max(every, default=(0, 0, 0, 0))
+            first, last = H.best_run(gains)
+            assert sum(gains[first:last]) == max(0, best[0])
+            if best[0] > 0:  # of equal sums the one that ends first
+                assert last == min(b for total, _, _, b in every if total == best[0])
+
+
+def test_elements_that_are_never_closed_hide_nothing():
+    body = "Words of the story go on. " * 8
+    want = " ".join(f"Title Lead {body} Last words.".split())
+    for odd in ('<svg class="icon"/>', '<svg class="icon">', "<canvas>", "<video src=x>", "<svg><title>no</title><path d=x/></svg>", "<svg><svg></svg>no</svg>", "<object>no</object>", "<noscript>no</noscript>", "<template>"):
+        assert H.extract(f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>Lead {odd}</p><p>{body}</p><p>Last words.</p></article><footer>c</footer></body>") == want, odd
+    for odd in ("<script>var a = 1;", "<style>p{}", "<iframe src=x>"):
+        assert H.extract(f"<body><article><h1>Title</h1>{odd}<p>Lead</p><p>{body}</p><p>Last words.</p></article><footer>c</footer></body>") == want, odd
+
+
+def test_names_on_blocks_of_the_article_cut_nothing():
+    body = "Words of the story go on and on. " * 10
+    for name in ("lead search-tips", "intro banner", "side note", "reader-question", "header"):
+        for frame in ("article", "main"):
+            page = f'<body><nav><a href=x>Home</a></nav><{frame}><h1>Title</h1><p class="{name}">The lead tells all.</p><p>{body}</p><p class="{name}">An end.</p></{frame}></body>'
+            assert H.extract(page) == f"Title The lead tells all. {body.strip()} An end."
+    aside = "<aside><p>" + "many words that are not of the story " * 9 + "</p></aside>"
+    page = f"<body><article><h1>Title</h1><p>{body}</p>{aside}<p>Short end.</p></article></body>"
+    assert H.extract(page) == f"Title {body.strip()} Short end."
+
+
+def test_structure_alone_tells_menus_and_shops():
+    menu = '<div class="c1"><ul>' + "".join(f"<li><a href=x>Place {i}</a></li>" for i in range(6)) + "</ul></div>"
+    shop = '<div class="c7"><p>Buy now</p><p>Only today <a href=x>cheap things</a></p><p>Sale</p></div>'
+    story = '<div class="c3"><h1>A plain title</h1><p>' + "Words of the story go on and on. " * 6 + "</p><p>Then it ends, as all of them do.</p></div>"
+    assert H.extract(f"<body>{menu}{story}{shop}{menu}</body>") == " ".join(("A plain title " + "Words of the story go on and on. " * 6 + "Then it ends, as all of them do.").split())
+
+
+@pytest.mark.parametrize("unit", ["<!-", "<a '", '<a "', "<", "</", "<script>", "<svg>", "<p <p", "<!--", "&", "<a href=x>", "<style></styl"])
+def test_malformed_pages_take_linear_time(unit):
+    import time
+
+    def took(n):
+        begun = time.perf_counter()
+        H.extract("<article><p>word " + unit * n)
+        return time.perf_counter() - begun
+
+    took(1000)
+    assert took(40_000) < 40 * max(took(4000), 0.005)
+
+
 def test_pages(spark, sf):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (2, None, None, 1), (2, "v", "", 1), (3, "w", "<article><p>" + "word " * 50_000, 1)], "page_id long, url string, html string, n_chars int")
     got = {(r.page_id, r.url): (len(r.text), r.n_chars) for r in H.extract_pages(pages).collect()}
