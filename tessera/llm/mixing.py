@@ -10,7 +10,7 @@ Sources are ranked by code point, null last; weights repeat over the ranks.  Tar
 weight, but stop at ``epochs`` times a source's size; the excess goes to the others by weight until none is above.
 
 Edge cases.  Null, empty or all-space text has size 0 and is never taken.  A null source is a source of its own;
-so is the empty string.  Rows that share a doc_id are separate documents next to each other in key order; a null
+so is the empty string.  There may be as many sources as rows: they are ranked and summed over range-sorted partitions.  Rows that share a doc_id are separate documents next to each other in key order; a null
 doc_id has a key of its own.  Sources without tokens get target 0.  Empty tables give no rows.  Other columns are
 ignored, whatever their names.  Reruns agree.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint
+from .common import checkpoint, sized_broadcast
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -41,21 +41,32 @@ def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     ).withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
 
 
+def sums_before(rows: DataFrame, order: list[str], **sums) -> DataFrame:
+    """``rows`` with, for each name of ``sums``, the sum of its column over all rows that come earlier in ``order``.
+
+    Rows are range-sorted over partitions; sums are taken in each, and over the partitions' totals.
+    """
+    placed = checkpoint(rows.select("*", *(c.cast("long").alias(f"{n}_") for n, c in sums.items())).orderBy(*order).withColumn("place", F.spark_partition_id()))
+    totals = placed.groupBy("place").agg(*(F.sum(f"{n}_").alias(f"{n}_") for n in sums))
+    over = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    totals = totals.select("place", *(F.coalesce(F.sum(f"{n}_").over(over), F.lit(0)).alias(f"{n}_first") for n in sums))
+    inside = Window.partitionBy("place").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = placed.join(sized_broadcast(totals), "place")
+    return found.select(*rows.columns, *((F.col(f"{n}_first") + F.coalesce(F.sum(f"{n}_").over(inside), F.lit(0))).alias(n) for n in sums))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """``sources(none, src, source_size)``, one row a source, with its ``target``: shares by weight under the caps."""
-    everything = Window.partitionBy()
-    rank = F.row_number().over(Window.orderBy("none", "src")) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
-    rows = sources.withColumn("w", weight)
-    order = Window.orderBy(F.col("source_size") / F.col("w"), "none", "src")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    cap = F.col("source_size") * epochs
-    rows = rows.select("*", cap.alias("cap"), F.sum("source_size").over(everything).alias("all"), F.coalesce(F.sum(cap).over(before), F.lit(0)).alias("spent"), F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("open"))
+    ranked = sums_before(sources, ["none", "src"], rank=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    rows = ranked.withColumn("w", weight).withColumns({"cap": F.col("source_size") * epochs, "ratio": F.col("source_size") / F.col("w")})
+    rows = checkpoint(sums_before(rows, ["ratio", "none", "src"], spent=F.col("cap"), closed=F.col("w")))
+    everything, weighed = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     # In rising order of size by weight, a source is capped if its share of what the earlier caps left is above its cap.
-    rows = rows.withColumn("capped", (F.col("all") - F.col("spent")) * F.col("w") > F.col("cap") * F.col("open"))
-    rows = rows.withColumn("kept", F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0)))
-    rows = rows.withColumn("free", F.sum(F.when(~F.col("capped"), F.col("w"))).over(everything))
-    share = ((F.col("all") - F.col("kept")) * F.col("w")).cast("double") / F.col("free").cast("double")
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  the products may leave 64 bits
+    rows = rows.withColumn("capped", wide(F.lit(everything) - F.col("spent")) * wide(F.col("w")) > wide(F.col("cap")) * wide(F.lit(weighed) - F.col("closed")))
+    kept, free = rows.agg(F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0)), F.sum(F.when(~F.col("capped"), F.col("w")))).first()
+    share = (F.lit(everything - kept).cast("long") * F.col("w")).cast("double") / F.lit(free).cast("double")
     return rows.select("none", "src", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 

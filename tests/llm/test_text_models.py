@@ -269,6 +269,17 @@ def brute_mix(rows):
         capped |= over
 
 
+def test_mix_of_many_sources(spark):
+    rows = [(i, "w " * (1 + i * i % 37), f"s{i * 7919 % 500}" if i % 50 else None) for i in range(1500)]
+    got = M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    _, total, target = brute_mix(rows)
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == total[r.source] and r.target == pytest.approx(target[r.source])
+        taken[r.source] += r.taken
+    assert len(target) > 400 and all(abs(taken[s] - target[s]) < 1.0000001 for s in target)
+
+
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (i * 7 % 23)), s) for i, s in enumerate((["a"] * 60 + ["b"] * 6 + [None] * 9 + [""] * 3 + ["z"] * 20))]
     rows += [(7, None, "a"), (None, "one two", "b"), (3, "dup dup", "empty"), (3, "dup dup", "empty"), (500, "", "none")]
