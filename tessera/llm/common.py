@@ -24,11 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share; a local one only where none is set (tests)."""
+    """The folder every executor and the driver share; a local one only where none is set and all run in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return path
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate files, wherever Spark keeps it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
