@@ -6,7 +6,7 @@
    counting as once, and goes if the mix does not reach it;
 4. SentencePiece: every row is encoded and decoded; ids come with the documents' columns.
 
-Each stage is written as Parquet and read again as the next one's input.  Edge cases are those of the operators: null
+Each stage is written as Parquet and read again as the next one's input, which is removed once that one is written.  Edge cases are those of the operators: null
 and empty texts go in the first stage, repeated rows of one doc_id count as one node in the second and are all kept,
 and empty tables pass through.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id, mixing, ngram_join, piece_codec
-from tessera.llm.common import checkpoint, shared_dir, sized_broadcast, table
+from tessera.llm.common import checkpoint, remove, shared_dir, sized_broadcast, table
 from tessera.llm.queries import tokenizer_file
 from tessera.session import ensure_importable
 
@@ -37,7 +37,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each linked group."""
-    parts = ngram_join.jaccard_components(docs.select("doc_id", "text"))
+    parts = ngram_join.jaccard_components(docs.select("doc_id", "text"), links=False)
     gone = checkpoint(parts.where("doc_id != component_id").select("doc_id").distinct())
     return docs.join(sized_broadcast(gone), "doc_id", "left_anti").select(*COLUMNS)
 
@@ -68,9 +68,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written in the shared folder and read again."""
     ensure_importable(spark)
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs
