@@ -16,7 +16,7 @@ def test_run_equals_brute_force(spark, sf):
     told = {r.doc_id: r for r in language_id.identify(docs).collect()}
     rows = [r for r in docs.collect() if told[r.doc_id].lang_pred != "und" and told[r.doc_id].score >= corpus_pipeline.LEAST_SCORE]
     assert len(rows) >= 0.98 * docs.count()
-    keep = {int(d) for d, _, c in components([(r.doc_id, r.text) for r in rows]) if d == c}
+    keep = {int(d) for d, _, c, _ in components([(r.doc_id, r.text) for r in rows]) if d == c}
     rows = [r for r in rows if r.doc_id in keep]
     mixed = {r.doc_id: math.ceil(r.taken / r.size) if r.size else 0 for r in mixing.mix_sources(spark.createDataFrame(rows, docs.schema)).collect()}
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
