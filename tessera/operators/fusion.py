@@ -33,5 +33,8 @@ def fuse(hits: DataFrame, k: int = RRF_K, key: str = "chunk_id") -> DataFrame:
 
 def hybrid(dense: DataFrame, sparse: DataFrame, k: int = RRF_K, key: str = "chunk_id") -> DataFrame:
     """Both legs fused; no limit beyond theirs."""
+    # The legs hold a few rows a query.  Dealt alike by query_id, their union would be zipped by partition, which fails
+    # where adaptive execution merges the partitions of one leg only.
+    sparse = sparse.repartition(key)
     legs = [leg.withColumn("source", F.lit(name)).withColumn("source_order", F.lit(i)) for i, (name, leg) in enumerate((("dense", dense), ("sparse", sparse)))]
     return fuse(legs[0].unionByName(legs[1], allowMissingColumns=True), k, key)

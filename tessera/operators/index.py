@@ -1,8 +1,7 @@
 """Index tables: chunks by token windows, term postings, document frequencies, corpus statistics.
 
-A chunk row is (tenant, collection, document_id, chunk_index, chunk_id, text); postings are one row a chunk and term.
-Write postings with ``write_postings`` to have them bucketed by term, so that query terms meet them without a shuffle
-of the postings.
+A chunk row is (tenant, collection, document_id, chunk_index, chunk_id, text); postings are one row a chunk and term
+(``stored`` keeps them).
 """
 
 from __future__ import annotations
@@ -35,6 +34,17 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", T.chunk_uuid("tenant", "document_id", "chunk_index"))
 
 
+def runs_of_terms(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., term, tf, length, places) of ``rows(keep..., terms)``, by runs of each row's sorted terms; no shuffle."""
+    placed = F.array_sort(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
+    held = rows.select(*keep, placed.alias("s")).where(F.size("s") > 0).withColumn("length", F.size("s"))
+    at = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.get("s", i - 1)["term"] != F.get("s", i - 2)["term"]))
+    until = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.col("length") + 1))
+    run = lambda a, b: F.struct(F.get("s", a - 1)["term"].alias("term"), (b - a).alias("tf"), F.slice("s", a, b - a)["place"].alias("places"))
+    counted = held.withColumn("at", at).select(*keep, "length", F.explode(F.zip_with("at", until, run)).alias("x"))
+    return counted.select(*keep, "x.term", "x.tf", "length", "x.places")
+
+
 def postings(units: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(key, term, tf, length) of ``units``.
 
@@ -48,11 +58,6 @@ def postings(units: DataFrame, key: str = "chunk_id", text: str = "text") -> Dat
     return counted.select(key, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "length")
 
 
-def write_postings(rows: DataFrame, name: str, buckets: int = 64) -> None:
-    """Store postings as a table bucketed and sorted by term."""
-    rows.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
-
-
 def corpus_stats(documents: DataFrame) -> DataFrame:
     """Per tenant and collection: documents, tokens, and their average (0 without documents)."""
     sums = documents.groupBy("tenant", "collection").agg(F.count(F.lit(1)).alias("total_docs"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"))

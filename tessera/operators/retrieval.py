@@ -1,27 +1,40 @@
 """Dense, sparse, full-text and hybrid retrieval of many queries at once, keyed by query_id.
 
-Index sides are never broadcast.  The query side is, if it was counted to be small (``small``); beyond that the same
-joins shuffle.  Ties are broken by chunk_id, so results are total orders.
+Index sides are never broadcast.  The query side is, if it was counted to be small in rows and bytes (``small``);
+beyond that the same joins shuffle.  Ties are broken by chunk_id, so results are total orders.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from .stored import StoredIndex
 
 K1, B, AVGDL, QUERY_B = 1.2, 0.75, 300.0, 0.3
 DENSE_K, SPARSE_K, FTS_K, RRF_K = 20, 20, 10, 60
+SMALL_BYTES = 64 << 20
 SMALL_ROWS = 100_000
 
 
-def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast if the table has at most ``limit`` rows, by a count that stops there."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> int:
+    """A bound on what a row of fixed-width columns takes; strings count 64 bytes, lists of numbers 4096 components."""
+    sizes = {"string": 64, "array<float>": 4 * 4096, "array<double>": 8 * 4096}
+    return sum(sizes.get(kind, 16 if not kind.startswith(("array", "struct", "map")) else 1024) for _, kind in df.dtypes)
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS, most: int = SMALL_BYTES) -> DataFrame:
+    """Hint a broadcast if the table has at most ``limit`` rows and ``most`` bytes, by a count that stops there."""
+    rows = max(1, min(limit, most // row_bytes(df)))
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def top(scored: DataFrame, k: int, *order: Column | str, by: str = "query_id") -> DataFrame:
@@ -58,6 +71,22 @@ def sparse_scores(queries: DataFrame, postings: DataFrame, total: DataFrame, key
     return hits.join(small(weighted), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
+def stored_scores(queries: DataFrame, index: StoredIndex) -> DataFrame:
+    """BM25 score of every (query, unit) that share a term, from a stored index: (query_id, key, score)."""
+    asked = query_terms(queries)
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    known = index.terms.join(small(asked.select("term").distinct()), "term", "left_semi")
+    weighted = asked.join(known, "term").crossJoin(F.broadcast(index.total())).select("query_id", "term", (F.col("query_weight") * idf).alias("w"))
+    part = F.col("w") * saturation(F.col("tf"), F.col("length"), B)
+    hits = index.postings.select(index.key, "term", "tf", "length")
+    return hits.join(small(weighted), "term").groupBy("query_id", index.key).agg(F.sum(part).alias("score"))
+
+
+def stored_topk(queries: DataFrame, index: StoredIndex, k: int = SPARSE_K) -> DataFrame:
+    """Top k by BM25 from a stored index; scores are rounded to 9 places so that summation order cannot reorder ties."""
+    return top(stored_scores(queries, index).withColumn("score", F.round("score", 9)), k, F.desc("score"), index.key)
+
+
 def asked_postings(queries: DataFrame, units: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Postings of the queries' terms alone, for searches without a stored index.
 
@@ -74,12 +103,71 @@ def sparse_topk(queries: DataFrame, postings: DataFrame, total: DataFrame, k: in
     return top(scored, k, F.desc("score"), key)
 
 
+DENSE_BYTES = 32 << 20
+
+
 def dense_topk(queries: DataFrame, points: DataFrame, k: int = DENSE_K, key: str = "chunk_id", shards: int = 32) -> DataFrame:
-    """Exact top k by cosine of ``queries(query_id, vector)`` over ``points(key, vector)``, in two steps.
+    """Exact top k by cosine of ``queries(query_id, vector)`` over ``points(key, vector)``.
 
-    Points are spread over shards and every query visits each shard (an equi-join on the shard); a shard's best k of a
-    query are kept before all shards of the query meet, so at most k x shards rows a query are shuffled.
+    Up to ``DENSE_BYTES`` of query vectors go to all tasks, each of which multiplies blocks of its points by all of
+    them and returns the k best of each query, so points are not shuffled.  Beyond it points and queries meet by shard.
+    Null and zero vectors, and vectors of another length than the query's, take no part.
     """
+    rows = max(1, DENSE_BYTES // (8 * 4096))
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").limit(rows + 1).toArrow()
+    if asked.num_rows > rows:
+        return sharded_topk(queries, points, k, key, shards)
+    # A task's k best of each query meet those of the others.
+    kind = points.schema[key].dataType.simpleString()
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+    found = points.select(key, F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").mapInArrow(best_products(asked, k, key), f"query_id {query_kind}, `{key}` {kind}, score double")
+    return top(found, k, F.desc("score"), key)
+
+
+def best_products(asked: pa.Table, k: int, key: str):
+    """Over batches of ``(key, vector)``: each query's best rows by cosine, ties at the last place all kept."""
+
+    def unit(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        length = np.sqrt((x * x).sum(axis=1))
+        good = np.flatnonzero(length > 0)  # neither zero nor with missing components
+        return x[good] / length[good, None], good
+
+    def by_dim(table: pa.Table | pa.RecordBatch):
+        vectors = table.column("vector")
+        vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+        dims = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+        for dim in np.unique(dims[dims > 0]).tolist():
+            at = np.flatnonzero(dims == dim)
+            x, good = unit(vectors.take(pa.array(at)))
+            yield dim, x, at[good]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = {dim: (x, asked.column("query_id").combine_chunks().take(pa.array(at))) for dim, x, at in by_dim(asked)}
+        floor = {dim: np.full(len(x), -np.inf) for dim, (x, _) in sides.items()}  # the k-th best so far
+        held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+        kept: dict[int, np.ndarray] = {dim: np.zeros((len(x), 0)) for dim, (x, _) in sides.items()}
+        for batch in batches:
+            for dim, x, at in by_dim(batch):
+                if dim not in sides:
+                    continue
+                q, ids = sides[dim]
+                score = np.round(q @ x.T, 9)
+                best = np.concatenate([kept[dim], -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]], axis=1)
+                kept[dim] = -np.sort(-best, axis=1)[:, :k]
+                if kept[dim].shape[1] == k:
+                    floor[dim] = kept[dim][:, -1]
+                i, j = np.nonzero(score >= floor[dim][:, None])
+                held.append((ids.take(pa.array(i)), batch.column(key).take(pa.array(at[j])), score[i, j]))
+        for ids, keys, score in held:
+            yield pa.record_batch([ids, keys, pa.array(score)], names=["query_id", key, "score"])
+
+    return run
+
+
+def sharded_topk(queries: DataFrame, points: DataFrame, k: int = DENSE_K, key: str = "chunk_id", shards: int = 32) -> DataFrame:
+    """The same in two steps: points are spread over shards and every query visits each shard (an equi-join on the
+    shard); a shard's best k of a query are kept before all shards of the query meet."""
     q = queries.select("query_id", F.col("vector").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     p = points.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
     scored = p.join(small(q), "shard").select("query_id", key, "shard", F.round(V.cosine("q", "vector"), 9).alias("score")).where("score is not null")
@@ -121,14 +209,95 @@ def parse_search(query: str) -> dict[str, list]:
     return {"groups": groups, "negated": negated}
 
 
-def positions(units: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, places): where each term stands in a unit."""
-    rows = units.select(key, F.posexplode(T.terms(text)).alias("place", "term"))
-    return rows.groupBy(key, "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
+def parsed_searches(spark: SparkSession, searches: list[tuple[object, str]]) -> DataFrame:
+    """Web-search queries as rows (query_id, item, slot, negated, place, term): ``item`` numbers the words and phrases,
+    ``slot`` the groups of alternatives of which one must match; ``place`` counts the terms of an item."""
+    rows = []
+    for query_id, query in searches:
+        parsed = parse_search(query)
+        items = [(slot, False, item) for slot, group in enumerate(parsed["groups"]) for item in group] + [(None, True, item) for item in parsed["negated"]]
+        rows += [(query_id, i, slot, negated, place, term) for i, (slot, negated, item) in enumerate(items) for place, term in enumerate(item)]
+    kind = "string" if any(isinstance(q, str) for q, _ in searches) else "long"
+    return spark.createDataFrame(rows, f"query_id {kind}, item int, slot int, negated boolean, place int, term string")
+
+
+def item_hits(asked: DataFrame, index: StoredIndex) -> DataFrame:
+    """(query_id, key, item, slot, negated): the units that hold each word or phrase, by the places of its terms."""
+    size = asked.groupBy("query_id", "item").agg(F.count(F.lit(1)).alias("size"))
+    wanted = small(asked.join(size, ["query_id", "item"]))
+    met = index.postings.select(index.key, "term", "places").join(wanted, "term")
+    by = ["query_id", index.key, "item", "slot", "negated"]
+    words = met.where("size = 1").select(*by)
+    started = met.where("size > 1").select(*by, "size", "place", F.explode("places").alias("at")).withColumn("start", F.col("at") - F.col("place"))
+    phrases = started.groupBy(*by, "size", "start").agg(F.count(F.lit(1)).alias("n")).where("n = size").select(*by).distinct()
+    return words.union(phrases)
+
+
+def stored_matches(searches: list[tuple[object, str]], index: StoredIndex) -> DataFrame:
+    """(query_id, key) of all units that satisfy each web-search query, many queries at once, from a stored index.
+
+    A query matches where every group has a match and no negated item has one; one of negated items alone matches all
+    other units, and one without words nothing.
+    """
+    spark = index.postings.sparkSession
+    asked = parsed_searches(spark, searches)
+    wanted = asked.groupBy("query_id").agg(F.count_distinct("slot").alias("slots"))
+    found = item_hits(asked, index).groupBy("query_id", index.key).agg(F.count_distinct(F.when(~F.col("negated"), F.col("slot"))).alias("have"), F.bool_or("negated").alias("refused"))
+    told = found.join(F.broadcast(wanted), "query_id")  # one row a query
+    some = told.where("slots > 0 and have = slots and not refused").select("query_id", index.key)
+    only = F.broadcast(wanted.where("slots = 0").select("query_id"))
+    rest = index.units.select(index.key).crossJoin(only).join(told.where("slots = 0 and refused").select("query_id", index.key), ["query_id", index.key], "left_anti")
+    return some.unionByName(rest)
+
+
+def cover_density(places: dict[str, list[int]], needed: list[str], weight: float = 0.1) -> float:
+    """Cover density of one unit: over all minimal spans that hold every needed term, ``weight`` by one more than the
+    gaps in it."""
+    want, last, start, total = sorted(set(needed)), {}, -1, 0.0
+    for end, term in sorted((p, t) for t in want for p in places.get(t, [])):
+        last[term] = end
+        first = min(last.values()) if len(last) == len(want) else -1
+        if first >= 0 and first != start:  # the shortest span from this start ends here
+            total += weight / (1 + max(0, end - first - (len(want) - 1)))
+            start = first
+    return total
+
+
+def covered(events: Column, needed: Column, weight: float = 0.1) -> Column:
+    """``cover_density`` as an expression.
+
+    ``events`` are structs (place, t) in order of places, t from 0 to ``needed`` - 1.
+    """
+    start = F.struct(F.array_repeat(F.lit(-1), needed).alias("last"), F.lit(-1).alias("start"), F.lit(0.0).alias("total"))
+
+    def step(s: Column, e: Column) -> Column:
+        last = F.transform(s["last"], lambda x, i: F.when(i == e["t"], e["place"]).otherwise(x))
+        first = F.array_min(last)
+        fresh = (first >= 0) & (first != s["start"])  # the shortest span from this start ends here
+        gaps = F.greatest(F.lit(0), e["place"] - first - (needed - 1))
+        return F.struct(last.alias("last"), F.when(fresh, first).otherwise(s["start"]).alias("start"), (s["total"] + F.when(fresh, F.lit(weight) / (1 + gaps)).otherwise(0.0)).alias("total"))
+
+    return F.aggregate(events, start, step, lambda s: s["total"])
+
+
+def stored_fts(searches: list[tuple[object, str]], index: StoredIndex, k: int = FTS_K, *order: str) -> DataFrame:
+    """Matches ranked by cover density of the first alternative of each group, then by ``order`` (the key at last)."""
+    spark = index.postings.sparkSession
+    needed = []
+    for query_id, query in searches:
+        terms = list(dict.fromkeys(t for group in parse_search(query)["groups"] for t in group[0]))
+        needed += [(query_id, i, t, len(terms)) for i, t in enumerate(terms)]
+    kind = "string" if any(isinstance(q, str) for q, _ in searches) else "long"
+    wanted = spark.createDataFrame(needed, f"query_id {kind}, t int, term string, needed int")
+    met = index.postings.select(index.key, "term", "places").join(small(wanted), "term").select("query_id", index.key, "needed", "t", F.explode("places").alias("place"))
+    matched = stored_matches(searches, index)
+    events = met.join(matched, ["query_id", index.key], "left_semi").groupBy("query_id", index.key, "needed").agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias("events"))
+    scored = matched.join(events, ["query_id", index.key], "left").withColumn("score", F.coalesce(covered(F.col("events"), F.col("needed")), F.lit(0.0)))
+    return top(scored.drop("events", "needed"), k, F.desc(F.round("score", 9)), *order, index.key)
 
 
 def fts_matches(units: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """The units that satisfy a web-search query; nothing for a query without words.
+    """The units that satisfy a web-search query, without a stored index; nothing for a query without words.
 
     A unit's terms become one line with single spaces, made once a row; terms and phrases are then substrings of it.
     """
@@ -152,48 +321,6 @@ def fts_matches(units: DataFrame, query: str, text: str = "text") -> DataFrame:
     return units.where(F.exists(F.array(line), condition))
 
 
-def cover_density(places: dict[str, list[int]], needed: list[str], weight: float = 0.1) -> float:
-    """Cover density: over all minimal spans that hold every needed term, the summed weights by span length."""
-    if any(t not in places for t in needed):
-        return 0.0
-    events = sorted((p, t) for t in set(needed) for p in places[t])
-    want, have, left, total = len(set(needed)), {}, 0, 0.0
-    for right, (end, term) in enumerate(events):
-        have[term] = have.get(term, 0) + 1
-        shrunk = False
-        while len(have) == want:
-            shrunk = True
-            first = events[left]
-            have[first[1]] -= 1
-            if not have[first[1]]:
-                del have[first[1]]
-            left += 1
-            begin = first[0]
-        if shrunk:
-            gaps = (end - begin) - (want - 1)
-            total += 1.0 / (want / weight) * want / (1 + max(0, gaps))
-            del right
-    return total
-
-
-def fts_topk(units: DataFrame, query: str, k: int = FTS_K, key: str = "chunk_id") -> DataFrame:
-    """Matches of a query ranked by cover density, then by (document_id, chunk_index)."""
-    needed = [t for group in parse_search(query)["groups"] for t in group[0]]
-
-    @F.pandas_udf("double")
-    def rank(terms: pd.Series) -> pd.Series:
-        def one(row) -> float:
-            places: dict[str, list[int]] = {}
-            for i, t in enumerate(row):
-                places.setdefault(t, []).append(i)
-            return cover_density(places, needed) if needed else 0.0
-
-        return terms.map(one)
-
-    scored = fts_matches(units, query).withColumn("score", rank(T.terms("text")))
-    return scored.orderBy(F.desc("score"), "document_id", "chunk_index").limit(k)
-
-
 def neighbours(anchors: DataFrame, chunks: DataFrame, before: int = 1, after: int = 1) -> DataFrame:
     """Chunks around each anchor (query_id, tenant, document_id, chunk_index), the anchor included; negatives count as 0."""
     before, after = max(0, before), max(0, after)

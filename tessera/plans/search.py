@@ -10,9 +10,10 @@ from ..operators import agents, chat, evals, routing
 from ..operators import context as C
 from ..operators import fusion as FU
 from ..operators import retrieval as R
+from ..session import checkpointed
 from ..sources import specs
 from .corpus import CHUNKS, chunks
-from .registry import benchmark_queries, corpus, query, table
+from .registry import benchmark_queries, corpus, index_of, query, table
 
 
 def _keyed():
@@ -33,7 +34,15 @@ sc AS (SELECT query_id, key, round(sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) *
        FROM qw JOIN df USING (term) JOIN po USING (term), nn GROUP BY query_id, key),
 sparse AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank FROM sc)
 """
-_Q = "q AS (SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark)"
+_Q = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+
+def _chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).select(_keyed().alias("key"), "text")
+
+
+def _document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
 
 
 @query(f"""
@@ -41,10 +50,7 @@ WITH {CHUNKS}, {_Q}, units AS (SELECT doc_id || ':' || lpad(CAST(chunk_index AS
 SELECT query_id, key, round(score, 6) AS score, rank FROM sparse WHERE rank <= 20""")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top 20 of every benchmark query over the chunks of the corpus."""
-    units = chunks(spark, sf_dir).select(_keyed().alias("key"), "text")
-    total = units.agg(F.count(F.lit(1)).alias("n"))
-    queries = benchmark_queries(spark, sf_dir)
-    found = R.sparse_topk(queries, R.asked_postings(queries, units, "key").cache(), total, key="key")
+    found = R.stored_topk(benchmark_queries(spark, sf_dir), index_of(spark, sf_dir, "chunks", _chunk_units))
     return found.select("query_id", "key", F.round("score", 6).alias("score"), "rank")
 
 
@@ -59,7 +65,7 @@ dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score
 def _dense(spark: SparkSession, sf_dir: str, k: int = R.DENSE_K) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
     q = table(spark, sf_dir, "benchmark").select("item_id").join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return R.dense_topk(q, e, k, key="key", shards=8)
+    return R.dense_topk(q, e, k, key="key")
 
 
 @query(f"WITH {_DENSE} SELECT query_id, key, round(score, 6) AS score, rank FROM dense WHERE rank <= 20")
@@ -76,12 +82,9 @@ hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    units = docs.select(F.col("doc_id").cast("string").alias("key"), "text")
-    total = units.agg(F.count(F.lit(1)).alias("n"))
-    queries = benchmark_queries(spark, sf_dir)
-    sparse = R.sparse_topk(queries, R.asked_postings(queries, units, "key").cache(), total, key="key")
-    dense = _dense(spark, sf_dir).join(units.select("key"), "key", "left_semi")
+    index = index_of(spark, sf_dir, "documents", _document_units)
+    sparse = R.stored_topk(benchmark_queries(spark, sf_dir), index)
+    dense = _dense(spark, sf_dir).join(index.units, "key", "left_semi")
     return FU.hybrid(dense, sparse, key="key")
 
 
@@ -139,29 +142,30 @@ UNION ALL SELECT 2, doc_id FROM t WHERE (s LIKE '% that %' OR s LIKE '% this %')
 UNION ALL SELECT 3, doc_id FROM t WHERE s LIKE '% erty %'
 UNION ALL SELECT 4, doc_id FROM t WHERE s LIKE '% of the %' AND s NOT LIKE '% and the %'""")
 def fts_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = [R.fts_matches(docs, q).select(F.lit(i).alias("query_no"), "doc_id") for i, q in enumerate(FTS_QUERIES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    found = R.stored_matches(list(enumerate(FTS_QUERIES)), index_of(spark, sf_dir, "documents", _document_units))
+    return found.select(F.col("query_id").cast("int").alias("query_no"), F.col("key").cast("long").alias("doc_id"))
 
 
-@query()
+@query(rf"""
+WITH {CHUNKS}, u AS (SELECT doc_id || ':' || lpad(CAST(chunk_index AS VARCHAR), 6, '0') AS key, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ts FROM chunks),
+m AS (SELECT * FROM u WHERE contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ') AND list_contains(ts, 'and')),
+e AS (SELECT key, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM m),
+l AS (SELECT key, p, max(CASE WHEN t = 'of' THEN p END) OVER w AS a, max(CASE WHEN t = 'the' THEN p END) OVER w AS b, max(CASE WHEN t = 'and' THEN p END) OVER w AS c FROM e WHERE t IN ('of', 'the', 'and') WINDOW w AS (PARTITION BY key ORDER BY p ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT key, p, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN least(a, b, c) END AS s0 FROM l),
+f AS (SELECT *, lag(s0) OVER (PARTITION BY key ORDER BY p) AS before FROM s),
+r AS (SELECT key, round(sum(CASE WHEN s0 IS NOT NULL AND s0 IS DISTINCT FROM before THEN 0.1::DOUBLE / (1 + greatest(0, p - s0 - 2)) ELSE 0 END), 9) AS score FROM f GROUP BY key),
+o AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, key) AS INTEGER) AS rank FROM r)
+SELECT key, round(score, 6) AS score, rank FROM o WHERE rank <= 10""")
 def fts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 10 of a phrase query by cover density."""
-    units = chunks(spark, sf_dir).withColumn("chunk_id", _keyed())
-    return R.fts_topk(units, '"of the" and').select("document_id", "chunk_index", "score")
+    """Top 10 of a phrase query by cover density, from the stored places."""
+    found = R.stored_fts([(0, '"of the" and')], index_of(spark, sf_dir, "chunks", _chunk_units))
+    return found.select("key", F.round("score", 6).alias("score"), "rank")
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    hits = R.fts_matches(docs, '"and the"').select("chunk_id").orderBy("chunk_id").limit(10)
-    q = benchmark_queries(spark, sf_dir).select("query_id")
-    from pyspark.sql.window import Window
-
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy("chunk_id")))
-    return ranked.join(R.small(q.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).drop("one")
+    found = R.stored_matches([(0, '"and the"')], index_of(spark, sf_dir, "documents", _document_units)).select("query_id", F.col("key").alias("chunk_id"))
+    ten = R.top(found, 10, "chunk_id").select("chunk_id", "rank").withColumn("every", F.lit(0))
+    return benchmark_queries(spark, sf_dir).select("query_id", F.lit(0).alias("every")).join(F.broadcast(ten), "every").drop("every")
 
 
 @query(rf"""
@@ -178,7 +182,7 @@ def profile_lexical_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED = """
-asked AS (SELECT item_id AS query_id, lower(CASE item_id % 7 WHEN 0 THEN 'Compare ' WHEN 1 THEN 'How do I ' WHEN 2 THEN 'Which ' WHEN 3 THEN 'Find ' WHEN 4 THEN 'Latest ' WHEN 5 THEN 'What is > ' ELSE '' END || substr(text, 1, 60)) AS q FROM benchmark),
+asked AS (SELECT item_id AS query_id, lower(CASE item_id % 7 WHEN 0 THEN 'Compare ' WHEN 1 THEN 'How do I ' WHEN 2 THEN 'Which ' WHEN 3 THEN 'Find ' WHEN 4 THEN 'Latest ' WHEN 5 THEN 'What is > ' ELSE '' END || text) AS q FROM benchmark),
 fl AS (SELECT *, contains(q, 'compare ') OR contains(q, 'tradeoff') OR contains(q, 'vs ') AS c, contains(q, 'how do i') OR contains(q, 'runbook') OR contains(q, 'steps') AS h, contains(q, 'which ') OR contains(q, 'difference between') AS a,
   contains(q, 'find ') OR contains(q, 'show me') OR contains(q, 'search for') OR contains(q, 'overview of') OR contains(q, 'documents about') OR contains(q, 'docs about') AS e, contains(q, 'today') OR contains(q, 'latest') OR contains(q, 'current') AS t FROM asked)
 """
@@ -187,7 +191,7 @@ _PREFIX = ("Compare ", "How do I ", "Which ", "Find ", "Latest ", "What is > ",
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.get(F.array(*(F.lit(p) for p in _PREFIX)), (F.col("item_id") % 7).cast("int"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(lead, F.substring("text", 1, 60)).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(lead, F.col("text")).alias("query"))
 
 
 @query(f"""
@@ -212,13 +216,13 @@ WITH {_ASKED}
 SELECT 'run-' || query_id AS run_id, 'completed' AS status, CASE WHEN c OR h OR a OR e THEN 'route_query,retrieve_evidence,compose_answer,final_answer' ELSE 'route_query,baseline_answer,final_answer' END AS steps FROM fl""")
 def agent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The routed graph over every query, with the mock model."""
-    hits = _context_hits(spark, sf_dir).where("rank <= 5").cache()  # a few rows a query, used by every branch
+    hits = checkpointed(_context_hits(spark, sf_dir).where("rank <= 5"))  # a few rows a query, used by every branch
     runs = _asked(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run-"), F.col("query_id").cast("string")))
     done = agents.execute(specs.ROUTED, runs, agents.retrieval_tasks(hits))
     return done.select("run_id", "status", F.array_join("steps", ",").alias("steps"))
 
 
-@query("SELECT item_id AS query_id, 'Mock answer to: ' || substr(text, 1, 60) AS answer FROM benchmark")
+@query("SELECT item_id AS query_id, 'Mock answer to: ' || text AS answer FROM benchmark")
 def single_shot_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.single_shot(benchmark_queries(spark, sf_dir), _context_hits(spark, sf_dir), max_tokens=2000, max_chunks=6).select("query_id", "answer")
 
@@ -258,7 +262,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.system_prompt("text", "role").alias("prompt"))
 
 
-@query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE substr(text, 1, 10) END AS value FROM documents")
+@query(r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN text <> '' THEN text END AS value FROM documents")
 def empty_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 1, 10))
+    raw = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", T.empty_to_null(raw).alias("value"))
