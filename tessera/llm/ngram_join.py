@@ -53,7 +53,7 @@ LIST_BLOCK = 64
 CELL_ROWS = 2048
 CELLS = 1 << 31  # more blocks than a list can have
 SPREAD = 1024  # pairs of one text that go to one task
-BLOCK_COST = 512  # sets (with small differences) in a block of a cluster
+BLOCK_COST = 256  # sets (with small differences) in a block of a cluster
 COLUMNS = 4096  # shingles of a step when differences meet
 
 
@@ -304,39 +304,38 @@ def _met(postings: DataFrame, total: int, similarity: Fraction) -> DataFrame:
     return checkpoint(found.where("token is null").select("a", "b").union(more.select("a", "b")).distinct())
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs(a, ra, b, rb)`` of set names and doc_ids, with both texts.  A text of many pairs is dealt over salts."""
-    ids = checkpoint(pairs.select(F.col("ra").alias("doc_id")).union(pairs.select("rb")).distinct())
-    texts = docs.join(sized_broadcast(ids), "doc_id", "left_semi")
-    for x, other in (("a", "b"), ("b", "a")):
-        salts = F.ceil(F.count(F.lit(1)) / SPREAD).cast("int")
-        hot = sized_broadcast(checkpoint(pairs.groupBy(F.col(f"r{x}").alias("hot_id")).agg(salts.alias("salts")).where("salts > 1")))
-        many = F.coalesce("salts", F.lit(1))
-        text = texts.join(hot, F.col("doc_id") == F.col("hot_id"), "left").select(F.col("doc_id").alias(f"r{x}"), F.col("text").alias(f"text_{x}"), F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"))
-        salted = pairs.join(hot, F.col(f"r{x}") == F.col("hot_id"), "left").withColumn("salt", F.pmod(F.xxhash64(other), many).cast("int")).drop("hot_id", "salts")
-        pairs = salted.join(text, [f"r{x}", "salt"]).drop("salt")
-    return pairs
-
-
-def _both(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
-    """Rows of ``_texts`` with both sets; rows whose texts are not the sets named (another text of a doc_id) are left out."""
-    for part in slices(batches, "text_a", 1 << 20):
-        for piece in slices(iter([part]), "text_b", 1 << 20):
-            names = [piece.column(c).to_numpy() for c in "ab"]
-            sides = []
-            for name, column in zip(names, ("text_a", "text_b"), strict=True):
-                texts = piece.column(column)
-                if len(np.unique(name)) < len(name):  # one set in many pairs
-                    coded = texts.dictionary_encode()
-                    sets = shingle_sets(coded.dictionary, width)
-                    sides.append([sets[k] for k in coded.indices.to_pylist()])
-                else:
-                    sides.append(shingle_sets(texts, width))
-            right = [int(_identity(x).astype(np.int64)) == i and int(_identity(y).astype(np.int64)) == j for x, y, i, j in zip(*sides, *(n.tolist() for n in names), strict=True)]
-            if not all(right):
-                keep = np.flatnonzero(right)
-                piece, sides = piece.take(pa.array(keep)), [[side[k] for k in keep] for side in sides]
-            yield piece, *sides
+def _meetings(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of ``pairs(a, ra, b, rb)`` of set names and doc_ids, in the order ``_both`` reads: each text of a ``ra``
+    once, and behind it those of its partners.  A text of many pairs is dealt over salts."""
+    salts = F.ceil(F.count(F.lit(1)) / SPREAD).cast("int")
+    firsts = checkpoint(pairs.groupBy("ra").agg(salts.alias("salts")))
+    seconds = pairs.select(F.col("rb").alias("doc_id")).distinct()
+    texts = docs.join(sized_broadcast(checkpoint(firsts.select(F.col("ra").alias("doc_id")).union(seconds).distinct())), "doc_id", "left_semi")
+    left = texts.join(sized_broadcast(firsts), F.col("doc_id") == F.col("ra")).select("ra", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    salted = pairs.join(sized_broadcast(firsts), "ra").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    right = salted.join(texts.withColumnRenamed("doc_id", "rb"), "rb").select("ra", "salt", F.lit(1), "a", "b", "text")
+    return left.union(right).repartition("ra", "salt").sortWithinPartitions("ra", "salt", "kind").select("ra", "kind", "a", "b", "text")
+
+
+def _both(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int], list[int], list[np.ndarray], list[np.ndarray]]]:
+    """Names and sets of the pairs of ``_meetings``; a text that is not the set named (another of its doc_id) is left out."""
+    at, held = None, {}  # the sets of the doc_id whose partners follow
+    for part in slices(batches, "text", 1 << 20):
+        ids, kinds, first, second = (part.column(c).to_pylist() for c in ("ra", "kind", "a", "b"))
+        out: tuple[list, ...] = ([], [], [], [])
+        for i, s in enumerate(shingle_sets(part.column("text"), width)):
+            if ids[i] != at:
+                at, held = ids[i], {}
+            if not len(s):
+                continue
+            name = int(_identity(s).astype(np.int64))
+            if not kinds[i]:
+                held[name] = s
+            elif name == second[i] and first[i] in held:
+                for column, value in zip(out, (first[i], name, held[first[i]], s), strict=True):
+                    column.append(value)
+        if out[0]:
+            yield out
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -348,13 +347,13 @@ def _linked(width: int, similarity: Fraction):
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, left, right in _both(batches, width):
+        for first, second, left, right in _both(batches, width):
             keep = []
-            for x, y in zip(left, right, strict=True):
+            for i, (x, y) in enumerate(zip(left, right, strict=True)):
                 both = int(_overlap(x, y).sum())
-                keep.append(q * both >= p * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([piece.column("a").filter(keep), piece.column("b").filter(keep)], names=["a", "b"])
+                if q * both >= p * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield pa.record_batch([pa.array([side[i] for i in keep], pa.int64()) for side in (first, second)], names=["a", "b"])
         give_back()
 
     return run
@@ -362,17 +361,17 @@ def _linked(width: int, similarity: Fraction):
 
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """Of the proposed ``pairs(a, ra, b, rb)`` those that link, checked on the whole sets of both texts."""
-    return _texts(docs, pairs).select("a", "b", "text_a", "text_b").mapInArrow(_linked(width, similarity), "a long, b long").distinct()
+    return _meetings(docs, pairs).mapInArrow(_linked(width, similarity), "a long, b long").distinct()
 
 
 def _differences(width: int):
     """For each pair of a central set a and a set b: the places in a that b lacks, and the shingles that it adds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, left, right in _both(batches, width):
+        for _, second, left, right in _both(batches, width):
             lacks = [np.flatnonzero(~_overlap(x, y)).astype(np.uint32) for x, y in zip(left, right, strict=True)]
             adds = [y[~_overlap(y, x)] for x, y in zip(left, right, strict=True)]
-            cols = [piece.column("b"), pa.array([len(x) for x in left], pa.int64()), pa.array([len(v) for v in lacks], pa.int64()), pa.array([len(v) for v in adds], pa.int64()), pa.array([v.tobytes() for v in lacks], pa.binary()), pa.array([v.tobytes() for v in adds], pa.binary())]
+            cols = [pa.array(second, pa.int64()), pa.array([len(x) for x in left], pa.int64()), pa.array([len(v) for v in lacks], pa.int64()), pa.array([len(v) for v in adds], pa.int64()), pa.array([v.tobytes() for v in lacks], pa.binary()), pa.array([v.tobytes() for v in adds], pa.binary())]
             yield pa.record_batch(cols, names=["cid", "whole", "d", "a", "lacks", "adds"])
         give_back()
 
@@ -437,7 +436,7 @@ def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, nea
     proposals = near.groupBy(F.col("a").alias("cid")).agg(F.count(F.lit(1)).alias("c"))
     centre = members.join(proposals, "cid", "left").groupBy("component").agg(F.max(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "cid", "rep")).alias("x")).select("component", F.col("x.cid").alias("a"), F.col("x.rep").alias("ra"))
     pairs = checkpoint(members.join(sized_broadcast(checkpoint(centre)), "component").withColumnsRenamed({"cid": "b", "rep": "rb"}))
-    told = _texts(docs, pairs.select("a", "ra", "b", "rb")).select("a", "b", "text_a", "text_b").mapInArrow(_differences(width), "cid long, whole long, d long, a long, lacks binary, adds binary").dropDuplicates(["cid"])
+    told = _meetings(docs, pairs.select("a", "ra", "b", "rb")).mapInArrow(_differences(width), "cid long, whole long, d long, a long, lacks binary, adds binary").dropDuplicates(["cid"])
     w = (p + q) * F.col("whole") - 2 * (p + q) * F.col("d") - 2 * p * F.col("n")
     cost = 1 + F.floor((F.col("d") + F.col("a")) / 64)
     rows = checkpoint(pairs.select(F.col("b").alias("cid"), "component", "size", "n").join(told, "cid").withColumns({"w": w, "cost": cost}))
@@ -478,8 +477,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction
 
     keyed = classes.select("cid", "rep", F.posexplode(F.array(*(f"m{k}" for k in range(KEYS)))).alias("k", "m"))
     leaders = keyed.groupBy("k", "m").agg(F.min(F.struct("rep", "cid")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    proposed = checkpoint(keyed.join(leaders, ["k", "m"]).where("cid != lead.cid").select(F.col("lead.cid").alias("a"), F.col("lead.rep").alias("ra"), F.col("cid").alias("b"), F.col("rep").alias("rb")).distinct())
-    near = checkpoint(_verify(known, proposed, width, similarity))
+    # A class is compared with the leader that most of its keys propose, and with the others only if that one fails.
+    proposals = keyed.join(leaders, ["k", "m"]).where("cid != lead.cid").groupBy(F.col("cid").alias("b"), F.col("rep").alias("rb"), "lead").agg(F.count(F.lit(1)).alias("keys"))
+    order = Window.partitionBy("b").orderBy(F.desc("keys"), "lead")  # no more rows than keys
+    proposed = checkpoint(proposals.withColumn("place", F.row_number().over(order)).select(F.col("lead.cid").alias("a"), F.col("lead.rep").alias("ra"), "b", "rb", "place"))
+    near = checkpoint(_verify(known, proposed.where("place = 1").drop("place"), width, similarity))
+    failed = proposed.where("place > 1").join(sized_broadcast(near.select("b")), "b", "left_anti").drop("place")
+    near = checkpoint(near.union(_verify(known, checkpoint(failed), width, similarity)))
     clusters = components(near)
 
     # Rows whose text needs no posting (equal to a smaller doc_id's) or carries a cluster's label; the rest stand for themselves.
