@@ -2,7 +2,7 @@
 
 All are built from three parts: a splitter that yields pieces, ``Packer`` that joins pieces while they fit, and
 ``window`` that cuts what is too long.  Budgets count tokens of a pluggable tokenizer; without one, four UTF-8 bytes
-make a token.
+make a token.  Whole texts are cut, whatever their length and their number of parts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 MOST_OVERLAP = 0.9
-MOST_BYTES = 50 << 20
 LEAST_CHARS = 400
 BYTES_PER_TOKEN = 4
 SENTENCE = re.compile(r"[^.!?。！？؟।]*(?:[.!?。！？؟।]+[\"')\]”’»]*|\Z)", re.S)
@@ -91,9 +90,6 @@ def by_chars(text: str, budget: int, overlap: float) -> list[str]:
     """
     limit = int(max(budget * float(BYTES_PER_TOKEN), LEAST_CHARS))
     again = int(limit * ratio(overlap))
-    raw = text.encode()
-    if len(raw) > MOST_BYTES:
-        text = raw[:MOST_BYTES].decode("utf-8", "ignore")
     out: list[str] = []
     line, used = [], 0
     for word in text.split():
@@ -112,7 +108,7 @@ def window(text: str, budget: int, overlap: float, tokens: Tokens) -> list[str]:
     """Windows of tokens; a window that would cut a character sends the whole text to ``by_chars``."""
     if budget == 0:
         return [text]
-    parts = tokens.encode(text) if tokens.encode and size_of(text) <= MOST_BYTES else []
+    parts = tokens.encode(text) if tokens.encode else []
     if not parts:
         return by_chars(text, budget, overlap)
     step = budget - int(ratio(overlap) * budget)
@@ -217,7 +213,7 @@ def sections(text: str) -> list[tuple[str, Section]]:
         if line is not None:
             lines.append(line)
     if len(out) <= 1 and "\n#" in text:
-        parts = [p if i == 0 else f"#{p}" for i, p in enumerate(text.split("\n#")[:2048])]
+        parts = [p if i == 0 else f"#{p}" for i, p in enumerate(text.split("\n#"))]
         parts = [p for p in parts if p.strip()]
         if len(parts) > 1:
             heads = [HEADING.match(p.split("\n", 1)[0]) for p in parts]

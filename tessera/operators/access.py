@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import secrets
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,31 +118,39 @@ def route_class(path: Column | str) -> Column:
     return F.when(first == "", "root").otherwise(first)
 
 
-def token_bucket(requests: DataFrame, rate: float, burst: float, *key: str, ts: str = "ts", order: str = "event_id", slice_s: int = 3600) -> DataFrame:
+def token_bucket(requests: DataFrame, rate: float, burst: float, *key: str, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Replay of a token bucket for each key: adds ``allowed``.
 
     A key's requests are folded in time order.  The fold is sequential by nature, so a key's history is cut at gaps
-    long enough to refill the bucket: each part starts full and is folded on its own, wherever it is.
+    long enough to refill the bucket: each part starts full and is folded on its own, wherever it is.  Parts are sorted
+    in their partitions and streamed past one state, so a long part is never held.
     """
     w = Window.partitionBy(*key).orderBy(ts, order)
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / 1e6
     gap = t - F.lag(t).over(w)
-    rows = requests.withColumn("at", t).withColumn("island", F.sum(F.when(gap.isNull() | (gap * rate >= burst), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = rows.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("at", order))).alias("log"))
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = F.least(F.lit(float(burst)), s["tokens"] + F.coalesce(x["at"] - s["last"], F.lit(0.0)) * rate)
-        ok = full >= 1
-        return F.struct(F.when(ok, full - 1).otherwise(full).alias("tokens"), x["at"].alias("last"), F.concat(s["out"], F.array(ok)).alias("out"))
-
-    decided = grouped.select(*key, F.explode(F.zip_with("log", F.aggregate("log", start, step, lambda s: s["out"]), lambda x, ok: F.struct(x[order].alias(order), ok.alias("allowed")))).alias("d"))
-    return requests.join(decided.select(*key, F.col(f"d.{order}").alias(order), F.col("d.allowed").alias("allowed")), [*key, order])
+    island = F.sum(F.when(gap.isNull() | (gap * rate >= burst), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = requests.withColumn("bucket_at", t).withColumn("bucket_part", island)
+    dealt = rows.repartition(*key, "bucket_part").sortWithinPartitions(*key, "bucket_part", "bucket_at", order)
+    names, schema = requests.columns, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), "allowed boolean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, full, last = None, burst, 0.0
+        for batch in batches:
+            out = []
+            for part in zip(*(batch.column(c).to_pylist() for c in (*key, "bucket_part", "bucket_at")), strict=True):
+                if part[:-1] != at:
+                    at, full, last = part[:-1], float(burst), part[-1]
+                full = min(float(burst), full + (part[-1] - last) * rate)
+                last = part[-1]
+                out.append(full >= 1)
+                full -= out[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.bool_())], names=[*names, "allowed"])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def pruned_runs(runs: DataFrame, now: Column, ttl_s: int = 24 * 3600, most: int = 10_000) -> DataFrame:
     """Runs that stay: none older than the time to live, the newest ``most``; runs awaiting approval never expire by
     age and are the last to be evicted."""
     fresh = runs.where(F.col("awaiting_approval") | (F.col("inserted_at") > now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_s))))
-    place = F.row_number().over(Window.orderBy(F.desc("awaiting_approval"), F.desc("inserted_at"), F.desc("run_id")))
-    return fresh.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return fresh.orderBy(F.desc("awaiting_approval"), F.desc("inserted_at"), F.desc("run_id")).limit(most)

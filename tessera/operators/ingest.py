@@ -58,8 +58,12 @@ def stored_documents(docs: DataFrame, chunks: DataFrame, size: int = 600) -> Dat
 
 
 def counters(docs: DataFrame, chunks: DataFrame, dry_run: bool = False) -> DataFrame:
-    """One row: documents (skipped ones included), chunks (0 on a dry run), skipped, and the failures."""
-    n = chunks.agg(F.count(F.lit(1)).alias("chunks"))
-    failed = F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("path", "error"))))
-    got = docs.agg(F.sum(F.col("error").isNull().cast("long")).alias("documents"), F.sum((F.col("skip") & F.col("error").isNull()).cast("long")).alias("skipped"), failed.alias("failures"))
-    return got.withColumn("chunks", F.lit(0).cast("long")) if dry_run else got.join(F.broadcast(n))
+    """One row: documents (skipped ones included), skipped, failed, and chunks (0 on a dry run)."""
+    fine = F.col("error").isNull()
+    got = docs.agg(F.count_if(fine).alias("documents"), F.count_if(F.col("skip") & fine).alias("skipped"), F.count_if(~fine).alias("failed"))
+    return got.withColumn("chunks", F.lit(0).cast("long")) if dry_run else got.join(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("chunks"))))
+
+
+def failures(docs: DataFrame) -> DataFrame:
+    """A row (path, error) for each document that failed."""
+    return docs.where("error is not null").select("path", "error")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..operators import access, chat, ingest, layout, stores
 from ..operators import chunking as CH
 from ..operators import index as I
@@ -21,28 +22,31 @@ NOW = "2024-06-01 00:00:00"
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an even doc_id as they were stored a while ago."""
+    """All documents as they were stored a while ago."""
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    rows = corpus(spark, sf_dir).where("doc_id % 2 = 0")
-    return rows.select("tenant", F.col("document_id").alias("id"), "collection", T.checksum("text").alias("checksum"), F.length("text").cast("long").alias("token_count"), at.alias("created_at"), at.alias("updated_at"))
+    return corpus(spark, sf_dir).select("tenant", F.col("document_id").alias("id"), "collection", T.checksum("text").alias("checksum"), F.length("text").cast("long").alias("token_count"), at.alias("created_at"), at.alias("updated_at"))
 
 
 def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a doc_id divisible by three; those divisible by four have changed."""
-    text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return corpus(spark, sf_dir).where("doc_id % 3 = 0").select("tenant", F.col("document_id").alias("id"), F.concat("collection", F.lit("-new")).alias("collection"), T.checksum(text).alias("checksum"), F.length(text).cast("long").alias("token_count"))
+    """All documents as they come again: every fifth under a new id, every fourth with a changed text."""
+    rows = corpus(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("new-"), "document_id")).otherwise(F.col("document_id"))
+    return rows.select("doc_id", "text", "tenant", name.alias("id"), F.concat("collection", F.lit("-new")).alias("collection"), T.checksum("text").alias("checksum"), F.length("text").cast("long").alias("token_count"))
 
 
-@query("""
-SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN source || '-new' ELSE source END AS collection, CASE WHEN doc_id % 12 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS checksum,
-  CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' ELSE '2024-06-01' END AS created, CASE WHEN doc_id % 3 = 0 THEN '2024-06-01' ELSE '2024-01-01' END AS updated
-FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0""")
+_SUM = "CASE WHEN doc_id % 4 = 0 THEN sha256(text || '!') ELSE sha256(text) END"
+
+
+@query(f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 5 = 0 THEN source ELSE source || '-new' END AS collection, CASE WHEN doc_id % 5 = 0 THEN sha256(text) ELSE {_SUM} END AS checksum,
+  '2024-01-01' AS created, CASE WHEN doc_id % 5 = 0 THEN '2024-01-01' ELSE '2024-06-01' END AS updated FROM documents
+UNION ALL SELECT 'new-' || doc_id, source || '-new', {_SUM}, '2024-06-01', '2024-06-01' FROM documents WHERE doc_id % 5 = 0""")
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stores.upsert(_stored(spark, sf_dir), _incoming(spark, sf_dir), ["tenant", "id"], F.lit(NOW).cast("timestamp"))
     return rows.select("id", "collection", "checksum", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 2 = 0 AND doc_id % 4 <> 0 AS skip FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT CASE WHEN doc_id % 5 = 0 THEN 'new-' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS id, doc_id % 5 <> 0 AND doc_id % 4 <> 0 AS skip FROM documents")
 def unchanged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = _incoming(spark, sf_dir).withColumnRenamed("id", "document_id")
     return stores.unchanged(new, _stored(spark, sf_dir)).select(F.col("document_id").alias("id"), "skip")
@@ -50,37 +54,42 @@ def unchanged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN w[1:10] ELSE w[1:40] END AS w FROM t)
+s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN list_filter(w, lambda x: length(x) > 4) ELSE w END AS w FROM t)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(w[i * 20 + 1 : i * 20 + 20], ' ') AS text
-FROM (SELECT doc_id, w, unnest(range(CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 20 THEN 1 ELSE 2 END)) AS i FROM s)""")
+FROM (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 20.0) AS INTEGER))) AS i FROM s)""")
 def replace_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth document shrinks to ten words; its second chunk goes."""
+    """Every fifth document loses its words of up to four letters; its chunks are replaced, and those too many go."""
     rows = corpus(spark, sf_dir)
-    cut = lambda n: CH.token_chunks(rows.withColumn("text", F.array_join(F.slice(T.words("text"), 1, n), " ")), 20, 0.0, "tenant", "document_id").drop("n_tokens")
-    touched = rows.where("doc_id % 5 = 0").select("tenant", "document_id")
-    new = cut(10).join(touched, ["tenant", "document_id"], "left_semi")
-    out = stores.replace_chunks(cut(40), new, touched, rows.select("tenant", F.col("document_id").alias("id")))
+    cut = lambda r: CH.token_chunks(r, 20, 0.0, "tenant", "document_id").drop("n_tokens")
+    touched = rows.select("tenant", "document_id", (F.col("doc_id") % 5 == 0).alias("changed")).where("changed").drop("changed")
+    shorter = rows.withColumn("text", F.array_join(F.filter(T.words("text"), lambda w: F.length(w) > 4), " "))
+    new = cut(shorter).join(touched, ["tenant", "document_id"], "left_semi")
+    out = stores.replace_chunks(cut(rows), new, touched, rows.select("tenant", F.col("document_id").alias("id")))
     return out.select(F.col("document_id").cast("long").alias("doc_id"), "chunk_index", "text")
 
 
 @query("""
-SELECT 'document' AS kind, count(*) AS n FROM documents WHERE doc_id % 7 <> 0
-UNION ALL SELECT 'chunk', CAST(sum(CASE WHEN len(list_filter(string_split(text, ' '), lambda x: x <> '')) = 0 THEN 0 ELSE ceil(len(list_filter(string_split(text, ' '), lambda x: x <> '')) / 100.0) END) AS BIGINT) FROM documents WHERE doc_id % 7 <> 0""")
+WITH t AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id % 7 <> 0)
+SELECT 'document' AS kind, doc_id, CAST(-1 AS INTEGER) AS chunk_index, '' AS digest FROM t
+UNION ALL SELECT 'chunk', doc_id, CAST(i AS INTEGER), md5(array_to_string(w[i * 100 + 1 : i * 100 + 100], ' ')) FROM (SELECT doc_id, w, unnest(range(CAST(ceil(len(w) / 100.0) AS INTEGER))) AS i FROM t)""")
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of documents and chunks when every seventh document is deleted."""
     rows = corpus(spark, sf_dir)
     docs = rows.select("tenant", F.col("document_id").alias("id"), "doc_id")
-    left, chunks = stores.delete_document(docs, CH.token_chunks(rows, 100, 0.0, "tenant", "document_id"), docs.where("doc_id % 7 = 0"))
-    return left.agg(F.count(F.lit(1)).alias("n")).select(F.lit("document").alias("kind"), "n").union(chunks.agg(F.count(F.lit(1)).alias("n")).select(F.lit("chunk"), "n"))
+    gone = docs.withColumn("gone", F.col("doc_id") % 7 == 0).where("gone")
+    left, chunks = stores.delete_document(docs, CH.token_chunks(rows, 100, 0.0, "tenant", "document_id"), gone)
+    return left.select(F.lit("document").alias("kind"), "doc_id", F.lit(-1).alias("chunk_index"), F.lit("").alias("digest")).union(chunks.select(F.lit("chunk"), F.col("document_id").cast("long"), "chunk_index", F.md5("text")))
 
 
 @query("""
-WITH b AS (SELECT source AS collection, -1 AS d, -n_chars AS t FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CASE WHEN doc_id % 6 = 0 THEN 'moved' ELSE source END, 1, n_chars FROM documents WHERE doc_id % 2 = 0 AND doc_id % 10 <> 0)
-SELECT collection, CAST(sum(d) AS BIGINT) AS docs, CAST(sum(t) AS BIGINT) AS tokens FROM b GROUP BY collection HAVING sum(d) <> 0 OR sum(t) <> 0""")
+WITH b AS (SELECT source AS collection, -1 AS d, -n_chars AS t FROM documents UNION ALL SELECT CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 6 = 0 THEN 'moved' ELSE source END, 1, n_chars FROM documents)
+SELECT collection, CAST(sum(d) AS BIGINT) AS docs, CAST(sum(t) AS BIGINT) AS tokens FROM b WHERE collection IS NOT NULL GROUP BY collection HAVING sum(d) <> 0 OR sum(t) <> 0""")
 def stats_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signed changes when documents move to another collection or go."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    """Signed changes when documents move to another collection or lose theirs."""
+    d = table(spark, sf_dir, "documents")
     before = d.select(F.lit("default").alias("tenant"), F.col("source").alias("stats_collection"), F.col("n_chars").alias("stats_token_count"))
-    after = d.where("doc_id % 10 != 0").select(F.lit("default").alias("tenant"), F.when(F.col("doc_id") % 6 == 0, "moved").otherwise(F.col("source")).alias("stats_collection"), F.col("n_chars").alias("stats_token_count"))
+    to = F.when(F.col("doc_id") % 10 == 0, F.lit(None).cast("string")).when(F.col("doc_id") % 6 == 0, "moved").otherwise(F.col("source"))
+    after = d.select(F.lit("default").alias("tenant"), to.alias("stats_collection"), F.col("n_chars").alias("stats_token_count"))
     return stores.stats_deltas(before, after).select("collection", "docs", "tokens")
 
 
@@ -169,7 +178,12 @@ def authenticated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.authenticate(requests, keys, accounts, at(NOW)).select("event_id", "error", "role")
 
 
-@query()
+@query("""
+WITH l AS (SELECT user_id, event_type, list(event_id ORDER BY ts, event_id) AS ids, list(epoch_us(ts) / 1000000.0::DOUBLE ORDER BY ts, event_id) AS ats FROM events GROUP BY user_id, event_type),
+f AS (SELECT user_id, event_type, ids, list_reduce(list_prepend({'k': 3.0::DOUBLE, 'l': NULL::DOUBLE, 'o': []::BOOLEAN[]}, list_transform(ats, lambda x: {'k': 0.0::DOUBLE, 'l': x, 'o': []::BOOLEAN[]})),
+  lambda a, x: {'k': least(3.0::DOUBLE, a.k + coalesce(x.l - a.l, 0) * (1::DOUBLE / 60)) - CASE WHEN least(3.0::DOUBLE, a.k + coalesce(x.l - a.l, 0) * (1::DOUBLE / 60)) >= 1 THEN 1 ELSE 0 END, 'l': x.l,
+    'o': list_append(a.o, least(3.0::DOUBLE, a.k + coalesce(x.l - a.l, 0) * (1::DOUBLE / 60)) >= 1)}).o AS o FROM l)
+SELECT unnest(ids) AS event_id, user_id, event_type, unnest(o) AS allowed FROM f""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bucket of one request a minute with a burst of three, for each user and event type."""
     log = table(spark, sf_dir, "events")
@@ -257,12 +271,16 @@ def ocr_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT doc_id, source, doc_id % 2 = 0 AND doc_id % 4 <> 0 AS skip FROM documents WHERE doc_id % 3 = 0)
-SELECT count(*) AS documents, CAST(sum(CAST(skip AS INTEGER)) AS BIGINT) AS skipped FROM o""")
+WITH o AS (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN '!' ELSE '' END AS text, doc_id % 50 = 7 AS bad, doc_id % 5 <> 0 AND doc_id % 4 <> 0 AS same FROM documents),
+c AS (SELECT sum(ceil(len(list_filter(string_split(text, ' '), lambda x: x <> '')) / 100.0)) AS n FROM o WHERE NOT bad AND NOT same)
+SELECT count(*) FILTER (NOT bad) AS documents, count(*) FILTER (NOT bad AND same) AS skipped, CAST((SELECT n FROM c) AS BIGINT) AS chunks, count(*) FILTER (bad) AS failed FROM o""")
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = _incoming(spark, sf_dir).withColumnRenamed("id", "document_id").withColumn("error", F.lit(None).cast("string")).withColumn("path", F.col("document_id"))
+    """The counters of an ingest of all documents, some of which cannot be read."""
+    error = F.when(F.col("doc_id") % 50 == 7, F.lit("cannot be read"))
+    new = _incoming(spark, sf_dir).withColumnRenamed("id", "document_id").withColumn("error", error).withColumn("path", F.col("document_id"))
     done = ingest.outcome(new, _stored(spark, sf_dir))
-    return ingest.counters(done, done, dry_run=True).select("documents", "skipped")
+    made = CH.token_chunks(done.where("not skip"), 100, 0.0, "tenant", "document_id")
+    return ingest.counters(done, made).select("documents", "skipped", "chunks", "failed")
 
 
 @query("""
@@ -295,13 +313,13 @@ def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.collected(stream, f"totals_{uuid.uuid4().hex[:12]}", "complete")
 
 
-@query("SELECT count(DISTINCT CAST(doc_id AS VARCHAR) || ':0') AS points, CAST(64 AS INTEGER) AS dim FROM documents")
+@query(r"""
+SELECT doc_id, 'default' AS tenant, 0::BIGINT AS chunk_index, md5(text) AS text_md5, NULL AS title, lang AS language, source AS collection, '["' || lang || '"]' AS tags, CAST(64 AS INTEGER) AS dim, 1.0::DOUBLE AS length FROM documents""")
 def index_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide index of one chunk a document, with stand-in vectors, checked for their size."""
-    from ..functions import vectors as V
-
     rows = corpus(spark, sf_dir).select("tenant", "collection", "document_id", F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("section_heading"))
-    meta = corpus(spark, sf_dir).select("tenant", "document_id", F.lit("").alias("title"), F.lit("").alias("source_url"), F.lit("").alias("source_domain"), F.col("lang").alias("language"), F.array(F.col("lang")).alias("tags"))
+    meta = corpus(spark, sf_dir).select("tenant", "document_id", F.lit(None).cast("string").alias("title"), F.lit("").alias("source_url"), F.lit("").alias("source_domain"), F.col("lang").alias("language"), F.array(F.col("lang")).alias("tags"))
     chunks = I.with_chunk_ids(rows)
     points = I.check_vectors(I.index_points(chunks, meta, chunks.select("chunk_id", V.mock_embedding(64)("text").alias("dense"))), 64)
-    return points.agg(F.countDistinct("chunk_id").alias("points"), F.max(F.size("dense")).alias("dim"))
+    p = F.col("payload")
+    return points.select(p["document_id"].cast("long").alias("doc_id"), p["tenant"].alias("tenant"), p["chunk_index"].alias("chunk_index"), F.md5(p["text"]).alias("text_md5"), p["title"].alias("title"), p["language"].alias("language"), p["collection"].alias("collection"), p["tags"].alias("tags"), F.size("dense").alias("dim"), F.round(V.norm("dense"), 4).alias("length"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import admin, corpus, search  # noqa: F401  registering their queries
+from . import admin, corpus, requests, search  # noqa: F401  registering their queries
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "sparse_topk"

@@ -100,11 +100,11 @@ def strategy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, '漢字' || substr(text, 1, CAST(doc_id % 5 AS INTEGER)) AS x FROM documents),
+WITH t AS (SELECT doc_id, repeat('漢字', CAST(doc_id % 97 AS INTEGER)) || text AS x FROM documents),
 n AS (SELECT doc_id, len(regexp_extract_all(x, '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}]')) AS cjk, len(regexp_extract_all(x, '\p{L}')) AS letters FROM t)
 SELECT doc_id, CAST(CASE WHEN letters > 0 AND cjk / letters > 0.5 THEN 900 ELSE 600 END AS INTEGER) AS budget FROM n""")
 def script_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.concat(F.lit("漢字"), F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 5).cast("int")))
+    x = F.concat(F.repeat(F.lit("漢字"), (F.col("doc_id") % 97).cast("int")), "text")
     return table(spark, sf_dir, "documents").select("doc_id", T.script_budget(x, 600).alias("budget"))
 
 
@@ -167,17 +167,19 @@ def mock_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT source, doc_id, 1 + doc_id % 7 AS t FROM documents)
-SELECT source, CAST(sum(t) AS BIGINT) AS tokens, true AS covered FROM n GROUP BY source""")
+WITH n AS (SELECT source, doc_id // 1000 AS part, doc_id, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS t FROM documents),
+g AS (SELECT source, part, list(doc_id ORDER BY doc_id) AS ids, list(t ORDER BY doc_id) AS ts FROM n GROUP BY source, part),
+f AS (SELECT source, part, ids, ts, list_reduce(list_prepend({'t': 0::BIGINT, 'n': 0, 'b': 0, 'o': []::INTEGER[]}, list_transform(ts, lambda x: {'t': x, 'n': 0, 'b': 0, 'o': []::INTEGER[]})),
+  lambda a, x: CASE WHEN a.n > 0 AND (a.t + x.t > 8192 OR a.n >= 32) THEN {'t': x.t, 'n': 1, 'b': a.b + 1, 'o': list_append(a.o, a.b + 1)} ELSE {'t': a.t + x.t, 'n': a.n + 1, 'b': a.b, 'o': list_append(a.o, a.b)} END).o AS o FROM g),
+u AS (SELECT source, part, unnest(ids) AS doc_id, unnest(ts) AS t, unnest(o) AS batch FROM f)
+SELECT source, CAST(part AS BIGINT) AS part, CAST(batch AS INTEGER) AS batch, min(doc_id) AS first_id, count(*) AS items, CAST(sum(t) AS BIGINT) AS tokens FROM u GROUP BY source, part, batch""")
 def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of at most 20 tokens and 4 items: consecutive, complete, within the limits."""
-    rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id"))), lambda x: 1 + x["doc_id"] % 7).alias("counts"))
-    packed = rows.withColumn("batches", L.pack_ranges("counts", 20, 4))
-    held = lambda b: F.aggregate(F.slice("counts", b["first"] + 1, b["until"] - b["first"]), F.lit(0).cast("long"), lambda s, x: s + x)
-    fits = F.forall("batches", lambda b: (b["until"] > b["first"]) & (b["until"] - b["first"] <= 4) & (held(b) <= 20))
-    total = F.aggregate("batches", F.lit(0).cast("long"), lambda s, b: s + held(b))
-    joined = F.forall(F.sequence(F.lit(1), F.size("batches") - 1), lambda i: (i == 0) | (i >= F.size("batches")) | (F.get("batches", i)["first"] == F.get("batches", i - 1)["until"]))
-    return packed.select("source", total.alias("tokens"), (fits & (joined | (F.size("batches") < 2))).alias("covered"))
+    """Batches of at most 8192 tokens and 32 items, in ranges of a thousand ids of each source; a larger text is alone."""
+    rows = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", T.token_estimate("text").alias("t"))
+    lists = rows.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("x"))
+    packed = lists.select("source", "part", "x", F.posexplode(L.pack_ranges(F.col("x.t"), 8192, 32)).alias("batch", "b"))
+    held = F.slice("x", F.col("b.first") + 1, F.col("b.until") - F.col("b.first"))
+    return packed.withColumn("held", held).select("source", "part", "batch", F.get("held", F.lit(0))["doc_id"].alias("first_id"), F.size("held").cast("long").alias("items"), F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["t"]).alias("tokens"))
 
 
 @query("""

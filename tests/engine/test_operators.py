@@ -193,3 +193,73 @@ def test_streams(spark, sf, tmp_path):
     seen = []
     ST.ingest_stream(ST.read_table(spark, path), lambda df, i: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert sum(seen) == events.count()
+
+
+def test_request_rules(spark):
+    from tessera.operators import requests as Q
+
+    rows = spark.createDataFrame([("User",), ("user",), (None,), ("TOKENS",), ("OpenAI",)], "x string")
+    read = lambda kind: [tuple(r.p) for r in rows.select(Q.parsed_name(kind, "x").alias("p")).collect()]
+    assert [v for v, _ in read("message_role")] == [None, "user", None, None, None] and read("message_role")[0][1] == "unknown message role: User"
+    assert [v for v, _ in read("strategy")] == [None, None, None, "tokens", None] and read("llm_provider")[4] == ("openai-compatible", None)
+    h = spark.createDataFrame([("Bearer a ", "k"), ("Basic a", " k "), (None, None), ("Bearer ", "k")], "a string, k string")
+    assert [r[0] for r in h.select(Q.header_token("a", "k")).collect()] == ["a", "k", None, ""]
+    assert [r[0] for r in spark.createDataFrame([("unknown run 7",), ("cannot resume",), ("else",)], "m string").select(Q.run_error_status("m")).collect()] == [404, 400, 500]
+    steps = spark.sql("SELECT 'r' AS run_id, 't' AS task_id, timestamp'2024-05-06 07:08:09' AS started_at, 5L AS elapsed_ms, 'Paused' AS status")
+    assert tuple(Q.step_responses(steps).first()) == ("r", "t", "2024-05-06T07:08:09+00:00", 5, "paused")
+
+
+def test_readiness_and_signing_keys():
+    import time
+
+    from tessera.operators import requests as Q
+
+    assert Q.readiness({"store": lambda: 1, "index": lambda: 2}) == {"ready": True, "checks": {"store": "ok", "index": "ok"}}
+    told = Q.readiness({"store": lambda: 1 / 0, "index": lambda: time.sleep(0.5)}, 0.05)
+    assert told == {"ready": False, "checks": {"store": "store unavailable", "index": "timeout after 0.05s"}}
+    now, asked = [0.0], []
+
+    def fetch(issuer):
+        asked.append(issuer)
+        return {"k1": 1} if len(asked) < 3 else {"k2": 2}
+
+    cache = Q.KeyCache(fetch, 10, lambda: now[0])
+    assert [cache.key("k1", "i") for _ in range(3)] == [1, 1, 1] and len(asked) == 1
+    now[0] = 10.0
+    assert cache.key("k1", "i") == 1 and len(asked) == 2
+    assert cache.key("k2", "i") == 2 and len(asked) == 3
+    with pytest.raises(KeyError):
+        cache.key("k1", "i")
+
+
+def test_stored_full_text_equals_scans(spark, tmp_path):
+    from tessera.operators import stored
+
+    r = __import__("random").Random(5)
+    docs = [(str(i), " ".join(r.choice(["of", "the", "and", "Rotate", "keys", "x,y", "ON", "a"]) for _ in range(r.randint(0, 25)))) for i in range(80)] + [("n", None)]
+    units = spark.createDataFrame(docs, "key string, text string")
+    index = stored.read(spark, stored.write(units, f"file://{tmp_path}/index"))
+    searches = list(enumerate(['"of the" and', "rotate -keys", '"rotate keys" or "on a" the', "-the", "!?", '"the the" -"of and"', "nowhere", "x or y -a"]))
+    got = {(x.query_id, x.key) for x in retrieval.stored_matches(searches, index).collect()}
+    want = {(i, x.key) for i, q in searches for x in retrieval.fts_matches(units.where("text is not null"), q).collect()}
+    assert {x for x in got if x[1] != "n"} == want and len(got) == retrieval.stored_matches(searches, index).count()
+    ranked = retrieval.stored_fts(searches[:1], index, 80).orderBy("rank").collect()
+    places = {k: {} for k, _ in docs}
+    for k, t in docs:
+        for i, w in enumerate(__import__("re").findall("[a-z]+", (t or "").lower())):
+            places[k].setdefault(w, []).append(i)
+    assert [(x.key, round(x.score, 9)) for x in ranked] == sorted(((k, round(retrieval.cover_density(places[k], ["of", "the", "and"]), 9)) for i, k in want if i == 0), key=lambda x: (-x[1], x[0]))
+    q = spark.createDataFrame([(1, "rotate keys the"), (2, "on")], "query_id int, query string")
+    scan = retrieval.sparse_topk(q, I.postings(units, "key"), units.agg(F.count(F.lit(1)).alias("n")), key="key").collect()
+    assert sorted((x.query_id, x.key, x.rank, round(x.score, 8)) for x in scan) == sorted((x.query_id, x.key, x.rank, round(x.score, 8)) for x in retrieval.stored_topk(q, index).collect())
+
+
+def test_dense_products_equal_shards(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 8)).astype(np.float32)
+    x[5:60] = x[5]
+    rows = [(f"c{i}", v.tolist()) for i, v in enumerate(x)] + [("z", [0.0] * 8), ("n", None), ("d", [1.0, 2.0]), ("m", [None] * 8)]
+    points = spark.createDataFrame(rows, "chunk_id string, vector array<float>").repartition(5)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in (5, 70, 200)] + [(900, [2.0, 4.0]), (901, None), (902, [0.0] * 8)], "query_id int, vector array<float>")
+    keep = lambda df: sorted((a.query_id, a.chunk_id, a["rank"], round(a.score, 8)) for a in df.collect())
+    assert keep(retrieval.dense_topk(q, points, 7)) == keep(retrieval.sharded_topk(q, points.where("chunk_id != 'm'"), 7))

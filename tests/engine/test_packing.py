@@ -78,3 +78,11 @@ def test_every_strategy():
     for s in P.STRATEGIES:
         assert P.chunk("Some text. More of it.", s, 40, 0.1, W)
         assert P.chunk("", s, 40, 0.1, W) in ([], [("[page 1]", P.Section())])
+
+
+def test_long_texts_lose_nothing():
+    text = "\n".join(f"#tag{i} word{i}" for i in range(5000))
+    out = "\n".join(c for c, _ in P.chunk(text, "markdown", 40, 0.0, W))
+    assert all(f"word{i}" in out for i in (0, 2047, 2048, 4999)) and out.count("#tag") == 5000
+    huge = ("x" * 4095 + " ") * 13_000  # over 50 MB
+    assert sum(c.count("x") for c in P.by_chars(huge, 2000, 0.0)) == 4095 * 13_000

@@ -40,7 +40,8 @@ def test_ingest_end_to_end(spark, tmp_path):
     points = ingest.index_rows(chunks, done, lambda c: V.mock_embedding(8)(c)).collect()
     assert len(points) == chunks.count() and all(len(p.dense) == 8 and math.isclose(sum(x * x for x in p.dense), 1, rel_tol=1e-4) for p in points)
     n = ingest.counters(done, chunks).first()
-    assert (n.documents, n.skipped, n.chunks, len(n.failures)) == (2, 0, chunks.count(), 1)
+    assert (n.documents, n.skipped, n.chunks, n.failed) == (2, 0, chunks.count(), 1)
+    assert ingest.failures(done).count() == 1
     again = ingest.outcome(docs, ingest.stored_documents(done, chunks))
     assert {r.document_id for r in again.where(F.col("skip")).collect()} == {"a", "b", "c"}
 
