@@ -105,10 +105,11 @@ class Encoder:
             return out
         units, codes, counts = unit_codes(pa.array([MARK + texts[i] for i in at], pa.large_string()), [[MARK + u if k == 0 else u for k, u in enumerate(self._cut.split(texts[i]))] for i in odd])
         known = self.units
-        new = [u for u in units if u not in known]
-        if new:
-            self._learn(new)
-        flat, ends = gathered([known[u] for u in units], codes, counts, "<u4")
+        blobs = list(map(known.get, units))
+        if None in blobs:
+            self._learn([u for u, b in zip(units, blobs, strict=True) if b is None])
+            blobs = [known[u] if b is None else b for u, b in zip(units, blobs, strict=True)]
+        flat, ends = gathered(blobs, codes, counts, "<u4")
         if len(known) > CACHE_UNITS:
             self.units = {u: known[u] for u in units}
         for i, a, b in zip([*at, *odd], [0, *ends[:-1]], ends, strict=True):
