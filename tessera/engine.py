@@ -8,90 +8,142 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import vectors as V
-from .operators import chat, fusion, ingest, retrieval, stores
+from .operators import chat, embedding, fusion, ingest, retrieval, stored, stores
 from .operators import index as I
 from .session import ensure_importable
 from .sources import files
 from .sources.config import Settings
+from .sources.extract import Extractors
 
 TABLES = {
     "documents": "tenant string, id string, title string, language string, collection string, checksum string, token_count long, created_at timestamp, updated_at timestamp",
     "points": "chunk_id string, payload struct<tenant:string,document_id:string,chunk_index:bigint,text:string,title:string,source_url:string,source_domain:string,language:string,collection:string,section_heading:string,tags:string>, dense array<float>",
+    "postings": "tenant string, document_id string, collection string, chunk_id string, term string, tf int, length int, places array<int>",
 }
 
 
 class Engine:
-    """Tables live as Parquet under ``root``: each change writes a new version, and a small pointer table names it.
+    """Tables live as Parquet under ``root``, in buckets by tenant and document.
 
-    ``embed`` maps a text column to a vector column; the default is the deterministic stand-in with ``dim`` components.
+    A change writes a new version of the buckets it touches, and then a small pointer table that names each bucket's
+    version, so readers see the old state or the new one and untouched buckets stay as they are.  Postings are written
+    at ingest; searches never read texts to find terms.
+
+    ``provider`` embeds batches of texts (see ``operators.embedding``); without one, ``embed`` maps a text column to a
+    vector column, by default the deterministic stand-in with ``dim`` components.  ``extractors`` turn files into text;
+    PDF files need one that is registered for them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embed=None, dim: int = 64, model: chat.Model = chat.mock_model):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embed=None, dim: int = 64, model: chat.Model = chat.mock_model, provider: embedding.Provider | None = None, extractors: Extractors | None = None, buckets: int = stored.BUCKETS):
         self.spark, self.root, self.settings = ensure_importable(spark), root.rstrip("/"), (settings or Settings()).checked()
-        self.embed, self.dim, self.model = embed or V.mock_embedding(dim), dim, model
-        self._at: dict[str, str] = {}
+        self.embed, self.dim, self.model, self.provider, self.extractors, self.buckets = embed or V.mock_embedding(dim), dim, model, provider, extractors, buckets
+        self._at: dict[str, dict[int, str]] = {}
 
-    def table(self, name: str) -> DataFrame:
-        """The current version of a table; empty before the first write."""
+    def _versions(self, name: str) -> dict[int, str]:
+        """The version of each bucket that has rows."""
         if name not in self._at:
             try:
-                self._at[name] = self.spark.read.schema("at string").json(f"{self.root}/_current/{name}").first().at
+                self._at[name] = {r.bucket: r.at for r in self.spark.read.schema("bucket int, at string").json(f"{self.root}/_current/{name}").collect()}
             except Exception as e:  # noqa: BLE001  a missing pointer means that nothing was written yet
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
-                return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{self._at[name]}")
-
-    def _write(self, name: str, rows: DataFrame) -> None:
-        at = f"{name}/{uuid.uuid4().hex}"
-        columns = self.table(name).columns
-        rows.select(*columns).write.parquet(f"{self.root}/{at}")
-        self.spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").json(f"{self.root}/_current/{name}")
-        self._at[name] = at
+                self._at[name] = {}
+        return self._at[name]
+
+    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """The current version of a table (or of some buckets)."""
+        paths = [f"{self.root}/{name}/{at}/bucket={b}" for b, at in sorted(self._versions(name).items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+
+    def _bucket(self, tenant, document):
+        return stored.bucket_of(tenant, document, buckets=self.buckets)
+
+    def _touched(self, documents: DataFrame) -> list[int]:
+        """The buckets of ``documents(tenant, document_id)``: at most ``buckets`` numbers."""
+        return sorted(r.b for r in documents.select(self._bucket("tenant", "document_id").alias("b")).distinct().collect())
+
+    def _replace(self, name: str, touched: list[int], rows: DataFrame, tenant, document, *order: str) -> None:
+        """A new version of the touched buckets, which holds ``rows``."""
+        if not touched:
+            return
+        at = uuid.uuid4().hex
+        made = rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).withColumn("bucket", self._bucket(tenant, document))
+        made.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{at}")
+        present = {r.bucket for r in self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(f"{self.root}/{name}/{at}").select("bucket").distinct().collect()}
+        versions = {b: v for b, v in self._versions(name).items() if b not in touched} | dict.fromkeys(present, at)
+        self.spark.createDataFrame(sorted(versions.items()), "bucket int, at string").coalesce(1).write.mode("overwrite").json(f"{self.root}/_current/{name}")
+        self._at[name] = versions
+
+    def _vectors(self, rows: DataFrame, text: str) -> DataFrame:
+        """Rows with ``dense``."""
+        if self.provider:
+            return embedding.embedded(rows, self.provider, self.dim, text)
+        return rows.withColumn("dense", self.embed(F.col(text)))
 
     def ingest(self, folder: str, tenant: str, collection: str | None = None, dry_run: bool = False) -> DataFrame:
         """Ingest a folder: unchanged documents are skipped; returns the counters."""
         if self.settings.ingest_roots and not files.inside_roots(folder, list(self.settings.ingest_roots)):
             raise ValueError("the folder is outside the configured roots")
-        docs = ingest.outcome(ingest.prepared(files.documents(self.spark, folder), tenant, collection, self.settings.collection), self.table("documents")).cache()
+        docs = ingest.outcome(ingest.prepared(files.documents(self.spark, folder, self.extractors), tenant, collection, self.settings.collection), self.table("documents")).cache()
         chunks = ingest.chunk_rows(docs, self.settings.chunk_tokens, self.settings.chunk_overlap).cache()
         told = ingest.counters(docs, chunks, dry_run)
         out = self.spark.createDataFrame(told.collect(), told.schema)
         if not dry_run:
             changed = docs.where(~F.col("skip")).select("tenant", "document_id").distinct()
-            points = ingest.index_rows(chunks, docs, self.embed)
-            old = self.table("points").withColumns({"tenant": F.col("payload.tenant"), "document_id": F.col("payload.document_id")}).join(changed, ["tenant", "document_id"], "left_anti")
-            self._write("points", old.select("chunk_id", "payload", "dense").unionByName(I.check_vectors(points, self.dim)))
-            self._write("documents", stores.upsert(self.table("documents"), ingest.stored_documents(docs, chunks, self.settings.chunk_tokens), ["tenant", "id"]))
+            touched = self._touched(changed)
+            p = F.col("payload")
+            points = I.check_vectors(ingest.points_of(chunks, docs, self._vectors(chunks.select("chunk_id", "text"), "text")), self.dim)
+            kept = self.table("points", touched).withColumns({"tenant": p["tenant"], "document_id": p["document_id"]}).join(changed, ["tenant", "document_id"], "left_anti")
+            self._replace("points", touched, kept.select("chunk_id", "payload", "dense").unionByName(points), p["tenant"], p["document_id"])
+            made = stored.postings(chunks, "tenant", "document_id", "collection", "chunk_id")
+            kept = self.table("postings", touched).join(changed, ["tenant", "document_id"], "left_anti")
+            self._replace("postings", touched, kept.unionByName(made.select(*kept.columns)), "tenant", "document_id", "term")
+            new = ingest.stored_documents(docs, chunks, self.settings.chunk_tokens)
+            touched = self._touched(new.withColumnRenamed("id", "document_id"))
+            self._replace("documents", touched, stores.upsert(self.table("documents", touched), new, ["tenant", "id"]), "tenant", "id")
         docs.unpersist()
         chunks.unpersist()
         return out
 
+    def failures(self, folder: str, tenant: str, collection: str | None = None) -> DataFrame:
+        """A row (path, error) for each document of a folder that cannot be ingested."""
+        return ingest.failures(ingest.prepared(files.documents(self.spark, folder, self.extractors), tenant, collection, self.settings.collection))
+
     def _points(self, tenant: str, collection: str) -> DataFrame:
         p = F.col("payload")
         return self.table("points").where((p["tenant"] == tenant) & (p["collection"] == collection))
 
     def search_dense(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None) -> DataFrame:
         """Top k of each ``queries(query_id, query)`` by cosine."""
-        asked = queries.select("query_id", self.embed(F.col("query")).alias("vector"))
+        asked = self._vectors(queries.select("query_id", "query"), "query").select("query_id", F.col("dense").alias("vector"))
         points = self._points(tenant, collection).select("chunk_id", F.col("dense").alias("vector"))
         return retrieval.dense_topk(asked, points, k or self.settings.dense_top_k)
 
     def search_sparse(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None) -> DataFrame:
-        """Top k by BM25 (frequencies over the whole collection, of all tenants)."""
+        """Top k by BM25 from the stored postings (frequencies over the whole collection, of all tenants)."""
+        postings = self.table("postings").where(F.col("collection") == collection)
+        total = self.table("points").where(F.col("payload")["collection"] == collection).agg(F.count(F.lit(1)).alias("n"))
+        scored = retrieval.sparse_scores(queries, postings, total, only=F.col("tenant") == tenant).withColumn("score", F.round("score", 9))
+        return retrieval.top(scored, k or self.settings.sparse_top_k, F.desc("score"), "chunk_id")
+
+    def index(self, tenant: str, collection: str) -> stored.StoredIndex:
+        """A tenant's postings of a collection."""
+        own = self.table("postings").where((F.col("tenant") == tenant) & (F.col("collection") == collection))
+        return stored.StoredIndex(own, stored.term_counts(own), self._points(tenant, collection).select("chunk_id"), "chunk_id")
+
+    def search_text(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None) -> DataFrame:
+        """Top k of each web-search query by cover density, from the stored places, with texts and metadata."""
+        hits = retrieval.stored_fts(queries, self.index(tenant, collection), k or retrieval.FTS_K)
+        return self._texts(tenant, collection).join(retrieval.small(hits), "chunk_id")
+
+    def _texts(self, tenant: str, collection: str) -> DataFrame:
         p = F.col("payload")
-        everyone = self.table("points").where(p["collection"] == collection)
-        units = everyone.select("chunk_id", p["text"].alias("text"))
-        scored = retrieval.sparse_scores(queries, retrieval.asked_postings(queries, units), units.agg(F.count(F.lit(1)).alias("n"))).withColumn("score", F.round("score", 9))
-        own = scored.join(self._points(tenant, collection).select("chunk_id"), "chunk_id", "left_semi")
-        return retrieval.top(own, k or self.settings.sparse_top_k, F.desc("score"), "chunk_id")
+        return self._points(tenant, collection).select("chunk_id", *(p[c].alias(c) for c in ("document_id", "chunk_index", "text", "title")))
 
     def search_hybrid(self, queries: DataFrame, tenant: str, collection: str, **k: int) -> DataFrame:
         """Both legs fused by rank, with texts and metadata."""
         legs = self.search_dense(queries, tenant, collection, k.get("dense_k")), self.search_sparse(queries, tenant, collection, k.get("sparse_k"))
-        fused = fusion.hybrid(*legs, k=k.get("rrf_k", self.settings.rrf_k)).cache()
-        text = self._points(tenant, collection).select("chunk_id", F.col("payload.document_id").alias("document_id"), F.col("payload.chunk_index").alias("chunk_index"), F.col("payload.text").alias("text"), F.col("payload.title").alias("title"))
-        return text.join(retrieval.small(fused), "chunk_id")
+        return self._texts(tenant, collection).join(retrieval.small(fusion.hybrid(*legs, k=k.get("rrf_k", self.settings.rrf_k))), "chunk_id")
 
     def answer(self, queries: DataFrame, tenant: str, collection: str) -> DataFrame:
         """Answers with citations: hybrid search, context, prompt, model."""
@@ -102,6 +154,8 @@ class Engine:
 
     def delete(self, tenant: str, document_id: str) -> None:
         """Remove a document and its index rows."""
-        gone = (F.col("tenant") == tenant) & (F.col("id") == document_id)
-        self._write("points", stores.delete_points(self.table("points"), tenant, document_id))
-        self._write("documents", self.table("documents").where(~gone))
+        touched = self._touched(self.spark.createDataFrame([(tenant, document_id)], "tenant string, document_id string"))
+        p = F.col("payload")
+        self._replace("points", touched, stores.delete_points(self.table("points", touched), tenant, document_id), p["tenant"], p["document_id"])
+        self._replace("postings", touched, self.table("postings", touched).where(~((F.col("tenant") == tenant) & (F.col("document_id") == document_id))), "tenant", "document_id", "term")
+        self._replace("documents", touched, self.table("documents", touched).where(~((F.col("tenant") == tenant) & (F.col("id") == document_id))), "tenant", "id")

@@ -12,7 +12,6 @@ from . import chunking, index, stores
 
 Embed = Callable[[Column], Column]
 
-
 def prepared(files: DataFrame, tenant: str, collection: str | None = None, default_collection: str = "demo") -> DataFrame:
     """Documents from ``sources.files.documents``: ids, titles, collections, checksums; rows with an error keep it.
 
@@ -43,11 +42,15 @@ def chunk_rows(docs: DataFrame, size: int = 600, overlap: float = 0.15, **tokens
     return index.with_chunk_ids(made)
 
 
-def index_rows(chunks: DataFrame, docs: DataFrame, embed: Embed) -> DataFrame:
-    """Index points: the chunk's vector and all metadata retrieval needs."""
+def points_of(chunks: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Index points: the chunk's vector, from ``vectors(chunk_id, dense)``, and all metadata retrieval needs."""
     meta = docs.select("tenant", "document_id", "title", "source_url", "source_domain", "language", "tags")
-    vectors = chunks.select("chunk_id", embed(F.col("text")).alias("dense"))
-    return index.index_points(chunks.withColumn("section_heading", F.col("section_title")), meta, vectors)
+    return index.index_points(chunks.withColumn("section_heading", F.col("section_title")), meta, vectors.select("chunk_id", "dense"))
+
+
+def index_rows(chunks: DataFrame, docs: DataFrame, embed: Embed) -> DataFrame:
+    """``points_of`` with vectors from an embedding of the text column."""
+    return points_of(chunks, docs, chunks.select("chunk_id", embed(F.col("text")).alias("dense")))
 
 
 def stored_documents(docs: DataFrame, chunks: DataFrame, size: int = 600) -> DataFrame:

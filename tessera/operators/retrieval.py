@@ -55,11 +55,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return counted.select("query_id", "term", saturation(F.col("tf"), F.col("length"), QUERY_B).alias("query_weight"))
 
 
-def sparse_scores(queries: DataFrame, postings: DataFrame, total: DataFrame, key: str = "chunk_id") -> DataFrame:
+def sparse_scores(queries: DataFrame, postings: DataFrame, total: DataFrame, key: str = "chunk_id", only: Column | None = None) -> DataFrame:
     """BM25 score of every (query, unit) that share a term.
 
-    ``postings(key, term, tf, length)`` may hold several tenants: idf covers the collection.  ``total`` is one row with
-    ``n``, the number of units.  The scan keeps only the queries' terms; frequencies and scores come from these rows.
+    ``postings(key, term, tf, length)`` may hold several tenants: idf covers the collection, and ``only`` tells which
+    rows are scored.  ``total`` is one row with ``n``, the number of units.  The scan keeps only the queries' terms;
+    frequencies and scores come from these rows.
     """
     asked = query_terms(queries)
     wanted = small(asked.select("term").distinct())
@@ -68,7 +69,8 @@ def sparse_scores(queries: DataFrame, postings: DataFrame, total: DataFrame, key
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(total)).select("query_id", "term", (F.col("query_weight") * idf).alias("w"))
     part = F.col("w") * saturation(F.col("tf"), F.col("length"), B)
-    return hits.join(small(weighted), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    scored = hits if only is None else hits.where(only)
+    return scored.join(small(weighted), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
 def stored_scores(queries: DataFrame, index: StoredIndex) -> DataFrame:
@@ -209,16 +211,31 @@ def parse_search(query: str) -> dict[str, list]:
     return {"groups": groups, "negated": negated}
 
 
-def parsed_searches(spark: SparkSession, searches: list[tuple[object, str]]) -> DataFrame:
-    """Web-search queries as rows (query_id, item, slot, negated, place, term): ``item`` numbers the words and phrases,
-    ``slot`` the groups of alternatives of which one must match; ``place`` counts the terms of an item."""
-    rows = []
-    for query_id, query in searches:
-        parsed = parse_search(query)
-        items = [(slot, False, item) for slot, group in enumerate(parsed["groups"]) for item in group] + [(None, True, item) for item in parsed["negated"]]
-        rows += [(query_id, i, slot, negated, place, term) for i, (slot, negated, item) in enumerate(items) for place, term in enumerate(item)]
-    kind = "string" if any(isinstance(q, str) for q, _ in searches) else "long"
-    return spark.createDataFrame(rows, f"query_id {kind}, item int, slot int, negated boolean, place int, term string")
+Searches = DataFrame | list[tuple[object, str]]
+
+
+def parsed_searches(spark: SparkSession, searches: Searches) -> DataFrame:
+    """Web-search queries, ``(query_id, query)`` as a table or a list, as rows (query_id, item, slot, negated, place,
+    term): ``item`` numbers the words and phrases, ``slot`` the groups of alternatives of which one must match;
+    ``place`` counts the terms of an item."""
+    if isinstance(searches, list):
+        searches = spark.createDataFrame(searches, f"query_id {'string' if any(isinstance(q, str) for q, _ in searches) else 'long'}, query string")
+    kind = searches.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, rows = [], []
+            for i, query in enumerate(batch.column("query").to_pylist()):
+                parsed = parse_search(query or "")
+                items = [(slot, False, item) for slot, group in enumerate(parsed["groups"]) for item in group] + [(None, True, item) for item in parsed["negated"]]
+                new = [(k, slot, negated, place, term) for k, (slot, negated, item) in enumerate(items) for place, term in enumerate(item)]
+                take += [i] * len(new)
+                rows += new
+            columns = zip(*rows, strict=True) if rows else ([],) * 5
+            cols = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.string()), strict=True)]
+            yield pa.record_batch([batch.column("query_id").take(pa.array(take, pa.int64())), *cols], names=["query_id", "item", "slot", "negated", "place", "term"])
+
+    return searches.select("query_id", "query").mapInArrow(run, f"query_id {kind}, item int, slot int, negated boolean, place int, term string")
 
 
 def item_hits(asked: DataFrame, index: StoredIndex) -> DataFrame:
@@ -233,21 +250,21 @@ def item_hits(asked: DataFrame, index: StoredIndex) -> DataFrame:
     return words.union(phrases)
 
 
-def stored_matches(searches: list[tuple[object, str]], index: StoredIndex) -> DataFrame:
+def stored_matches(searches: Searches, index: StoredIndex) -> DataFrame:
     """(query_id, key) of all units that satisfy each web-search query, many queries at once, from a stored index.
 
     A query matches where every group has a match and no negated item has one; one of negated items alone matches all
     other units, and one without words nothing.
     """
-    spark = index.postings.sparkSession
-    asked = parsed_searches(spark, searches)
+    asked = parsed_searches(index.postings.sparkSession, searches)
     wanted = asked.groupBy("query_id").agg(F.count_distinct("slot").alias("slots"))
     found = item_hits(asked, index).groupBy("query_id", index.key).agg(F.count_distinct(F.when(~F.col("negated"), F.col("slot"))).alias("have"), F.bool_or("negated").alias("refused"))
-    told = found.join(F.broadcast(wanted), "query_id")  # one row a query
+    told = found.join(small(wanted), "query_id")
     some = told.where("slots > 0 and have = slots and not refused").select("query_id", index.key)
-    only = F.broadcast(wanted.where("slots = 0").select("query_id"))
-    rest = index.units.select(index.key).crossJoin(only).join(told.where("slots = 0 and refused").select("query_id", index.key), ["query_id", index.key], "left_anti")
-    return some.unionByName(rest)
+    # Queries of negated items alone are answered with all other units, which is their result.
+    only = small(wanted.where("slots = 0").select("query_id", F.lit(True).alias("every")))
+    rest = index.units.select(index.key, F.lit(True).alias("every")).join(only, "every").select("query_id", index.key)
+    return some.unionByName(rest.join(told.where("slots = 0 and refused").select("query_id", index.key), ["query_id", index.key], "left_anti"))
 
 
 def cover_density(places: dict[str, list[int]], needed: list[str], weight: float = 0.1) -> float:
@@ -280,20 +297,18 @@ def covered(events: Column, needed: Column, weight: float = 0.1) -> Column:
     return F.aggregate(events, start, step, lambda s: s["total"])
 
 
-def stored_fts(searches: list[tuple[object, str]], index: StoredIndex, k: int = FTS_K, *order: str) -> DataFrame:
-    """Matches ranked by cover density of the first alternative of each group, then by ``order`` (the key at last)."""
-    spark = index.postings.sparkSession
-    needed = []
-    for query_id, query in searches:
-        terms = list(dict.fromkeys(t for group in parse_search(query)["groups"] for t in group[0]))
-        needed += [(query_id, i, t, len(terms)) for i, t in enumerate(terms)]
-    kind = "string" if any(isinstance(q, str) for q, _ in searches) else "long"
-    wanted = spark.createDataFrame(needed, f"query_id {kind}, t int, term string, needed int")
+def stored_fts(searches: Searches, index: StoredIndex, k: int = FTS_K) -> DataFrame:
+    """Matches ranked by cover density of the first alternative of each group, then by key."""
+    asked = parsed_searches(index.postings.sparkSession, searches).where("not negated")
+    first = asked.withColumn("leads", F.min("item").over(Window.partitionBy("query_id", "slot"))).where("item = leads")
+    terms = first.groupBy("query_id", "term").agg(F.min(F.struct("item", "place")).alias("at"))
+    own = Window.partitionBy("query_id")
+    wanted = terms.select("query_id", "term", (F.row_number().over(own.orderBy("at")) - 1).alias("t"), F.count(F.lit(1)).over(own).cast("int").alias("needed"))
     met = index.postings.select(index.key, "term", "places").join(small(wanted), "term").select("query_id", index.key, "needed", "t", F.explode("places").alias("place"))
     matched = stored_matches(searches, index)
     events = met.join(matched, ["query_id", index.key], "left_semi").groupBy("query_id", index.key, "needed").agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias("events"))
-    scored = matched.join(events, ["query_id", index.key], "left").withColumn("score", F.coalesce(covered(F.col("events"), F.col("needed")), F.lit(0.0)))
-    return top(scored.drop("events", "needed"), k, F.desc(F.round("score", 9)), *order, index.key)
+    scored = matched.join(events, ["query_id", index.key], "left").withColumn("score", F.round(F.coalesce(covered(F.col("events"), F.col("needed")), F.lit(0.0)), 9))
+    return top(scored.drop("events", "needed"), k, F.desc("score"), index.key)
 
 
 def fts_matches(units: DataFrame, query: str, text: str = "text") -> DataFrame:

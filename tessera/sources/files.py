@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .extract import Extractors
 
 #: File types by extension.
 EXTENSIONS = {"pdf": "pdf", "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text"}
@@ -51,14 +52,14 @@ def _quoted(x: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() and c not in "/_" else c for c in x)
 
 
-def discover(spark: SparkSession, folder: str) -> DataFrame:
+def discover(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     """Documents in a folder tree: path, folder, stem, file_type, size.  Hidden files, sidecars and other types are left
-    out; contents are not read."""
+    out; contents are read only if ``content`` is asked for as one of ``more`` columns."""
     name = F.element_at(F.split("below", "/"), -1)
-    rows = _binary(spark, folder).select("path", F.col("length").alias("size"), _below(folder).alias("below"))
+    rows = _binary(spark, folder).select("path", F.col("length").alias("size"), _below(folder).alias("below"), *more)
     rows = rows.where(~F.col("below").rlike(r"(^|/)\.") & ~F.col("below").endswith(SIDECAR)).withColumn("name", name)
     rows = rows.withColumn("file_type", file_type(F.regexp_extract("name", r"\.([^.]+)$", 1)))
-    return rows.where("file_type is not null").select("path", F.regexp_replace("below", r"/?[^/]*$", "").alias("folder"), F.regexp_replace("name", r"\.[^.]+$", "").alias("stem"), "file_type", "size")
+    return rows.where("file_type is not null").select("path", F.regexp_replace("below", r"/?[^/]*$", "").alias("folder"), F.regexp_replace("name", r"\.[^.]+$", "").alias("stem"), "file_type", "size", *more)
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,16 +96,20 @@ def parsed_sidecars(rows: DataFrame, json: str = "json") -> DataFrame:
     return read.withColumn("errors", F.when(unreadable, F.array(F.lit("the sidecar is not readable"))).otherwise(broken))
 
 
-def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with content, text and sidecar: text is null, with an ``error``, if it is not UTF-8 or needs a port."""
-    found = discover(spark, folder)
-    content = _binary(spark, folder).select("path", "content")
+def documents(spark: SparkSession, folder: str, extractors: Extractors | None = None) -> DataFrame:
+    """Documents with text, the format's own tags (``native``) and sidecar: text is null, with an ``error``, if it is
+    not UTF-8 or has no extractor.  Contents become text where they are read; only texts meet the sidecars."""
+    found = discover(spark, folder, "content")
+    if extractors:
+        read = extractors.extract(found).withColumnRenamed("error", "unread")
+    else:
+        valid = F.is_valid_utf8(F.col("content").cast("string"))
+        text = F.when(F.col("file_type").isin("text", "markdown") & valid, F.decode("content", "UTF-8"))
+        unread = F.when(F.col("file_type") == "pdf", "pdf extraction needs a configured extractor").when(~valid, "the file is not valid UTF-8")
+        read = found.select("*", text.alias("text"), F.lit(None).cast("map<string,string>").alias("native"), unread.alias("unread")).drop("content")
     sides = parsed_sidecars(sidecars(spark, folder)).withColumn("has_sidecar", F.lit(True))
-    rows = found.join(content, "path").join(sides, ["folder", "stem"], "left")
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    text = F.when(F.col("file_type").isin("text", "markdown") & valid, F.decode("content", "UTF-8"))
-    error = F.when(F.size("errors") > 0, F.array_join("errors", "; ")).when(F.col("file_type") == "pdf", "pdf extraction needs a configured extractor").when(~valid, "the file is not valid UTF-8")
-    return rows.withColumn("text", text).withColumn("error", error).drop("content")
+    rows = read.join(sides, ["folder", "stem"], "left")
+    return rows.withColumn("error", F.when(F.size("errors") > 0, F.array_join("errors", "; ")).otherwise(F.col("unread"))).drop("unread")
 
 
 def needs_ocr(force: Column | str, text: Column | str, available: bool) -> Column:

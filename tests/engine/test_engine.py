@@ -26,6 +26,44 @@ def test_lifecycle(spark, tmp_path):
     assert [r.id for r in engine.table("documents").collect()] == ["beta"] and engine.table("points").count() == 1
 
 
+def test_buckets_text_search_and_ports(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for i in range(9):
+        (folder / f"d{i}.txt").write_text(f"Number {i} rotates the keys. " + ("The keys rotate often." if i % 2 else "Nothing else."))
+    (folder / "book.pdf").write_bytes(b"First page of keys||Third page")
+    pdf = X.Extractors.standard().register("pdf", X.paged(lambda b: (b.decode().split("|"), {"author": "me"}), ocr=lambda b, i: f"scanned page {i}"))
+    calls = []
+
+    def provider(texts):
+        calls.append(len(texts))
+        return [[float(len(t)), 1.0, 2.0] for t in texts]
+
+    engine = Engine(spark, f"file://{tmp_path}/store", dim=3, provider=provider, extractors=pdf, buckets=8)
+    n = engine.ingest(str(folder), "t").first()
+    assert (n.documents, n.failed, n.skipped) == (10, 0, 0)
+    assert Engine(spark, f"file://{tmp_path}/other", dim=3).failures(str(folder), "t").select("error").first().error.startswith("pdf extraction needs")
+    q = spark.createDataFrame([(1, '"keys rotate" -nothing'), (2, "scanned"), (3, "page or nothing")], "query_id int, query string")
+    found = {}
+    for r in engine.search_text(q, "t", "demo", 20).collect():
+        found.setdefault(r.query_id, set()).add(r.document_id)
+    assert found == {1: {"d1", "d3", "d5", "d7"}, 2: {"book"}, 3: {"book", "d0", "d2", "d4", "d6", "d8"}}
+    assert engine.search_text(q, "other", "demo").count() == 0
+    before = dict(engine._versions("postings"))
+    (folder / "d1.txt").write_text("Something quite different now.")
+    again = engine.ingest(str(folder), "t").first()
+    assert (again.documents, again.skipped) == (10, 9)
+    after = engine._versions("postings")
+    assert sum(before[b] != after.get(b) for b in before) == 1  # one bucket was written anew
+    assert {r.document_id for r in engine.search_text(q, "t", "demo", 20).where("query_id = 1").collect()} == {"d3", "d5", "d7"}
+    sparse = engine.search_sparse(spark.createDataFrame([(1, "different")], "query_id int, query string"), "t", "demo")
+    assert sparse.count() == 1
+    assert "payload" not in engine.index("t", "demo").postings._jdf.queryExecution().optimizedPlan().toString()  # postings, no texts
+    engine.delete("t", "d3")
+    assert {r.document_id for r in engine.search_text(q, "t", "demo", 20).where("query_id = 1").collect()} == {"d5", "d7"}
+    assert engine.table("documents").count() == 9 and {r.document_id for r in engine.table("postings").select("document_id").distinct().collect()} == {r.id for r in engine.table("documents").collect()}
+
+
 def test_embedding_port(spark):
     assert E.batches([5, 5, 1, 9], 10, 2) == [range(0, 2), range(2, 4)] and E.batches([], 1, 1) == []
     for bad in ([0], [11]):
