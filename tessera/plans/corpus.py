@@ -161,6 +161,53 @@ def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CH.chunked(rows, 64, OVERLAP, tokenizer="words", keep=("doc_id", "strategy"))
 
 
+def _started(raw: str) -> str:
+    return rf"regexp_replace(regexp_replace({raw}, '^\s+', ''), '^\p{{Ll}}\S*\s+', '')"
+
+
+_WORDS = r"regexp_extract_all({}, '\s*\S+|\s+$')"
+
+
+def _packed(spark: SparkSession, sf_dir: str, strategy: str, pages: bool) -> DataFrame:
+    """The chunks that ingest makes by one strategy, budgets counted in words."""
+    rows = _paged(spark, sf_dir) if pages else table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = CH.chunked(rows.withColumn("strategy", F.lit(strategy)), 64, OVERLAP, tokenizer="words", keep=("doc_id",))
+    return made.select("doc_id", "chunk_index", "text")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 9), 55)) AS i FROM t WHERE len(w) > 0),
+x AS (SELECT doc_id, i, {_started("array_to_string(w[i + 1 : i + 64], '')")} AS text FROM c)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, text FROM x WHERE length(text) > 0""")
+def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "tokens", False)
+
+
+def _packed_pages(room: int, step: int, label: str) -> str:
+    """The SQL twin of page chunkers: documents of one page are cut into plain windows."""
+    return f"""
+WITH d AS (SELECT doc_id, replace(text, chr(10), chr(12)) AS text FROM documents),
+p AS (SELECT doc_id, unnest(string_split(text, chr(12))) AS body, generate_subscripts(string_split(text, chr(12)), 1) AS page FROM d WHERE contains(text, chr(12))),
+q AS (SELECT doc_id, page, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM p),
+w AS (SELECT doc_id, page, {_WORDS.format('body')} AS w FROM q WHERE length(body) > 0),
+c AS (SELECT doc_id, page, w, unnest(range(0, greatest(1, len(w) - {room} + {step}), {step})) AS i FROM w),
+n AS (SELECT doc_id, page, i, w, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS k FROM c),
+l AS (SELECT doc_id, page, i, {label} || chr(10) || array_to_string(w[i + 1 : i + {room}], '') AS raw FROM n
+  UNION ALL SELECT doc_id, 0, i, array_to_string(w[i + 1 : i + 64], '') FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 9), 55)) AS i FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM d WHERE NOT contains(text, chr(12))) WHERE len(w) > 0)),
+x AS (SELECT doc_id, page, i, {_started('raw')} AS text FROM l)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, i) - 1 AS INTEGER) AS chunk_index, text FROM x WHERE length(text) > 0"""
+
+
+@query(_packed_pages(61, 52, "'[page ' || page || ']'"))
+def packed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "pages", True)
+
+
+@query(_packed_pages(59, 51, "'[page ' || page || ' chunk ' || k || ']'"))
+def packed_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, "page_tokens", True)
+
+
 @query()
 def mock_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", V.mock_embedding(64)("text").alias("embedding"))
