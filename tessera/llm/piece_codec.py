@@ -8,9 +8,10 @@ weight 0 for an edge between such neighbours and minus infinity otherwise; exact
 Documents over ``CHUNK_CHARS`` are cut into chunks that tasks handle on their own.  A chunk's transfer matrix tells,
 in the max-plus semiring, which boundary states (the piece in use where the chunk begins) lead to which where it ends;
 weights being 0 and minus infinity, a row is a set of states, kept as bits.  The matrices of a document are combined
-in order (an associative product), which fixes the one state at every boundary; then each chunk backtraces its own
-pieces.  At a word boundary (no piece of such a model crosses one) there is a single state, so words are encoded once
-by the same search and remembered, and a document of words needs no lattice.
+by their associative product in a balanced tree; what leads to each boundary from the left and from it to the end fixes
+the one state there, from the root down; then each chunk backtraces its own pieces.  At a word boundary (no piece of
+such a model crosses one) there is a single state, so words are encoded once by the same search and remembered, and a
+chunk's matrix is the product of those of the word it begins in, of its whole words, and of the word it ends in.
 
 Normalisation: the dummy space in front, and spaces as U+2581, nothing else (the identity rule of such models).
 Characters without a piece become their UTF-8 byte pieces.  Decoding is the inverse: pieces, bytes, spaces.
@@ -302,13 +303,14 @@ class Pieces:
         known, word = self.words, self.word
         return b"".join([known.get(u) or word(u) for u in self.units(text)])
 
-    # Boundary states: (place, length) of the last piece that ended at or before a boundary, the next crossing it.
+    # Boundary states: (place, length) of the last piece that ended at or before a boundary, the next crossing it; at the
+    # start of a word the length is ``WHOLE``, whatever piece ended there.
 
     def states(self, text: str, at: int) -> list[tuple[int, int]]:
         """The states possible at a boundary, by what stands around it."""
         if at == 0 or at == len(text) or boundary(text, at):
             return [(at, WHOLE)]
-        return [(p, len(x)) for p in range(max(0, at - self.longest + 1), at + 1) for x in (self.ending(text, p) if p else [""])]
+        return [x for p in range(max(0, at - self.longest + 1), at + 1) for x in ([(p, WHOLE)] if p == 0 or boundary(text, p) else [(p, len(y)) for y in self.ending(text, p)])]
 
     def _edges(self, text: str, node: tuple[int, int]) -> Iterator[tuple[int, int]]:
         place, size = node
@@ -346,6 +348,7 @@ class Pieces:
                         if place < start and nxt[0] <= start:
                             continue
                         at = by_place.setdefault(nxt[0], {})
+                        nxt = (nxt[0], WHOLE) if boundary(text, nxt[0]) else nxt
                         at[nxt] = at.get(nxt, 0) | bits
                 if crosses and not single:
                     out[node] = out.get(node, 0) | bits
@@ -372,6 +375,29 @@ class Pieces:
             goal = came[goal][0]
         return out[::-1]
 
+    def chunk_matrix(self, text: str, start: int, end: int) -> Matrix:
+        """``transfer`` of a chunk: through its whole words there is one way."""
+        whole = inner(text, start, end)
+        if whole is None:
+            return self.transfer(text, start, end)
+        first, last = whole
+        parts = [([(start, WHOLE)], [(start, WHOLE)], [1]) if first == start else self.transfer(text, start, first)]
+        parts.append(([(first, WHOLE)], [(last, WHOLE)], [1]))
+        if last < end:
+            parts.append(self.transfer(text, last, end))
+        return product(product(*parts[:2]), parts[2]) if len(parts) > 2 else product(*parts)
+
+    def chunk_ids(self, text: str, start: int, end: int, entry: tuple[int, int], leave: tuple[int, int]) -> bytes:
+        """The ids of a chunk between its two states."""
+        whole = inner(text, start, end)
+        ids = lambda pieces: np.array(self.numbers(pieces), "<i4").tobytes()
+        if whole is None:
+            return ids(self.backtrace(text, start, end, entry, leave))
+        first, last = whole
+        head = b"" if first == start else ids(self.backtrace(text, start, first, entry, (first, WHOLE)))
+        tail = b"" if last == end else ids(self.backtrace(text, last, end, (last, WHOLE), leave))
+        return head + self.encode_words(text[first:last]) + tail
+
     def decode(self, ids) -> str:
         """The text of these ids: pieces joined, byte pieces as UTF-8, spaces restored, the dummy space dropped."""
         out, raw, byte_of, names = [], bytearray(), self.bytes, self.names
@@ -428,27 +454,63 @@ def pieces_of(path: str) -> Pieces:
 
 
 def cuts(text: str, size: int) -> list[int]:
-    """Chunk boundaries: multiples of ``size``, moved to a word boundary if one is within 256 characters."""
-    out, at = [0], size
-    while at < len(text):
-        near = next((p for p in range(at, min(at + 256, len(text))) if boundary(text, p)), at)
-        if near > out[-1]:
-            out.append(near)
-        at = near + size
-    return [*out, len(text)]
-
-
-def scan(matrices: list[tuple[list, list, list[int]]]) -> list[tuple[int, int]]:
-    """The state at every boundary of a document: products of the matrices from the left, then from the right."""
-    reached = [1]  # bits of the states at each boundary that the start leads to
-    for entries, exits, rows in matrices:
-        reached.append(sum(1 << i for i, row in enumerate(rows) if row & reached[-1]))
-    state = len(reached) - 1
-    chosen: list[tuple[int, int]] = [matrices[-1][1][(reached[-1] & -reached[-1]).bit_length() - 1]]
-    for k in range(state - 1, -1, -1):
-        entries, exits, rows = matrices[k]
-        into = rows[exits.index(chosen[0])] & reached[k]
-        chosen.insert(0, entries[(into & -into).bit_length() - 1])
+    """Chunk boundaries: the multiples of ``size``, wherever they fall."""
+    return [*range(0, len(text), size), len(text)]
+
+
+def inner(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The first and the last word boundary from ``a`` to ``b`` (the ends of the text count); None without any."""
+    ends = lambda p: p in (0, len(text)) or boundary(text, p)
+    first, last = a, b
+    while first <= b and not ends(first):
+        first = text.find(SPACE, first + 1, b + 1)
+        if first < 0:
+            return None
+    while not ends(last):
+        last = text.rfind(SPACE, a, last)
+    return first, last
+
+
+Matrix = tuple[list, list, list[int]]  # entry states, exit states, and a row of bits of entries for each exit
+
+
+def product(left: Matrix, right: Matrix) -> Matrix:
+    """The max-plus product: an exit is reached from the entries that lead to a state in between that leads to it."""
+    at = {state: i for i, state in enumerate(left[1])}
+    rows = []
+    for row in right[2]:
+        bits = 0
+        for i, state in enumerate(right[0]):
+            if row >> i & 1 and state in at:
+                bits |= left[2][at[state]]
+        rows.append(bits)
+    return left[0], right[1], rows
+
+
+def scan(matrices: list[Matrix]) -> list[tuple[int, int]]:
+    """The state at every boundary of a document, by products in a balanced tree and a walk down from its root."""
+
+    def up(lo: int, hi: int) -> tuple:
+        if hi - lo == 1:
+            return matrices[lo], None, None
+        left, right = up(lo, (lo + hi) // 2), up((lo + hi) // 2, hi)
+        return product(left[0], right[0]), left, right
+
+    def down(node: tuple, lo: int, hi: int, before: set, after: set) -> None:
+        """``before``: the states at the left end that the start leads to; ``after``: those at the right end that lead on."""
+        if node[1] is None:
+            return
+        (entries, exits, rows), (entries2, exits2, rows2) = node[1][0], node[2][0]
+        reached = {x for x, row in zip(exits, rows, strict=True) if any(row >> i & 1 for i, e in enumerate(entries) if e in before)}
+        leads = {e for i, e in enumerate(entries2) if any(row >> i & 1 for x, row in zip(exits2, rows2, strict=True) if x in after)}
+        mid = (lo + hi) // 2
+        chosen[mid] = min(reached & leads)  # one path reaches the end, so there is one
+        down(node[1], lo, mid, before, {chosen[mid]})
+        down(node[2], mid, hi, {chosen[mid]}, after)
+
+    root, n = up(0, len(matrices)), len(matrices)
+    chosen: list[tuple[int, int]] = [matrices[0][0][0]] * n + [matrices[-1][1][0]]
+    down(root, 0, n, {chosen[0]}, {chosen[n]})
     return chosen
 
 
@@ -510,11 +572,7 @@ def _transfers(path: str):
             out = []
             for x in part.to_pylist():
                 text, a, b = x["text"], x["a"], x["b"]
-                entries, exits = use.states(text, a), use.states(text, b)
-                if entries == [(a, WHOLE)] and exits == [(b, WHOLE)]:
-                    rows = [1]
-                else:
-                    entries, exits, rows = use.transfer(text, a, b)
+                entries, exits, rows = use.chunk_matrix(text, a, b)
                 width = -(-len(entries) // 8)
                 out.append((x["row"], x["k"], sum(_absolute(entries, x["offset"]), []), sum(_absolute(exits, x["offset"]), []), b"".join(r.to_bytes(width, "little") for r in rows)))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["row", "k", "entries", "exits", "matrix"])
@@ -541,11 +599,7 @@ def _backtraced(path: str):
             for x in part.to_pylist():
                 text, a, b, o = x["text"], x["a"], x["b"], x["offset"]
                 (p, n), (q, m) = x["entry"], x["leave"]
-                if n == WHOLE and m == WHOLE and p - o == a and q - o == b:
-                    ids = use.encode_words(text[a:b])
-                else:
-                    ids = np.array(use.numbers(use.backtrace(text, a, b, (p - o, n), (q - o, m))), "<i4").tobytes()
-                out.append((x["row"], x["doc_id"], x["k"], ids))
+                out.append((x["row"], x["doc_id"], x["k"], use.chunk_ids(text, a, b, (p - o, n), (q - o, m))))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["row", "doc_id", "k", "ids"])
 
     return run

@@ -45,6 +45,26 @@ def test_chunks_without_words_meet_by_their_matrices(library, chunk):
         assert use.numbers(pieces) == library.encode(t)
 
 
+@pytest.mark.parametrize("chunk", [40, 61])
+def test_chunks_cut_inside_words(library, chunk):
+    use = C.Pieces(PATH)
+    for seed in range(6):
+        t = " ".join(["international", "a", "organization", "  x", "漢字漢字", "tionally's", "été"][i % 7] + str(i * seed) for i in range(60)) + " " * seed
+        text = C.normalised(t)
+        at = C.cuts(text, chunk)
+        assert any(not C.boundary(text, a) for a in at[1:-1])
+        matrices = [use.chunk_matrix(text, a, b) for a, b in zip(at[:-1], at[1:])]
+        assert any(len(m[0]) > 1 for m in matrices)
+        states = C.scan(matrices)
+        got = b"".join(use.chunk_ids(text, a, b, s, e) for a, b, s, e in zip(at[:-1], at[1:], states[:-1], states[1:]))
+        assert np.frombuffer(got, "<i4").tolist() == library.encode(t)
+        whole = use.transfer(text, 0, len(text))
+        joined = matrices[0]
+        for m in matrices[1:]:
+            joined = C.product(joined, m)
+        assert joined == whole  # the product does not depend on the cuts
+
+
 def test_documents_with_chunks(spark, library):
     giant = " ".join(texts(3000, 9))
     solid = "antidisestablishment" * 40
