@@ -52,7 +52,7 @@ GROUP_HEADS = 1 << 22  # heads counted in one group, or so
 LIST_BLOCK = 64
 CELL_ROWS = 2048
 CELLS = 1 << 31  # more blocks than a list can have
-SPREAD = 1024  # pairs of one text that go to one task
+SPREAD = 256  # pairs of one text that go to one task
 BLOCK_COST = 256  # sets (with small differences) in a block of a cluster
 COLUMNS = 4096  # shingles of a step when differences meet
 
