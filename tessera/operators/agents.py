@@ -48,7 +48,7 @@ def approval_checkpoint(spec: Spec, task: str = "approval_checkpoint") -> Task:
 
 def retrieval_tasks(hits: DataFrame, model: chat.Model = chat.mock_model, baseline: DataFrame | None = None) -> dict[str, Task]:
     """The tasks that use retrieval results, given fused ``hits(query_id, ...)`` of the runs' queries."""
-    kept = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "document_id"))).alias("search_results"))
+    kept = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "document_id"))).alias("search_results"))
 
     def retrieve(runs: DataFrame) -> DataFrame:
         return runs.join(kept, "query_id", "left")

@@ -35,7 +35,7 @@ def coalesced(messages: DataFrame, conversation: str = "conversation_id", order:
     w = Window.partitionBy(conversation).orderBy(order)
     changed = F.when(F.lag("role").over(w).eqNullSafe(F.col("role")), 0).otherwise(1)
     islands = messages.withColumn("changed", changed).withColumn("turn", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda m: m[content])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, content))), lambda m: m[content])
     return islands.groupBy(conversation, "turn", "role").agg(F.array_join(lines, "\n").alias(content))
 
 

@@ -46,7 +46,8 @@ def normalised_starts(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 def token_chunks(docs: DataFrame, size: int, overlap: float, *keep: str) -> DataFrame:
     """Windows of space-separated tokens: keep columns, chunk_index, text, n_tokens."""
-    rows = docs.select(*keep, F.posexplode(token_windows(T.words("text"), size, overlap)).alias("chunk_index", "w"))
+    split = docs.select(*keep, T.words("text").alias("words"))  # a column of its own, so that no window splits again
+    rows = split.select(*keep, F.posexplode(token_windows(F.col("words"), size, overlap)).alias("chunk_index", "w"))
     return rows.select(*keep, "chunk_index", F.array_join("w", " ").alias("text"), F.size("w").alias("n_tokens"))
 
 
@@ -54,7 +55,8 @@ def page_chunks(docs: DataFrame, size: int, overlap: float, *keep: str, numbered
     """Pages of ``text`` in labelled windows of space-separated tokens (a label costs its own tokens)."""
     pages = docs.select(*keep, F.posexplode(F.split("text", "\f")).alias("page", "body")).withColumn("page", F.col("page") + 1).where(F.length(T.trim_ws("body")) > 0)
     room = max(1, size - (4 if numbered else 2))
-    rows = pages.select(*keep, "page", F.posexplode(token_windows(T.words(T.trim_ws("body")), room, overlap)).alias("k", "w"))
+    split = pages.select(*keep, "page", T.words(T.trim_ws("body")).alias("words"))
+    rows = split.select(*keep, "page", F.posexplode(token_windows(F.col("words"), room, overlap)).alias("k", "w"))
     number = F.concat(F.lit(" chunk "), (F.col("k") + 1).cast("string")) if numbered else F.lit("")
     label = F.concat(F.lit("[page "), F.col("page").cast("string"), number, F.lit("]\n"))
     return rows.select(*keep, "page", (F.col("k") + 1).alias("chunk"), F.concat(label, F.array_join("w", " ")).alias("text"))
@@ -68,12 +70,14 @@ def markdown_sections(docs: DataFrame, key: str) -> DataFrame:
     lines = lines.withColumn("level", F.nullif(F.length(marks), F.lit(0))).withColumn("title", F.when(F.col("level").isNotNull(), title))
     order = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("section", F.count("level").over(order))
-    grouped = lines.groupBy(key, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"), F.max("title").alias("title"), F.max("level").alias("level"))
+    grouped = lines.groupBy(key, "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"), F.max("title").alias("title"), F.max("level").alias("level"))
+    # A heading of level v is on the path of a later section if no heading in between has a level of v or less: of each
+    # level the last heading counts, if it stands behind the last ones of all lower levels.
     earlier = Window.partitionBy(key).orderBy("section").rowsBetween(Window.unboundedPreceding, 0)
-    # A heading of level v is on the path if no later heading up to here has a level of v or less.
-    seen = grouped.withColumn("heads", F.collect_list(F.when(F.col("level").isNotNull(), F.struct("section", "level", "title"))).over(earlier))
-    on_path = F.filter("heads", lambda h: ~F.exists(F.col("heads"), lambda g: (g["section"] > h["section"]) & (g["level"] <= h["level"])))
-    path = F.when(F.col("level").isNotNull(), F.array_join(F.transform(on_path, lambda h: h["title"]), " > "))
+    last = lambda v: F.max(F.when(F.col("level") == v, F.struct("section", "title"))).over(earlier)
+    seen = grouped.select("*", *(last(v).alias(f"h{v}") for v in range(1, 7)))
+    on_path = [F.when((F.col(f"h{v}.section") >= F.greatest(*(F.coalesce(f"h{u}.section", F.lit(0)) for u in range(1, v)), F.lit(0), F.lit(0))) & (F.col("level") >= v), F.col(f"h{v}.title")) for v in range(1, 7)]
+    path = F.when(F.col("level").isNotNull(), F.array_join(F.array_compact(F.array(*on_path)), " > "))
     return seen.select(key, "section", "title", path.alias("path"), "level", T.trim_ws("text").alias("text")).where(F.length("text") > 0)
 
 

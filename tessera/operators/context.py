@@ -43,7 +43,7 @@ def build(hits: DataFrame, max_tokens: int = MAX_TOKENS, max_chunks: int = MAX_C
     rows = deduped(hits, strategy).withColumn("ordinal", F.row_number().over(order)).withColumn("tokens", T.token_estimate("text") if tokens is None else tokens)
     sources = F.col("sources") if "sources" in hits.columns else F.array().cast("array<string>")
     item = F.struct("ordinal", "tokens", "chunk_id", "document_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", "fused_score", sources.alias("sources"))
-    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     kept = listed.withColumn("taken", _greedy(F.col("items"), max_tokens, max_chunks)).withColumn("kept", F.filter("items", lambda x: F.array_contains("taken", x["ordinal"])))
     cited = lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["document_id"].alias("document_id"), x["chunk_index"].alias("chunk_index"), x["sources"].alias("sources"))
     cites = F.transform("kept", cited) if citations else F.filter(F.transform("kept", cited), lambda _: F.lit(False))

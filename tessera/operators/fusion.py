@@ -23,7 +23,7 @@ def fuse(hits: DataFrame, k: int = RRF_K, key: str = "chunk_id") -> DataFrame:
     for c in (c for c in FIRST if c in hits.columns):
         value = F.when(F.size(c) > 0, F.col(c)) if dict(hits.dtypes)[c].startswith("array") else F.col(c)
         kept.append(F.min_by(value, F.when(value.isNotNull(), place)).alias(c))
-    visits = F.array_sort(F.collect_list(F.struct("source_order", "rank", "source", "score")))
+    visits = F.sort_array(F.collect_list(F.struct("source_order", "rank", "source", "score")))
     fused = hits.groupBy("query_id", key).agg(F.round(F.sum(F.lit(1.0) / (F.col("rank") + F.lit(float(k)))), 12).alias("fused_score"), visits.alias("visits"), *kept)
     once = F.map_from_entries(F.transform(F.array_distinct(F.transform("visits", lambda v: v["source"])), lambda s: F.struct(s, F.element_at(F.filter("visits", lambda v: v["source"] == s), -1)["score"])))
     named = fused.withColumn("sources", F.transform("visits", lambda v: v["source"])).withColumn("source_scores", once).drop("visits")

@@ -36,7 +36,7 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
 
 def runs_of_terms(rows: DataFrame, *keep: str) -> DataFrame:
     """(keep..., term, tf, length, places) of ``rows(keep..., terms)``, by runs of each row's sorted terms; no shuffle."""
-    placed = F.array_sort(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
+    placed = F.sort_array(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
     held = rows.select(*keep, placed.alias("s")).where(F.size("s") > 0).withColumn("length", F.size("s"))
     at = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.get("s", i - 1)["term"] != F.get("s", i - 2)["term"]))
     until = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.col("length") + 1))
@@ -50,7 +50,7 @@ def postings(units: DataFrame, key: str = "chunk_id", text: str = "text") -> Dat
 
     Counted inside each text, by runs of its sorted terms, so nothing is shuffled.
     """
-    sorted_terms = units.select(key, F.array_sort(T.terms(text)).alias("s")).where(F.size("s") > 0).withColumn("length", F.size("s"))
+    sorted_terms = units.select(key, F.sort_array(T.terms(text)).alias("s")).where(F.size("s") > 0).withColumn("length", F.size("s"))
     at = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", i - 2)))
     runs = sorted_terms.withColumn("at", at)
     until = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.col("length") + 1))

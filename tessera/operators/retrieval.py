@@ -306,7 +306,7 @@ def stored_fts(searches: Searches, index: StoredIndex, k: int = FTS_K) -> DataFr
     wanted = terms.select("query_id", "term", (F.row_number().over(own.orderBy("at")) - 1).alias("t"), F.count(F.lit(1)).over(own).cast("int").alias("needed"))
     met = index.postings.select(index.key, "term", "places").join(small(wanted), "term").select("query_id", index.key, "needed", "t", F.explode("places").alias("place"))
     matched = stored_matches(searches, index)
-    events = met.join(matched, ["query_id", index.key], "left_semi").groupBy("query_id", index.key, "needed").agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias("events"))
+    events = met.join(matched, ["query_id", index.key], "left_semi").groupBy("query_id", index.key, "needed").agg(F.sort_array(F.collect_list(F.struct("place", "t"))).alias("events"))
     scored = matched.join(events, ["query_id", index.key], "left").withColumn("score", F.round(F.coalesce(covered(F.col("events"), F.col("needed")), F.lit(0.0)), 9))
     return top(scored.drop("events", "needed"), k, F.desc("score"), index.key)
 

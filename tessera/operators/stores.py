@@ -64,7 +64,7 @@ def collections(points: DataFrame) -> DataFrame:
 
 def fetch_document(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each document with all its chunks, in order, as one JSON object."""
-    listed = chunks.groupBy("tenant", F.col("document_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))).alias("chunks"))
+    listed = chunks.groupBy("tenant", F.col("document_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "text"))).alias("chunks"))
     joined = documents.join(listed, ["tenant", "id"], "left").withColumn("chunks", F.coalesce("chunks", F.array().cast("array<struct<chunk_index:int,text:string>>")))
     return joined.select("tenant", "id", F.to_json(F.struct("id", "title", "collection", "language", "chunks")).alias("document"))
 

@@ -223,7 +223,7 @@ SELECT source, CAST(part AS BIGINT) AS part, CAST(batch AS INTEGER) AS batch, mi
 def embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of at most 8192 tokens and 32 items, in ranges of a thousand ids of each source; a larger text is alone."""
     rows = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", T.token_estimate("text").alias("t"))
-    lists = rows.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("x"))
+    lists = rows.groupBy("source", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "t"))).alias("x"))
     packed = lists.select("source", "part", "x", F.posexplode(L.pack_ranges(F.col("x.t"), 8192, 32)).alias("batch", "b"))
     held = F.slice("x", F.col("b.first") + 1, F.col("b.until") - F.col("b.first"))
     return packed.withColumn("held", held).select("source", "part", "batch", F.get("held", F.lit(0))["doc_id"].alias("first_id"), F.size("held").cast("long").alias("items"), F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["t"]).alias("tokens"))

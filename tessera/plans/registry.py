@@ -43,7 +43,7 @@ def index_of(spark: SparkSession, sf_dir: str, name: str, units: Callable[[Spark
     """The stored index of ``units(key, text)`` made from the documents: written once for a state of the table (its
     files with their sizes and times), in the shared folder, and read from then on."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet").select(F.concat_ws(":", "path", "length", "modificationTime").alias("f"))
-    state = files.agg(F.md5(F.array_join(F.array_sort(F.collect_list("f")), "|")).alias("state")).first().state
+    state = files.agg(F.md5(F.array_join(F.sort_array(F.collect_list("f")), "|")).alias("state")).first().state
     path = f"{shared_dir(spark)}/index-{name}-{state}"
     if not exists(spark, f"{path}/units/_SUCCESS"):
         new = f"{path}-{uuid.uuid4().hex}"

@@ -263,3 +263,19 @@ def test_dense_products_equal_shards(spark):
     q = spark.createDataFrame([(i, x[i].tolist()) for i in (5, 70, 200)] + [(900, [2.0, 4.0]), (901, None), (902, [0.0] * 8)], "query_id int, vector array<float>")
     keep = lambda df: sorted((a.query_id, a.chunk_id, a["rank"], round(a.score, 8)) for a in df.collect())
     assert keep(retrieval.dense_topk(q, points, 7)) == keep(retrieval.sharded_topk(q, points.where("chunk_id != 'm'"), 7))
+
+
+def test_sections_equal_the_packer(spark):
+    from tessera.functions import packing as P
+    from tessera.operators import chunking as CH
+
+    r = __import__("random").Random(8)
+    texts = ["\n".join(r.choice(["# One", "## Two", "### Three", "#### Four", "text here", "###### Six", " ## In", "", "#no"]) for _ in range(r.randint(1, 25))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for x in CH.markdown_sections(rows, "doc_id").orderBy("doc_id", "section").collect():
+        got.setdefault(x.doc_id, []).append((x.text, x.path, x.level))
+    for i, t in enumerate(texts):
+        found = [(body, s.path, s.level) for body, s in P.sections(t)]
+        if len(found) > 1:
+            assert got[i] == found
