@@ -219,6 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
     joins on small rows, checkpointed.  Self-loops, repeats and null ends are ignored.  Empty in, empty out.
     """
     e = checkpoint(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    size = e.count()
     while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -226,7 +227,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(down.select("a", "m")).distinct()
         new = checkpoint(small)
-        changed = new.join(e, ["a", "b"], "left_anti").limit(1).count() or e.join(new, ["a", "b"], "left_anti").limit(1).count()
+        before, size = size, new.count()
+        changed = size != before or new.join(e, ["a", "b"], "left_anti").limit(1).count()  # both hold distinct rows
         e = new
         if not changed:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
