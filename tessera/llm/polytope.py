@@ -114,10 +114,13 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, k: int
     other = np.flatnonzero(ids != query_id)
     if len(other) > 2 * k and not repeated:
         # A first cut by |x|^2 - 2 x q keeps all within rounding of the k-th; the distances themselves decide.
-        rough = np.einsum("ij,ij->i", x[other], x[other]) - 2 * (x[other] @ q)
-        edge = np.partition(rough, k - 1)[k - 1]
-        other = other[rough <= edge + 1e-9 * max(1.0, abs(edge), float(q @ q))]
-    distance = np.sqrt(((x[other] - q) ** 2).sum(axis=1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = np.einsum("ij,ij->i", x[other], x[other]) - 2 * (x[other] @ q)
+            edge = np.partition(rough, k - 1)[k - 1] + 1e-9 * max(1.0, float(np.abs(rough).max()), float(q @ q))
+        if np.isfinite(edge):  # else squares leave the double range, and all rows are measured
+            other = other[rough <= edge]
+    with np.errstate(over="ignore"):
+        distance = np.sqrt(((x[other] - q) ** 2).sum(axis=1))
     order = np.lexsort((ids[other], distance))
     if repeated:  # an id counts by its nearest row
         order = order[np.sort(np.unique(ids[other[order]], return_index=True)[1])]

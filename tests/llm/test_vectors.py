@@ -88,6 +88,16 @@ def test_few_or_outlying_rows_are_all_met(spark):
     assert X.search(frame(spark, same), tables=2, hashes=1, probes=3).count() == 10
 
 
+def test_squares_beyond_doubles(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, (v * 1e200).tolist()) for i, v in enumerate(r.normal(size=(40, 4)))] + [(100 + i, v.tolist()) for i, v in enumerate(r.normal(size=(3, 4)))]
+    got = X.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    far = [(x.vec_id, x.score) for x in got if x.query_id == 0]
+    assert len(far) == 10 and all(s == math.inf for _, s in far) and far == sorted(far)
+    near = [(x.vec_id, x.score) for x in got if x.query_id == 100]
+    assert len(near) == 10 and {v for v, _ in near[:2]} == {101, 102} and all(s == math.inf for _, s in near[2:])
+
+
 def test_neighbours_recall_and_measure(spark):
     x = sample(3000, 64, 5)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7000, [0.0] * 64), (7100, None), (7200, [float("nan")] * 64)]
