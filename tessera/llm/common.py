@@ -64,6 +64,13 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def file_bytes(df: DataFrame) -> int | None:
+    """The size of the files that a plan reads, as Spark has listed them; None where it reads something else too."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if all(0 <= n < 1 << 55 for n in sizes) else None  # rows in memory have no size of their own
+
+
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a checkpointed table of a few integer columns if it was counted to be small."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -243,7 +250,7 @@ def unit_codes(texts: pa.Array, more: list[list[str]]) -> tuple[list[str], np.nd
         values = pa.concat_arrays([values, pa.array([u for m in more for u in m], values.type)])
         counts = np.concatenate([counts, np.array([len(m) for m in more], np.int64)])
     coded = values.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts
 
 
 def gathered(blobs: list[bytes], codes: np.ndarray, counts: np.ndarray, kind: str) -> tuple[np.ndarray, list[int]]:

@@ -11,8 +11,8 @@ level u64 entries, the chunk bytes, u64 bitmap words, u32 block ranks.
 
 Segments are stand-alone, uncompressed files, one row of Spark's text writer each (its line end follows the last byte),
 so any shared store works and a lost executor only repeats its tasks.  ``SegmentFile`` reads a token of a stored file
-by seeking: a byte, a bitmap block and a rank a level.  Parts are ranges of doc_id of some ``PART_BYTES`` of text; a
-document's start is its part's start, from the parts' totals, and its place in the part, which the file tells.
+by seeking: a byte, a bitmap block and a rank a level.  Parts are ranges of doc_id of some ``PART_BYTES`` of input files (or of
+text, where the input is no file); a document's start is its part's start, from the parts' totals, and its place in the part, which the file tells.
 
 Edge cases.  Null text counts as empty: only the end id.  A null doc_id sorts first; rows that share a doc_id follow
 each other by text.  A document is never split, whatever its length.  Empty tables write no segment.  Other columns
@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, gathered, give_back, light_batches, parallelism, shared_dir, sized_broadcast, slices, unit_codes
+from .common import checkpoint, file_bytes, gathered, give_back, light_batches, parallelism, shared_dir, sized_broadcast, slices, unit_codes
 
 MAGIC, VERSION = b"TDAC", 2
 HEAD = struct.Struct("<4sIqqQQI")
 BLOCK_WORDS = 8  # bitmap words a rank entry covers
 SEGMENT_TOKENS = 1 << 20
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 END_ID = 2
 CACHE_UNITS = 1_200_000
 MARK = "\x00"  # stands before a text's first unit
@@ -280,7 +280,9 @@ def _writer(path: str, end_id: int):
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> str:
     """Write ``docs(doc_id, text)`` as token segments in ascending doc_id order under ``out``."""
     rows = light_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = file_bytes(rows)
+    if size is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = rows.repartitionByRange(max(parallelism(docs.sparkSession), -(-size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInArrow(_writer(tokenizer_path, end_id), "file binary")
     made.select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(out)
