@@ -1,4 +1,4 @@
-"""One object over the engine's tables: ingest folders, search, answer, look up, delete."""
+"""One object over the engine's tables: ingest folders, search, answer, chat, look up, delete."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import vectors as V
 from .operators import chat, embedding, fusion, ingest, retrieval, stored, stores
 from .operators import index as I
-from .session import ensure_importable
+from .session import checkpointed, ensure_importable
 from .sources import files
 from .sources.config import Settings
 from .sources.extract import Extractors
@@ -19,6 +19,8 @@ TABLES = {
     "documents": "tenant string, id string, title string, language string, collection string, checksum string, token_count long, created_at timestamp, updated_at timestamp",
     "points": "chunk_id string, payload struct<tenant:string,document_id:string,chunk_index:bigint,text:string,title:string,source_url:string,source_domain:string,language:string,collection:string,section_heading:string,tags:string>, dense array<float>",
     "postings": "tenant string, document_id string, collection string, chunk_id string, term string, tf int, length int, places array<int>",
+    "conversations": "tenant string, id string, collection string, created_at timestamp",
+    "messages": "tenant string, conversation_id string, part int, role string, content string, created_at timestamp",
 }
 
 
@@ -149,6 +151,31 @@ class Engine:
         """Answers with citations: hybrid search, context, prompt, model."""
         return chat.single_shot(queries, self.search_hybrid(queries, tenant, collection), self.model, max_tokens=self.settings.context_tokens, max_chunks=self.settings.context_chunks)
 
+    def chat(self, requests: DataFrame, tenant: str, collection: str) -> DataFrame:
+        """Answers to ``requests(query_id, conversation_id, query)``, kept as turns of their conversations.
+
+        A null conversation_id starts a conversation.  Requests for a conversation that the tenant does not have, or of
+        another collection, get an ``error`` and no answer.  A request and its answer are saved in one write, and only
+        where there is an answer.
+        """
+        asked = requests.select("query_id", "conversation_id", "query", F.lit(tenant).alias("tenant"), F.lit(collection).alias("collection"))
+        known = chat.resolved(asked, self.table("conversations")).withColumn("conversation_id", F.when(F.col("error").isNull(), F.coalesce("conversation_id", F.expr("uuid()"))).otherwise(F.col("conversation_id")))
+        known = checkpointed(known)
+        fine = known.where("error is null")
+        told = checkpointed(self.answer(fine.select("query_id", "query"), tenant, collection).select("query_id", "answer", "citations"))
+        now = F.current_timestamp()
+        turns = chat.turn_pairs(fine.join(told, "query_id")).withColumn("created_at", now)
+        new = fine.where("is_new").select("tenant", F.col("conversation_id").alias("id"), "collection", now.alias("created_at"))
+        for name, key, rows in (("conversations", "id", new), ("messages", "conversation_id", turns)):
+            rows = checkpointed(rows)
+            touched = self._touched(rows.select("tenant", F.col(key).alias("document_id")))
+            self._replace(name, touched, self.table(name, touched).unionByName(rows), "tenant", key, "created_at")
+        return known.select("query_id", "conversation_id", "query", "error").join(told, "query_id", "left")
+
+    def history(self, tenant: str, limit: int) -> DataFrame:
+        """The last ``limit`` messages of each of a tenant's conversations, in order."""
+        return chat.latest_messages(self.table("messages").where(F.col("tenant") == tenant), limit, order=("created_at", "part"))
+
     def stats(self, tenant: str) -> DataFrame:
         return I.corpus_stats(self.table("documents").where(F.col("tenant") == tenant))
 

@@ -21,6 +21,14 @@ def test_lifecycle(spark, tmp_path):
     assert top == {1: "alpha", 2: "beta"}
     assert engine.search_hybrid(q, "other", "demo").count() == 0
     assert {r.answer for r in engine.answer(q, "t", "demo").collect()} == {"Mock answer to: keys rotation", "Mock answer to: runtime memory"}
+    talk = spark.createDataFrame([(1, None, "keys rotation"), (2, "absent", "runtime")], "query_id int, conversation_id string, query string")
+    first = {r.query_id: r for r in engine.chat(talk, "t", "demo").collect()}
+    assert first[1].answer == "Mock answer to: keys rotation" and first[1].citations and first[2].error == "conversation not found" and first[2].answer is None
+    more = spark.createDataFrame([(3, first[1].conversation_id, "runtime memory")], talk.schema)
+    assert engine.chat(more, "t", "demo").first().conversation_id == first[1].conversation_id
+    assert engine.chat(more, "t", "other").first().error == "collection does not match the conversation"
+    assert [(r.role, r.content) for r in engine.history("t", 10).orderBy("position").collect()] == [("user", "keys rotation"), ("assistant", "Mock answer to: keys rotation"), ("user", "runtime memory"), ("assistant", "Mock answer to: runtime memory")]
+    assert engine.history("other", 10).count() == 0
     assert Engine(spark, f"file://{tmp_path}/store", dim=16).stats("t").first().total_docs == 2
     engine.delete("t", "alpha")
     assert [r.id for r in engine.table("documents").collect()] == ["beta"] and engine.table("points").count() == 1
