@@ -211,7 +211,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("i", "text")).withColumn("i", F.col("i") + 1)
     case = (F.col("page_id") + F.col("i")) % 5
     size = F.when(case == 0, 24.0).when(case == 1, 12.0).otherwise(10.0)
-    return rows.select("page_id", "i", "text", size.alias("font_size"), (F.col("i") % 3 == 0).alias("is_bold"), F.lit(0.0).alias("x_position"), (-30.0 * F.col("i")).alias("y_position"), F.lit(100.0).alias("x_end"))
+    return rows.select("page_id", "i", "text", size.alias("font_size"), (F.col("i") % 3 == 0).alias("is_bold"), (150.0 * (F.col("i") % 2)).alias("x_position"), (-30.0 * F.floor(F.col("i") / 2)).alias("y_position"), (150.0 * (F.col("i") % 2) + 100).alias("x_end"))
 
 
 _BODY = rf"""
@@ -237,8 +237,17 @@ def layout_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.classified(sized).where("level is not null").select("page_id", "i", "level")
 
 
-@query()
+@query(rf"""
+WITH {_BODY},
+m AS (SELECT *, row_number() OVER (PARTITION BY page_id, i // 2 ORDER BY i) AS k, len(regexp_extract_all(text, '\p{{L}}')) AS a FROM spans),
+j AS (SELECT page_id, i // 2 AS g, max(CASE WHEN k = 1 THEN text END) AS t1, max(CASE WHEN k = 2 THEN text END) AS t2, sum(font_size * length(text)) / sum(length(text)) AS size, 2 * sum(CASE WHEN is_bold THEN a ELSE 0 END) > sum(a) AND sum(a) > 0 AS is_bold FROM m GROUP BY page_id, i // 2),
+w AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS line, t1 || CASE WHEN t2 IS NULL THEN '' WHEN t1 LIKE '%-' THEN t2 ELSE ' ' || t2 END AS text, size, is_bold FROM j),
+l AS (SELECT w.*, size / body_size AS q, length(text) AS n, len(regexp_extract_all(text, '\p{{L}}')) AS a FROM w JOIN body USING (page_id) WHERE body_size IS NOT NULL)
+SELECT page_id, CAST(line AS INTEGER) AS line, CAST(CASE WHEN q >= 2 - 1e-6 THEN 1 WHEN q >= 1.6 - 1e-6 THEN 2 WHEN q >= 1.2 - 1e-6 THEN 3 ELSE 3 END AS INTEGER) AS level, text FROM l
+WHERE n BETWEEN 3 AND 180 AND a >= 3 AND a * 2 >= n AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) <= 20 AND len(regexp_extract_all(text, '[.?!]')) < 3
+  AND (q >= 1.2 - 1e-6 OR (is_bold AND q >= 1.1 - 1e-6 AND NOT regexp_matches(text, '[.?!]')))""")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings among lines of up to two spans each."""
     return layout.headings(_spans(spark, sf_dir))
 
 
