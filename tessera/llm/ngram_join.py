@@ -520,3 +520,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction
     rest = empty.join(nodes, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id"), "doc_id", F.lit(0 if links else None).cast("long"))
     out = parts.union(rest)
     return out if links else out.drop("n_links")
+
+
+#: The same rows by plain pairs and transitive closure, for tables whose doc_ids are known and occur once.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y, same FROM l UNION ALL SELECT y, x, same FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = w.doc_id) AS component_id,
+       least(w.doc_id, coalesce((SELECT min(y) FROM e WHERE e.x = w.doc_id AND e.same), w.doc_id)) AS class_id, (SELECT count(*) FROM e WHERE e.x = w.doc_id) AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+"""

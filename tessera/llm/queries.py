@@ -69,4 +69,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op6_exact_topk": bit_topk.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.SQL, "op4_warc": warc.SQL, "op6_exact_topk": bit_topk.SQL, "op10_source_mixing": mixing.SQL}
