@@ -71,6 +71,16 @@ def file_bytes(df: DataFrame) -> int | None:
     return sum(sizes) if all(0 <= n < 1 << 55 for n in sizes) else None  # rows in memory have no size of their own
 
 
+#: Rows of a few integers that one partition of a small table holds.
+PARTITION_ROWS = 20_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most ``rows`` rows of a few integers in no more partitions than they need, without a shuffle: each
+    partition of a small table would write a file of its own at every exchange that follows."""
+    return df.coalesce(max(1, -(-rows // PARTITION_ROWS)))
+
+
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a checkpointed table of a few integer columns if it was counted to be small."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -228,14 +238,15 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpoint(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     size = e.count()
     while True:
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(down.select("a", "m")).distinct()
-        new = checkpoint(small)
+        both = few(e.union(e.select("b", "a")), 2 * size)  # no step makes more rows than these
+        low = few(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), 2 * size)
+        large = few(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"), 2 * size).distinct()
+        large = few(large, 2 * size)
+        down = few(large.groupBy("a").agg(F.min("b").alias("m")), 2 * size)
+        small = few(large.join(down, "a"), 2 * size).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(down.select("a", "m")).distinct()
+        new = checkpoint(few(small, 2 * size))
         before, size = size, new.count()
-        changed = size != before or new.join(e, ["a", "b"], "left_anti").limit(1).count()  # both hold distinct rows
+        changed = size != before or few(new.join(few(e, size), ["a", "b"], "left_anti"), size).limit(1).count()  # both hold distinct rows
         e = new
         if not changed:
             return e.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SHINGLE_MUL, U64, checkpoint, components, give_back, light_batches, mix, parallelism, shingle_sets, signed, sized_broadcast, slices
+from .common import SHINGLE_MUL, U64, checkpoint, components, few, give_back, light_batches, mix, parallelism, shingle_sets, signed, sized_broadcast, slices
 
 WIDTH, SIMILARITY = 5, Fraction(3, 4)
 KEYS = 6  # min-hash keys a class proposes leaders by
@@ -308,9 +308,11 @@ def _meetings(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts of ``pairs(a, ra, b, rb)`` of set names and doc_ids, in the order ``_both`` reads: each text of a ``ra``
     once, and behind it those of its partners.  A text of many pairs is dealt over salts."""
     salts = F.ceil(F.count(F.lit(1)) / SPREAD).cast("int")
-    firsts = checkpoint(pairs.groupBy("ra").agg(salts.alias("salts")))
-    seconds = pairs.select(F.col("rb").alias("doc_id")).distinct()
-    texts = docs.join(sized_broadcast(checkpoint(firsts.select(F.col("ra").alias("doc_id")).union(seconds).distinct())), "doc_id", "left_semi")
+    n = pairs.count()
+    pairs = few(pairs, n)
+    firsts = checkpoint(few(pairs.groupBy("ra").agg(salts.alias("salts")), n))
+    seconds = few(pairs.select(F.col("rb").alias("doc_id")).distinct(), n)
+    texts = docs.join(sized_broadcast(checkpoint(few(firsts.select(F.col("ra").alias("doc_id")).union(seconds).distinct(), 2 * n))), "doc_id", "left_semi")
     left = texts.join(sized_broadcast(firsts), F.col("doc_id") == F.col("ra")).select("ra", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     salted = pairs.join(sized_broadcast(firsts), "ra").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     right = salted.join(texts.withColumnRenamed("doc_id", "rb"), "rb").select("ra", "salt", F.lit(1), "a", "b", "text")
@@ -428,14 +430,15 @@ def _block_links(similarity: Fraction):
     return run
 
 
-def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, near: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """(cid, more): rows of other sets of the same cluster that each set links with, from differences alone."""
+def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, near: DataFrame, count: int, width: int, similarity: Fraction) -> DataFrame:
+    """(cid, more): rows of other sets of the same cluster that each set links with, from differences alone; there are
+    ``count`` sets at most."""
     p, q = similarity.numerator, similarity.denominator
     known = classes.select("cid", "rep", "size", "n")
-    members = clusters.union(clusters.select("component", "component")).distinct().withColumnRenamed("id", "cid").join(known, "cid")
-    proposals = near.groupBy(F.col("a").alias("cid")).agg(F.count(F.lit(1)).alias("c"))
-    centre = members.join(proposals, "cid", "left").groupBy("component").agg(F.max(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "cid", "rep")).alias("x")).select("component", F.col("x.cid").alias("a"), F.col("x.rep").alias("ra"))
-    pairs = checkpoint(members.join(sized_broadcast(checkpoint(centre)), "component").withColumnsRenamed({"cid": "b", "rep": "rb"}))
+    members = few(few(clusters.union(clusters.select("component", "component")).distinct(), count).withColumnRenamed("id", "cid").join(known, "cid"), count)
+    proposals = few(near.groupBy(F.col("a").alias("cid")).agg(F.count(F.lit(1)).alias("c")), count)
+    centre = few(members.join(proposals, "cid", "left"), count).groupBy("component").agg(F.max(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "cid", "rep")).alias("x")).select("component", F.col("x.cid").alias("a"), F.col("x.rep").alias("ra"))
+    pairs = checkpoint(few(members.join(sized_broadcast(checkpoint(few(centre, count))), "component"), count).withColumnsRenamed({"cid": "b", "rep": "rb"}))
     told = _meetings(docs, pairs.select("a", "ra", "b", "rb")).mapInArrow(_differences(width), "cid long, whole long, d long, a long, lacks binary, adds binary").dropDuplicates(["cid"])
     w = (p + q) * F.col("whole") - 2 * (p + q) * F.col("d") - 2 * p * F.col("n")
     cost = 1 + F.floor((F.col("d") + F.col("a")) / 64)
@@ -443,16 +446,16 @@ def _cluster_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, nea
 
     # A pair links for sure if w + w' >= 0.  Sums over the values of w, of which a cluster has no more than some
     # twenty times its central set's size.
-    values = rows.groupBy("component", "w").agg(F.sum("size").alias("rows"), F.sum("cost").alias("cost"))
+    values = checkpoint(few(rows.groupBy("component", "w").agg(F.sum("size").alias("rows"), F.sum("cost").alias("cost")), count))
     falling = Window.partitionBy("component").orderBy(F.desc("x"), "asks").rowsBetween(Window.unboundedPreceding, 0)
     asked = values.select("component", F.col("w").alias("x"), "rows", F.lit(False).alias("asks"), "w").union(values.select("component", -F.col("w"), F.lit(0), F.lit(True), "w"))
-    sure = asked.withColumn("sure", F.sum("rows").over(falling)).where("asks").select("component", "w", "sure")
+    sure = few(asked.withColumn("sure", F.sum("rows").over(falling)).where("asks").select("component", "w", "sure"), 2 * count)
     earlier = Window.partitionBy("component").orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = checkpoint(values.withColumn("start", F.coalesce(F.sum("cost").over(earlier), F.lit(0))).withColumnRenamed("cost", "all").drop("rows").join(sure, ["component", "w"]))
+    placed = checkpoint(few(values.withColumn("start", F.coalesce(F.sum("cost").over(earlier), F.lit(0))).withColumnRenamed("cost", "all").drop("rows").join(sure, ["component", "w"]), count))
     inside = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     rows = rows.join(sized_broadcast(placed), ["component", "w"]).withColumn("block", F.floor((F.col("start") + inside * F.col("all")) / BLOCK_COST).cast("int"))
 
-    spans = checkpoint(rows.groupBy("component", "block").agg(F.min("w").alias("w0"), F.max("w").alias("w1"), F.max(F.col("d") + F.col("a")).alias("most"), F.min("n").alias("n0"), F.max("n").alias("n1")))
+    spans = checkpoint(few(rows.groupBy("component", "block").agg(F.min("w").alias("w0"), F.max("w").alias("w1"), F.max(F.col("d") + F.col("a")).alias("most"), F.min("n").alias("n0"), F.max("n").alias("n1")), count))
     other = spans.select("component", *(F.col(c).alias(f"{c}_") for c in ("block", "w0", "w1", "most", "n0", "n1")))
     cells = spans.join(other, "component").where("block <= block_")
     cells = cells.where(F.col("w0") + F.col("w0_") < 0).where(F.col("w1") + F.col("w1_") + 2 * (p + q) * F.least("most", "most_") >= 0)
@@ -471,52 +474,58 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction
     docs = light_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = ", ".join(f"m{k} long" for k in range(KEYS))
     rows = checkpoint(docs.mapInArrow(_signatures(width), f"doc_id long, n long, cid long, check long, {keys}"))
+    count = rows.count()
+    rows = few(rows, count)
     live = rows.where("n > 0 and doc_id is not null")
-    classes = checkpoint(live.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), *(F.first(f"m{k}").alias(f"m{k}") for k in range(KEYS))))
+    classes = checkpoint(few(live.groupBy("cid", "check", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), *(F.first(f"m{k}").alias(f"m{k}") for k in range(KEYS))), count))
     known = docs.where("doc_id is not null")
 
     keyed = classes.select("cid", "rep", F.posexplode(F.array(*(f"m{k}" for k in range(KEYS)))).alias("k", "m"))
-    leaders = keyed.groupBy("k", "m").agg(F.min(F.struct("rep", "cid")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    leaders = few(keyed.groupBy("k", "m").agg(F.min(F.struct("rep", "cid")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), KEYS * count)
     # A class is compared with the leader that most of its keys propose, and with the others only if that one fails.
-    proposals = keyed.join(leaders, ["k", "m"]).where("cid != lead.cid").groupBy(F.col("cid").alias("b"), F.col("rep").alias("rb"), "lead").agg(F.count(F.lit(1)).alias("keys"))
+    proposals = few(keyed.join(leaders, ["k", "m"]).where("cid != lead.cid"), KEYS * count).groupBy(F.col("cid").alias("b"), F.col("rep").alias("rb"), "lead").agg(F.count(F.lit(1)).alias("keys"))
+    proposals = few(proposals, KEYS * count)
     order = Window.partitionBy("b").orderBy(F.desc("keys"), "lead")  # no more rows than keys
-    proposed = checkpoint(proposals.withColumn("place", F.row_number().over(order)).select(F.col("lead.cid").alias("a"), F.col("lead.rep").alias("ra"), "b", "rb", "place"))
-    near = checkpoint(_verify(known, proposed.where("place = 1").drop("place"), width, similarity))
+    proposed = checkpoint(few(proposals.withColumn("place", F.row_number().over(order)).select(F.col("lead.cid").alias("a"), F.col("lead.rep").alias("ra"), "b", "rb", "place"), KEYS * count))
+    near = checkpoint(few(_verify(known, proposed.where("place = 1").drop("place"), width, similarity), count))
     failed = proposed.where("place > 1").join(sized_broadcast(near.select("b")), "b", "left_anti").drop("place")
-    near = checkpoint(near.union(_verify(known, checkpoint(failed), width, similarity)))
+    near = checkpoint(few(near.union(_verify(known, checkpoint(few(failed, KEYS * count)), width, similarity)), KEYS * count))
     clusters = components(near)
 
     # Rows whose text needs no posting (equal to a smaller doc_id's) or carries a cluster's label; the rest stand for themselves.
-    member = live.join(classes.select("cid", "check", "n", "rep"), ["cid", "check", "n"]).join(clusters.withColumnRenamed("id", "cid"), "cid", "left")
+    member = few(live.join(classes.select("cid", "check", "n", "rep"), ["cid", "check", "n"]), count).join(clusters.withColumnRenamed("id", "cid"), "cid", "left")
+    member = checkpoint(few(member.select("doc_id", "cid", "rep", "component"), count))
     told = member.where("doc_id != rep or component is not null").groupBy("doc_id").agg(F.collect_set(F.struct("cid", (F.col("doc_id") == F.col("rep")).alias("post"), F.coalesce("component", "cid").alias("label"))).alias("told"))
-    told = checkpoint(told)
+    told = checkpoint(few(told, count))
 
     total = rows.agg(F.sum("n")).first()[0] or 0
     steer = spark.sparkContext.broadcast(_frequencies_of(known, width, total))
     postings = known.join(sized_broadcast(told), "doc_id", "left").select("text", "told").mapInArrow(_postings(width, similarity, steer), POSTING)
     candidates = _met(postings, total, similarity)
     steer.unpersist()
-    named = classes.select("cid", "rep")
+    named, met = classes.select("cid", "rep"), candidates.count()
+    candidates = few(candidates, met)
     for x in "ab":
-        candidates = candidates.join(named.withColumnsRenamed({"cid": x, "rep": f"r{x}"}), x)
-    across = checkpoint(_verify(known, candidates, width, similarity))
+        candidates = few(candidates.join(named.withColumnsRenamed({"cid": x, "rep": f"r{x}"}), x), met)
+    across = checkpoint(few(_verify(known, checkpoint(candidates), width, similarity), met))
 
     # Sets of one doc_id are one node.
     shared = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.collect_set("cid").alias("cids")).where("a != z").select("a", F.explode("cids").alias("b"))
     whole = components(near.union(across).union(shared))
-    whole = whole.union(whole.select("component", "component")).distinct()
-    least = whole.join(named.withColumnRenamed("cid", "id"), "id").groupBy("component").agg(F.min("rep").alias("component_id"))
-    facts = classes.select("cid", "check", "n", "rep", "size").join(whole.join(least, "component").select(F.col("id").alias("cid"), "component_id"), "cid", "left")
+    whole = few(whole.union(whole.select("component", "component")).distinct(), count)
+    least = few(few(whole.join(named.withColumnRenamed("cid", "id"), "id"), count).groupBy("component").agg(F.min("rep").alias("component_id")), count)
+    facts = classes.select("cid", "check", "n", "rep", "size").join(few(whole.join(least, "component"), count).select(F.col("id").alias("cid"), "component_id"), "cid", "left")
+    facts = few(facts, count)
     if links:
-        ends = across.union(across.select("b", "a")).join(classes.select(F.col("cid").alias("b"), "size"), "b").select(F.col("a").alias("cid"), F.col("size").alias("more"))
-        more = ends.union(_cluster_links(known, classes, clusters, near, width, similarity)).groupBy("cid").agg(F.sum("more").alias("more"))
-        facts = facts.join(more, "cid", "left").withColumn("n_links", F.col("size") - 1 + F.coalesce("more", F.lit(0)))
+        ends = few(across.union(across.select("b", "a")).join(classes.select(F.col("cid").alias("b"), "size"), "b"), 2 * met).select(F.col("a").alias("cid"), F.col("size").alias("more"))
+        more = few(ends.union(_cluster_links(known, classes, clusters, near, count, width, similarity)), 2 * met + 2 * count).groupBy("cid").agg(F.sum("more").alias("more"))
+        facts = few(facts.join(few(more, count), "cid", "left"), count).withColumn("n_links", F.col("size") - 1 + F.coalesce("more", F.lit(0)))
     else:
         facts = facts.withColumn("n_links", F.lit(None).cast("long"))
     parts = live.join(facts, ["cid", "check", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"), F.col("rep").alias("class_id"), "n_links")
-    parts = checkpoint(parts)
+    parts = checkpoint(few(parts, count))
     empty = rows.where("n = 0 or doc_id is null").select("doc_id", "n")
-    nodes = parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))  # a doc_id may have other texts
+    nodes = few(parts.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), count)  # a doc_id may have other texts
     rest = empty.join(nodes, "doc_id", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id"), "doc_id", F.lit(0 if links else None).cast("long"))
     out = parts.union(rest)
     return out if links else out.drop("n_links")
