@@ -6,6 +6,11 @@ A chunk row is (tenant, collection, document_id, chunk_index, chunk_id, text); p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,28 +39,57 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_id", T.chunk_uuid("tenant", "document_id", "chunk_index"))
 
 
-def runs_of_terms(rows: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., term, tf, length, places) of ``rows(keep..., terms)``, by runs of each row's sorted terms; no shuffle."""
-    placed = F.sort_array(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
-    held = rows.select(*keep, placed.alias("s")).where(F.size("s") > 0).withColumn("length", F.size("s"))
-    at = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.get("s", i - 1)["term"] != F.get("s", i - 2)["term"]))
-    until = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.col("length") + 1))
-    run = lambda a, b: F.struct(F.get("s", a - 1)["term"].alias("term"), (b - a).alias("tf"), F.slice("s", a, b - a)["place"].alias("places"))
-    counted = held.withColumn("at", at).select(*keep, "length", F.explode(F.zip_with("at", until, run)).alias("x"))
-    return counted.select(*keep, "x.term", "x.tf", "length", "x.places")
+#: Bytes of text of a slice whose terms are counted at once.
+SLICE_BYTES = 4 << 20
+
+
+def _runs(keep: tuple[str, ...]):
+    """Rows (keep..., term, tf, length, places) of batches with lower-cased ``text``: all texts of a slice are split,
+    coded and sorted at once."""
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                split = pc.split_pattern_regex(pc.fill_null(rows.column("text"), ""), pattern=r"[^\p{L}\p{N}]+")
+                terms, owner = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+                some = pc.not_equal(terms, "")
+                terms, owner = terms.filter(some), owner[some.to_numpy(zero_copy_only=False)]
+                if not len(owner):
+                    continue
+                length = np.bincount(owner, minlength=rows.num_rows)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+                coded = terms.dictionary_encode()
+                code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(owner * len(coded.dictionary) + code, kind="stable")
+                owner, code = owner[order], code[order]
+                at = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (code[1:] != code[:-1]))))
+                ends = np.append(at, len(owner))
+                places = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+                kept = [rows.column(c).take(pa.array(owner[at])) for c in keep]
+                yield pa.record_batch([*kept, coded.dictionary.take(pa.array(code[at])), pa.array(np.diff(ends).astype(np.int32)), pa.array(length[owner[at]].astype(np.int32)), places], names=[*keep, "term", "tf", "length", "places"])
+
+    return run
+
+
+def places(units: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """(keep..., term, tf, length, places) of ``units``: where each term stands in a unit, counted from 0.
+
+    Counted inside each text, so nothing is shuffled.
+    """
+    rows = units.select(*keep, F.lower(text).alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return rows.mapInArrow(_runs(keep), f"{schema}, term string, tf int, length int, places array<int>")
 
 
 def postings(units: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, length) of ``units``.
-
-    Counted inside each text, by runs of its sorted terms, so nothing is shuffled.
-    """
-    sorted_terms = units.select(key, F.sort_array(T.terms(text)).alias("s")).where(F.size("s") > 0).withColumn("length", F.size("s"))
-    at = F.filter(F.sequence(F.lit(1), F.col("length")), lambda i: (i == 1) | (F.get("s", i - 1) != F.get("s", i - 2)))
-    runs = sorted_terms.withColumn("at", at)
-    until = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.col("length") + 1))
-    counted = runs.select(key, "length", F.explode(F.zip_with("at", until, lambda a, b: F.struct(F.get("s", a - 1).alias("term"), (b - a).alias("tf")))).alias("x"))
-    return counted.select(key, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "length")
+    """(key, term, tf, length) of ``units``."""
+    return places(units, key, text=text).drop("places")
 
 
 def corpus_stats(documents: DataFrame) -> DataFrame:

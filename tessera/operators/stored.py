@@ -12,8 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from .index import runs_of_terms
+from .index import places
 
 BUCKETS = 64
 
@@ -24,7 +23,7 @@ def bucket_of(*keys: Column | str, buckets: int = BUCKETS) -> Column:
 
 def postings(units: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """(keep..., term, tf, length, places) of ``units``; places count terms from 0."""
-    return runs_of_terms(units.select(*keep, T.terms(text).alias("terms")), *keep)
+    return places(units, *keep, text=text)
 
 
 def term_counts(rows: DataFrame, *by: str) -> DataFrame:
