@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -75,6 +76,13 @@ def file_bytes(df: DataFrame) -> int | None:
 PARTITION_ROWS = 20_000
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, as it does whenever the driver
+    collects garbage; without a word that may be long after the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def few(df: DataFrame, rows: int) -> DataFrame:
     """A table of at most ``rows`` rows of a few integers in no more partitions than they need, without a shuffle: each
     partition of a small table would write a file of its own at every exchange that follows."""

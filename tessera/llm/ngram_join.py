@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SHINGLE_MUL, U64, checkpoint, components, few, give_back, light_batches, mix, parallelism, shingle_sets, signed, sized_broadcast, slices
+from .common import SHINGLE_MUL, U64, checkpoint, components, drop_finished, few, give_back, light_batches, mix, parallelism, shingle_sets, signed, sized_broadcast, slices
 
 WIDTH, SIMILARITY = 5, Fraction(3, 4)
 KEYS = 6  # min-hash keys a class proposes leaders by
@@ -205,7 +205,8 @@ def _postings(width: int, similarity: Fraction, frequent):
                 token, df, doc = np.concatenate(tokens), np.concatenate(lists), np.concatenate(docs)
                 blocks = np.maximum(1, -(-df // CELL_ROWS)).astype(np.int32)
                 mine = (mix(doc.astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int32)
-                cols = [token.view(np.int64), doc, np.concatenate(clusters), np.concatenate(sizes), np.concatenate(places), mine]
+                # The label is sent as what sets it apart from the name: 0 for most, which takes no room in a shuffle.
+                cols = [token.view(np.int64), doc, np.concatenate(clusters) ^ doc, np.concatenate(sizes), np.concatenate(places), mine]
                 cell = np.zeros(len(token), np.int64)
                 if (blocks > 1).any():  # a long list: each entry meets each of the list's blocks in one cell
                     back = np.repeat(np.arange(len(token)), blocks)
@@ -261,7 +262,8 @@ def _candidates(similarity: Fraction, most: int | None = None):
             return
         t = pa.Table.from_batches(got)
         del got
-        token, doc, label, n, pos, block, cell = (t[c].to_numpy() for c in ("token", "doc", "label", "n", "pos", "block", "cell"))
+        token, doc, apart, n, pos, block, cell = (t[c].to_numpy() for c in ("token", "doc", "label", "n", "pos", "block", "cell"))
+        label = apart ^ doc
         del t
         order = np.lexsort((cell, token)) if cell.any() else np.argsort(token)
         token, cell = token[order], cell[order]
@@ -273,7 +275,7 @@ def _candidates(similarity: Fraction, most: int | None = None):
         for g in live.tolist():
             o = order[at[g] : end[g]]
             if most and len(o) > most and not cell[at[g]]:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(o), pa.int64()), pa.nulls(len(o), pa.int64()), pa.array(token[at[g] : end[g]]), *(pa.array(c[o]) for c in (doc, label, n, pos))], schema=_FOUND)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(o), pa.int64()), pa.nulls(len(o), pa.int64()), pa.array(token[at[g] : end[g]]), *(pa.array(c[o]) for c in (doc, apart, n, pos))], schema=_FOUND)
                 continue
             w = int(cell[at[g]]) - 1
             a, b = _list_pairs(doc[o], label[o], n[o], pos[o], block[o], w < 0 or w // CELLS == w % CELLS, similarity)
@@ -285,7 +287,7 @@ def _candidates(similarity: Fraction, most: int | None = None):
                     yield pairs(seen)
                     seen = seen[:0]
         yield pairs(np.unique(np.concatenate([seen, *held]), axis=0))
-        del token, doc, label, n, pos, block, cell, order, lab, seen
+        del token, doc, label, apart, n, pos, block, cell, order, lab, seen
         give_back()
 
     return run
@@ -500,9 +502,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: Fraction
 
     total = rows.agg(F.sum("n")).first()[0] or 0
     steer = spark.sparkContext.broadcast(_frequencies_of(known, width, total))
+    drop_finished(spark)
     postings = known.join(sized_broadcast(told), "doc_id", "left").select("text", "told").mapInArrow(_postings(width, similarity, steer), POSTING)
     candidates = _met(postings, total, similarity)
     steer.unpersist()
+    drop_finished(spark)
     named, met = classes.select("cid", "rep"), candidates.count()
     candidates = few(candidates, met)
     for x in "ab":
