@@ -50,7 +50,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 #: Rows of documents in an Arrow batch; Spark's default of 10000 rows would hold tens of megabytes on both sides.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def light_batches(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ similarity is at least 0.75.
 Components of all links give ``component_id``; ``n_links`` counts a document's links.
 
 The frequency table only steers the order, never the result; it starts at the smallest count that leaves at most
-2^22 entries, so it may be broadcast.
+2^21 entries, so it may be broadcast.
 
 Edge cases.  Null, empty or all-space text: no shingles, links with nothing.  Fewer than five words: the whole
 sequence is the one shingle.  Rows that share a doc_id are one node of the link graph, whatever their texts (each row is
@@ -45,7 +45,7 @@ from .common import SHINGLE_MUL, U64, checkpoint, components, drop_finished, few
 
 WIDTH, SIMILARITY = 5, Fraction(3, 4)
 KEYS = 6  # min-hash keys a class proposes leaders by
-FREQUENT_BOUND = 1 << 22
+FREQUENT_BOUND = 1 << 21
 GRADES = 8 * 64
 HEAD_BITS = 40  # of a shingle's hash, which its frequency is counted by
 GROUP_HEADS = 1 << 22  # heads counted in one group, or so
