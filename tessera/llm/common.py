@@ -283,3 +283,30 @@ def gathered(blobs: list[bytes], codes: np.ndarray, counts: np.ndarray, kind: st
     index = np.repeat(start[codes] - (until - size), size)
     index += np.arange(total)
     return flat[index], np.concatenate(([0], until))[np.cumsum(counts)].tolist()
+
+
+def gathered_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together, or cut between rows, so that ``column`` holds about ``limit`` bytes in each."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for part in slices(batches, column, limit):
+        own = part.column(column)
+        own = int(pc.sum(pc.fill_null(pc.binary_length(own), 0)).as_py() or 0)
+        if kept and size + own > limit:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches(max_chunksize=None)[0]
+            kept, size = [], 0
+        kept.append(part)
+        size += own
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches(max_chunksize=None)[0]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as a compressed binary; ``unpacked`` reads it."""
+    data = np.ascontiguousarray(numbers).tobytes()
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def unpacked(blob: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", kind)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_topk, html_text, language_id, mixing, ngram_join, piece_codec, polytope, ppm, token_store, warc
+from . import bit_topk, html_text, language_id, mixing, ngram_join, piece_codec, polytope, ppm, token_align, token_store, warc
 from .common import table
 
 
@@ -55,7 +55,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_ngram_jaccard_join, op2_token_output, op3_sentencepiece, op4_warc, op5_nearest_neighbours, op6_exact_topk, op7_language_id, op8_html_extraction, op9_lm_scoring, op10_source_mixing)
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+OPERATORS = (op1_ngram_jaccard_join, op2_token_output, op3_sentencepiece, op4_warc, op5_nearest_neighbours, op6_exact_topk, op7_language_id, op8_html_extraction, op9_lm_scoring, op10_source_mixing, op11_token_alignment)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
