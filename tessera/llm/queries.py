@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bit_topk, html_text, language_id, mixing, ngram_join, piece_codec, polytope, ppm, token_align, token_store, warc
+from . import bit_topk, html_text, language_id, line_runs, mixing, ngram_join, phrases, piece_codec, polytope, ppm, token_align, token_store, warc
 from .common import table
 
 
@@ -59,7 +59,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
-OPERATORS = (op1_ngram_jaccard_join, op2_token_output, op3_sentencepiece, op4_warc, op5_nearest_neighbours, op6_exact_topk, op7_language_id, op8_html_extraction, op9_lm_scoring, op10_source_mixing, op11_token_alignment)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.line_digests(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_ngram_jaccard_join, op2_token_output, op3_sentencepiece, op4_warc, op5_nearest_neighbours, op6_exact_topk, op7_language_id, op8_html_extraction, op9_lm_scoring, op10_source_mixing, op11_token_alignment, op12_phrase_collocations, op13_line_dedup)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +81,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": ngram_join.SQL, "op4_warc": warc.SQL, "op6_exact_topk": bit_topk.SQL, "op10_source_mixing": mixing.SQL}
+    return {"op1_ngram_jaccard_join": ngram_join.SQL, "op4_warc": warc.SQL, "op6_exact_topk": bit_topk.SQL, "op10_source_mixing": mixing.SQL, "op12_phrase_collocations": phrases.SQL, "op13_line_dedup": line_runs.SQL}
