@@ -36,7 +36,9 @@ from .common import U64, checkpoint, gathered, give_back, light_batches, mix, pa
 
 SPACE = "▁"
 CHUNK_CHARS = 1 << 16
-WORD_CACHE, PAIR_CACHE = 250_000, 1_000_000
+WORD_CACHE, PAIR_CACHE, WINDOW_CACHE = 250_000, 1_000_000, 20_000
+#: Words over ``LONG`` characters are searched in windows of ``STRIDE``, begun ``LEAD`` characters early.
+LONG, STRIDE, LEAD = 256, 128, 96
 WHOLE = -1  # the state at a word boundary: any piece may have ended there
 
 
@@ -59,6 +61,8 @@ class Pieces:
         self.own: dict[str, list[tuple[float, str, str]]] = {}
         self.words: dict[str, bytes] = {}
         self.units_known: dict[str, bytes] = {}
+        self._windows: dict[tuple, list[int]] = {}
+        self._near: dict[tuple[str, str], bool] = {}
         whole = [p for p in self.ids if self.whole(p)]
         key = np.array([_key(p) for p in whole], np.uint64)
         order = np.argsort(key)
@@ -158,7 +162,9 @@ class Pieces:
         if got is None:
             if len(self.words) > WORD_CACHE:
                 self.words.clear()
-            got = self.words[word] = np.array(self.numbers(self.path(word)), "<i4").tobytes()
+            got = self.paths([word])[0] if len(word) > LONG else np.array(self.numbers(self.path(word)), "<i4").tobytes()
+            if len(word) <= LONG:
+                self.words[word] = got
         return got
 
     def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,12 +191,24 @@ class Pieces:
 
     def paths(self, words: list[str]) -> list[bytes]:
         """The ids of many words: the search of ``path`` in lock-step, place by place, over all of them."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        short = [i for i, w in enumerate(words) if len(w) <= LONG] if long else range(len(words))
+        out = [b""] * len(words)
+        for i, ids in zip(short, self._short_paths([words[i] for i in short]), strict=True):
+            out[i] = ids
+        for i, ids in zip(long, self._long_paths([words[i] for i in long]), strict=True):
+            out[i] = ids
+        return out
+
+    def _forward(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each prefix of each word the piece that its path ends in: the words' order (longest first), where each
+        begins and ends, and by the prefix's last place the piece's size and number."""
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         codes, starts, ends = _codes([words[i] for i in order])
         lengths = ends - starts
         value = mix(codes.astype(np.uint64) + FIRST_CODE)
         n = len(self.names)
-        size_at = np.zeros(len(codes) + 1, np.int64)  # of the piece that ends a prefix, by the prefix's last place
+        size_at = np.zeros(len(codes) + 1, np.int64)
         number_at = np.zeros(len(codes) + 1, np.int64)
         hashes = [np.zeros(len(words), np.uint64)]  # of the prefixes of each length
         for end in range(1, int(lengths[0]) + 1 if len(lengths) else 0):
@@ -215,6 +233,10 @@ class Pieces:
                     hit, number = hit[ok], number[ok]
                 size_at[stop[hit] - 1], number_at[stop[hit] - 1] = size, number
                 open_[hit] = False
+        return order, starts, ends, size_at, number_at
+
+    def _short_paths(self, words: list[str]) -> list[bytes]:
+        order, starts, ends, size_at, number_at = self._forward(words)
         # Backtrace of all words at once, one piece a round.
         place, word = ends.copy(), np.arange(len(words))
         got_word, got = [], []
@@ -231,15 +253,74 @@ class Pieces:
         which, number = which[sort], number[sort]
         cut = np.searchsorted(which, np.arange(len(words) + 1)).tolist()
         data = number.astype("<i4").tobytes()
-        strange = set(which[number >= n].tolist())
+        strange = set(which[number >= len(self.names)].tolist())
         out = [b""] * len(words)
         for k, i in enumerate(order):
             out[i] = data[4 * cut[k] : 4 * cut[k + 1]] if k not in strange else np.array(self.numbers([self._name(x) for x in number[cut[k] : cut[k + 1]].tolist()]), "<i4").tobytes()
         return out
 
+    def _long_paths(self, words: list[str]) -> list[bytes]:
+        out = []
+        for word, size in zip(words, self._sizes(words), strict=True):
+            pieces, end, back = [], len(word), size.tolist()
+            while end:
+                pieces.append(word[end - back[end] : end])
+                end -= back[end]
+            out.append(np.array(self.numbers(pieces[::-1]), "<i4").tobytes())
+        return out
+
+    def _sizes(self, words: list[str]) -> list[np.ndarray]:
+        """For each prefix of each word the size of the piece that its path ends in: windows of all words in lock-step,
+        each begun ``LEAD`` characters early.
+
+        The piece that a prefix ends in follows from those of the ``longest`` prefixes before it.  So a window whose
+        lead ends in the same pieces as the window before is right from there on; one that does not is done again from
+        that window's pieces on.
+        """
+        places = [(i, max(0, a - LEAD), a, min(len(w), a + STRIDE)) for i, w in enumerate(words) for a in range(0, len(w), STRIDE)]
+        order, starts, _, size_at, _ = self._forward([words[i][c:b] for i, c, _, b in places])
+        first = np.empty(len(places), np.int64)
+        first[order] = starts
+        sizes = [np.zeros(len(w) + 1, np.int64) for w in words]
+        for (i, c, a, b), at in zip(places, first.tolist(), strict=True):
+            own, seen = size_at[at : at + b - c], sizes[i]
+            low = max(c, a - self.longest)
+            if c == 0 or (own[low - c : a - c] == seen[low + 1 : a + 1]).all():
+                seen[a + 1 : b + 1] = own[a - c :]
+            else:
+                seen[a + 1 : b + 1] = self._resumed(words[i], a, b, seen)
+        return sizes
+
+    def _resumed(self, word: str, a: int, b: int, sizes: np.ndarray) -> list[int]:
+        """The sizes of the pieces that the prefixes up to ``b`` end in, from those up to ``a`` on; remembered by the text
+        and the sizes before, as long repeats come back to both."""
+        low = a - self.longest
+        before = sizes[low + 1 : a + 1].tolist()
+        reach = low - max(before)
+        key = (word[max(0, reach) : b], a - reach, *before)
+        got = self._windows.get(key)
+        if got is None:
+            if len(self._windows) > WINDOW_CACHE:
+                self._windows.clear()
+            size, near = dict(zip(range(low + 1, a + 1), before, strict=True)), self._near
+            for end in range(a + 1, b + 1):
+                for piece in self.ending(word, end):
+                    at = end - len(piece)
+                    pair = word[at - size[at] : at], piece
+                    ok = near.get(pair)
+                    if ok is None:
+                        ok = near[pair] = self.neighbours(*pair)
+                    if ok:
+                        size[end] = len(piece)
+                        break
+            if len(near) > PAIR_CACHE:
+                near.clear()
+            got = self._windows[key] = [size[end] for end in range(a + 1, b + 1)]
+        return got
+
     def forget(self) -> None:
         """Drop the words remembered, at the end of a task."""
-        self.units_known, self.words = {}, {}
+        self.units_known, self.words, self._windows, self._near = {}, {}, {}, {}
         give_back()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
@@ -260,8 +341,11 @@ class Pieces:
         new = [u for u in units if u not in known]
         known.update(zip(new, self.paths([SPACE + u for u in new]), strict=True))
         flat, ends = gathered([known[u] for u in units], codes, counts, "<i4")
+        for u in new:
+            if len(u) > LONG:
+                del known[u]
         if len(known) > WORD_CACHE:
-            self.units_known = {u: known[u] for u in units}
+            self.units_known = {u: known[u] for u in units if len(u) <= LONG}
         data = flat.tobytes()
         for i, a, b in zip(plain, [0, *ends[:-1]], ends, strict=True):
             out[i] = data[4 * a : 4 * b]
@@ -273,7 +357,7 @@ class Pieces:
         size = self._raw_at[flat + 1] - self._raw_at[flat]
         until = np.cumsum(size)
         data = self._raw[np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self._raw_at[flat] - (until - size), size)]
-        bounds = np.concatenate(([0], until))[np.concatenate(([0], np.cumsum([len(x) for x in ids])))]
+        bounds = np.concatenate(([0], until))[np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))]
         first = bounds[:-1][bounds[1:] > bounds[:-1]]
         drop = first[data[first] == 32]
         data = np.delete(data, drop)
@@ -321,7 +405,12 @@ class Pieces:
                 yield place + n, n
 
     def transfer(self, text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[int]]:
-        """Entry states, exit states and the matrix between the boundaries: a row of bits for each exit."""
+        """Entry states, exit states and the matrix between the boundaries (no word boundary lies between them): a row of
+        bits for each exit."""
+        if end - start > 4 * LONG:
+            left, right = self.transfer(text, start, start + LONG), self.transfer(text, end - LONG, end)
+            alive = [x for x, row in zip(left[1], left[2], strict=True) if row]
+            return product(product(left, self._through(text, end - LONG, alive)), right)
         entries, exits = self.states(text, start), self.states(text, end)
         reach = self._reach(text, start, end, entries)
         return entries, exits, [reach.get(x, 0) for x in exits]
@@ -354,25 +443,33 @@ class Pieces:
                     out[node] = out.get(node, 0) | bits
         return out
 
+    def _through(self, text: str, end: int, entries: list[tuple[int, int]]) -> Matrix:
+        """The matrix from some states to a far boundary.  From a state there is at most one path to each place: the one
+        to it from where the state's piece begins, if that goes through the state."""
+        exits = self.states(text, end)
+        begins = [place - max(size, 0) for place, size in entries]
+        rows = [0] * len(exits)
+        for i, ((place, _), begin, sizes) in enumerate(zip(entries, begins, self._sizes([text[x:end] for x in begins]), strict=True)):
+            back, good = sizes.tolist(), {place - begin: True}
+            for k, (at, size) in enumerate(exits):
+                q, seen = at - begin, []
+                while q > place - begin and q not in good:
+                    seen.append(q)
+                    q -= back[q]
+                fine = good.get(q, False)
+                good |= dict.fromkeys(seen, fine)
+                if fine and back[at - begin] == size:
+                    rows[k] |= 1 << i
+        return entries, exits, rows
+
     def backtrace(self, text: str, start: int, end: int, entry: tuple[int, int], leave: tuple[int, int]) -> list[str]:
         """The pieces that end in (start, end] on the path from one state to another."""
-        came: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        seen, todo = {entry}, [entry]
-        goal = None
-        while todo:
-            node = todo.pop()
-            if node == leave or (leave[1] == WHOLE and node[0] == leave[0]):
-                goal = node
-                break
-            for nxt in self._edges(text, node):
-                if nxt[0] <= end and not (node[0] < start and nxt[0] <= start) and nxt not in seen:
-                    seen.add(nxt)
-                    came[nxt] = [node]
-                    todo.append(nxt)
-        out = []
-        while goal is not None and goal != entry:
-            out.append(text[goal[0] - goal[1] : goal[0]])
-            goal = came[goal][0]
+        begin, out = entry[0] - max(entry[1], 0), []
+        back = self._sizes([text[begin : leave[0]]])[0].tolist()
+        at = leave[0] - begin
+        while at > entry[0] - begin:
+            out.append(text[begin + at - back[at] : begin + at])
+            at -= back[at]
         return out[::-1]
 
     def chunk_matrix(self, text: str, start: int, end: int) -> Matrix:
@@ -535,6 +632,8 @@ def _short(path: str, chunk: int, back: bool):
             keep = [i for i, t in enumerate(texts) if t is None or len(t) < chunk]
             ids = use.encode_batch([texts[i] for i in keep])
             some = part.take(pa.array(keep, pa.int64()))
+            if not keep:
+                continue
             if back:
                 yield _both(use, some.column("row"), some.column("doc_id"), ids)
             else:

@@ -74,3 +74,35 @@ def test_documents_with_chunks(spark, library):
     want = {i: (zlib.crc32(np.array(library.encode(t or ""), "<i4").tobytes()), (t or "").replace("▁", " ")) for i, (_, t) in enumerate(rows)}
     assert got == want
     assert C.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def giant(kind, n, seed=5):
+    r = random.Random(seed)
+    zh = [chr(0x4E00 + 7 * k) for k in range(900)]
+    return {"words": lambda: " ".join(r.choice(["some", "words", "internationalization", "été"]) for _ in range(n // 6)), "cjk": lambda: "".join(r.choice(zh) for _ in range(n)), "same": lambda: "é" * n, "code": lambda: "".join(r.choice(["self.", "x=[", "foo_bar", ");", "1234"]) for _ in range(n // 4))}[kind]()
+
+
+@pytest.mark.parametrize("kind", ["cjk", "same", "code"])
+def test_long_words_in_windows(library, kind):
+    use = C.Pieces(PATH)
+    for n in (250, 257, 3000, 20_001):
+        t = giant(kind, n)
+        assert np.frombuffer(use.encode_batch([t])[0], "<i4").tolist() == library.encode(t)
+
+
+@pytest.mark.parametrize("rows", [["words"], ["cjk"], ["same", "code", "words"], ["code", "", None, "words", "cjk", "tiny"]])
+def test_giants_at_the_query_chunk_size(spark, library, rows):
+    """One giant, only giants, and giants between short and empty texts."""
+    texts = [x if x in ("", None) else "a short text" if x == "tiny" else giant(x, 150_000) for x in rows]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in C.encode_documents(docs, PATH).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "")
+        assert (got[i].n_pieces, got[i].ids_crc32, got[i].n_chars) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()), len(t or ""))
+
+
+def test_two_slices_of_giants_beside_short_ones(spark, library):
+    texts = ["short", giant("words", 1_300_000), giant("words", 1_200_000, 6), "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_pieces for r in C.encode_documents(docs, PATH).collect()}
+    assert got == {i: len(library.encode(t)) for i, t in enumerate(texts)}
