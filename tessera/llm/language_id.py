@@ -5,13 +5,14 @@ max pooling over the window, and a softmax layer.  A filter over one-hot bytes i
 each offset, so training touches only the rows at the pooled maxima, and prediction adds rows of byte-pair tables.
 A document's distribution is the mean of its windows', by their length; every byte of the text is read.
 
-Training uses a bounded sample of labelled rows: at most ``PER_LANGUAGE`` documents a language, the first by a hash
-of doc_id; every window of their whole texts, however short or long, is learned from.  A document's windows share its
+Training uses a bounded sample of labelled documents: at most ``PER_LANGUAGE`` a language, and with many languages no
+more of each than make ``MOST_TEXTS`` together (one at least); the first by a hash of doc_id, rows of one doc_id and
+language counting once.  Every window of their whole texts, however short or long, is learned from.  A document's windows share its
 weight, so long ones do not outvote short ones.  Everything else covers all rows.
 
 Edge cases.  Null text, and text without a letter, is ``und`` with score 0; such rows are not learned from.  Without
 any other labelled row everything is ``und``.  A null doc_id is not held out and not learned from.  Repeated rows give
-repeated rows; of a doc_id with several labelled texts in the sample all are learned from.  Of languages with equal
+repeated rows; of a doc_id with several texts in one language the first by its bytes is learned from.  Of languages with equal
 probability the first by code point is told.  Null languages are not learned from.  Other columns are ignored, whatever their names; lang, source and doc_id never enter a prediction.
 """
 
@@ -31,6 +32,7 @@ WINDOW = 256
 WIDTHS = (2, 4, 6)
 FILTERS = 8
 PER_LANGUAGE = 300
+MOST_TEXTS = 20_000
 EPOCHS = 6
 BATCH = 64
 UND = "und"
@@ -168,17 +170,25 @@ def held_out(modulus: int, remainder: int):
     return F.coalesce(F.crc32(doc) % modulus == remainder, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> ByteNet | None:
-    """A network from ``docs(doc_id, text, lang)`` outside the held-out fold; None without labelled text."""
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_TEXTS) -> DataFrame:
+    """The labelled documents to learn from, each once: lang, doc_id, text."""
     usable = docs.where("doc_id is not null and lang is not null").where(F.regexp_like("text", F.lit(r"\p{L}"))).where(~held_out(4, 2))
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30))
-    rows = usable.select("doc_id", "lang", h.alias("h"))
-    # Each language's share of hashes that holds some four times as many rows as are wanted goes to the ranking.
-    share = checkpoint(rows.groupBy("lang").agg((F.lit(4.0 * per_language + 100) / F.count(F.lit(1))).alias("share")))
+    rows = usable.select("doc_id", "lang", h.alias("h")).distinct()
+    counts = checkpoint(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    per_language = max(1, min(per_language, most // max(1, counts.count())))
+    # Each language's share of hashes that holds some four times as many documents as are wanted goes to the ranking.
+    share = counts.select("lang", (F.lit(4.0 * per_language + 100) / F.col("n")).alias("share"))
     near = rows.join(sized_broadcast(share), "lang").where(F.col("h") < F.col("share") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = near.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    got = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.col("text").cast("string").alias("text")).orderBy("lang", "doc_id", "text").toArrow()
+    ids = near.withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang")
+    chosen = usable.join(sized_broadcast(checkpoint(ids)), ["doc_id", "lang"], "left_semi").select("lang", "doc_id", F.col("text").cast("string").alias("text"))
+    return chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = EPOCHS) -> ByteNet | None:
+    """A network from ``docs(doc_id, text, lang)`` outside the held-out fold; None without labelled text."""
+    got = training_sample(docs, per_language).orderBy("lang", "doc_id").toArrow()
     classes = sorted(set(got["lang"].to_pylist()))
     if not classes:
         return None

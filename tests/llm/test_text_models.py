@@ -52,6 +52,26 @@ def test_short_and_long_labelled_texts_are_learned_from(spark):
     assert {r.doc_id: r.lang_pred for r in L.predict(ends, net).collect()} == {1: "aa", 2: "bb"}
 
 
+def test_sample_counts_documents_not_rows(spark):
+    """Thousands of rows of one document count once, every language is learned from, and the bounds hold."""
+    from pyspark.sql import functions as F
+
+    fold = spark.range(4000).select(F.col("id").alias("doc_id")).where(~L.held_out(4, 2))
+    one = fold.orderBy("doc_id").first().doc_id
+    for doc in (one, one + 4_000_000):
+        copies = spark.range(4000).select(F.lit(doc).alias("doc_id"), F.concat(F.lit("the words "), (F.col("id") % 3).cast("string")).alias("text"), F.lit("en").alias("lang"))
+        others = fold.where(F.col("doc_id") != doc).select("doc_id", F.lit("der Satz").alias("text"), F.lit("de").alias("lang"))
+        got = L.training_sample(copies.union(others).where(~L.held_out(4, 2))).collect()
+        english = [r for r in got if r.lang == "en"]
+        held = spark.createDataFrame([(doc,)], "doc_id long").where(L.held_out(4, 2)).count()
+        assert [(r.doc_id, r.text) for r in english] == ([] if held else [(doc, "the words 0")])
+        assert len(got) - len(english) == 300 == len({r.doc_id for r in got if r.lang == "de"})
+    many = fold.select("doc_id", F.lit("words").alias("text"), F.concat(F.lit("l"), F.col("doc_id").cast("string")).alias("lang"))
+    assert L.training_sample(many, most=10).count() == many.count()  # one of each language at least
+    few = fold.select("doc_id", F.lit("words").alias("text"), (F.col("doc_id") % 2).cast("string").alias("lang"))
+    assert L.training_sample(few, most=10).groupBy("lang").count().where("count = 5").count() == 2
+
+
 def test_training_follows_the_gradient():
     """One step of plain descent, read off Adam's first moment, against finite differences of the weighted loss."""
     r = np.random.default_rng(3)
