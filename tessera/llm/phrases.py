@@ -314,7 +314,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     totals = checkpoint(blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     words = checkpoint(numbered_words(held.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least), f"{folder}/words"))
 
-    found = held.join(words, ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("at", F.col("id").cast("int").alias("id"))).alias("found"))
+    known = F.when(F.col("id").isNotNull(), F.struct("at", F.col("id").cast("int").alias("id")))  # none for words that are rare
+    found = held.join(words.select("lang", "word", "id"), ["lang", "word"], "left").groupBy("block").agg(F.collect_list(known).alias("found"))
     encoded = stored(blocks.select("block", "codes").join(found, "block").select("codes", "found").mapInArrow(_encoded, _IDS), "ids")
     remove(spark, f"{folder}/blocks")
     phrases = checkpoint(counted_phrases(encoded, least, range_windows))
