@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Collection
+from functools import partial
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions import vectors as V
-from .operators import chat, embedding, fusion, ingest, retrieval, stored, stores
+from .operators import chat, embedding, fusion, hashed, ingest, retrieval, stored, stores
 from .operators import index as I
-from .session import checkpointed, ensure_importable
+from .operators.snapshots import Change, Conflict, Snapshot, SnapshotLog
+from .session import checkpointed, ensure_importable, folder_sizes, together
 from .sources import files
 from .sources.config import Settings
 from .sources.extract import Extractors
+from .streaming import events
+
+T = TypeVar("T")
 
 TABLES = {
     "documents": "tenant string, id string, title string, language string, collection string, checksum string, token_count long, created_at timestamp, updated_at timestamp",
@@ -21,60 +29,133 @@ TABLES = {
     "postings": "tenant string, document_id string, collection string, chunk_id string, term string, tf int, length int, places array<int>",
     "conversations": "tenant string, id string, collection string, created_at timestamp",
     "messages": "tenant string, conversation_id string, part int, role string, content string, created_at timestamp",
+    "terms": "tenant string, collection string, term string, df long",
+    "stats": "tenant string, collection string, docs long, tokens long, chunks long",
+}
+#: Tables whose rows lie in the same buckets, with the columns of tenant and key, and the order inside a bucket.
+SPACES = {
+    "documents": {"documents": ("tenant", "id", "id"), "points": ("payload.tenant", "payload.document_id", "chunk_id"), "postings": ("tenant", "document_id", "term")},
+    "talks": {"conversations": ("tenant", "id", "id"), "messages": ("tenant", "conversation_id", "created_at")},
 }
+SPACE_OF = {table: space for space, tables in SPACES.items() for table in tables}
+#: Tables that are sums of parts: the columns that tell rows apart.
+PARTS = {"terms": ("tenant", "collection", "term"), "stats": ("tenant", "collection")}
+BUCKET_BYTES = 128 << 20
+#: Parts of a table that are put together into one.
+MOST_PARTS = 8
+TRIES = 8
 
 
 class Engine:
-    """Tables live as Parquet under ``root``, in buckets by tenant and document.
+    """Tables live as Parquet under ``root``, in buckets by tenant and document, with one versioned state over all of them.
+
+    A change writes the buckets it touches anew, in folders of their own, and then one commit that names them for all
+    tables (``operators.snapshots``): readers see the whole change or nothing of it.  Two writers that touch different
+    buckets both succeed; of two that touch the same, the second starts again from the first one's state.  A bucket
+    that would pass ``bucket_bytes`` is written as several (``operators.hashed``).
 
-    A change writes a new version of the buckets it touches, and then a small pointer table that names each bucket's
-    version, so readers see the old state or the new one and untouched buckets stay as they are.  Postings are written
-    at ingest; searches never read texts to find terms.
+    Postings are written at ingest; searches never read texts to find terms.  How many chunks hold a term, and how many
+    documents, tokens and chunks a collection has, are kept as sums of signed changes, one part a commit.
 
     ``provider`` embeds batches of texts (see ``operators.embedding``); without one, ``embed`` maps a text column to a
     vector column, by default the deterministic stand-in with ``dim`` components.  ``extractors`` turn files into text;
     PDF files need one that is registered for them.
     """
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embed=None, dim: int = 64, model: chat.Model = chat.mock_model, provider: embedding.Provider | None = None, extractors: Extractors | None = None, buckets: int = stored.BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embed=None, dim: int = 64, model: chat.Model = chat.mock_model, provider: embedding.Provider | None = None, extractors: Extractors | None = None, bucket_bytes: int = BUCKET_BYTES):
         self.spark, self.root, self.settings = ensure_importable(spark), root.rstrip("/"), (settings or Settings()).checked()
-        self.embed, self.dim, self.model, self.provider, self.extractors, self.buckets = embed or V.mock_embedding(dim), dim, model, provider, extractors, buckets
-        self._at: dict[str, dict[int, str]] = {}
+        self.embed, self.dim, self.model, self.provider, self.extractors, self.bucket_bytes = embed or V.mock_embedding(dim), dim, model, provider, extractors, bucket_bytes
+        self.log = SnapshotLog(spark, self.root)
 
-    def _versions(self, name: str) -> dict[int, str]:
-        """The version of each bucket that has rows."""
-        if name not in self._at:
-            try:
-                self._at[name] = {r.bucket: r.at for r in self.spark.read.schema("bucket int, at string").json(f"{self.root}/_current/{name}").collect()}
-            except Exception as e:  # noqa: BLE001  a missing pointer means that nothing was written yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                self._at[name] = {}
-        return self._at[name]
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The last state, or that of an earlier version."""
+        return self.log.latest() if version is None else self.log.at(version)
+
+    def table(self, name: str, buckets: Collection[str] | None = None, at: Snapshot | None = None) -> DataFrame:
+        """A table (or some of its buckets) as of ``at``, by default the last state."""
+        at = at or self.snapshot()
+        if name in PARTS:
+            paths = [f"{self.root}/{name}/{p}" for p in at.parts.get(name, [])]
+            rows = self._read(name, paths)
+            keys = PARTS[name]
+            return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in rows.columns if c not in keys))
+        units = at.units.get(SPACE_OF[name], {})
+        chosen = units if buckets is None else {b: units[b] for b in buckets if b in units}
+        return self._read(name, [f"{self.root}/{name}/{unit['at']}/bucket=b{b}" for b, unit in sorted(chosen.items()) if name in unit["has"]])
 
-    def table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
-        """The current version of a table (or of some buckets)."""
-        paths = [f"{self.root}/{name}/{at}/bucket={b}" for b, at in sorted(self._versions(name).items()) if buckets is None or b in buckets]
+    def _read(self, name: str, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
 
-    def _bucket(self, tenant, document):
-        return stored.bucket_of(tenant, document, buckets=self.buckets)
-
-    def _touched(self, documents: DataFrame) -> list[int]:
-        """The buckets of ``documents(tenant, document_id)``: at most ``buckets`` numbers."""
-        return sorted(r.b for r in documents.select(self._bucket("tenant", "document_id").alias("b")).distinct().collect())
-
-    def _replace(self, name: str, touched: list[int], rows: DataFrame, tenant, document, *order: str) -> None:
-        """A new version of the touched buckets, which holds ``rows``."""
-        if not touched:
-            return
-        at = uuid.uuid4().hex
-        made = rows.select(*self.spark.createDataFrame([], TABLES[name]).columns).withColumn("bucket", self._bucket(tenant, document))
-        made.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{at}")
-        present = {r.bucket for r in self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(f"{self.root}/{name}/{at}").select("bucket").distinct().collect()}
-        versions = {b: v for b, v in self._versions(name).items() if b not in touched} | dict.fromkeys(present, at)
-        self.spark.createDataFrame(sorted(versions.items()), "bucket int, at string").coalesce(1).write.mode("overwrite").json(f"{self.root}/_current/{name}")
-        self._at[name] = versions
+    def _buckets_of(self, space: str, keys: DataFrame, at: Snapshot) -> dict[str, int]:
+        """The buckets of ``keys(tenant, key, bytes)``, with the bytes that come to each: at most as many as there are."""
+        name = hashed.bucket_name(hashed.key_hash("tenant", "key"), at.units.get(space, {}))
+        return {r.b: r.n for r in keys.groupBy(name.alias("b")).agg(F.sum("bytes").alias("n")).collect()}
+
+    def _rewrite(self, space: str, at: Snapshot, come: dict[str, int], rows: dict[str, DataFrame]) -> Change:
+        """Write the buckets ``come`` (with the bytes that come to them) anew: ``rows`` has all rows of each table there.
+
+        The result is the change to commit.
+        """
+        old = at.units.get(space, {})
+        new = [part for b, more in come.items() for part in hashed.split(b, old.get(b, {"bytes": 0})["bytes"] + more, self.bucket_bytes)]
+        tree = [b for b in old if b not in come] + new
+        folder, sizes, has = uuid.uuid4().hex, dict.fromkeys(new, 0), {b: [] for b in new}
+
+        def write(table: str) -> None:
+            tenant, key, order = SPACES[space][table]
+            made = rows[table].select(*self._read(table, []).columns)
+            made = made.withColumn("bucket", F.concat(F.lit("b"), hashed.bucket_name(hashed.key_hash(tenant, key), tree)))
+            made.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", order).write.partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
+
+        together(self.spark, *(partial(write, table) for table in SPACES[space]))
+        for table in SPACES[space]:
+            for name, size in folder_sizes(self.spark, f"{self.root}/{table}/{folder}").items():
+                if name.startswith("bucket=b"):
+                    sizes[name[8:]] += size
+                    has[name[8:]].append(table)
+        return Change({space: [b for b in come if b in old] or [""]}, {space: {b: {"at": folder, "bytes": sizes[b], "has": has[b]} for b in new}})
+
+    def _add_parts(self, change: Change, **tables: DataFrame) -> None:
+        """A part of each summed table, sorted by its keys, comes with the change."""
+
+        def write(name: str, rows: DataFrame) -> None:
+            folder, keys = uuid.uuid4().hex, PARTS[name]
+            values = [c for c in self._read(name, []).columns if c not in keys]
+            rows = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in values)).where(" or ".join(f"{c} != 0" for c in values))
+            rows.sort(*keys[1:], keys[0]).write.parquet(f"{self.root}/{name}/{folder}")
+            change.parts_come[name] = [folder]
+
+        together(self.spark, *(partial(write, name, rows) for name, rows in tables.items()))
+
+    def collapse(self, name: str) -> None:
+        """Put the parts of a summed table together."""
+        at = self.snapshot()
+        parts = at.parts.get(name, [])
+        if len(parts) > 1:
+            change = Change(parts_gone={name: parts})
+            self._add_parts(change, **{name: self.table(name, at=at)})
+            try:
+                self.log.commit(at, change)
+            except Conflict:
+                pass  # another writer did it
+
+    def _retried(self, attempt: Callable[[Snapshot], T]) -> T:
+        """Run ``attempt``, which works from a state and commits, until nobody else was first; then tidy the parts."""
+        for k in range(TRIES):
+            try:
+                out = attempt(self.snapshot())
+                break
+            except Conflict:
+                if k == TRIES - 1:
+                    raise
+        for name, parts in self.snapshot().parts.items():
+            if len(parts) > MOST_PARTS:
+                self.collapse(name)
+        return out
+
+    def clean(self, keep: int = 1, older: float = 3600.0) -> list[str]:
+        """Remove folders that none of the last ``keep`` versions needs and that are ``older`` seconds old."""
+        return self.log.clean(self.root, list(TABLES), keep, older)
 
     def _vectors(self, rows: DataFrame, text: str) -> DataFrame:
         """Rows with ``dense``."""
@@ -86,66 +167,127 @@ class Engine:
         """Ingest a folder: unchanged documents are skipped; returns the counters."""
         if self.settings.ingest_roots and not files.inside_roots(folder, list(self.settings.ingest_roots)):
             raise ValueError("the folder is outside the configured roots")
-        docs = ingest.outcome(ingest.prepared(files.documents(self.spark, folder, self.extractors), tenant, collection, self.settings.collection), self.table("documents")).cache()
-        chunks = ingest.chunk_rows(docs, self.settings.chunk_tokens, self.settings.chunk_overlap).cache()
-        told = ingest.counters(docs, chunks, dry_run)
-        out = self.spark.createDataFrame(told.collect(), told.schema)
-        if not dry_run:
-            changed = docs.where(~F.col("skip")).select("tenant", "document_id").distinct()
-            touched = self._touched(changed)
-            p = F.col("payload")
-            points = I.check_vectors(ingest.points_of(chunks, docs, self._vectors(chunks.select("chunk_id", "text"), "text")), self.dim)
-            kept = self.table("points", touched).withColumns({"tenant": p["tenant"], "document_id": p["document_id"]}).join(changed, ["tenant", "document_id"], "left_anti")
-            self._replace("points", touched, kept.select("chunk_id", "payload", "dense").unionByName(points), p["tenant"], p["document_id"])
-            made = stored.postings(chunks, "tenant", "document_id", "collection", "chunk_id")
-            kept = self.table("postings", touched).join(changed, ["tenant", "document_id"], "left_anti")
-            self._replace("postings", touched, kept.unionByName(made.select(*kept.columns)), "tenant", "document_id", "term")
-            new = ingest.stored_documents(docs, chunks, self.settings.chunk_tokens)
-            touched = self._touched(new.withColumnRenamed("id", "document_id"))
-            self._replace("documents", touched, stores.upsert(self.table("documents", touched), new, ["tenant", "id"]), "tenant", "id")
-        docs.unpersist()
-        chunks.unpersist()
-        return out
+        return self.ingest_prepared(ingest.prepared(files.documents(self.spark, folder, self.extractors), tenant, collection, self.settings.collection), dry_run)
+
+    def ingest_rows(self, rows: DataFrame, tenant: str, collection: str, stream: tuple[str, int] | None = None) -> DataFrame:
+        """Ingest ``rows(document_id, text)``, with title and language if there; of rows with one id the last by text stays."""
+        return self.ingest_prepared(ingest.prepared_rows(rows, tenant, collection), stream=stream)
+
+    def ingest_prepared(self, prepared: DataFrame, dry_run: bool = False, stream: tuple[str, int] | None = None) -> DataFrame:
+        """Ingest the documents of ``operators.ingest.prepared``, in one commit.
+
+        ``stream`` names a stream and its batch: a batch that was committed before changes nothing, and its counters
+        are zeros.
+        """
+        held = [prepared := prepared.persist()]
+        none = self.spark.createDataFrame([(0, 0, 0, 0)], ingest.COUNTERS)
+        done = lambda at: bool(stream) and at.streams.get(stream[0], -1) >= stream[1]
+
+        def attempt(at: Snapshot) -> DataFrame:
+            if done(at):
+                return none
+            # Only the buckets of the documents at hand tell which are unchanged.
+            known = self._buckets_of("documents", prepared.select("tenant", F.col("document_id").alias("key"), F.lit(0).alias("bytes")), at)
+            there = self.table("documents", known, at)
+            docs = ingest.outcome(prepared, there).persist()
+            chunks = ingest.chunk_rows(docs, self.settings.chunk_tokens, self.settings.chunk_overlap).persist()
+            held.extend((docs, chunks))
+            told = ingest.counters(docs, chunks, dry_run)
+            told = self.spark.createDataFrame(told.collect(), told.schema)
+            if not dry_run:
+                self.log.commit(at, self._ingested(at, docs, chunks, there, stream, held))
+            return told
+
+        try:
+            return self._retried(attempt)
+        except Conflict:
+            if done(self.snapshot()):
+                return none
+            raise
+        finally:
+            for rows in held:
+                rows.unpersist()
+
+    def _ingested(self, at: Snapshot, docs: DataFrame, chunks: DataFrame, there: DataFrame, stream: tuple[str, int] | None, held: list[DataFrame]) -> Change:
+        """The change that ``docs`` and their ``chunks`` make to the documents that are there; written, not committed."""
+        changed = (docs.where("error is null and not skip").select("tenant", "document_id"))
+        # Unchanged documents are touched only if their title, language or collection is another one now.
+        moved = ingest.moved(docs, there).persist()
+        entries = changed.unionByName(moved.select("tenant", F.col("id").alias("document_id")))
+        fresh = chunks.select("tenant", F.col("document_id").alias("key"), (F.coalesce(F.octet_length("text"), F.lit(0)) * 3 + 4 * self.dim).cast("long").alias("bytes"))
+        come = self._buckets_of("documents", fresh.unionByName(entries.select("tenant", F.col("document_id").alias("key"), F.lit(64).cast("long").alias("bytes"))), at)
+        if not come:
+            return Change(streams=dict([stream] if stream else []))
+        p = F.col("payload")
+        new_points = I.check_vectors(ingest.points_of(chunks, docs, self._vectors(chunks.select("chunk_id", "text"), "text")), self.dim).persist()
+        held.extend((moved, new_points))
+        new_postings = stored.postings(chunks, "tenant", "document_id", "collection", "chunk_id")
+        points, postings, documents = (self.table(name, come, at) for name in ("points", "postings", "documents"))
+        by_document = points.withColumns({"tenant": p["tenant"], "document_id": p["document_id"]})
+        rows = {
+            "points": by_document.join(changed, ["tenant", "document_id"], "left_anti").select(*points.columns).unionByName(new_points),
+            "postings": postings.join(changed, ["tenant", "document_id"], "left_anti").unionByName(new_postings.select(*postings.columns)),
+            "documents": stores.upsert(documents, ingest.stored_documents(docs.where(~F.col("skip")), chunks, self.settings.chunk_tokens).unionByName(moved), ["tenant", "id"]),
+        }
+        change = self._rewrite("documents", at, come, rows)
+        change.streams = dict([stream] if stream else [])
+        gone, old_chunks = (rows.join(changed, ["tenant", "document_id"], "left_semi") for rows in (postings, by_document))
+        before, written = (rows.withColumnRenamed("id", "document_id").join(entries, ["tenant", "document_id"], "left_semi") for rows in (documents, self._written(change, "documents")))
+        self._add_parts(change, terms=_terms(new_postings, 1).unionByName(_terms(gone, -1)), stats=_documents(written, 1).unionByName(_documents(before, -1)).unionByName(_chunks(new_points, 1)).unionByName(_chunks(old_chunks, -1)))
+        return change
+
+    def _written(self, change: Change, name: str) -> DataFrame:
+        """A table's rows in the buckets that a change brings."""
+        units = change.come[SPACE_OF[name]]
+        return self._read(name, [f"{self.root}/{name}/{unit['at']}/bucket=b{b}" for b, unit in sorted(units.items()) if name in unit["has"]])
+
+    def follow(self, stream: DataFrame, tenant: str, collection: str, checkpoint: str, name: str, **trigger) -> StreamingQuery:
+        """Ingest a stream of ``(document_id, text)``: each micro-batch is one commit that carries the batch's number, so
+        a batch that Spark runs again changes nothing.  ``name`` stands for the stream as long as its checkpoint does."""
+        return events.ingest_stream(stream, lambda rows, batch: self.ingest_rows(rows, tenant, collection, (name, batch)), checkpoint, **trigger)
 
     def failures(self, folder: str, tenant: str, collection: str | None = None) -> DataFrame:
         """A row (path, error) for each document of a folder that cannot be ingested."""
         return ingest.failures(ingest.prepared(files.documents(self.spark, folder, self.extractors), tenant, collection, self.settings.collection))
 
-    def _points(self, tenant: str, collection: str) -> DataFrame:
+    def _points(self, tenant: str, collection: str, at: Snapshot | None = None) -> DataFrame:
         p = F.col("payload")
-        return self.table("points").where((p["tenant"] == tenant) & (p["collection"] == collection))
+        return self.table("points", at=at).where((p["tenant"] == tenant) & (p["collection"] == collection))
 
-    def search_dense(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None) -> DataFrame:
+    def search_dense(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None, at: Snapshot | None = None) -> DataFrame:
         """Top k of each ``queries(query_id, query)`` by cosine."""
         asked = self._vectors(queries.select("query_id", "query"), "query").select("query_id", F.col("dense").alias("vector"))
-        points = self._points(tenant, collection).select("chunk_id", F.col("dense").alias("vector"))
+        points = self._points(tenant, collection, at).select("chunk_id", F.col("dense").alias("vector"))
         return retrieval.dense_topk(asked, points, k or self.settings.dense_top_k)
 
-    def search_sparse(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None) -> DataFrame:
-        """Top k by BM25 from the stored postings (frequencies over the whole collection, of all tenants)."""
-        postings = self.table("postings").where(F.col("collection") == collection)
-        total = self.table("points").where(F.col("payload")["collection"] == collection).agg(F.count(F.lit(1)).alias("n"))
-        scored = retrieval.sparse_scores(queries, postings, total, only=F.col("tenant") == tenant).withColumn("score", F.round("score", 9))
-        return retrieval.top(scored, k or self.settings.sparse_top_k, F.desc("score"), "chunk_id")
+    def search_sparse(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None, at: Snapshot | None = None) -> DataFrame:
+        """Top k by BM25 from the stored postings; frequencies cover the whole collection, of all tenants, and come from
+        the stored sums."""
+        return retrieval.stored_topk(queries, self.index(tenant, collection, at), k or self.settings.sparse_top_k)
 
-    def index(self, tenant: str, collection: str) -> stored.StoredIndex:
-        """A tenant's postings of a collection."""
-        own = self.table("postings").where((F.col("tenant") == tenant) & (F.col("collection") == collection))
-        return stored.StoredIndex(own, stored.term_counts(own), self._points(tenant, collection).select("chunk_id"), "chunk_id")
+    def index(self, tenant: str, collection: str, at: Snapshot | None = None) -> stored.StoredIndex:
+        """A tenant's postings of a collection, with the collection's frequencies and number of chunks."""
+        at = at or self.snapshot()
+        mine = lambda rows: rows.where((F.col("tenant") == tenant) & (F.col("collection") == collection))
+        terms = self.table("terms", at=at).where(F.col("collection") == collection).groupBy("term").agg(F.sum("df").alias("df"))
+        total = self.table("stats", at=at).where(F.col("collection") == collection).agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n"))
+        return stored.StoredIndex(mine(self.table("postings", at=at)), terms, self._points(tenant, collection, at).select("chunk_id"), "chunk_id", total)
 
     def search_text(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None) -> DataFrame:
         """Top k of each web-search query by cover density, from the stored places, with texts and metadata."""
-        hits = retrieval.stored_fts(queries, self.index(tenant, collection), k or retrieval.FTS_K)
-        return self._texts(tenant, collection).join(retrieval.small(hits), "chunk_id")
+        at = self.snapshot()
+        hits = retrieval.stored_fts(queries, self.index(tenant, collection, at), k or retrieval.FTS_K)
+        return self._texts(tenant, collection, at).join(retrieval.small(hits), "chunk_id")
 
-    def _texts(self, tenant: str, collection: str) -> DataFrame:
+    def _texts(self, tenant: str, collection: str, at: Snapshot) -> DataFrame:
         p = F.col("payload")
-        return self._points(tenant, collection).select("chunk_id", *(p[c].alias(c) for c in ("document_id", "chunk_index", "text", "title")))
+        return self._points(tenant, collection, at).select("chunk_id", *(p[c].alias(c) for c in ("document_id", "chunk_index", "text", "title")))
 
     def search_hybrid(self, queries: DataFrame, tenant: str, collection: str, **k: int) -> DataFrame:
         """Both legs fused by rank, with texts and metadata."""
-        legs = self.search_dense(queries, tenant, collection, k.get("dense_k")), self.search_sparse(queries, tenant, collection, k.get("sparse_k"))
-        return self._texts(tenant, collection).join(retrieval.small(fusion.hybrid(*legs, k=k.get("rrf_k", self.settings.rrf_k))), "chunk_id")
+        at = self.snapshot()
+        legs = self.search_dense(queries, tenant, collection, k.get("dense_k"), at), self.search_sparse(queries, tenant, collection, k.get("sparse_k"), at)
+        return self._texts(tenant, collection, at).join(retrieval.small(fusion.hybrid(*legs, k=k.get("rrf_k", self.settings.rrf_k))), "chunk_id")
 
     def answer(self, queries: DataFrame, tenant: str, collection: str) -> DataFrame:
         """Answers with citations: hybrid search, context, prompt, model."""
@@ -166,10 +308,16 @@ class Engine:
         now = F.current_timestamp()
         turns = chat.turn_pairs(fine.join(told, "query_id")).withColumn("created_at", now)
         new = fine.where("is_new").select("tenant", F.col("conversation_id").alias("id"), "collection", now.alias("created_at"))
-        for name, key, rows in (("conversations", "id", new), ("messages", "conversation_id", turns)):
-            rows = checkpointed(rows)
-            touched = self._touched(rows.select("tenant", F.col(key).alias("document_id")))
-            self._replace(name, touched, self.table(name, touched).unionByName(rows), "tenant", key, "created_at")
+        new, turns = checkpointed(new), checkpointed(turns)
+        keys = new.select("tenant", F.col("id").alias("key"), F.lit(64).alias("bytes")).unionByName(turns.select("tenant", F.col("conversation_id").alias("key"), (F.coalesce(F.octet_length("content"), F.lit(0)) + 64).alias("bytes")))
+
+        def attempt(at: Snapshot) -> None:
+            come = self._buckets_of("talks", keys, at)
+            if come:
+                rows = {name: self.table(name, come, at).unionByName(more) for name, more in (("conversations", new), ("messages", turns))}
+                self.log.commit(at, self._rewrite("talks", at, come, rows))
+
+        self._retried(attempt)
         return known.select("query_id", "conversation_id", "query", "error").join(told, "query_id", "left")
 
     def history(self, tenant: str, limit: int) -> DataFrame:
@@ -177,12 +325,43 @@ class Engine:
         return chat.latest_messages(self.table("messages").where(F.col("tenant") == tenant), limit, order=("created_at", "part"))
 
     def stats(self, tenant: str) -> DataFrame:
-        return I.corpus_stats(self.table("documents").where(F.col("tenant") == tenant))
+        """Documents, tokens and their average of each of a tenant's collections, from the stored sums."""
+        sums = self.table("stats").where(F.col("tenant") == tenant).select("tenant", "collection", F.col("docs").alias("total_docs"), F.col("tokens").alias("total_tokens"))
+        return sums.withColumn("avgdl", F.when(F.col("total_docs") > 0, F.col("total_tokens") / F.col("total_docs")).otherwise(F.lit(0.0)))
 
     def delete(self, tenant: str, document_id: str) -> None:
-        """Remove a document and its index rows."""
-        touched = self._touched(self.spark.createDataFrame([(tenant, document_id)], "tenant string, document_id string"))
-        p = F.col("payload")
-        self._replace("points", touched, stores.delete_points(self.table("points", touched), tenant, document_id), p["tenant"], p["document_id"])
-        self._replace("postings", touched, self.table("postings", touched).where(~((F.col("tenant") == tenant) & (F.col("document_id") == document_id))), "tenant", "document_id", "term")
-        self._replace("documents", touched, self.table("documents", touched).where(~((F.col("tenant") == tenant) & (F.col("id") == document_id))), "tenant", "id")
+        """Remove a document and its index rows, in one commit."""
+        self.delete_all(self.spark.createDataFrame([(tenant, document_id)], "tenant string, document_id string"))
+
+    def delete_all(self, gone: DataFrame) -> None:
+        """Remove the documents ``gone(tenant, document_id)`` and their index rows, in one commit."""
+        gone = checkpointed(gone.select("tenant", "document_id").distinct())
+
+        def attempt(at: Snapshot) -> None:
+            come = self._buckets_of("documents", gone.select("tenant", F.col("document_id").alias("key"), F.lit(0).alias("bytes")), at)
+            come = {b: n for b, n in come.items() if b in at.units.get("documents", {})}
+            if not come:
+                return
+            p = F.col("payload")
+            points, postings = self.table("points", come, at).withColumns({"tenant": p["tenant"], "document_id": p["document_id"]}), self.table("postings", come, at)
+            documents = self.table("documents", come, at).withColumnRenamed("id", "document_id")
+            pick = lambda rows, how: rows.join(gone, ["tenant", "document_id"], how)
+            change = self._rewrite("documents", at, come, {"points": pick(points, "left_anti"), "postings": pick(postings, "left_anti"), "documents": pick(documents, "left_anti").withColumnRenamed("document_id", "id")})
+            self._add_parts(change, terms=_terms(pick(postings, "left_semi"), -1), stats=_documents(pick(documents, "left_semi"), -1).unionByName(_chunks(pick(points, "left_semi"), -1)))
+            self.log.commit(at, change)
+
+        self._retried(attempt)
+
+
+def _terms(postings: DataFrame, sign: int) -> DataFrame:
+    """Signed numbers of chunks that hold each term."""
+    return postings.groupBy("tenant", "collection", "term").agg((F.count(F.lit(1)) * sign).alias("df"))
+
+
+def _documents(documents: DataFrame, sign: int) -> DataFrame:
+    return documents.groupBy("tenant", "collection").agg((F.count(F.lit(1)) * sign).alias("docs"), (F.coalesce(F.sum("token_count"), F.lit(0)) * sign).alias("tokens"), F.lit(0).cast("long").alias("chunks"))
+
+
+def _chunks(points: DataFrame, sign: int) -> DataFrame:
+    p = F.col("payload")
+    return points.groupBy(p["tenant"].alias("tenant"), p["collection"].alias("collection")).agg(F.lit(0).cast("long").alias("docs"), F.lit(0).cast("long").alias("tokens"), (F.count(F.lit(1)) * sign).alias("chunks"))

@@ -11,6 +11,7 @@ from ..functions import text as T
 from . import chunking, index, stores
 
 Embed = Callable[[Column], Column]
+COUNTERS = "documents long, skipped long, failed long, chunks long"
 
 def prepared(files: DataFrame, tenant: str, collection: str | None = None, default_collection: str = "demo") -> DataFrame:
     """Documents from ``sources.files.documents``: ids, titles, collections, checksums; rows with an error keep it.
@@ -28,6 +29,20 @@ def prepared(files: DataFrame, tenant: str, collection: str | None = None, defau
     )
 
 
+def prepared_rows(rows: DataFrame, tenant: str, collection: str) -> DataFrame:
+    """``prepared`` for ``rows(document_id, text)`` of a table or a stream, with ``title`` and ``language`` if there; of
+    rows with one id the last by text stays."""
+    extra = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("title", "language")}
+    own = rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("text").cast("string").alias("text"), *(v.cast("string").alias(c) for c, v in extra.items()))
+    one = own.groupBy("document_id").agg(F.max(F.struct("text", "title", "language")).alias("d")).select("document_id", "d.*")
+    none = lambda kind: F.lit(None).cast(kind)
+    broken = F.when(F.col("document_id").isNull() | (F.col("document_id") == ""), "a document needs an id").when(F.col("text").isNull(), "a document needs a text")
+    return one.select(
+        F.lit(tenant).alias("tenant"), "document_id", F.coalesce("title", F.lit("")).alias("title"), F.lit(collection).alias("collection"), "language", none("string").alias("source_url"), none("string").alias("source_domain"),
+        F.array().cast("array<string>").alias("tags"), none("string").alias("configured"), none("int").alias("max_tokens"), none("double").alias("overlap_ratio"), none("string").alias("path"), "text", T.checksum("text").alias("checksum"), broken.alias("error"),
+    )
+
+
 def outcome(prepared_docs: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds ``skip``: unchanged documents and those with errors are not chunked."""
     split = stores.unchanged(prepared_docs, stored)
@@ -60,6 +75,14 @@ def stored_documents(docs: DataFrame, chunks: DataFrame, size: int = 600) -> Dat
     return docs.where("error is null").join(counted, ["tenant", "document_id"], "left").select("tenant", F.col("document_id").alias("id"), "title", "language", "collection", "checksum", "token_count")
 
 
+def moved(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows for the documents table of unchanged documents whose title, language or collection is another one now."""
+    old = stored.select("tenant", "id", "token_count", *(F.col(c).alias(f"old_{c}") for c in ("title", "language", "collection")))
+    rows = docs.where("error is null and skip").select("tenant", F.col("document_id").alias("id"), "title", "language", "collection", "checksum").join(old, ["tenant", "id"])
+    same = F.col("title").eqNullSafe(F.col("old_title")) & F.col("language").eqNullSafe(F.col("old_language")) & F.col("collection").eqNullSafe(F.col("old_collection"))
+    return rows.where(~same).select("tenant", "id", "title", "language", "collection", "checksum", "token_count")
+
+
 def counters(docs: DataFrame, chunks: DataFrame, dry_run: bool = False) -> DataFrame:
     """One row: documents (skipped ones included), skipped, failed, and chunks (0 on a dry run)."""
     fine = F.col("error").isNull()

@@ -33,15 +33,17 @@ def term_counts(rows: DataFrame, *by: str) -> DataFrame:
 
 @dataclass
 class StoredIndex:
-    """``postings(key, term, tf, length, places)``, ``terms(term, df)`` and ``units(key)`` of a collection."""
+    """``postings(key, term, tf, length, places)``, ``terms(term, df)`` and ``units(key)`` of a collection; ``count``, one
+    row with ``n``, where the number of units is stored."""
 
     postings: DataFrame
     terms: DataFrame
     units: DataFrame
     key: str = "key"
+    count: DataFrame | None = None
 
     def total(self) -> DataFrame:
-        return self.units.agg(F.count(F.lit(1)).alias("n"))
+        return self.count if self.count is not None else self.units.agg(F.count(F.lit(1)).alias("n"))
 
 
 def write(units: DataFrame, path: str, key: str = "key", text: str = "text", buckets: int = BUCKETS) -> str:

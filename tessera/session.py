@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -67,3 +71,77 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
+    """Run jobs side by side; an error of one is raised when all have ended."""
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        running = [pool.submit(inherit(job)) for job in jobs]
+    for job in running:
+        job.result()
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    files, target = file_system(spark, path)
+    stream = files.open(target)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    """Name, bytes and time (milliseconds) of each entry of a folder; none if it is not there."""
+    files, target = file_system(spark, folder)
+    if not files.exists(target):
+        return []
+    return [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(target)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, target = file_system(spark, path)
+    files.delete(target, True)
+
+
+def create(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a file that is not there yet, all of it or nothing; false if another one was first.
+
+    The bytes go to a file beside it, which then takes the name: by a hard link on local disks, and else by a rename,
+    which must refuse an existing target (as HDFS does).
+    """
+    files, target = file_system(spark, path)
+    beside = f"{path}.{uuid.uuid4().hex}.new"
+    files, new = file_system(spark, beside)
+    stream = files.create(new, True)
+    stream.write(bytearray(data))
+    stream.close()
+    try:
+        if target.toUri().getScheme() in (None, "file"):
+            try:
+                os.link(new.toUri().getPath(), target.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not files.exists(target) and files.rename(new, target)
+    finally:
+        files.delete(new, False)
+
+
+def folder_sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """The bytes of all files below each sub-folder."""
+    files, target = file_system(spark, folder)
+    found, root = files.listFiles(target, True), files.makeQualified(target).toUri().getPath() + "/"
+    sizes: dict[str, int] = {}
+    while found.hasNext():
+        status = found.next()
+        inner = status.getPath().toUri().getPath().removeprefix(root).split("/")
+        if len(inner) > 1:
+            sizes[inner[0]] = sizes.get(inner[0], 0) + status.getLen()
+    return sizes

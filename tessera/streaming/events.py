@@ -64,9 +64,10 @@ def limited(events: DataFrame, key: str, rate: float, burst: float) -> DataFrame
     return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, ts timestamp, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest_stream(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start incremental ingest: each micro-batch of new documents goes to ``handle`` (chunk, index, append)."""
-    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_stream(stream: DataFrame, handle: Callable[[DataFrame, int], object], checkpoint: str, **trigger):
+    """Start incremental ingest: each micro-batch of new documents, with its number, goes to ``handle``; by default all
+    that there is, then it ends."""
+    return stream.writeStream.foreachBatch(lambda rows, batch: handle(rows, batch) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def collected(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def test_buckets_text_search_and_ports(spark, tmp_path):
         calls.append(len(texts))
         return [[float(len(t)), 1.0, 2.0] for t in texts]
 
-    engine = Engine(spark, f"file://{tmp_path}/store", dim=3, provider=provider, extractors=pdf, buckets=8)
+    engine = Engine(spark, f"file://{tmp_path}/store", dim=3, provider=provider, extractors=pdf, bucket_bytes=500)
     n = engine.ingest(str(folder), "t").first()
     assert (n.documents, n.failed, n.skipped) == (10, 0, 0)
     assert Engine(spark, f"file://{tmp_path}/other", dim=3).failures(str(folder), "t").select("error").first().error.startswith("pdf extraction needs")
@@ -57,11 +57,12 @@ def test_buckets_text_search_and_ports(spark, tmp_path):
         found.setdefault(r.query_id, set()).add(r.document_id)
     assert found == {1: {"d1", "d3", "d5", "d7"}, 2: {"book"}, 3: {"book", "d0", "d2", "d4", "d6", "d8"}}
     assert engine.search_text(q, "other", "demo").count() == 0
-    before = dict(engine._versions("postings"))
+    before = engine.snapshot().units["documents"]
+    assert len(before) > 1
     (folder / "d1.txt").write_text("Something quite different now.")
     again = engine.ingest(str(folder), "t").first()
     assert (again.documents, again.skipped) == (10, 9)
-    after = engine._versions("postings")
+    after = engine.snapshot().units["documents"]
     assert sum(before[b] != after.get(b) for b in before) == 1  # one bucket was written anew
     assert {r.document_id for r in engine.search_text(q, "t", "demo", 20).where("query_id = 1").collect()} == {"d3", "d5", "d7"}
     sparse = engine.search_sparse(spark.createDataFrame([(1, "different")], "query_id int, query string"), "t", "demo")
