@@ -13,6 +13,8 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+from .sentences import split as split_sentences
+
 MOST_OVERLAP = 0.9
 LEAST_CHARS = 400
 BYTES_PER_TOKEN = 4
@@ -120,7 +122,9 @@ def window(text: str, budget: int, overlap: float, tokens: Tokens) -> list[str]:
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in (m.strip() for m in SENTENCE.findall(text)) if s]
+    """Sentences that hold a letter or a number, trimmed; without any, the parts between terminators."""
+    whole = [s.strip() for s in split_sentences(text) if any(map(str.isalnum, s))]
+    return whole or [s for s in (m.strip() for m in SENTENCE.findall(text)) if s]
 
 
 def by_sentences(text: str, budget: int, overlap: float, tokens: Tokens) -> list[str]:

@@ -29,7 +29,7 @@ def test_sentences():
     assert all(W.count(c) <= 50 for c in out) and sum(c.count("Sentence") for c in out) == 500
     lapped = P.by_sentences("One two three. Four five six. Seven eight nine.", 3, 0.34, W)
     assert lapped == ["One two three.", "three. Four five six.", "six. Seven eight nine."]
-    assert P.by_sentences("a b c d e f. g", 3, 0.0, W) == ["a b c", " d e f.", "g"]
+    assert P.by_sentences("a b c d e f. G", 3, 0.0, W) == ["a b c", " d e f.", "G"]
 
 
 def test_paragraphs():
