@@ -116,17 +116,18 @@ def readiness(checks: dict[str, Callable[[], object]], seconds: float = 5.0) ->
 
 
 class KeyCache:
-    """Signing keys of token issuers by key id, fetched through a port: for a key that is not there, and anew after the
-    time to live."""
+    """Signing keys of token issuers by issuer and key id, fetched through a port: an issuer's for a key of its that is
+    not there, and anew after the time to live.  A key of one issuer never stands for another's."""
 
     def __init__(self, fetch: Callable[[str], dict[str, object]], ttl_s: float = 3600.0, clock: Callable[[], float] = time.monotonic):
         self.fetch, self.ttl_s, self.clock = fetch, ttl_s, clock
-        self.keys: dict[str, object] = {}
-        self.at: float | None = None
+        self.keys: dict[str, tuple[float, dict[str, object]]] = {}
 
     def key(self, kid: str, issuer: str) -> object:
-        if self.at is None or self.clock() - self.at >= self.ttl_s or kid not in self.keys:
-            self.keys, self.at = dict(self.fetch(issuer)), self.clock()
-        if kid not in self.keys:
-            raise KeyError(f"no signing key {kid!r}")
-        return self.keys[kid]
+        at, known = self.keys.get(issuer, (0.0, {}))
+        if kid not in known or self.clock() - at >= self.ttl_s:
+            known = dict(self.fetch(issuer))
+            self.keys[issuer] = self.clock(), known
+        if kid not in known:
+            raise KeyError(f"no signing key {kid!r} of {issuer!r}")
+        return known[kid]
