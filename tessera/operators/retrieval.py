@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import checkpointed
 from .stored import StoredIndex
 
 K1, B, AVGDL, QUERY_B = 1.2, 0.75, 300.0, 0.3
@@ -238,33 +239,57 @@ def parsed_searches(spark: SparkSession, searches: Searches) -> DataFrame:
     return searches.select("query_id", "query").mapInArrow(run, f"query_id {kind}, item int, slot int, negated boolean, place int, term string")
 
 
-def item_hits(asked: DataFrame, index: StoredIndex) -> DataFrame:
-    """(query_id, key, item, slot, negated): the units that hold each word or phrase, by the places of its terms."""
+def lead_terms(asked: DataFrame, index: StoredIndex) -> DataFrame:
+    """(query_id, term): for each query the terms of which every matching unit holds one, chosen by the fewest units.
+
+    An item's units are no more than those of its rarest term, and a group's no more than its items' together.
+    """
+    wanted = asked.where("not negated")
+    df = index.terms.join(small(wanted.select("term").distinct()), "term", "left_semi")
+    known = wanted.join(small(df), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    items = known.groupBy("query_id", "slot", "item").agg(F.min(F.struct("df", "term")).alias("rare"))
+    slots = items.groupBy("query_id", "slot").agg(F.sum("rare.df").alias("units"), F.collect_set("rare.term").alias("terms"))
+    return slots.groupBy("query_id").agg(F.min(F.struct("units", "slot", "terms")).alias("lead")).select("query_id", F.explode("lead.terms").alias("term"))
+
+
+def item_hits(asked: DataFrame, index: StoredIndex, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, item, slot, negated): the units that hold each word or phrase, by the places of its terms;
+    ``among(query_id, key)`` are the only units asked for."""
     size = asked.groupBy("query_id", "item").agg(F.count(F.lit(1)).alias("size"))
     wanted = small(asked.join(size, ["query_id", "item"]))
     met = index.postings.select(index.key, "term", "places").join(wanted, "term")
+    if among is not None:
+        met = met.join(small(among), ["query_id", index.key], "left_semi")
     by = ["query_id", index.key, "item", "slot", "negated"]
     words = met.where("size = 1").select(*by)
-    started = met.where("size > 1").select(*by, "size", "place", F.explode("places").alias("at")).withColumn("start", F.col("at") - F.col("place"))
-    phrases = started.groupBy(*by, "size", "start").agg(F.count(F.lit(1)).alias("n")).where("n = size").select(*by).distinct()
-    return words.union(phrases)
+    shifted = F.transform("places", lambda p: p - F.col("place"))  # where the phrase would begin
+    found = met.where("size > 1").groupBy(*by, "size").agg(F.collect_list(F.struct(F.size("places").alias("n"), shifted.alias("starts"))).alias("terms"))
+    found = found.where(F.size("terms") == F.col("size")).withColumn("terms", F.array_sort("terms"))
+    starts = F.aggregate(F.slice("terms", 2, F.greatest(F.size("terms") - 1, F.lit(1))), F.col("terms")[0]["starts"], lambda x, t: F.array_intersect(x, t["starts"]))
+    return words.union(found.where(F.size(starts) > 0).select(*by))
 
 
 def stored_matches(searches: Searches, index: StoredIndex) -> DataFrame:
     """(query_id, key) of all units that satisfy each web-search query, many queries at once, from a stored index.
 
     A query matches where every group has a match and no negated item has one; one of negated items alone matches all
-    other units, and one without words nothing.
+    other units, and one without words nothing.  The units that hold a query's rarest group are found first; of all
+    other terms only the postings in those are looked at.
     """
-    asked = parsed_searches(index.postings.sparkSession, searches)
+    asked = checkpointed(parsed_searches(index.postings.sparkSession, searches))
     wanted = asked.groupBy("query_id").agg(F.count_distinct("slot").alias("slots"))
-    found = item_hits(asked, index).groupBy("query_id", index.key).agg(F.count_distinct(F.when(~F.col("negated"), F.col("slot"))).alias("have"), F.bool_or("negated").alias("refused"))
-    told = found.join(small(wanted), "query_id")
-    some = told.where("slots > 0 and have = slots and not refused").select("query_id", index.key)
+    among = checkpointed(index.postings.select(index.key, "term").join(small(lead_terms(asked, index)), "term").select("query_id", index.key).distinct())
+    led = small(wanted.where("slots > 0").select("query_id"))
+    found = item_hits(asked.join(led, "query_id", "left_semi"), index, among)
+    told = found.groupBy("query_id", index.key).agg(F.count_distinct(F.when(~F.col("negated"), F.col("slot"))).alias("have"), F.bool_or("negated").alias("refused")).join(small(wanted), "query_id")
+    some = told.where("have = slots and not refused").select("query_id", index.key)
     # Queries of negated items alone are answered with all other units, which is their result.
-    only = small(wanted.where("slots = 0").select("query_id", F.lit(True).alias("every")))
-    rest = index.units.select(index.key, F.lit(True).alias("every")).join(only, "every").select("query_id", index.key)
-    return some.unionByName(rest.join(told.where("slots = 0 and refused").select("query_id", index.key), ["query_id", index.key], "left_anti"))
+    only = wanted.where("slots = 0").select("query_id", F.lit(True).alias("every"))
+    if not only.limit(1).count():
+        return some
+    refused = item_hits(asked.join(small(only), "query_id", "left_semi"), index).select("query_id", index.key)
+    rest = index.units.select(index.key, F.lit(True).alias("every")).join(small(only), "every").select("query_id", index.key)
+    return some.unionByName(rest.join(refused, ["query_id", index.key], "left_anti"))
 
 
 def cover_density(places: dict[str, list[int]], needed: list[str], weight: float = 0.1) -> float:
@@ -304,9 +329,10 @@ def stored_fts(searches: Searches, index: StoredIndex, k: int = FTS_K) -> DataFr
     terms = first.groupBy("query_id", "term").agg(F.min(F.struct("item", "place")).alias("at"))
     own = Window.partitionBy("query_id")
     wanted = terms.select("query_id", "term", (F.row_number().over(own.orderBy("at")) - 1).alias("t"), F.count(F.lit(1)).over(own).cast("int").alias("needed"))
-    met = index.postings.select(index.key, "term", "places").join(small(wanted), "term").select("query_id", index.key, "needed", "t", F.explode("places").alias("place"))
-    matched = stored_matches(searches, index)
-    events = met.join(matched, ["query_id", index.key], "left_semi").groupBy("query_id", index.key, "needed").agg(F.sort_array(F.collect_list(F.struct("place", "t"))).alias("events"))
+    matched = checkpointed(stored_matches(searches, index))
+    met = index.postings.select(index.key, "term", "places").join(small(wanted), "term").join(small(matched), ["query_id", index.key], "left_semi")
+    listed = F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("place"), F.col("t").alias("t")))))
+    events = met.groupBy("query_id", index.key, "needed").agg(F.sort_array(listed).alias("events"))
     scored = matched.join(events, ["query_id", index.key], "left").withColumn("score", F.round(F.coalesce(covered(F.col("events"), F.col("needed")), F.lit(0.0)), 9))
     return top(scored.drop("events", "needed"), k, F.desc("score"), index.key)
 
