@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .functions import vectors as V
-from .operators import chat, embedding, fusion, hashed, ingest, retrieval, stored, stores
+from .operators import cells, chat, embedding, fusion, hashed, ingest, retrieval, stored, stores
 from .operators import index as I
 from .operators.snapshots import Change, Conflict, Snapshot, SnapshotLog
 from .session import checkpointed, ensure_importable, folder_sizes, together
@@ -155,7 +155,7 @@ class Engine:
 
     def clean(self, keep: int = 1, older: float = 3600.0) -> list[str]:
         """Remove folders that none of the last ``keep`` versions needs and that are ``older`` seconds old."""
-        return self.log.clean(self.root, list(TABLES), keep, older)
+        return self.log.clean(self.root, [*TABLES, "cells"], keep, older)
 
     def _vectors(self, rows: DataFrame, text: str) -> DataFrame:
         """Rows with ``dense``."""
@@ -170,7 +170,8 @@ class Engine:
         return self.ingest_prepared(ingest.prepared(files.documents(self.spark, folder, self.extractors), tenant, collection, self.settings.collection), dry_run)
 
     def ingest_rows(self, rows: DataFrame, tenant: str, collection: str, stream: tuple[str, int] | None = None) -> DataFrame:
-        """Ingest ``rows(document_id, text)``, with title and language if there; of rows with one id the last by text stays."""
+        """Ingest ``rows(document_id, text)``, with title, language and collection if there; of rows with one id the last by
+        text stays."""
         return self.ingest_prepared(ingest.prepared_rows(rows, tenant, collection), stream=stream)
 
     def ingest_prepared(self, prepared: DataFrame, dry_run: bool = False, stream: tuple[str, int] | None = None) -> DataFrame:
@@ -254,11 +255,42 @@ class Engine:
         p = F.col("payload")
         return self.table("points", at=at).where((p["tenant"] == tenant) & (p["collection"] == collection))
 
-    def search_dense(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None, at: Snapshot | None = None) -> DataFrame:
-        """Top k of each ``queries(query_id, query)`` by cosine."""
+    def search_dense(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None, at: Snapshot | None = None, probes: int | None = None) -> DataFrame:
+        """Top k of each ``queries(query_id, query)`` by cosine: exactly, by a scan, or with ``probes`` from the vector index
+        (``index_vectors``), which then visits so many of its cells for each query."""
+        at, k = at or self.snapshot(), k or self.settings.dense_top_k
         asked = self._vectors(queries.select("query_id", "query"), "query").select("query_id", F.col("dense").alias("vector"))
-        points = self._points(tenant, collection, at).select("chunk_id", F.col("dense").alias("vector"))
-        return retrieval.dense_topk(asked, points, k or self.settings.dense_top_k)
+        if probes is not None and _cell_name(tenant, collection) in at.units.get("cells", {}):
+            return self._near(checkpointed(asked), tenant, collection, k, at, probes)
+        return retrieval.dense_topk(asked, self._points(tenant, collection, at).select("chunk_id", F.col("dense").alias("vector")), k)
+
+    def index_vectors(self, tenant: str, collection: str, count: int | None = None) -> None:
+        """Index the vectors of a collection in cells.  Later changes need no new index: buckets that were written since are
+        scanned beside it."""
+        at, folder, p = self.snapshot(), uuid.uuid4().hex, F.col("payload")
+        # A vector's name begins with its document's hash, which tells its bucket.
+        place = F.concat(F.lpad(F.hex(hashed.key_hash(p["tenant"], p["document_id"])), 16, "0"), "chunk_id").alias("place")
+        cells.build(self._points(tenant, collection, at).select(place, F.col("dense").alias("vector")), f"{self.root}/cells/{folder}", "place", count)
+        name = _cell_name(tenant, collection)
+        self.log.commit(at, Change({"cells": [name]}, {"cells": {name: {"at": folder, "version": at.version}}}))
+
+    def _near(self, asked: DataFrame, tenant: str, collection: str, k: int, at: Snapshot, probes: int) -> DataFrame:
+        own = at.units["cells"][_cell_name(tenant, collection)]
+        index = cells.read(self.spark, f"{self.root}/cells/{own['at']}", "place")
+        then, now = self.log.at(own["version"]).units.get("documents", {}), at.units.get("documents", {})
+        unchanged = sorted(b for b, unit in now.items() if then.get(b) == unit)
+        hash_of = F.conv(F.substring("place", 1, 16), 16, -10).cast("long")
+        bucket = hashed.bucket_name(hash_of, now)
+        if len(unchanged) < len(now):  # rows of buckets that were written since are not asked in the index
+            still = self.spark.createDataFrame([(b,) for b in unchanged], "still string")
+            index.codes = index.codes.join(F.broadcast(still), bucket == F.col("still"), "left_semi")
+        kept = checkpointed(cells.survivors(asked, index, k, probes).withColumn("bucket", bucket))
+        there = {r.bucket for r in kept.select("bucket").distinct().collect()}
+        p = F.col("payload")
+        mine = lambda rows: rows.where((p["tenant"] == tenant) & (p["collection"] == collection)).select("chunk_id", F.col("dense").alias("vector"))
+        found = cells.rescored(kept.select("query_id", F.substring("place", 17, 1 << 20).alias("chunk_id")), asked, mine(self.table("points", there, at)), "chunk_id")
+        fresh = retrieval.dense_topk(asked, mine(self.table("points", now.keys() - set(unchanged), at)), k).drop("rank")
+        return retrieval.top(found.unionByName(fresh), k, F.desc("score"), "chunk_id")
 
     def search_sparse(self, queries: DataFrame, tenant: str, collection: str, k: int | None = None, at: Snapshot | None = None) -> DataFrame:
         """Top k by BM25 from the stored postings; frequencies cover the whole collection, of all tenants, and come from
@@ -284,9 +316,9 @@ class Engine:
         return self._points(tenant, collection, at).select("chunk_id", *(p[c].alias(c) for c in ("document_id", "chunk_index", "text", "title")))
 
     def search_hybrid(self, queries: DataFrame, tenant: str, collection: str, **k: int) -> DataFrame:
-        """Both legs fused by rank, with texts and metadata."""
+        """Both legs fused by rank, with texts and metadata; ``probes`` as in ``search_dense``."""
         at = self.snapshot()
-        legs = self.search_dense(queries, tenant, collection, k.get("dense_k"), at), self.search_sparse(queries, tenant, collection, k.get("sparse_k"), at)
+        legs = self.search_dense(queries, tenant, collection, k.get("dense_k"), at, k.get("probes")), self.search_sparse(queries, tenant, collection, k.get("sparse_k"), at)
         return self._texts(tenant, collection, at).join(retrieval.small(fusion.hybrid(*legs, k=k.get("rrf_k", self.settings.rrf_k))), "chunk_id")
 
     def answer(self, queries: DataFrame, tenant: str, collection: str) -> DataFrame:
@@ -353,6 +385,10 @@ class Engine:
         self._retried(attempt)
 
 
+def _cell_name(tenant: str, collection: str) -> str:
+    return f"{tenant}/{collection}"
+
+
 def _terms(postings: DataFrame, sign: int) -> DataFrame:
     """Signed numbers of chunks that hold each term."""
     return postings.groupBy("tenant", "collection", "term").agg((F.count(F.lit(1)) * sign).alias("df"))

@@ -30,15 +30,15 @@ def prepared(files: DataFrame, tenant: str, collection: str | None = None, defau
 
 
 def prepared_rows(rows: DataFrame, tenant: str, collection: str) -> DataFrame:
-    """``prepared`` for ``rows(document_id, text)`` of a table or a stream, with ``title`` and ``language`` if there; of
-    rows with one id the last by text stays."""
-    extra = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("title", "language")}
+    """``prepared`` for ``rows(document_id, text)`` of a table or a stream, with ``title``, ``language`` and ``collection``
+    (else the one given) if there; of rows with one id the last by text stays."""
+    extra = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("title", "language", "collection")}
     own = rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("text").cast("string").alias("text"), *(v.cast("string").alias(c) for c, v in extra.items()))
-    one = own.groupBy("document_id").agg(F.max(F.struct("text", "title", "language")).alias("d")).select("document_id", "d.*")
+    one = own.groupBy("document_id").agg(F.max(F.struct("text", "title", "language", "collection")).alias("d")).select("document_id", "d.*")
     none = lambda kind: F.lit(None).cast(kind)
     broken = F.when(F.col("document_id").isNull() | (F.col("document_id") == ""), "a document needs an id").when(F.col("text").isNull(), "a document needs a text")
     return one.select(
-        F.lit(tenant).alias("tenant"), "document_id", F.coalesce("title", F.lit("")).alias("title"), F.lit(collection).alias("collection"), "language", none("string").alias("source_url"), none("string").alias("source_domain"),
+        F.lit(tenant).alias("tenant"), "document_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("collection", F.lit(collection)).alias("collection"), "language", none("string").alias("source_url"), none("string").alias("source_domain"),
         F.array().cast("array<string>").alias("tags"), none("string").alias("configured"), none("int").alias("max_tokens"), none("double").alias("overlap_ratio"), none("string").alias("path"), "text", T.checksum("text").alias("checksum"), broken.alias("error"),
     )
 

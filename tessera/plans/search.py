@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import agents, chat, evals, routing
+from ..engine import Engine
+from ..operators import agents, cells, chat, evals, routing
 from ..operators import context as C
 from ..operators import fusion as FU
 from ..operators import retrieval as R
-from ..session import checkpointed
+from ..session import checkpointed, remove, shared_dir
 from ..sources import specs
+from ..streaming import events
 from .corpus import CHUNKS, chunks
 from .registry import benchmark_queries, corpus, index_of, query, table
 
@@ -73,6 +77,36 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir).select("query_id", "key", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_DENSE} SELECT query_id, key, round(score, 6) AS score, rank FROM dense WHERE rank <= 20")
+def cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a clustered index, built here: cells near the queries first, then those that may hold a better vector."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
+    q = table(spark, sf_dir, "benchmark").select("item_id").join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    found = checkpointed(cells.search(q, cells.read(spark, cells.build(e, path, "key"), "key"), e, exact=True))
+    remove(spark, path)
+    return found.select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""
+WITH kept AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))
+SELECT source AS collection, lang AS language, count(*) AS documents, CAST(sum(count(*)) OVER (PARTITION BY source) AS BIGINT) AS total_docs FROM kept GROUP BY source, lang""")
+def engine_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document ingested by the engine from a stream, then the toxic ones deleted: the documents that a reader
+    sees, beside the stored sums."""
+    root = f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"
+    engine = Engine(spark, f"{root}/store", dim=8)
+    docs = events.read_table(spark, f"{sf_dir}/documents.parquet")
+    rows = docs.select(F.col("doc_id").cast("string").alias("document_id"), "text", F.col("lang").alias("language"), F.col("source").alias("collection"))
+    engine.follow(rows, "default", "none", f"{root}/checkpoint", "documents").awaitTermination()
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select(F.lit("default").alias("tenant"), F.col("doc_id").cast("string").alias("document_id"))
+    engine.delete_all(gone)
+    counted = engine.table("documents").groupBy("collection", "language").agg(F.count(F.lit(1)).alias("documents"))
+    out = checkpointed(counted.join(engine.stats("default").select("collection", "total_docs"), "collection"))
+    remove(spark, root)
+    return out
+
+
 _HYBRID = f"""
 {_Q}, units AS (SELECT CAST(doc_id AS VARCHAR) AS key, text FROM documents), {BM25}, {_DENSE},
 legs AS (SELECT query_id, key, rank, score, 0 AS o, 'dense' AS source FROM dense WHERE rank <= 20 AND key IN (SELECT key FROM units) UNION ALL SELECT query_id, key, rank, score, 1, 'sparse' FROM sparse WHERE rank <= 20),
