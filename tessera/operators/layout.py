@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,20 +92,41 @@ def headings(spans: DataFrame) -> DataFrame:
     return classified(sized).where("level is not null").select("page_id", "line", "level", "text")
 
 
-def marked(page: str, found: list[tuple[int, str]]) -> str:
-    """The page text with heading marks put before the headings' first occurrences, in order, at line starts."""
-    import re
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD = re.compile(f"[^{WHITE}]+")
+
+
+def collapsed(text: str) -> tuple[str, np.ndarray]:
+    """The text's words with one space between two, and the place in the text of each of its characters: a space stands
+    for the first character of the white space there."""
+    words = list(_WORD.finditer(text))
+    places = [np.arange(m.start(), m.end() + 1) for m in words]  # each word with the place behind it
+    return " ".join([m[0] for m in words]), np.concatenate(places)[:-1] if places else np.zeros(0, np.int64)
+
 
+def heading_places(page: str, found: list[tuple[int, str]]) -> list[tuple[int, int, int]]:
+    """(level, begin, end) of the headings that stand in the page, in order: each is sought behind the one before, whatever
+    white space lies between its words, where its white space before begins with a line's end."""
+    flat, places = collapsed(page)
     out, at = [], 0
     for level, text in found:
-        words = text.split()
-        if not words:
-            continue
-        pattern = re.compile(r"(?:(?<=[\n\r])|\A\s*)" + r"\s+".join(map(re.escape, words)))
-        m = pattern.search(page, at)
-        if m:
-            out += [page[at : m.start()], "\n", "#" * min(level, 3), " ", page[m.start() : m.end()], "\n"]
-            at = m.end()
+        words, _ = collapsed(text)
+        begin = flat.find(words, at) if words else -1
+        while begin > 0 and page[places[begin - 1]] not in "\n\r":
+            begin = flat.find(words, begin + len(words))
+        if begin >= 0:
+            at = begin + len(words)
+            out.append((level, int(places[begin]), int(places[at]) if at < len(places) else len(page)))
+    return out
+
+
+def marked(page: str, found: list[tuple[int, str]]) -> str:
+    """The page text with heading marks put before the headings; what stands in the text stays as it is."""
+    out, at = [], 0
+    for level, begin, end in heading_places(page, found):
+        out += [page[at:begin], "\n", "#" * min(level, 3), " ", page[begin:end], "\n"]
+        at = end
     return "".join([*out, page[at:]])
 
 
