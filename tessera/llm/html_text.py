@@ -10,8 +10,10 @@ element has ended before them.
 
 The weights come from labelled pages: ``labelled_pages`` composes pages of many layouts with known content words (fixed
 seed), and ``learn`` fits the model on them in numpy.  Half of these pages have class names that hint at nothing, and
-on some the names mislead, so the weights rest on structure as well.  Pass other labelled pages to ``learn`` for other
-sites.
+on some the names mislead, so the weights rest on structure as well: what stands outside the article or main element of a
+page that has one, containers that hold links for the most part, and containers that stand beside others alike, each a few
+words and then more (readers' comments).  A class or id value hints at something only if all its words do or are plain
+words of layout (``share-bar``, not ``social-policy``).  Pass other labelled pages to ``learn`` for other sites.
 
 Text rules.  Scripts, styles, comments and other raw elements are never text.  Character references are decoded,
 white space in a block becomes one space, blocks are trimmed and joined in page order by one space.  Inline tags join
@@ -66,9 +68,13 @@ HINTS = {
     "edge": "header masthead footer copyright legal social share sharing login search toolbar skip",
     "content": "content article post entry story main text body paragraph",
 }
+#: Words that may stand beside those in a class or id value; a value with any other word hints at nothing.
+PLAIN = set("area bar block body bottom box btn button buttons card cell center col column container desktop el fixed global grid group head heading holder icon icons inner item items js label layout left link links list mobile module outer page panel primary region right row secondary section site slot small sticky title top unit view wp wrap wrapper zone".split())
 #: The most that rejected blocks between two pieces of content cost: less than one word of a plain paragraph.
 BRIDGE = 2.0
 FRAMES = {"in:article", "in:main"}
+#: Words that an article or main element must hold for the rest of the page to count as outside.
+LEAST_FRAMED = 12
 _HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
 ELEMENTS = ("a", "article", "aside", "blockquote", "button", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "head", "header", "label", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "select", "summary", "table", "ul", "dialog", "details", "option")
 #: Of a block: its share of linked words (none, some, most), its words (up to 3, 9, 24, more), and whether it ends like a sentence.
@@ -77,14 +83,22 @@ SHAPES = ("links:some", "links:most", "words:3", "words:9", "words:24", "stop")
 #: several of which none ends like a sentence.
 DENSITY = ("box:some", "box:most")
 LOOSE = "box:loose"
-FEATURES = {name: i for i, name in enumerate(["bias", *(f"in:{e}" for e in ELEMENTS), *(f"hint:{h}" for h in HINTS), *(f"own:{h}" for h in HINTS), "hidden", "header-of-article", *DENSITY, LOOSE, *SHAPES])}
+#: All within a container that holds links for the most part; all within one that stands beside others alike, each a few
+#: words and then more, as readers' comments do; and a place outside the article or main element of a page that has one.
+LINKED, ALIKE, OUTSIDE = "box:linked", "box:alike", "outside"
+#: The most words of a comment's first line.
+BYLINE = 5
+FEATURES = {name: i for i, name in enumerate(["bias", *(f"in:{e}" for e in ELEMENTS), *(f"hint:{h}" for h in HINTS), *(f"own:{h}" for h in HINTS), "hidden", "header-of-article", *DENSITY, LOOSE, LINKED, ALIKE, OUTSIDE, *SHAPES])}
 
 
 def _hints(name: str, attributes: str) -> set[str]:
     """What an element's class, id or role values hint at: ``hint`` for containers, ``own`` for single blocks."""
     found, kind = set(), "hint" if name in BOXES else "own"
     for value in _ATTRIBUTE.findall(attributes):
-        found |= {f"{kind}:{_HINT[p]}" for p in (x.lower() for x in _PART.findall(value)) if p in _HINT}
+        for one in value.strip("\"'").split():
+            parts = [x.lower() for x in _PART.findall(one)]
+            if all(x in _HINT or x in PLAIN or x.isdigit() for x in parts):  # "share-bar" tells, "social-policy" does not
+                found |= {f"{kind}:{_HINT[x]}" for x in parts if x in _HINT}
     if _HIDDEN.search(attributes):
         found.add("hidden")
     return found
@@ -124,11 +138,105 @@ class Ends:
         return self.pairs[name].get(at, at)
 
 
-def walk(page: str) -> Iterator[tuple[str, frozenset[str], str, int]]:
+class Open:
+    """The open elements.  Closing one closes all inside it; each question is answered from the last places of names."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str], int]] = []  # name, and context and container before it
+        self.places: dict[str, list[int]] = {}
+        self.sections: list[int] = []
+        self.blocks: list[int] = []  # places of elements that are neither inline nor paragraphs
+
+    def push(self, name: str, context: frozenset[str], box: int) -> None:
+        at = len(self.stack)
+        self.stack.append((name, context, box))
+        self.places.setdefault(name, []).append(at)
+        if name in SECTIONS:
+            self.sections.append(at)
+        if name not in INLINE and name != "p":
+            self.blocks.append(at)
+
+    def _close(self, at: int) -> tuple[frozenset[str], int]:
+        _, context, box = self.stack[at]
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+        for places in (self.sections, self.blocks):
+            while places and places[-1] >= at:
+                places.pop()
+        return context, box
+
+    def end(self, name: str) -> tuple[frozenset[str], int] | None:
+        """Close the last element of a name; not beyond the section around, unless it is one."""
+        places = self.places.get(name)
+        if not places or (name not in SECTIONS and self.sections and self.sections[-1] > places[-1]):
+            return None
+        return self._close(places[-1])
+
+    def shut(self, name: str) -> tuple[frozenset[str], int] | None:
+        """Close an element that the next start tag ends, if only inline elements and paragraphs are open in it."""
+        places = self.places.get(name)
+        if not places or (self.blocks and self.blocks[-1] > places[-1]):
+            return None
+        return self._close(places[-1])
+
+
+class Boxes:
+    """The containers of a page in order, with what all within each amounts to."""
+
+    PARTS = {"div", "section", "article"}
+
+    def __init__(self):
+        self.kinds: list[tuple[int, str]] = [(0, "")]  # the container around, and the start tag
+        self.headed: dict[int, str] = {}
+
+    def add(self, around: int, tag: str) -> int:
+        self.kinds.append((around, tag))
+        return len(self.kinds) - 1
+
+    def heading(self, box: int, name: str) -> None:
+        self.headed[box] = min(name, self.headed.get(box, name))
+
+    def told(self, blocks: list[tuple[int, int, int, bool]]) -> tuple[set[int], set[int]]:
+        """The containers of links and those alike, with all within them, from the page's ``blocks`` in order: container,
+        linked words, words, and whether it ends like a sentence."""
+        n = len(self.kinds)
+        links, words, count = [0] * n, [0] * n, [0] * n
+        first: list[tuple[int, int, bool] | None] = [None] * n  # the first block: its place, words and end
+        for i, (box, linked, size, stop) in enumerate(blocks):
+            links[box] += linked
+            words[box] += size
+            count[box] += 1
+            first[box] = first[box] or (i, size, stop)
+        headed = dict(self.headed)
+        for box in range(n - 1, 0, -1):  # containers stand behind those around them
+            around = self.kinds[box][0]
+            links[around] += links[box]
+            words[around] += words[box]
+            count[around] += count[box]
+            if first[box] and (first[around] is None or first[box] < first[around]):
+                first[around] = first[box]
+            if box in headed:
+                headed[around] = min(headed[box], headed.get(around, headed[box]))
+        name = [tag.split(" ", 1)[0] for _, tag in self.kinds]
+        bylined = [count[box] > 1 and first[box][1] <= BYLINE and not first[box][2] and box not in headed for box in range(n)]
+        groups: dict[tuple[int, str], list[int]] = {}
+        for box, kind in enumerate(self.kinds):
+            if box and name[box] in self.PARTS:
+                groups.setdefault(kind, []).append(box)
+        alike = {box for group in groups.values() if len(group) > 1 and all(bylined[x] for x in group) for box in group}
+        linked = {box for box in range(1, n) if name[box] in ("div", "section") and 2 * links[box] > words[box] and headed.get(box) != "h1"}
+        for box in range(1, n):
+            for told in (alike, linked):
+                if self.kinds[box][0] in told:
+                    told.add(box)
+        return linked, alike
+
+
+def walk(page: str, boxes: Boxes | None = None) -> Iterator[tuple[str, frozenset[str], str, int]]:
     """The page in order: (kind, context features, value, container); kinds are text, tag (inline) and break (block)."""
-    stack: list[tuple[str, frozenset[str], int]] = []
+    open_, boxes = Open(), boxes or Boxes()
     context: frozenset[str] = frozenset()
-    at, size, box, boxes = 0, len(page), 0, 0
+    at, size, box = 0, len(page), 0
     ends, pattern = Ends(page), _TAG
     while at < size:
         m = _OPENS.search(page, at)
@@ -154,13 +262,7 @@ def walk(page: str) -> Iterator[tuple[str, frozenset[str], str, int]]:
         at = tag.end()
         name, kind = tag[2].lower(), "tag" if tag[2].lower() in INLINE else "break"
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    context, box = stack[k][1:]
-                    del stack[k:]
-                    break
-                if stack[k][0] in SECTIONS and name not in SECTIONS:
-                    break
+            context, box = open_.end(name) or (context, box)
             yield kind, context, name, box
             continue
         yield kind, context, name, box
@@ -174,14 +276,7 @@ def walk(page: str) -> Iterator[tuple[str, frozenset[str], str, int]]:
                 at = ends.drawn(name, at)
             continue
         if name in CLOSES_P or name in ("li", "tr", "td", "th", "dt", "dd", "option"):
-            shut = "p" if name in CLOSES_P else name
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == shut:
-                    context, box = stack[k][1:]
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
+            context, box = open_.shut("p" if name in CLOSES_P else name) or (context, box)
         inside = _hints(name, tag[3]) if tag[3] else set()
         if f"in:{name}" in FEATURES:
             inside.add(f"in:{name}")
@@ -191,10 +286,11 @@ def walk(page: str) -> Iterator[tuple[str, frozenset[str], str, int]]:
             inside = set()
         if name == "article" and "hint:comment" not in inside | context:
             inside.discard("hint:ad")
-        stack.append((name, context, box))
+        if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            boxes.heading(box, name)
+        open_.push(name, context, box)
         if name in BOXES:
-            boxes += 1
-            box = boxes
+            box = boxes.add(box, f"{name} {tag[3].strip()}")
         if not inside <= context:
             context = context | inside
 
@@ -244,11 +340,14 @@ def pieces(page: str) -> list[Piece]:
         count = counts[block[0].box]
         count[2] += 1
         count[3] += "stop" in shape or bool(FRAMES & block[0].place)
+        last = next(x.value.rstrip() for x in reversed(block) if x.words)
+        blocks.append((block[0].box, sum(x.words for x in block if "in:a" in x.place), sum(x.words for x in block), bool(_STOP.search(last[-8:]))))
         for x in block:
             x.shape = shape
         block.clear()
 
-    for kind, context, value, box in walk(page):
+    boxes, blocks = Boxes(), []
+    for kind, context, value, box in walk(page, boxes):
         if kind == "break":
             close()
         if kind == "text":
@@ -262,11 +361,17 @@ def pieces(page: str) -> list[Piece]:
             block.append(x)
     close()
     told: dict[int, frozenset[str]] = {}
-    for box, (links, words, blocks, stops) in counts.items():
-        told[box] = frozenset({("", *DENSITY)[_share(links, words)], LOOSE if blocks > 1 and not stops else ""} - {""})
+    linked, alike = boxes.told(blocks)
+    for box, (links, words, own, stops) in counts.items():
+        told[box] = frozenset({("", *DENSITY)[_share(links, words)], LOOSE if own > 1 and not stops else "", LINKED if box in linked else "", ALIKE if box in alike else ""} - {""})
+    framed = sum(x.words for x in out if FRAMES & x.place and "hint:comment" not in x.place)
+    apart = framed >= LEAST_FRAMED and 3 * framed >= sum(x.words for x in out if not FRAMES & x.place)
     merged: dict[tuple[frozenset[str], frozenset[str]], frozenset[str]] = {}
     for x in out:
-        if more := told.get(x.box):
+        more = told.get(x.box, frozenset())
+        if apart and not FRAMES & x.place:
+            more = more | {OUTSIDE}
+        if more:
             key = (x.place, more)
             if key not in merged:
                 merged[key] = x.place | more
@@ -274,7 +379,7 @@ def pieces(page: str) -> list[Piece]:
     return out
 
 
-def labelled_pages(n: int = 360, seed: int = 7) -> Iterator[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 600, seed: int = 7) -> Iterator[tuple[str, list[bool]]]:
     """Composed pages: (html, for each of its words whether it is content), in many layouts."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ba", "ko", "ri", "tel", "um", "san", "de", "lo")) for _ in range(r.randint(1, 3)))
@@ -305,16 +410,27 @@ def labelled_pages(n: int = 360, seed: int = 7) -> Iterator[tuple[str, list[bool
         def link(k: int, text=text) -> str:
             return "<a href=x>" + text(k, False) + "</a>"
 
-        def junk(framed: bool = False, out=out, text=text, prose=prose, named=named, head=head, link=link, telling=telling) -> None:
+        frame = r.choice(("article", "main", f"div{named('content', 'post-body', 'story')}", f"div{named('main', 'entry')}", "div", "section"))
+        apart = frame in ("article", "main")  # what stands outside is none of it, whatever it looks like
+
+        def junk(framed: bool = False, apart=apart, out=out, text=text, prose=prose, named=named, head=head, link=link, telling=telling) -> None:
             kind = r.choice(("ad", "side", "comment", "notice", "form", "share", "aside", "related", "hidden", "shop", "menu"))
             if framed and not telling and kind in ("ad", "side", "notice", "share", "shop"):
                 kind = r.choice(("form", "aside", "hidden", "related", "menu"))  # within an article only structure tells
-            if kind == "form":
+            if apart and not framed and r.random() < 0.4:
+                some = [prose(r.randint(4, 40), False) for _ in range(r.randint(1, 4))]
+                each = r.choice(("<p>{}</p>", "<ul><li><p>{}</p></li></ul>", "<div class=u>{}</div>", "<div class=u><p>{}</p></div>", "<section><p>{}</p></section>"))
+                out.append("".join(each.format(x) for x in some))
+            elif kind == "form":
                 out.append("<form><label>" + text(2, False) + "</label><input><button>" + text(1, False) + "</button></form>")
             elif kind == "aside":
                 out.append("<aside>" + head(2, False) + "<p>" + prose(r.randint(4, 30), False) + "</p></aside>")
             elif kind == "hidden":
                 out.append('<div style="display:none"><p>' + prose(r.randint(4, 20), False) + "</p></div>")
+            elif kind == "comment" and not telling:
+                each = r.choice(("div", "div", "section"))
+                one = lambda: f"<{each} class=u><b>" + text(r.randint(1, 2), False) + "</b><p>" + prose(r.randint(5, 30), False) + f"</p></{each}>"
+                out.append("<div class=c>" + (head(1, False) if r.random() < 0.5 else "") + "".join(one() for _ in range(r.randint(2, 4))) + "</div>")
             elif kind == "comment":
                 out.append('<section class="comments">' + head(1, False) + "".join('<article class="comment"><p>' + prose(r.randint(5, 30), False) + "</p></article>" for _ in range(r.randint(1, 3))) + "</section>")
             elif kind == "related":
@@ -334,13 +450,16 @@ def labelled_pages(n: int = 360, seed: int = 7) -> Iterator[tuple[str, list[bool
         out.append(f"<nav><ul>{items}</ul></nav>" if r.random() < 0.6 else f"<div{named('menu', 'navbar')}><ul>{items}</ul></div>")
         for _ in range(r.randint(0, 2)):
             junk()
-        frame = r.choice(("article", "main", f"div{named('content', 'post-body', 'story')}", f"div{named('main', 'entry')}", "div", "section"))
-        out.append(f"<{frame}><h1>" + text(r.randint(3, 9), True) + "</h1>")
+        wrapped = r.choice((0, 0, 1, 2))
+        out.append(f"<{frame}>" + "<div class=w>" * wrapped + "<h1>" + text(r.randint(3, 9), True) + "</h1>")
         if frame == "article" and r.random() < 0.3:
             out.append("<header><p>" + text(4, True) + "</p></header>")
+        plain = r.choice(("p", "p", "p", "div"))  # what paragraphs are made of
         for _ in range(r.randint(3, 9)):
             pick = r.random()
-            if pick < 0.66:
+            if pick < 0.66 and plain == "div":
+                out.append("<div class=g>" + prose(r.choice((r.randint(2, 12), r.randint(8, 60))), True) + "</div>")
+            elif pick < 0.66:
                 out.append(f"<p{odd()}>" + prose(r.choice((r.randint(2, 12), r.randint(8, 60), r.randint(20, 60))), True) + r.choice(("</p>", "")))
             elif pick < 0.72:
                 out.append("<p>" + text(r.randint(8, 30), True) + " <a href=x>" + text(r.randint(1, 5), True) + "</a> " + prose(r.randint(4, 20), True) + "</p>")
@@ -348,14 +467,20 @@ def labelled_pages(n: int = 360, seed: int = 7) -> Iterator[tuple[str, list[bool
                 out.append("<ul>" + "".join("<li>" + prose(r.randint(3, 12), True) + "</li>" for _ in range(3)) + "</ul>")
             elif pick < 0.86:
                 out.append(head(r.randint(2, 6), True, odd()) + "<p>" + prose(r.randint(5, 40), True) + "</p>")
-            elif pick < 0.92:
+            elif pick < 0.89:
+                if r.random() < 0.5:
+                    out.append("<ul>" + "".join("<li><a href=x>" + text(r.randint(2, 9), True) + "</a></li>" for _ in range(r.randint(3, 10))) + "</ul>")
+                else:
+                    part = r.choice(("section", "div"))
+                    out.append("".join(f"<{part}{odd()}>" + head(r.randint(1, 4), True) + "<p>" + prose(r.randint(5, 40), True) + f"</p></{part}>" for _ in range(r.randint(1, 3))))
+            elif pick < 0.93:
                 out.append("<blockquote><p>" + prose(r.randint(5, 25), True) + "</p></blockquote><table><tr><td>" + text(2, True) + "</td></tr></table>")
             else:
                 junk(frame in ("article", "main"))
-        out.append("<p>" + prose(r.randint(12, 40), True) + f"</p></{frame.split()[0]}>")
+        out.append("<p>" + prose(r.randint(12, 40), True) + "</p>" + "</div>" * wrapped + f"</{frame.split()[0]}>")
         for _ in range(r.randint(0, 2)):
             junk()
-        foot = "<p>" + text(r.randint(3, 12), False) + "</p>" + " ".join(link(1) for _ in range(r.randint(0, 3)))
+        foot = ("<p>" + text(r.randint(3, 12), False) + "</p>" if r.random() < 0.7 else text(r.randint(1, 4), False)) + " ".join(link(1) for _ in range(r.randint(0, 3)))
         out.append((f"<footer>{foot}</footer>" if r.random() < 0.7 else f"<div{named('footer', 'legal')}>{foot}</div>") + "</body></html>")
         yield "".join(out), labels
 
@@ -409,7 +534,7 @@ def learn(pages: Iterator[tuple[str, list[bool]]], steps: int = 400) -> Model:
         if np.abs(step).max() < 1e-6:
             break
     cost = {k: -max(0.05, min(1.0, float(np.log(out / inside) if out > inside else 0.05))) for k, (out, inside) in tags.items()}
-    return Model(w, cost["tag"] * 0.2, cost["break"] * 0.5)
+    return Model(w, cost["tag"] * 0.1, cost["break"] * 0.25)
 
 
 _model: list[Model] = []

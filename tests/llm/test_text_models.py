@@ -315,3 +315,40 @@ def test_mix(spark):
     assert all(abs(taken[s] - target[s]) < 1.0000001 for s in target)
     assert sorted(map(str, got)) == sorted(map(str, M.mix_sources(df.repartition(3)).collect()))
     assert M.mix_sources(df.limit(0)).count() == 0
+
+
+def test_structure_tells_where_names_mislead_or_say_nothing():
+    sentence = "Words of the story go on and on here."
+    para, nav, foot = f"<p>{(sentence + ' ') * 5}</p>", "<nav><ul><li><a href=x>Home</a></li></ul></nav>", "<footer><p>Copyright us</p></footer>"
+    story = " ".join([sentence] * 5)
+    links = [f"Item number {i} of the list" for i in range(10)]
+    listed = "<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in links) + "</ul>"
+    page = lambda x: H.extract(f"<html><body>{nav}{x}{foot}</body></html>")
+    # Articles made of links.
+    assert page(f"<article><h1>Ten best things</h1>{listed}</article>") == " ".join(["Ten best things", *links])
+    assert page(f"<main><div class=k3><h1>Head</h1>{para}{listed}<p>The very end.</p></div></main>") == " ".join(["Head", story, *links, "The very end."])
+    # Names of which only a part hints at junk.
+    assert page(f"<main><h1>Head</h1>{para}<section class='social-policy'><h2>Policy</h2><p>Social policy is a matter of state.</p></section></main>") == f"Head {story} Policy Social policy is a matter of state."
+    assert page(f"<article><h1>Head</h1>{para}<div class='reply-example'><p>An example of a reply to it.</p></div></article>") == f"Head {story} An example of a reply to it."
+    assert page(f"<article><h1>Head</h1>{para}<div class='share-bar'><p>Share this with all your friends.</p></div></article>") == f"Head {story}"
+    # Readers' comments without telling names, behind the article, in it, and on a page without one.
+    comments = "<div class=c9>" + "".join(f"<div class=k><b>Ann{i}</b><p>I liked this one a lot, thank you for it.</p></div>" for i in range(4)) + "</div>"
+    for x in (f"<article><h1>Head</h1>{para}</article>{comments}", f"<article><h1>Head</h1>{para}{comments}</article>", f"<div class=z><h1>Head</h1>{para}</div>{comments}", f"<article><h1>Head</h1>{para}</article><h3>2 Replies</h3><ul><li><p>I liked this a lot, thank you.</p></li><li><p>Me too, as I said before.</p></li></ul>"):
+        assert page(x) == f"Head {story}", x
+    # Containers that stand for paragraphs, and wrappers, are no comments.
+    assert page("<article><h1>Head</h1><div class=p>Para one of it goes on.</div><div class=p>Para two of it goes on.</div><div class=p>The very end.</div></article>") == "Head Para one of it goes on. Para two of it goes on. The very end."
+    assert page(f"<main><div class=k><div class=l><h1>Head</h1>{para}<div><p>Short</p></div><div><p>Other short</p></div><p>End.</p></div></div></main>") == f"Head {story} Short Other short End."
+
+
+def test_unmatched_and_open_tags_take_linear_time():
+    import time
+
+    H.default_model()
+    took = []
+    for n in (2000, 16000):
+        pages = ["<article>" + "<div>" * n + "<b>" * n + "</i>" * n + "<div></div>" * n + "word " * 20, "<p>" + "<b>" * n + "<p>" * n + "</section>" * n, "<section>" + "<b>" * n + "<section>" + "</b>" * n]
+        begun = time.process_time()
+        for page in pages:
+            H.extract(page)
+        took.append(time.process_time() - begun)
+    assert took[1] < 8 * 4 * max(took[0], 0.05)
