@@ -183,6 +183,41 @@ def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packed(spark, sf_dir, "tokens", False)
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM documents),
+r AS (SELECT doc_id, list_reduce(list_prepend({{'o': []::VARCHAR[], 'l': '', 'u': 0::BIGINT, 'w': '', 'n': 0::BIGINT}}, list_transform(ws, lambda w: {{'o': []::VARCHAR[], 'l': '', 'u': 0::BIGINT, 'w': w, 'n': octet_length(encode(w))}})),
+        lambda a, x: CASE WHEN a.l <> '' AND a.u + x.n + 1 > 400
+          THEN {{'o': list_append(a.o, trim(a.l)), 'l': right(trim(a.l), 60) || x.w || ' ', 'u': octet_length(encode(right(trim(a.l), 60))) + x.n + 1, 'w': '', 'n': 0::BIGINT}}
+          ELSE {{'o': a.o, 'l': a.l || x.w || ' ', 'u': a.u + x.n + 1, 'w': '', 'n': 0::BIGINT}} END) AS s FROM d WHERE len(ws) > 0),
+c AS (SELECT doc_id, list_append(s.o, trim(s.l)) AS parts FROM r),
+x AS (SELECT doc_id, i, {_started("parts[i]")} AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM c))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, text FROM x WHERE length(text) > 0""")
+def packed_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under a byte budget, each chunk after the last characters of the one before."""
+    return _packed(spark, sf_dir, "chars", False)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda p: p <> '') AS ps FROM documents),
+w AS (SELECT doc_id, list_transform(ps, lambda p: {{'p': p, 'w': {_WORDS.format('p')}}}) AS ps FROM d WHERE len(ps) > 0),
+m AS (SELECT doc_id, list_transform(ps, lambda x: CASE WHEN len(x.w) > 64
+        THEN {{'o': list_transform(range(0, greatest(1, len(x.w) - 9), 55), lambda i: array_to_string(x.w[i + 1 : i + 64], '')), 'h': NULL::VARCHAR, 'u': 0::BIGINT}}
+        ELSE {{'o': []::VARCHAR[], 'h': x.p, 'u': len(x.w)}} END) AS ps FROM w),
+r AS (SELECT doc_id, list_reduce(list_prepend({{'o': []::VARCHAR[], 'h': NULL::VARCHAR, 'u': 0::BIGINT}}, ps),
+        lambda a, x: CASE WHEN x.h IS NULL THEN {{'o': list_concat(list_concat(a.o, CASE WHEN a.h IS NULL THEN []::VARCHAR[] ELSE [a.h] END), x.o), 'h': NULL::VARCHAR, 'u': 0::BIGINT}}
+          WHEN a.h IS NULL THEN {{'o': a.o, 'h': x.h, 'u': x.u}}
+          WHEN a.u + 1 + x.u <= 64 THEN {{'o': a.o, 'h': a.h || chr(10) || chr(10) || x.h, 'u': a.u + 1 + x.u}}
+          ELSE {{'o': list_append(a.o, a.h), 'h': x.h, 'u': x.u}} END) AS s FROM m),
+c AS (SELECT doc_id, list_concat(s.o, CASE WHEN s.h IS NULL THEN []::VARCHAR[] ELSE [s.h] END) AS parts FROM r),
+x AS (SELECT doc_id, i, {_started("parts[i]")} AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM c))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, text FROM x WHERE length(text) > 0""")
+def packed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line as a paragraph, packed under a budget of words; long ones in windows."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    made = CH.chunked(rows.withColumn("strategy", F.lit("paragraphs")), 64, OVERLAP, tokenizer="words", keep=("doc_id",))
+    return made.select("doc_id", "chunk_index", "text")
+
+
 def _packed_pages(room: int, step: int, label: str) -> str:
     """The SQL twin of page chunkers: documents of one page are cut into plain windows."""
     return f"""
