@@ -118,6 +118,31 @@ def route_class(path: Column | str) -> Column:
     return F.when(first == "", "root").otherwise(first)
 
 
+def refilled_parts(requests: DataFrame, rate: float, burst: float, *key: str, at: str, order: str, slot_s: float = 60.0) -> DataFrame:
+    """Adds ``bucket_part``: numbers of the parts of a key's history between gaps that refill the bucket.
+
+    Gaps are found in slots of time, so that a busy key is not sorted in one task: inside a slot by its own rows, before
+    its first row by the last one of the slots before, of which there is one row a slot.
+    """
+    slots = F.floor(F.col(at) / slot_s)
+    rows = requests.withColumn("bucket_slot", slots)
+    ends = rows.groupBy(*key, "bucket_slot").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    by = Window.partitionBy(*key).orderBy("bucket_slot")
+    ends = ends.withColumn("before_at", F.lag("last_at").over(by))
+    w = Window.partitionBy(*key, "bucket_slot").orderBy(at, order)
+    inner = F.col(at) - F.lag(at).over(w)
+    rows = rows.withColumn("begins", F.coalesce((inner * rate >= burst).cast("int"), F.lit(0))).withColumn("bucket_part", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = rows.groupBy(*key, "bucket_slot").agg(F.sum("begins").alias("inner"))
+    slot = [*key, "bucket_slot"]
+    told = ends.alias("a").join(counts.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in slot]).select(*(F.col(f"a.{c}").alias(f"of_{c}") for c in slot), "first_at", "before_at", "inner")
+    fresh = (F.col("before_at").isNull() | ((F.col("first_at") - F.col("before_at")) * rate >= burst)).cast("int")
+    over = Window.partitionBy(*(f"of_{c}" for c in key)).orderBy("of_bucket_slot")
+    begun = F.sum(fresh).over(over.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("inner").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = told.select(*(f"of_{c}" for c in slot), begun.alias("begun"))
+    met = rows.join(told, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in slot])
+    return met.withColumn("bucket_part", F.col("bucket_part") + F.col("begun")).select(*requests.columns, "bucket_part")
+
+
 def token_bucket(requests: DataFrame, rate: float, burst: float, *key: str, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Replay of a token bucket for each key: adds ``allowed``.
 
@@ -125,11 +150,8 @@ def token_bucket(requests: DataFrame, rate: float, burst: float, *key: str, ts:
     long enough to refill the bucket: each part starts full and is folded on its own, wherever it is.  Parts are sorted
     in their partitions and streamed past one state, so a long part is never held.
     """
-    w = Window.partitionBy(*key).orderBy(ts, order)
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double") / 1e6
-    gap = t - F.lag(t).over(w)
-    island = F.sum(F.when(gap.isNull() | (gap * rate >= burst), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = requests.withColumn("bucket_at", t).withColumn("bucket_part", island)
+    rows = refilled_parts(requests.withColumn("bucket_at", t), rate, burst, *key, at="bucket_at", order=order)
     dealt = rows.repartition(*key, "bucket_part").sortWithinPartitions(*key, "bucket_part", "bucket_at", order)
     names, schema = requests.columns, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema), "allowed boolean"])
 

@@ -123,6 +123,28 @@ def test_token_bucket(spark):
     assert [got[i] for i in range(7)] == [True] * 5 + [False] * 2 and got[100] and got[200]
 
 
+def test_token_bucket_parts_over_slots_of_time(spark):
+    """Parts of random histories, cut by slots of any length, against a walk over each key."""
+    r = __import__("random").Random(8)
+    rows, i = [], 0
+    for key in ("a", "b", None):
+        t = 0.0
+        for _ in range(120):
+            t += r.choice([0.0, 0.125, 0.25, 0.5, 2.0, 9.0])
+            rows.append((i, key, t))
+            i += 1
+    want, last = {}, {}
+    for n, key, t in rows:
+        before, part = last.get(key, (None, 0))
+        part += before is None or (t - before) * 4.0 >= 2.0
+        last[key] = t, part
+        want[n] = part
+    log = spark.createDataFrame(rows, "event_id long, key string, at double").repartition(3)
+    for slot_s in (0.3, 1.0, 1000.0):
+        got = access.refilled_parts(log, 4.0, 2.0, "key", at="at", order="event_id", slot_s=slot_s).collect()
+        assert {x.event_id: x.bucket_part for x in got} == want and len(got) == len(rows)
+
+
 def test_keys(spark):
     token, prefix, stored = access.generate_key()
     assert access.verify_secret(token.split("_")[2], stored) and not access.verify_secret("x", stored)
