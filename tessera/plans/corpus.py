@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking as CH
 from ..operators import index as I
+from ..session import spread
 from .registry import corpus, query, table
 
 SIZE, OVERLAP = 128, 0.15
@@ -24,7 +25,7 @@ chunks AS (SELECT doc_id, source, lang, CAST(i AS INTEGER) AS chunk_index, array
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus(spark, sf_dir)
+    rows = spread(corpus(spark, sf_dir))
     return CH.token_chunks(rows, SIZE, OVERLAP, "doc_id", "tenant", "collection", "document_id", "lang")
 
 
@@ -125,7 +126,7 @@ def tenant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term""")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = I.postings(table(spark, sf_dir, "documents"), "doc_id")
+    rows = I.postings(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
@@ -157,7 +158,7 @@ def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every strategy over every document, in Arrow batches."""
     names = F.array(*(F.lit(s) for s in CH.P.STRATEGIES))
-    rows = corpus(spark, sf_dir).withColumn("strategy", F.explode(names))
+    rows = spread(corpus(spark, sf_dir)).withColumn("strategy", F.explode(names))
     return CH.chunked(rows, 64, OVERLAP, tokenizer="words", keep=("doc_id", "strategy"))
 
 
@@ -170,7 +171,7 @@ _WORDS = r"regexp_extract_all({}, '\s*\S+|\s+$')"
 
 def _packed(spark: SparkSession, sf_dir: str, strategy: str, pages: bool) -> DataFrame:
     """The chunks that ingest makes by one strategy, budgets counted in words."""
-    rows = _paged(spark, sf_dir) if pages else table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spread(_paged(spark, sf_dir) if pages else table(spark, sf_dir, "documents").select("doc_id", "text"))
     made = CH.chunked(rows.withColumn("strategy", F.lit(strategy)), 64, OVERLAP, tokenizer="words", keep=("doc_id",))
     return made.select("doc_id", "chunk_index", "text")
 
@@ -213,7 +214,7 @@ x AS (SELECT doc_id, i, {_started("parts[i]")} AS text FROM (SELECT doc_id, part
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, text FROM x WHERE length(text) > 0""")
 def packed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line as a paragraph, packed under a budget of words; long ones in windows."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")))
     made = CH.chunked(rows.withColumn("strategy", F.lit("paragraphs")), 64, OVERLAP, tokenizer="words", keep=("doc_id",))
     return made.select("doc_id", "chunk_index", "text")
 

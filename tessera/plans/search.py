@@ -13,7 +13,7 @@ from ..operators import agents, cells, chat, evals, routing
 from ..operators import context as C
 from ..operators import fusion as FU
 from ..operators import retrieval as R
-from ..session import checkpointed, remove, shared_dir
+from ..session import checkpointed, remove, shared_dir, spread
 from ..sources import specs
 from ..streaming import events
 from .corpus import CHUNKS, chunks
@@ -46,7 +46,7 @@ def _chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "text"))
 
 
 @query(f"""

@@ -73,6 +73,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table that is read in fewer splits than there are cores, dealt out to all of them before heavy work on its rows;
+    a larger one stays as it lies.  ``scan`` reads files and shuffles nothing."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
     """Run jobs side by side; an error of one is raised when all have ended."""
     inherit = inheritable_thread_target(spark)
