@@ -39,7 +39,7 @@ UND = "und"
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 RANGE_WINDOWS = 1 << 20
 SAMPLE = 256
 MOST_SAMPLES = 1 << 20
@@ -68,7 +68,7 @@ def cut_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     data = raw[solid]
     at = np.concatenate(([0], np.cumsum(ends - starts)))
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
-    broken = np.cumsum(broken.astype(np.int32) + first[:-1])  # a text's end breaks as a mark does
+    broken = np.cumsum(broken | first[:-1], dtype=np.int32)  # a text's end breaks as a mark does
     piece = broken[starts]
     return words, np.concatenate(([True], piece[1:] != piece[:-1]))[: len(starts)]
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import spread
+
 from . import bit_topk, html_text, language_id, line_runs, mixing, ngram_join, phrases, piece_codec, polytope, ppm, token_align, token_store, warc
 from .common import table
 
@@ -15,8 +17,13 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, on all cores also where they are read in few splits."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +31,7 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return piece_codec.encode_documents(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,15 +47,15 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(table(spark, sf_dir, "documents"))
+    return language_id.identify(documents(spark, sf_dir))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+    return html_text.extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"))
+    return ppm.score(documents(spark, sf_dir))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,15 +63,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_align.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return token_align.align(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phrases.collocations(table(spark, sf_dir, "documents"))
+    return phrases.collocations(documents(spark, sf_dir))
 
 
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.line_digests(table(spark, sf_dir, "documents"))
+    return line_runs.line_digests(documents(spark, sf_dir))
 
 
 OPERATORS = (op1_ngram_jaccard_join, op2_token_output, op3_sentencepiece, op4_warc, op5_nearest_neighbours, op6_exact_topk, op7_language_id, op8_html_extraction, op9_lm_scoring, op10_source_mixing, op11_token_alignment, op12_phrase_collocations, op13_line_dedup)
