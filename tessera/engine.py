@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .functions import vectors as V
-from .operators import cells, chat, embedding, fusion, hashed, ingest, retrieval, stored, stores
+from .operators import agents, cells, chat, embedding, fusion, hashed, ingest, retrieval, routing, stored, stores
 from .operators import index as I
 from .operators.snapshots import Change, Conflict, Snapshot, SnapshotLog
 from .session import checkpointed, ensure_importable, folder_sizes, together
 from .sources import files
 from .sources.config import Settings
 from .sources.extract import Extractors
+from .sources.specs import Spec
 from .streaming import events
 
 T = TypeVar("T")
@@ -29,6 +30,7 @@ TABLES = {
     "postings": "tenant string, document_id string, collection string, chunk_id string, term string, tf int, length int, places array<int>",
     "conversations": "tenant string, id string, collection string, created_at timestamp",
     "messages": "tenant string, conversation_id string, part int, role string, content string, created_at timestamp",
+    "runs": "tenant string, run_id string, agent_id string, collection string, query string, status string, steps array<string>, final_answer string, inserted_at timestamp",
     "terms": "tenant string, collection string, term string, df long",
     "stats": "tenant string, collection string, docs long, tokens long, chunks long",
 }
@@ -36,6 +38,7 @@ TABLES = {
 SPACES = {
     "documents": {"documents": ("tenant", "id", "id"), "points": ("payload.tenant", "payload.document_id", "chunk_id"), "postings": ("tenant", "document_id", "term")},
     "talks": {"conversations": ("tenant", "id", "id"), "messages": ("tenant", "conversation_id", "created_at")},
+    "runs": {"runs": ("tenant", "run_id", "run_id")},
 }
 SPACE_OF = {table: space for space, tables in SPACES.items() for table in tables}
 #: Tables that are sums of parts: the columns that tell rows apart.
@@ -321,6 +324,69 @@ class Engine:
         legs = self.search_dense(queries, tenant, collection, k.get("dense_k"), at, k.get("probes")), self.search_sparse(queries, tenant, collection, k.get("sparse_k"), at)
         return self._texts(tenant, collection, at).join(retrieval.small(fusion.hybrid(*legs, k=k.get("rrf_k", self.settings.rrf_k))), "chunk_id")
 
+    def retrieve(self, queries: DataFrame, tenant: str, collection: str, profile: str = "simple_hybrid", before: int = 1, after: int = 1, **k: int) -> DataFrame:
+        """The chunks of a retrieval profile for each query, in order: query_id, chunk_id, document_id, chunk_index, text,
+        title, fused_score (falling with the place) and rank.
+
+        ``lexical_first`` puts full-text hits before hybrid ones, ``broad_then_expand`` the chunks around each hybrid hit
+        behind them; of repeated chunks the first stays.
+        """
+        if profile not in retrieval.PROFILES:
+            raise ValueError(f"unknown retrieval profile {profile!r}")
+        columns = ("query_id", "chunk_id", "document_id", "chunk_index", "text", "title")
+        hybrid = checkpointed(self.search_hybrid(queries, tenant, collection, **k))
+        stages = {"hybrid": hybrid.select(*columns, "rank")}
+        if "fts" in retrieval.PROFILES[profile]:
+            stages["fts"] = self.search_text(queries, tenant, collection).select(*columns, "rank")
+        if "neighbours" in retrieval.PROFILES[profile]:
+            chunks = self._texts(tenant, collection, self.snapshot()).withColumn("tenant", F.lit(tenant))
+            anchors = hybrid.withColumn("tenant", F.lit(tenant))
+            near = retrieval.neighbours(anchors, chunks.select("tenant", "document_id", "chunk_index", "text", "title"), before, after)
+            places = hybrid.select("query_id", "document_id", F.col("chunk_index").alias("anchor"), F.col("rank").alias("of"))
+            near = near.join(retrieval.small(places), ["query_id", "document_id", "anchor"]).withColumn("rank", F.col("of") * (before + after + 1) + F.col("chunk_index") - F.col("anchor"))
+            stages["neighbours"] = near.withColumn("title", F.lit(None).cast("string")).select(*columns, "rank")
+        found = retrieval.run_profile(profile, stages)
+        return found.select(*columns, (F.lit(1.0) / (self.settings.rrf_k + F.col("position"))).alias("fused_score"), F.col("position").alias("rank"))
+
+    def run_agents(self, spec: Spec, requests: DataFrame, tenant: str, collection: str) -> DataFrame:
+        """Run an agent graph for ``requests(run_id, query)``, each with the retrieval profile that its route asks for; the
+        runs are kept."""
+        asked = requests.select(F.col("run_id").cast("string").alias("run_id"), F.col("run_id").cast("string").alias("query_id"), "query")
+        return self._executed(spec, asked, tenant, collection)
+
+    def decide(self, spec: Spec, decisions: DataFrame, tenant: str, collection: str) -> DataFrame:
+        """Go on with the tenant's waiting runs that ``decisions(run_id, decision, reason)`` names."""
+        waiting = self.table("runs").where((F.col("tenant") == tenant) & (F.col("collection") == collection) & (F.col("agent_id") == spec.agent_id))
+        ready = agents.decided(waiting, decisions.withColumn("tenant", F.lit(tenant)))
+        return self._executed(spec, ready.select("run_id", F.col("run_id").alias("query_id"), "query", "decision", "reason"), tenant, collection)
+
+    def _executed(self, spec: Spec, asked: DataFrame, tenant: str, collection: str) -> DataFrame:
+        asked = checkpointed(asked)
+        routed = checkpointed(routing.route(asked.select("query_id", "query")).select("query_id", "query", "retrieval_profile"))
+        hits = None
+        for profile in sorted(r.retrieval_profile for r in routed.select("retrieval_profile").distinct().collect()):  # three at most
+            found = self.retrieve(routed.where(F.col("retrieval_profile") == profile).select("query_id", "query"), tenant, collection, profile)
+            hits = found if hits is None else hits.unionByName(found)
+        if hits is None:
+            return self.spark.createDataFrame([], TABLES["runs"])
+        done = agents.execute(spec, asked, agents.retrieval_tasks(checkpointed(hits), self.model))
+        answer = F.col("final_answer") if "final_answer" in done.columns else F.lit(None).cast("string")
+        named = done.select(F.lit(tenant).alias("tenant"), "run_id", F.lit(spec.agent_id).alias("agent_id"), F.lit(collection).alias("collection"), "query", "status", "steps", answer.alias("final_answer"), F.current_timestamp().alias("inserted_at"))
+        new = checkpointed(named)
+
+        def attempt(at: Snapshot) -> None:
+            come = self._buckets_of("runs", new.select("tenant", F.col("run_id").alias("key"), F.lit(512).alias("bytes")), at)
+            if come:
+                kept = self.table("runs", come, at).join(new.select("tenant", "run_id"), ["tenant", "run_id"], "left_anti")
+                self.log.commit(at, self._rewrite("runs", at, come, {"runs": kept.unionByName(new)}))
+
+        self._retried(attempt)
+        return new
+
+    def runs(self, tenant: str, agent: str | None = None) -> DataFrame:
+        """A tenant's runs (of one agent, if given); other tenants' runs are as good as unknown."""
+        return agents.runs_of(self.table("runs"), tenant, agent)
+
     def answer(self, queries: DataFrame, tenant: str, collection: str) -> DataFrame:
         """Answers with citations: hybrid search, context, prompt, model."""
         return chat.single_shot(queries, self.search_hybrid(queries, tenant, collection), self.model, max_tokens=self.settings.context_tokens, max_chunks=self.settings.context_chunks)
