@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..engine import Engine
-from ..operators import agents, cells, chat, evals, routing
+from ..operators import agents, cells, chat, evals, pruned, routing
 from ..operators import context as C
 from ..operators import fusion as FU
 from ..operators import retrieval as R
@@ -58,6 +58,19 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "key", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""
+WITH {_Q}, units AS (SELECT CAST(doc_id AS VARCHAR) AS key, text FROM documents), {BM25}
+SELECT query_id, key, round(score, 6) AS score, rank FROM sparse WHERE rank <= 10""")
+def pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 top 10 of every benchmark query over the documents, by posting blocks built here: terms and blocks that cannot
+    reach a query's threshold are not read."""
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    index = pruned.read(spark, pruned.write(_document_units(spark, sf_dir), path))
+    found = checkpointed(pruned.topk(benchmark_queries(spark, sf_dir), index, 10))
+    remove(spark, path)
+    return found.select("query_id", "key", F.round("score", 6).alias("score"), "rank")
+
+
 _DENSE = """
 qv AS (SELECT b.item_id AS query_id, e.embedding AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
 ds AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS key, round(list_sum(list_transform(list_zip(q, embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))
