@@ -43,23 +43,29 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
 SLICE_BYTES = 4 << 20
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x)
+
+
+def _split(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The terms of lower-cased ``text``, and the row of each."""
+    split = pc.split_pattern_regex(pc.fill_null(rows.column("text"), ""), pattern=r"[^\p{L}\p{N}]+")
+    terms, owner = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+    some = pc.not_equal(terms, "")
+    return terms.filter(some), owner[some.to_numpy(zero_copy_only=False)]
+
+
 def _runs(keep: tuple[str, ...]):
     """Rows (keep..., term, tf, length, places) of batches with lower-cased ``text``: all texts of a slice are split,
     coded and sorted at once."""
 
-    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        part = (np.cumsum(size) - size) // SLICE_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        yield from (batch.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch):
-                split = pc.split_pattern_regex(pc.fill_null(rows.column("text"), ""), pattern=r"[^\p{L}\p{N}]+")
-                terms, owner = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
-                some = pc.not_equal(terms, "")
-                terms, owner = terms.filter(some), owner[some.to_numpy(zero_copy_only=False)]
+            for rows in _slices(batch):
+                terms, owner = _split(rows)
                 if not len(owner):
                     continue
                 length = np.bincount(owner, minlength=rows.num_rows)
@@ -77,6 +83,27 @@ def _runs(keep: tuple[str, ...]):
     return run
 
 
+def term_counts_of(units: DataFrame, key: str, terms: pa.Array, text: str = "text") -> DataFrame:
+    """(key, length, codes, tfs): a row a unit, with the places in ``terms`` of those it holds and how often; ``length``
+    counts all its terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _slices(batch):
+                found, owner = _split(rows)
+                length = np.bincount(owner, minlength=rows.num_rows)
+                code = pc.index_in(found, value_set=terms)
+                known = code.is_valid().to_numpy(zero_copy_only=False)
+                code = code.drop_null().to_numpy().astype(np.int64)
+                at, tf = np.unique(owner[known] * max(1, len(terms)) + code, return_counts=True)
+                ends = np.searchsorted(at, np.arange(rows.num_rows + 1) * max(1, len(terms))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (at % max(1, len(terms)), tf)]
+                yield pa.record_batch([rows.column(key), pa.array(length.astype(np.int32)), *lists], names=[key, "length", "codes", "tfs"])
+
+    kind = units.schema[key].dataType.simpleString()
+    return units.select(key, F.lower(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, length int, codes array<int>, tfs array<int>")
+
+
 def places(units: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """(keep..., term, tf, length, places) of ``units``: where each term stands in a unit, counted from 0.
 
