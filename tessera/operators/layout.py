@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ EPSILON = 1e-6
 
 
 def letters(x: Column | str) -> Column:
-    return F.regexp_count(col(x), F.lit(r"\p{IsAlphabetic}"))
+    return F.length(F.regexp_replace(col(x), r"\P{IsAlphabetic}+", ""))
 
 
 def is_bold(weight: Column | str) -> Column:
@@ -27,7 +29,7 @@ def is_bold(weight: Column | str) -> Column:
 def usable_spans(spans: DataFrame) -> DataFrame:
     """Spans with text and a font size."""
     size = F.col("font_size").cast("double")
-    return spans.where((F.length(F.regexp_replace("text", r"(?U)\s", "")) > 0) & (size > 0) & ~F.isnan(size) & (size < float("inf")))
+    return spans.where(F.col("text").rlike(r"(?U)\S") & (size > 0) & ~F.isnan(size) & (size < float("inf")))
 
 
 def body_sizes(spans: DataFrame) -> DataFrame:
@@ -56,34 +58,74 @@ def classified(lines: DataFrame) -> DataFrame:
     return lines.withColumn("level", F.when(is_candidate("text"), level))
 
 
-def _lines(spans: pd.DataFrame) -> pd.DataFrame:
-    """One page's spans as lines: by height within half the smaller font, then left to right."""
-    rows = spans.sort_values(["y_position", "x_position"], ascending=[False, True], kind="stable").to_dict("records")
-    groups: list[list[dict]] = []
-    for s in rows:
-        near = next((g for g in groups if abs(s["y_position"] - g[0]["y_position"]) < 0.5 * min(s["font_size"], g[0]["font_size"])), None)
+_SPAN = ("text", "font_size", "is_bold", "x_position", "x_end", "y_position")
+
+
+def _page_lines(spans: list[tuple]) -> Iterator[tuple[str, float, bool]]:
+    """One page's spans (text, font_size, is_bold, x_position, x_end, y_position), in order from the top and the left, as
+    lines: by height within half the smaller font, then left to right."""
+    groups: list[list[tuple]] = []
+    low, top = 0, 0.0  # groups before ``low`` are too high for all spans to come
+    for s in spans:
+        size, y = s[1], s[5]
+        while low < len(groups) and groups[low][0][5] - y >= 0.5 * groups[low][0][1]:
+            low += 1
+        near = next((groups[i] for i in range(low, len(groups)) if abs(y - groups[i][0][5]) < 0.5 * min(size, groups[i][0][1])), None)
         if near is None:
             groups.append([s])
         else:
             near.append(s)
-    out = []
-    for k, g in enumerate(groups):
-        g.sort(key=lambda s: s["x_position"])
-        text = g[0]["text"]
+    for g in groups:
+        g.sort(key=lambda s: s[3])
+        text = [g[0][0]]
         for before, s in zip(g[:-1], g[1:], strict=True):
-            apart = s["x_position"] > before["x_end"] and not before["text"].endswith("-")
-            text += (" " if apart and text else "") + s["text"]
-        chars = sum(len(s["text"]) for s in g)
-        alpha = [sum(c.isalpha() for c in s["text"]) for s in g]
-        strong = sum(a for a, s in zip(alpha, g, strict=True) if s["is_bold"])
-        out.append((g[0]["page_id"], k, text, sum(s["font_size"] * len(s["text"]) for s in g) / chars if chars else 0.0, 2 * strong > sum(alpha) > 0))
-    return pd.DataFrame(out, columns=["page_id", "line", "text", "font_size", "is_bold"])
+            text += [" ", s[0]] if s[3] > before[4] and not before[0].endswith("-") and any(text) else [s[0]]
+        chars = sum(len(s[0]) for s in g)
+        alpha = [sum(map(str.isalpha, s[0])) for s in g]
+        strong = sum(a for a, s in zip(alpha, g, strict=True) if s[2])
+        yield "".join(text), sum(s[1] * len(s[0]) for s in g) / chars if chars else 0.0, 2 * strong > sum(alpha) > 0
+
+
+def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of pages whose spans come one behind the other."""
+    page, spans, pages, out = None, [], [], []
+
+    def rows() -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else ([],) * 4
+        made = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.float64(), pa.bool_()), strict=True)]
+        return pa.record_batch([pa.array(pages, kind), *made], names=["page_id", "line", "text", "font_size", "is_bold"])
+
+    def close() -> None:
+        found = [(k, *line) for k, line in enumerate(_page_lines(spans))]
+        pages.extend([page] * len(found))
+        out.extend(found)
+        spans.clear()
+
+    for batch in batches:
+        kind = batch.schema.field("page_id").type
+        for at, *span in zip(*(batch.column(c).to_pylist() for c in ("page_id", *_SPAN)), strict=True):
+            if at != page and spans:
+                close()
+            page = at
+            spans.append(tuple(span))
+        if out:
+            yield rows()
+            pages.clear()
+            out.clear()
+    if spans:
+        close()
+        yield rows()
 
 
 def lines(spans: DataFrame) -> DataFrame:
     """Lines of each page: page_id, line, text, font_size (weighted by characters), is_bold (by most letters)."""
     kind = spans.schema["page_id"].dataType.simpleString()
-    return usable_spans(spans).groupBy("page_id").applyInPandas(_lines, f"page_id {kind}, line int, text string, font_size double, is_bold boolean")
+    place = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    at = ("x_position", "x_end", "y_position")
+    usable = usable_spans(spans).select("page_id", "text", F.col("font_size").cast("double").alias("font_size"), "is_bold", *map(place, at))
+    ordered = usable.repartition("page_id").sortWithinPartitions("page_id", F.desc("y_position"), F.asc_nulls_last("x_position"))
+    ordered = ordered.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in at})  # as places that are near none
+    return ordered.mapInArrow(_lines_of, f"page_id {kind}, line int, text string, font_size double, is_bold boolean")
 
 
 def headings(spans: DataFrame) -> DataFrame:
