@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import packing as P
 from ..functions import text as T
-from .index import token_windows
+from .index import slices, token_windows
 
 #: Names and aliases of the strategies.
 ALIASES = {name: name for name in P.STRATEGIES} | {
@@ -81,6 +81,8 @@ def markdown_sections(docs: DataFrame, key: str) -> DataFrame:
     return seen.select(key, "section", "title", path.alias("path"), "level", T.trim_ws("text").alias("text")).where(F.length("text") > 0)
 
 
+#: Bytes of text whose chunks are held at once.
+SLICE_BYTES = 1 << 20
 _SECTION = "text string, section_title string, section_path string, heading_level int"
 
 
@@ -106,7 +108,7 @@ def chunked(docs: DataFrame, size: int = 600, overlap: float = 0.15, tokenizer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer, vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, SLICE_BYTES)):
             take, out = [], []
             for i, x in enumerate(batch.select(["text", "strategy", "max_tokens", "overlap_ratio"]).to_pylist()):
                 if x["text"] is None:

@@ -43,9 +43,10 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
 SLICE_BYTES = 4 << 20
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of some ``most`` bytes of ``text``."""
     size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(size) - size) // SLICE_BYTES
+    part = (np.cumsum(size) - size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     yield from (batch.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x)
 
@@ -64,7 +65,7 @@ def _runs(keep: tuple[str, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _slices(batch):
+            for rows in slices(batch):
                 terms, owner = _split(rows)
                 if not len(owner):
                     continue
@@ -89,7 +90,7 @@ def term_counts_of(units: DataFrame, key: str, terms: pa.Array, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _slices(batch):
+            for rows in slices(batch):
                 found, owner = _split(rows)
                 length = np.bincount(owner, minlength=rows.num_rows)
                 code = pc.index_in(found, value_set=terms)
