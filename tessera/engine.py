@@ -15,7 +15,7 @@ from .functions import vectors as V
 from .operators import agents, cells, chat, embedding, fusion, hashed, ingest, retrieval, routing, stored, stores
 from .operators import index as I
 from .operators.snapshots import Change, Conflict, Snapshot, SnapshotLog
-from .session import checkpointed, ensure_importable, folder_sizes, together
+from .session import checkpointed, ensure_importable, folder_sizes, small_splits, together
 from .sources import files
 from .sources.config import Settings
 from .sources.extract import Extractors
@@ -46,6 +46,8 @@ PARTS = {"terms": ("tenant", "collection", "term"), "stats": ("tenant", "collect
 BUCKET_BYTES = 128 << 20
 #: Parts of a table that are put together into one.
 MOST_PARTS = 8
+#: Bytes of chunks' texts whose postings a task sorts in memory, and of stored files that a task of a deletion does.
+TASK_BYTES = 8 << 20
 TRIES = 8
 
 
@@ -87,28 +89,35 @@ class Engine:
         return self._read(name, [f"{self.root}/{name}/{unit['at']}/bucket=b{b}" for b, unit in sorted(chosen.items()) if name in unit["has"]])
 
     def _read(self, name: str, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name]).where(F.lit(False))  # known to be empty: joins with it vanish
 
     def _buckets_of(self, space: str, keys: DataFrame, at: Snapshot) -> dict[str, int]:
         """The buckets of ``keys(tenant, key, bytes)``, with the bytes that come to each: at most as many as there are."""
         name = hashed.bucket_name(hashed.key_hash("tenant", "key"), at.units.get(space, {}))
         return {r.b: r.n for r in keys.groupBy(name.alias("b")).agg(F.sum("bytes").alias("n")).collect()}
 
-    def _rewrite(self, space: str, at: Snapshot, come: dict[str, int], rows: dict[str, DataFrame]) -> Change:
+    def _tree(self, space: str, at: Snapshot, come: dict[str, int]) -> tuple[list[str], list[str]]:
+        """The buckets that ``come`` (with the bytes that come to them) are written as, and all there are then."""
+        old = at.units.get(space, {})
+        new = [part for b, more in come.items() for part in hashed.split(b, old.get(b, {"bytes": 0})["bytes"] + more, self.bucket_bytes)]
+        return new, [b for b in old if b not in come] + new
+
+    def _rewrite(self, space: str, at: Snapshot, come: dict[str, int], rows: dict[str, DataFrame], placed: Collection[str] = ()) -> Change:
         """Write the buckets ``come`` (with the bytes that come to them) anew: ``rows`` has all rows of each table there.
+        Tables that are ``placed`` have the rows of a bucket in a few partitions already and are not shuffled.
 
         The result is the change to commit.
         """
         old = at.units.get(space, {})
-        new = [part for b, more in come.items() for part in hashed.split(b, old.get(b, {"bytes": 0})["bytes"] + more, self.bucket_bytes)]
-        tree = [b for b in old if b not in come] + new
+        new, tree = self._tree(space, at, come)
         folder, sizes, has = uuid.uuid4().hex, dict.fromkeys(new, 0), {b: [] for b in new}
 
         def write(table: str) -> None:
             tenant, key, order = SPACES[space][table]
             made = rows[table].select(*self._read(table, []).columns)
             made = made.withColumn("bucket", F.concat(F.lit("b"), hashed.bucket_name(hashed.key_hash(tenant, key), tree)))
-            made.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", order).write.partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
+            made = made if table in placed else made.hint("rebalance", F.col("bucket"))
+            made.sortWithinPartitions("bucket", order).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
 
         together(self.spark, *(partial(write, table) for table in SPACES[space]))
         for table in SPACES[space]:
@@ -119,13 +128,13 @@ class Engine:
         return Change({space: [b for b in come if b in old] or [""]}, {space: {b: {"at": folder, "bytes": sizes[b], "has": has[b]} for b in new}})
 
     def _add_parts(self, change: Change, **tables: DataFrame) -> None:
-        """A part of each summed table, sorted by its keys, comes with the change."""
+        """A part of each summed table, its files sorted by its keys, comes with the change."""
 
         def write(name: str, rows: DataFrame) -> None:
             folder, keys = uuid.uuid4().hex, PARTS[name]
             values = [c for c in self._read(name, []).columns if c not in keys]
             rows = rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in values)).where(" or ".join(f"{c} != 0" for c in values))
-            rows.sort(*keys[1:], keys[0]).write.parquet(f"{self.root}/{name}/{folder}")
+            rows.sortWithinPartitions(*keys[1:], keys[0]).write.option("compression", "zstd").parquet(f"{self.root}/{name}/{folder}")
             change.parts_come[name] = [folder]
 
         together(self.spark, *(partial(write, name, rows) for name, rows in tables.items()))
@@ -193,9 +202,11 @@ class Engine:
             # Only the buckets of the documents at hand tell which are unchanged.
             known = self._buckets_of("documents", prepared.select("tenant", F.col("document_id").alias("key"), F.lit(0).alias("bytes")), at)
             there = self.table("documents", known, at)
-            docs = ingest.outcome(prepared, there).persist()
-            chunks = ingest.chunk_rows(docs, self.settings.chunk_tokens, self.settings.chunk_overlap).persist()
-            held.extend((docs, chunks))
+            docs = ingest.outcome(prepared, there)
+            if known.keys() & at.units.get("documents", {}).keys():  # else no more than a column beside ``prepared``
+                held.append(docs := docs.persist())
+            chunks = ingest.chunk_rows(docs, self.settings.chunk_tokens, self.settings.chunk_overlap, ingest.METADATA).persist()
+            held.append(chunks)
             told = ingest.counters(docs, chunks, dry_run)
             told = self.spark.createDataFrame(told.collect(), told.schema)
             if not dry_run:
@@ -222,24 +233,35 @@ class Engine:
         come = self._buckets_of("documents", fresh.unionByName(entries.select("tenant", F.col("document_id").alias("key"), F.lit(64).cast("long").alias("bytes"))), at)
         if not come:
             return Change(streams=dict([stream] if stream else []))
+        held.append(moved)
+        placed = () if come.keys() & at.units.get("documents", {}).keys() else ("points", "postings")
+        if placed:  # new buckets alone: chunks are dealt to them once, and rows made of them stay where they are
+            held.append(chunks := self._dealt(chunks, self._tree("documents", at, come)[1], sum(come.values())).persist())
         p = F.col("payload")
-        new_points = I.check_vectors(ingest.points_of(chunks, docs, self._vectors(chunks.select("chunk_id", "text"), "text")), self.dim).persist()
-        held.extend((moved, new_points))
+        new_points = I.check_vectors(ingest.points_with(self._vectors(chunks, "text")), self.dim)
         new_postings = stored.postings(chunks, "tenant", "document_id", "collection", "chunk_id")
         points, postings, documents = (self.table(name, come, at) for name in ("points", "postings", "documents"))
         by_document = points.withColumns({"tenant": p["tenant"], "document_id": p["document_id"]})
+        gone = retrieval.small(changed) if not placed else changed
         rows = {
-            "points": by_document.join(changed, ["tenant", "document_id"], "left_anti").select(*points.columns).unionByName(new_points),
-            "postings": postings.join(changed, ["tenant", "document_id"], "left_anti").unionByName(new_postings.select(*postings.columns)),
+            "points": by_document.join(gone, ["tenant", "document_id"], "left_anti").select(*points.columns).unionByName(new_points),
+            "postings": postings.join(gone, ["tenant", "document_id"], "left_anti").unionByName(new_postings.select(*postings.columns)),
             "documents": stores.upsert(documents, ingest.stored_documents(docs.where(~F.col("skip")), chunks, self.settings.chunk_tokens).unionByName(moved), ["tenant", "id"]),
         }
-        change = self._rewrite("documents", at, come, rows)
+        change = self._rewrite("documents", at, come, rows, placed)
         change.streams = dict([stream] if stream else [])
-        gone, old_chunks = (rows.join(changed, ["tenant", "document_id"], "left_semi") for rows in (postings, by_document))
-        before, written = (rows.withColumnRenamed("id", "document_id").join(entries, ["tenant", "document_id"], "left_semi") for rows in (documents, self._written(change, "documents")))
-        self._add_parts(change, terms=_terms(new_postings, 1).unionByName(_terms(gone, -1)), stats=_documents(written, 1).unionByName(_documents(before, -1)).unionByName(_chunks(new_points, 1)).unionByName(_chunks(old_chunks, -1)))
+        # Rows that stayed in the buckets count on both sides.
+        new = {name: self._written(change, name) for name in SPACES["documents"]}
+        self._add_parts(change, terms=_terms(new["postings"], 1).unionByName(_terms(postings, -1)), stats=_documents(new["documents"], 1).unionByName(_documents(documents, -1)).unionByName(_chunks(new["points"], 1)).unionByName(_chunks(points, -1)))
         return change
 
+    def _dealt(self, chunks: DataFrame, tree: list[str], size: int) -> DataFrame:
+        """Chunks by bucket, a large bucket's in several parts, so that a task can sort the postings of its own in memory."""
+        parts = max(1, size // (3 * TASK_BYTES))
+        each = max(1, self.bucket_bytes // (3 * TASK_BYTES))
+        bucket = hashed.bucket_name(hashed.key_hash("tenant", "document_id"), tree)
+        return chunks.repartition(parts, bucket, F.pmod(F.xxhash64("chunk_id"), F.lit(each)))
+
     def _written(self, change: Change, name: str) -> DataFrame:
         """A table's rows in the buckets that a change brings."""
         units = change.come[SPACE_OF[name]]
@@ -443,8 +465,12 @@ class Engine:
             p = F.col("payload")
             points, postings = self.table("points", come, at).withColumns({"tenant": p["tenant"], "document_id": p["document_id"]}), self.table("postings", come, at)
             documents = self.table("documents", come, at).withColumnRenamed("id", "document_id")
-            pick = lambda rows, how: rows.join(gone, ["tenant", "document_id"], how)
-            change = self._rewrite("documents", at, come, {"points": pick(points, "left_anti"), "postings": pick(postings, "left_anti"), "documents": pick(documents, "left_anti").withColumnRenamed("document_id", "id")})
+            asked = retrieval.small(gone)
+            pick = lambda rows, how: rows.join(asked, ["tenant", "document_id"], how)
+            left = {"points": pick(points, "left_anti"), "postings": pick(postings, "left_anti"), "documents": pick(documents, "left_anti").withColumnRenamed("document_id", "id")}
+            # Files hold one bucket's rows each: what stays of some of them is sorted and written by the task that reads them.
+            with small_splits(self.spark, TASK_BYTES):
+                change = self._rewrite("documents", at, come, left, ("points", "postings"))
             self._add_parts(change, terms=_terms(pick(postings, "left_semi"), -1), stats=_documents(pick(documents, "left_semi"), -1).unionByName(_chunks(pick(points, "left_semi"), -1)))
             self.log.commit(at, change)
 

@@ -138,8 +138,12 @@ def check_vectors(points: DataFrame, dim: int, column: str = "dense") -> DataFra
     return points.where(ok.isNull())
 
 
+def payload() -> Column:
+    """What a point tells of its chunk, from the columns of the chunk and its document's metadata."""
+    return F.struct("tenant", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "title", "source_url", "source_domain", "language", "collection", "section_heading", F.to_json("tags").alias("tags"))
+
+
 def index_points(chunks: DataFrame, metadata: DataFrame, vectors: DataFrame) -> DataFrame:
     """The wide index table: chunk, its vector and the metadata that retrieval needs, so that a hit needs no join."""
-    payload = F.struct("tenant", "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", "title", "source_url", "source_domain", "language", "collection", "section_heading", F.to_json("tags").alias("tags"))
     joined = chunks.join(metadata, ["tenant", "document_id"]).join(vectors, "chunk_id")
-    return joined.select("chunk_id", payload.alias("payload"), "dense")
+    return joined.select("chunk_id", payload().alias("payload"), "dense")

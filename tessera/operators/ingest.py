@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import chunking, index, stores
+from . import chunking, index, retrieval, stores
 
+#: What the chunks of a document know of it besides their text.
+METADATA = ("title", "source_url", "source_domain", "language", "tags")
 Embed = Callable[[Column], Column]
 COUNTERS = "documents long, skipped long, failed long, chunks long"
 
@@ -34,7 +36,15 @@ def prepared_rows(rows: DataFrame, tenant: str, collection: str) -> DataFrame:
     (else the one given) if there; of rows with one id the last by text stays."""
     extra = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("title", "language", "collection")}
     own = rows.select(F.col("document_id").cast("string").alias("document_id"), F.col("text").cast("string").alias("text"), *(v.cast("string").alias(c) for c, v in extra.items()))
-    one = own.groupBy("document_id").agg(F.max(F.struct("text", "title", "language", "collection")).alias("d")).select("document_id", "d.*")
+    last = lambda rows: rows.groupBy("document_id").agg(F.max(F.struct("text", "title", "language", "collection")).alias("d")).select("document_id", "d.*")
+    # Only rows whose id comes again meet each other, if such ids are few; the others' texts are not shuffled.
+    again = own.groupBy(F.col("document_id").alias("again")).count().where("count > 1").select("again")
+    most = max(1, retrieval.SMALL_BYTES // retrieval.row_bytes(again))
+    if again.limit(min(retrieval.SMALL_ROWS, most) + 1).count() <= min(retrieval.SMALL_ROWS, most):
+        meets = lambda how: own.join(F.broadcast(again), F.col("document_id").eqNullSafe(F.col("again")), how)
+        one = meets("left_anti").unionByName(last(meets("left_semi")))
+    else:
+        one = last(own)
     none = lambda kind: F.lit(None).cast(kind)
     broken = F.when(F.col("document_id").isNull() | (F.col("document_id") == ""), "a document needs an id").when(F.col("text").isNull(), "a document needs a text")
     return one.select(
@@ -49,20 +59,26 @@ def outcome(prepared_docs: DataFrame, stored: DataFrame) -> DataFrame:
     return split.withColumn("skip", F.col("skip") | F.col("error").isNotNull())
 
 
-def chunk_rows(docs: DataFrame, size: int = 600, overlap: float = 0.15, **tokens) -> DataFrame:
-    """Chunks of changed documents: tenant, document_id, collection, chunk_index, text, section columns, chunk_id."""
+def chunk_rows(docs: DataFrame, size: int = 600, overlap: float = 0.15, also: tuple[str, ...] = (), **tokens) -> DataFrame:
+    """Chunks of changed documents: tenant, document_id, collection, columns of the documents asked for ``also``,
+    chunk_index, text, section columns, chunk_id."""
     strategy = chunking.selected_strategy("configured", "text")
     rows = docs.where(~F.col("skip")).withColumn("strategy", strategy)
-    made = chunking.chunked(rows, size, overlap, keep=("tenant", "document_id", "collection"), **tokens)
+    made = chunking.chunked(rows, size, overlap, keep=("tenant", "document_id", "collection", *also), **tokens)
     return index.with_chunk_ids(made)
 
 
 def points_of(chunks: DataFrame, docs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Index points: the chunk's vector, from ``vectors(chunk_id, dense)``, and all metadata retrieval needs."""
-    meta = docs.select("tenant", "document_id", "title", "source_url", "source_domain", "language", "tags")
+    meta = docs.select("tenant", "document_id", *METADATA)
     return index.index_points(chunks.withColumn("section_heading", F.col("section_title")), meta, vectors.select("chunk_id", "dense"))
 
 
+def points_with(chunks: DataFrame) -> DataFrame:
+    """Index points of chunks that carry their ``METADATA`` and ``dense``; no join."""
+    return chunks.withColumn("section_heading", F.col("section_title")).select("chunk_id", index.payload().alias("payload"), "dense")
+
+
 def index_rows(chunks: DataFrame, docs: DataFrame, embed: Embed) -> DataFrame:
     """``points_of`` with vectors from an embedding of the text column."""
     return points_of(chunks, docs, chunks.select("chunk_id", embed(F.col("text")).alias("dense")))

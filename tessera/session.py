@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +82,28 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+_splits: dict[str, object] = {"users": 0}
+_lock = threading.Lock()
+
+
+@contextmanager
+def small_splits(spark: SparkSession, size: int) -> Iterator[None]:
+    """Meanwhile files are read in splits of some ``size`` bytes; threads may do so at once."""
+    key = "spark.sql.files.maxPartitionBytes"
+    with _lock:
+        if not _splits["users"]:
+            _splits["before"] = spark.conf.get(key)
+            spark.conf.set(key, str(size))
+        _splits["users"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _splits["users"] -= 1
+            if not _splits["users"]:
+                spark.conf.set(key, _splits["before"])
+
+
 def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
     """Run jobs side by side; an error of one is raised when all have ended."""
     inherit = inheritable_thread_target(spark)
