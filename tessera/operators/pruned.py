@@ -9,12 +9,19 @@ and the greatest weight in it.  A search has three rounds:
 3. the terms left out are looked up for the remaining units alone, in the blocks whose keys enclose them.
 
 No unit among the best k is lost, and all of those get their whole score, so the result is that of scoring everything.
+
+``rounds`` are joins, a row for each posting of a query.  ``topk`` deals the blocks that some query needs by bucket, so that a
+unit's blocks meet in one task, and does the last two rounds there in arrays; a task returns its best k of each query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +31,8 @@ from . import retrieval
 from .stored import BUCKETS, bucket_of, postings
 
 BLOCK_UNITS = 128
+#: Units of a bucket, by which a large table has more of them.
+BUCKET_UNITS = 20_000
 #: A query's rarest terms, one at least, are scored in the first round while they have so many postings for each wanted unit.
 LEAD_EACH = 20
 SLACK = 1e-7
@@ -43,17 +52,52 @@ class BlockIndex:
 def write(units: DataFrame, path: str, key: str = "key", text: str = "text", buckets: int = BUCKETS, size: int = BLOCK_UNITS) -> str:
     """Index ``units(key, text)`` under ``path``."""
     spark = units.sparkSession
-    rows = postings(units, key, text=text).select(F.col(key).alias("k"), "term", "tf", "length").withColumn("bucket", bucket_of("k", buckets=buckets))
-    place = F.row_number().over(Window.partitionBy("bucket", "term").orderBy("k")) - 1  # of the units of one bucket
-    rows = rows.withColumn("weight", retrieval.saturation(F.col("tf"), F.col("length"), retrieval.B)).withColumn("block", F.floor(place / size))
-    made = rows.groupBy("bucket", "term", "block").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("greatest"), F.sort_array(F.collect_list(F.struct("k", "weight"))).alias("units"))
-    made.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block").drop("block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    weight = retrieval.saturation(F.col("tf"), F.col("length"), retrieval.B).alias("weight")
+    rows = postings(units, key, text=text).select(bucket_of(key, buckets=buckets).alias("bucket"), "term", F.col(key).alias("k"), weight)
+    kind = units.schema[key].dataType.simpleString()
+    made = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "k").mapInArrow(_blocks_of(size), f"bucket int, term string, first {kind}, last {kind}, n long, greatest double, units array<struct<k:{kind},weight:double>>")
+    made.sortWithinPartitions("bucket", "term", "first").write.partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("greatest").alias("greatest")).sort("term").write.parquet(f"{path}/terms")
     units.select(key).write.parquet(f"{path}/units")
     return path
 
 
+def _blocks_of(size: int, least: int = 1 << 17):
+    """Blocks of at most ``size`` postings of batches (bucket, term, k, weight) in that order."""
+
+    def starts(rows: pa.RecordBatch) -> np.ndarray:
+        bucket, term = rows.column("bucket"), rows.column("term")
+        other = pc.or_(pc.not_equal(bucket[1:], bucket[:-1]), pc.not_equal(term[1:], term[:-1]))
+        return np.concatenate(([0], 1 + np.flatnonzero(other.to_numpy(zero_copy_only=False))))
+
+    def made(rows: pa.RecordBatch, runs: np.ndarray) -> pa.RecordBatch:
+        place = np.arange(rows.num_rows) - np.repeat(runs, np.diff(np.append(runs, rows.num_rows)))
+        at = np.flatnonzero(place % size == 0)
+        ends = np.append(at[1:], rows.num_rows)
+        k, weight = rows.column("k"), rows.column("weight")
+        units = pa.ListArray.from_arrays(pa.array(np.append(at, rows.num_rows).astype(np.int32)), pa.StructArray.from_arrays([k, weight], ["k", "weight"]))
+        head = [rows.column(c).take(pa.array(at)) for c in ("bucket", "term", "k")]
+        return pa.record_batch([*head, k.take(pa.array(ends - 1)), pa.array(ends - at), pa.array(np.maximum.reduceat(weight.to_numpy(), at)), units], names=["bucket", "term", "first", "last", "n", "greatest", "units"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(h.num_rows for h in held) >= least:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                runs = starts(rows)
+                if len(runs) > 1:
+                    yield made(rows.slice(0, runs[-1]), runs[:-1])
+                held = [rows.slice(runs[-1])]
+        if held:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield made(rows, starts(rows))
+
+    return run
+
+
 def read(spark: SparkSession, path: str, key: str = "key", buckets: int = BUCKETS) -> BlockIndex:
     return BlockIndex(*(spark.read.parquet(f"{path}/{part}") for part in ("blocks", "terms", "units")), key, buckets)
 
@@ -84,7 +128,9 @@ class Rounds:
     scores: DataFrame
 
 
-def rounds(queries: DataFrame, index: BlockIndex, k: int) -> Rounds:
+def bounds(queries: DataFrame, index: BlockIndex, k: int) -> tuple[DataFrame, DataFrame]:
+    """The first round: its blocks with their queries, and each query's terms (query_id, term, w, cap, floor, all, idle, rest):
+    ``floor`` is the threshold, ``idle`` terms bring no candidates, ``rest`` is the most that those add together."""
     weighted = checkpointed(weighted_terms(queries, index))
     by = Window.partitionBy("query_id")
     before = F.coalesce(F.sum("df").over(by.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -98,6 +144,11 @@ def rounds(queries: DataFrame, index: BlockIndex, k: int) -> Rounds:
     caps = caps.withColumns({"upto": F.sum("cap").over(by.orderBy("cap", "term").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("cap").over(by)})
     caps = checkpointed(caps.withColumn("idle", F.col("upto") < F.col("floor")))
     caps = caps.withColumn("rest", F.coalesce(F.max(F.when(F.col("idle"), F.col("upto"))).over(by), F.lit(0.0)))
+    return lead, caps
+
+
+def rounds(queries: DataFrame, index: BlockIndex, k: int) -> Rounds:
+    lead, caps = bounds(queries, index, k)
     live = caps.where("not idle").select("query_id", "term", "w", "floor", "rest", (F.col("all") - F.col("cap")).alias("others"))
     blocks = index.blocks.join(retrieval.small(live), "term").where(F.col("w") * F.col("greatest") + F.col("others") >= F.col("floor"))
     limits = live.groupBy("query_id").agg(F.max("floor").alias("floor"), F.max("rest").alias("rest"))
@@ -112,6 +163,105 @@ def rounds(queries: DataFrame, index: BlockIndex, k: int) -> Rounds:
 
 
 def topk(queries: DataFrame, index: BlockIndex, k: int = retrieval.SPARSE_K) -> DataFrame:
-    """Top k by BM25: the rows of ``retrieval.stored_topk``."""
-    scores = rounds(queries, index, k).scores.select("query_id", F.col("k").alias(index.key), F.round("score", 9).alias("score"))
-    return retrieval.top(scores, k, F.desc("score"), index.key)
+    """Top k by BM25: the rows of ``retrieval.stored_topk``.  Up to ``SMALL_ROWS`` weights go to all tasks; beyond, the rounds are
+    joined."""
+    caps = checkpointed(bounds(queries, index, k)[1].select("query_id", "term", "w", "floor", "idle", "rest", (F.col("all") - F.col("cap")).alias("others")))
+    asked = caps.limit(retrieval.SMALL_ROWS + 1).toArrow().combine_chunks()
+    if asked.num_rows > retrieval.SMALL_ROWS:
+        scores = rounds(queries, index, k).scores.select("query_id", F.col("k").alias(index.key), F.round("score", 9).alias("score"))
+        return retrieval.top(scores, k, F.desc("score"), index.key)
+    # A block is needed if its greatest weight could lift a unit to the threshold of some query, or if some query may look it up.
+    need = F.min(F.when(F.col("idle"), F.lit(0.0)).otherwise((F.col("floor") - F.col("others")) / F.col("w") - SLACK)).alias("need")
+    terms = pc.unique(asked.column("term")).cast(pa.string())
+    codes = index.blocks.sparkSession.createDataFrame(pa.table({"term": terms, "code": pa.array(np.arange(len(terms)), pa.int32())}))
+    wanted = codes.join(F.broadcast(caps.groupBy("term").agg(need)), "term")
+    dealt = index.blocks.join(F.broadcast(wanted), "term").where(F.col("greatest") >= F.col("need")).select("bucket", "code", "greatest", "units")
+    dealt = dealt.repartition(index.buckets, "bucket").sortWithinPartitions("bucket", "code")
+    kind = index.units.schema[index.key].dataType.simpleString()
+    schema = f"query_id {caps.schema['query_id'].dataType.simpleString()}, `{index.key}` {kind}, score double"
+    return retrieval.top(dealt.mapInArrow(_best_of_buckets(asked, terms, k, index.key), schema), k, F.desc("score"), index.key)
+
+
+def _best_of_buckets(asked: pa.Table, terms: pa.Array, k: int, key: str):
+    """Over blocks (bucket, code, greatest, units) in order of buckets and codes: the last two rounds, bucket by bucket."""
+    code = pc.index_in(asked.column("term").combine_chunks().cast(terms.type), value_set=terms).to_numpy(zero_copy_only=False)
+    coded = asked.column("query_id").combine_chunks().dictionary_encode()
+    ids, of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    w, floor, rest, others = (asked.column(c).to_numpy() for c in ("w", "floor", "rest", "others"))
+    idle = asked.column("idle").to_numpy()
+    order = np.argsort(of, kind="stable")
+    own = np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []
+
+    def best(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        units = rows.column("units")
+        size = pc.list_value_length(units).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size)
+        each = units.flatten()
+        met = each.field("k").dictionary_encode()
+        keys, unit, weight = met.dictionary, met.indices.to_numpy(zero_copy_only=False), each.field("weight").to_numpy()
+        place = np.empty(len(keys), np.int64)
+        place[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+        codes, greatest = rows.column("code").to_numpy(), rows.column("greatest").to_numpy()
+        first, last = (np.searchsorted(codes, np.arange(len(terms)), side) for side in ("left", "right"))
+        pairs = np.repeat(codes, size).astype(np.int64) * len(keys) + unit
+        repeated = len(np.unique(pairs)) < len(pairs)  # rows with one key count together
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def add(score: np.ndarray, i: int, most: float) -> None:
+            """A term's postings, of blocks that can lift a unit to ``most``."""
+            x, y = first[code[i]], last[code[i]]
+            if x == y:
+                return
+            part = slice(ends[x] - size[x], ends[y - 1])
+            at, what = unit[part], weight[part]
+            fine = w[i] * greatest[x:y] + others[i] >= most
+            if not fine.all():
+                some = np.repeat(fine, size[x:y])
+                at, what = at[some], what[some]
+            if repeated:
+                np.add.at(score, at, w[i] * what)
+            else:
+                score[at] += w[i] * what
+
+        for mine in own:
+            score = np.zeros(len(keys))
+            for i in mine[~idle[mine]]:
+                add(score, i, floor[i])
+            most = floor[mine[0]]
+            if len(score) > k:  # k units here have these scores at least
+                most = max(most, np.partition(score, len(score) - k)[len(score) - k] - SLACK)
+            open_ = np.flatnonzero((score > 0) & (score + rest[mine[0]] >= most))
+            if not len(open_):
+                continue
+            for i in mine[idle[mine]]:
+                add(score, i, -np.inf)
+            got = np.round(score[open_], 9)
+            if len(got) > k:
+                fine = got >= np.partition(got, len(got) - k)[len(got) - k]
+                open_, got = open_[fine], got[fine]
+            chosen = np.lexsort((place[open_], -got))[:k]
+            out.append((np.full(len(chosen), of[mine[0]]), open_[chosen], got[chosen]))
+        if not out:
+            return None
+        query, at, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.record_batch([ids.take(pa.array(query)), keys.take(pa.array(at)), pa.array(score)], names=["query_id", key, "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held and (found := best(pa.Table.from_batches(held).combine_chunks().to_batches()[0])) is not None:
+                yield found
+            held.clear()
+
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y > x:
+                    if held and held[0].column("bucket")[0].as_py() != bucket[x]:
+                        yield from done()
+                    held.append(batch.slice(x, y - x))
+        yield from done()
+
+    return run

@@ -39,3 +39,9 @@ def test_frequent_terms_are_hardly_read(spark, tmp_path):
     read = frequent(told.lead) + frequent(told.blocks) + frequent(told.looked_up.dropDuplicates(["query_id", "bucket", "term", "first"]))
     assert whole > 5000 and read < 0.6 * whole
     assert hits(P.topk(some, blocks, 3)) == hits(R.stored_topk(some, full, 3))
+
+
+def test_a_task_returns_its_best_alone(spark, tmp_path):
+    asked, _, blocks = made(spark, tmp_path, 5, 900, 8)
+    plan = P.topk(asked, blocks, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan.split("MapInArrow")[0]  # no row for a posting of a query
