@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpointed
+from . import index as I
 from . import retrieval
-from .stored import BUCKETS, bucket_of, postings
+from .stored import BUCKETS, bucket_of
 
 BLOCK_UNITS = 128
 #: Units of a bucket, by which a large table has more of them.
@@ -52,10 +53,9 @@ class BlockIndex:
 def write(units: DataFrame, path: str, key: str = "key", text: str = "text", buckets: int = BUCKETS, size: int = BLOCK_UNITS) -> str:
     """Index ``units(key, text)`` under ``path``."""
     spark = units.sparkSession
-    weight = retrieval.saturation(F.col("tf"), F.col("length"), retrieval.B).alias("weight")
-    rows = postings(units, key, text=text).select(bucket_of(key, buckets=buckets).alias("bucket"), "term", F.col(key).alias("k"), weight)
+    rows = units.select(bucket_of(key, buckets=buckets).alias("bucket"), F.col(key).alias("k"), F.lower(text).alias("text"))
     kind = units.schema[key].dataType.simpleString()
-    made = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "k").mapInArrow(_blocks_of(size), f"bucket int, term string, first {kind}, last {kind}, n long, greatest double, units array<struct<k:{kind},weight:double>>")
+    made = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "k").mapInArrow(_blocks_of(size), f"bucket int, term string, first {kind}, last {kind}, n long, greatest double, units array<struct<k:{kind},weight:double>>")
     made.sortWithinPartitions("bucket", "term", "first").write.partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")
     blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("greatest").alias("greatest")).sort("term").write.parquet(f"{path}/terms")
@@ -63,37 +63,61 @@ def write(units: DataFrame, path: str, key: str = "key", text: str = "text", buc
     return path
 
 
-def _blocks_of(size: int, least: int = 1 << 17):
-    """Blocks of at most ``size`` postings of batches (bucket, term, k, weight) in that order."""
-
-    def starts(rows: pa.RecordBatch) -> np.ndarray:
-        bucket, term = rows.column("bucket"), rows.column("term")
-        other = pc.or_(pc.not_equal(bucket[1:], bucket[:-1]), pc.not_equal(term[1:], term[:-1]))
-        return np.concatenate(([0], 1 + np.flatnonzero(other.to_numpy(zero_copy_only=False))))
-
-    def made(rows: pa.RecordBatch, runs: np.ndarray) -> pa.RecordBatch:
-        place = np.arange(rows.num_rows) - np.repeat(runs, np.diff(np.append(runs, rows.num_rows)))
-        at = np.flatnonzero(place % size == 0)
-        ends = np.append(at[1:], rows.num_rows)
-        k, weight = rows.column("k"), rows.column("weight")
-        units = pa.ListArray.from_arrays(pa.array(np.append(at, rows.num_rows).astype(np.int32)), pa.StructArray.from_arrays([k, weight], ["k", "weight"]))
-        head = [rows.column(c).take(pa.array(at)) for c in ("bucket", "term", "k")]
-        return pa.record_batch([*head, k.take(pa.array(ends - 1)), pa.array(ends - at), pa.array(np.maximum.reduceat(weight.to_numpy(), at)), units], names=["bucket", "term", "first", "last", "n", "greatest", "units"])
+def _blocks_of(size: int, most: int = 1 << 14):
+    """Blocks of at most ``size`` postings of batches (bucket, k, lower-cased text) in order of buckets and keys: a bucket's postings
+    are held as numbers and sorted at once."""
+
+    def counted(rows: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys and terms of a slice, and of each posting its unit, term and weight."""
+        terms, owner = I._split(rows)
+        length = np.bincount(owner, minlength=rows.num_rows)
+        coded = terms.dictionary_encode()
+        many = max(1, len(coded.dictionary))
+        at, tf = np.unique(owner.astype(np.int64) * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        unit = at // many
+        weight = tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * ((1 - retrieval.B) + retrieval.B * length[unit] / retrieval.AVGDL))
+        return rows.column("k"), coded.dictionary, unit.astype(np.int32), (at % many).astype(np.int32), weight
+
+    def made(bucket: int, parts: list) -> Iterator[pa.RecordBatch]:
+        keys, lists, unit, code, weight = zip(*parts, strict=True)
+        base = np.cumsum([0, *map(len, keys)])
+        unit = np.concatenate([u + b for u, b in zip(unit, base[:-1], strict=True)])
+        shift = np.cumsum([0, *map(len, lists)])
+        known = pa.concat_arrays(lists).dictionary_encode()
+        rank = np.empty(len(known.dictionary), np.int64)
+        by_rank = pc.sort_indices(known.dictionary)
+        rank[by_rank.to_numpy()] = np.arange(len(rank))
+        code = rank[known.indices.to_numpy(zero_copy_only=False)[np.concatenate([c + s for c, s in zip(code, shift[:-1], strict=True)])]]
+        order = np.argsort(code * base[-1] + unit, kind="stable")
+        code, unit, weight = code[order], unit[order], np.concatenate(weight)[order]
+        if not len(code):
+            return
+        k, terms = pa.concat_arrays(keys), known.dictionary.take(by_rank)
+        runs = np.concatenate(([0], 1 + np.flatnonzero(np.diff(code))))
+        at = np.flatnonzero((np.arange(len(code)) - np.repeat(runs, np.diff(np.append(runs, len(code))))) % size == 0)
+        greatest, ends = np.maximum.reduceat(weight, at), np.append(at, len(code))
+        for x in range(0, len(at), most):
+            e = ends[x : x + most + 1]
+            head, own = e[:-1], slice(e[0], e[-1])
+            units = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.StructArray.from_arrays([k.take(pa.array(unit[own])), pa.array(weight[own])], ["k", "weight"]))
+            columns = [pa.array(np.full(len(head), bucket, np.int32)), terms.take(pa.array(code[head])), k.take(pa.array(unit[head])), k.take(pa.array(unit[e[1:] - 1])), pa.array(np.diff(e)), pa.array(greatest[x : x + most]), units]
+            yield pa.record_batch(columns, names=["bucket", "term", "first", "last", "n", "greatest", "units"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list = []
+        now = -1
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(h.num_rows for h in held) >= least:
-                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                runs = starts(rows)
-                if len(runs) > 1:
-                    yield made(rows.slice(0, runs[-1]), runs[:-1])
-                held = [rows.slice(runs[-1])]
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y > x:
+                    if held and now != bucket[x]:
+                        yield from made(now, held)
+                        held = []
+                    now = int(bucket[x])
+                    held += [counted(rows) for rows in I.slices(batch.slice(x, y - x))]
         if held:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            yield made(rows, starts(rows))
+            yield from made(now, held)
 
     return run
 
