@@ -15,7 +15,7 @@ from .functions import vectors as V
 from .operators import agents, cells, chat, embedding, fusion, hashed, ingest, retrieval, routing, stored, stores
 from .operators import index as I
 from .operators.snapshots import Change, Conflict, Snapshot, SnapshotLog
-from .session import checkpointed, ensure_importable, folder_sizes, small_splits, together
+from .session import checkpointed, ensure_importable, folder_sizes, freed_shuffles, remove, shared_dir, splits, together
 from .sources import files
 from .sources.config import Settings
 from .sources.extract import Extractors
@@ -48,6 +48,8 @@ BUCKET_BYTES = 128 << 20
 MOST_PARTS = 8
 #: Bytes of chunks' texts whose postings a task sorts in memory, and of stored files that a task of a deletion does.
 TASK_BYTES = 8 << 20
+#: What documents a deletion marks, in the folder ``gone``.
+MARKS = "tenant string, document_id string"
 TRIES = 8
 
 
@@ -84,9 +86,23 @@ class Engine:
             rows = self._read(name, paths)
             keys = PARTS[name]
             return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in rows.columns if c not in keys))
-        units = at.units.get(SPACE_OF[name], {})
-        chosen = units if buckets is None else {b: units[b] for b in buckets if b in units}
-        return self._read(name, [f"{self.root}/{name}/{unit['at']}/bucket=b{b}" for b, unit in sorted(chosen.items()) if name in unit["has"]])
+        chosen = self._units(SPACE_OF[name], buckets, at)
+        rows = self._read(name, [f"{self.root}/{name}/{unit['at']}/bucket=b{b}" for b, unit in sorted(chosen.items()) if name in unit["has"]])
+        n = sum(unit.get("marks", 0) for unit in chosen.values())
+        if not n:
+            return rows
+        tenant, key, _ = SPACES[SPACE_OF[name]][name]
+        gone = self._marks(chosen).withColumnsRenamed({"tenant": "gone_tenant", "document_id": "gone_id"})
+        return rows.join(F.broadcast(gone) if n <= retrieval.SMALL_ROWS else gone, (F.col(tenant) == F.col("gone_tenant")) & (F.col(key) == F.col("gone_id")), "left_anti")
+
+    def _units(self, space: str, buckets: Collection[str] | None, at: Snapshot) -> dict[str, dict]:
+        units = at.units.get(space, {})
+        return units if buckets is None else {b: units[b] for b in buckets if b in units}
+
+    def _marks(self, units: dict[str, dict]) -> DataFrame:
+        """The documents that deletions have marked in these buckets."""
+        paths = [f"{self.root}/gone/{unit['gone']}/bucket=b{b}" for b, unit in sorted(units.items()) if unit.get("marks")]
+        return self.spark.read.schema(MARKS).parquet(*paths) if paths else self.spark.createDataFrame([], MARKS).where(F.lit(False))
 
     def _read(self, name: str, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[name]).where(F.lit(False))  # known to be empty: joins with it vanish
@@ -102,25 +118,36 @@ class Engine:
         new = [part for b, more in come.items() for part in hashed.split(b, old.get(b, {"bytes": 0})["bytes"] + more, self.bucket_bytes)]
         return new, [b for b in old if b not in come] + new
 
-    def _rewrite(self, space: str, at: Snapshot, come: dict[str, int], rows: dict[str, DataFrame], placed: Collection[str] = ()) -> Change:
+    def _rewrite(self, space: str, at: Snapshot, come: dict[str, int], rows: dict[str, DataFrame], placed: Collection[str] = (), marks: DataFrame | None = None, marked: dict[str, int] | None = None) -> Change:
         """Write the buckets ``come`` (with the bytes that come to them) anew: ``rows`` has all rows of each table there.
-        Tables that are ``placed`` have the rows of a bucket in a few partitions already and are not shuffled.
+        Tables that are ``placed`` have the rows of a bucket in a few partitions already and are not shuffled.  The files
+        of the buckets ``marked`` stay; ``marks(tenant, document_id, bucket)`` tells what is gone there, so many in each.
 
         The result is the change to commit.
         """
-        old = at.units.get(space, {})
         new, tree = self._tree(space, at, come)
-        folder, sizes, has = uuid.uuid4().hex, dict.fromkeys(new, 0), {b: [] for b in new}
-
-        def write(table: str) -> None:
-            tenant, key, order = SPACES[space][table]
-            made = rows[table].select(*self._read(table, []).columns)
-            made = made.withColumn("bucket", F.concat(F.lit("b"), hashed.bucket_name(hashed.key_hash(tenant, key), tree)))
-            made = made if table in placed else made.hint("rebalance", F.col("bucket"))
-            made.sortWithinPartitions("bucket", order).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
+        folder = uuid.uuid4().hex
+        if come:
+            together(self.spark, *(partial(self._write, space, table, rows[table], folder, tree, table in placed) for table in SPACES[space]))
+        change = self._change(space, at, come, new, folder)
+        if marked:
+            own = marks.withColumn("bucket", F.concat(F.lit("b"), "bucket")).hint("rebalance", F.col("bucket"))
+            own.sortWithinPartitions("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/gone/{folder}")
+            units = {b: at.units[space][b] | {"gone": folder, "marks": n} for b, n in marked.items()}
+            change = Change({space: [*(change.gone[space] if come else ()), *marked]}, {space: change.come[space] | units})
+        return change
 
-        together(self.spark, *(partial(write, table) for table in SPACES[space]))
-        for table in SPACES[space]:
+    def _write(self, space: str, table: str, rows: DataFrame, folder: str, tree: list[str], placed: bool) -> None:
+        tenant, key, order = SPACES[space][table]
+        made = rows.select(*self._read(table, []).columns)
+        made = made.withColumn("bucket", F.concat(F.lit("b"), hashed.bucket_name(hashed.key_hash(tenant, key), tree)))
+        made = made if placed else made.hint("rebalance", F.col("bucket"))
+        made.sortWithinPartitions("bucket", order).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{table}/{folder}")
+
+    def _change(self, space: str, at: Snapshot, come: dict[str, int], new: list[str], folder: str) -> Change:
+        """The change by which the buckets ``come`` are the ``new`` ones, which are written in ``folder``."""
+        old, sizes, has = at.units.get(space, {}), dict.fromkeys(new, 0), {b: [] for b in new}
+        for table in SPACES[space] if new else ():
             for name, size in folder_sizes(self.spark, f"{self.root}/{table}/{folder}").items():
                 if name.startswith("bucket=b"):
                     sizes[name[8:]] += size
@@ -167,7 +194,19 @@ class Engine:
 
     def clean(self, keep: int = 1, older: float = 3600.0) -> list[str]:
         """Remove folders that none of the last ``keep`` versions needs and that are ``older`` seconds old."""
-        return self.log.clean(self.root, [*TABLES, "cells"], keep, older)
+        return self.log.clean(self.root, [*TABLES, "cells", "gone"], keep, older)
+
+    def purge(self) -> None:
+        """Write the buckets where deletions have marked documents anew, without them; ``clean`` then removes the old files."""
+
+        def attempt(at: Snapshot) -> None:
+            come = {b: 0 for b, unit in at.units.get("documents", {}).items() if unit.get("marks")}
+            if come:
+                with splits(self.spark, TASK_BYTES):
+                    change = self._rewrite("documents", at, come, {name: self.table(name, come, at) for name in SPACES["documents"]}, ("points", "postings"))
+                self.log.commit(at, change)
+
+        self._retried(attempt)
 
     def _vectors(self, rows: DataFrame, text: str) -> DataFrame:
         """Rows with ``dense``."""
@@ -192,13 +231,17 @@ class Engine:
         ``stream`` names a stream and its batch: a batch that was committed before changes nothing, and its counters
         are zeros.
         """
-        held = [prepared := prepared.persist()]
+        held = []
         none = self.spark.createDataFrame([(0, 0, 0, 0)], ingest.COUNTERS)
         done = lambda at: bool(stream) and at.streams.get(stream[0], -1) >= stream[1]
 
         def attempt(at: Snapshot) -> DataFrame:
             if done(at):
                 return none
+            if not (dry_run or at.units.get("documents")):
+                return self._first(at, prepared, stream)
+            if not held:
+                held.append(prepared.persist())
             # Only the buckets of the documents at hand tell which are unchanged.
             known = self._buckets_of("documents", prepared.select("tenant", F.col("document_id").alias("key"), F.lit(0).alias("bytes")), at)
             there = self.table("documents", known, at)
@@ -234,27 +277,65 @@ class Engine:
         if not come:
             return Change(streams=dict([stream] if stream else []))
         held.append(moved)
-        placed = () if come.keys() & at.units.get("documents", {}).keys() else ("points", "postings")
-        if placed:  # new buckets alone: chunks are dealt to them once, and rows made of them stay where they are
-            held.append(chunks := self._dealt(chunks, self._tree("documents", at, come)[1], sum(come.values())).persist())
         p = F.col("payload")
         new_points = I.check_vectors(ingest.points_with(self._vectors(chunks, "text")), self.dim)
         new_postings = stored.postings(chunks, "tenant", "document_id", "collection", "chunk_id")
         points, postings, documents = (self.table(name, come, at) for name in ("points", "postings", "documents"))
         by_document = points.withColumns({"tenant": p["tenant"], "document_id": p["document_id"]})
-        gone = retrieval.small(changed) if not placed else changed
+        gone = retrieval.small(changed)
         rows = {
             "points": by_document.join(gone, ["tenant", "document_id"], "left_anti").select(*points.columns).unionByName(new_points),
             "postings": postings.join(gone, ["tenant", "document_id"], "left_anti").unionByName(new_postings.select(*postings.columns)),
             "documents": stores.upsert(documents, ingest.stored_documents(docs.where(~F.col("skip")), chunks, self.settings.chunk_tokens).unionByName(moved), ["tenant", "id"]),
         }
-        change = self._rewrite("documents", at, come, rows, placed)
+        change = self._rewrite("documents", at, come, rows)
         change.streams = dict([stream] if stream else [])
         # Rows that stayed in the buckets count on both sides.
         new = {name: self._written(change, name) for name in SPACES["documents"]}
         self._add_parts(change, terms=_terms(new["postings"], 1).unionByName(_terms(postings, -1)), stats=_documents(new["documents"], 1).unionByName(_documents(documents, -1)).unionByName(_chunks(new["points"], 1)).unionByName(_chunks(points, -1)))
         return change
 
+    def _first(self, at: Snapshot, prepared: DataFrame, stream: tuple[str, int] | None) -> DataFrame:
+        """Ingest the first documents of a store; returns the counters.
+
+        The texts are computed once, into a folder that goes as soon as their points are written, and shuffled once, to
+        their buckets.  The rest is made of the points where they lie, step by step, so that the disk holds no more than
+        the store, the texts once and one shuffle.
+        """
+        staged, folder, key = f"{shared_dir(self.spark)}/staged-{uuid.uuid4().hex}", uuid.uuid4().hex, F.col("document_id").alias("key")
+        with freed_shuffles(self.spark):
+            try:
+                prepared.write.option("compression", "zstd").parquet(staged)
+                docs = ingest.outcome(self.spark.read.schema(prepared.schema).parquet(staged), self._read("documents", []))
+                octets = F.octet_length("text")
+                size = octets * 3 + F.ceil(octets / (4 * self.settings.chunk_tokens)) * 4 * self.dim + 64
+                come = self._buckets_of("documents", docs.where(~F.col("skip")).select("tenant", key, size.cast("long").alias("bytes")), at)
+                new, tree = self._tree("documents", at, come)
+                points = self._read("points", [])
+                if come:
+                    chunks = self._dealt(ingest.chunk_rows(docs, self.settings.chunk_tokens, self.settings.chunk_overlap, ingest.METADATA), tree, sum(come.values()))
+                    self._write("documents", "points", I.check_vectors(ingest.points_with(self._vectors(chunks, "text")), self.dim), folder, tree, True)
+                    points = self._read("points", [f"{self.root}/points/{folder}"])
+                units = points.select(*(F.col("payload")[c].alias(c) for c in ("tenant", "document_id", "collection", "text")), "chunk_id")
+                told = ingest.counters(docs, units)
+                told = self.spark.createDataFrame(told.collect(), told.schema)
+                if come:
+                    made = ingest.stored_documents(docs.where(~F.col("skip")), units, self.settings.chunk_tokens)
+                    self._write("documents", "documents", stores.upsert(self._read("documents", []), made, ["tenant", "id"]), folder, tree, False)
+            finally:
+                remove(self.spark, staged)
+            change = Change()
+            if come:
+                with splits(self.spark, TASK_BYTES // 2):
+                    self._write("documents", "postings", stored.postings(units, "tenant", "document_id", "collection", "chunk_id"), folder, tree, True)
+                change = self._change("documents", at, come, new, folder)
+                rows = {name: self._written(change, name) for name in SPACES["documents"]}
+                with splits(self.spark, BUCKET_BYTES):  # a task counts many postings, so that few terms are told by several
+                    self._add_parts(change, terms=_terms(rows["postings"], 1), stats=_documents(rows["documents"], 1).unionByName(_chunks(rows["points"], 1)))
+            change.streams = dict([stream] if stream else [])
+            self.log.commit(at, change)
+        return told
+
     def _dealt(self, chunks: DataFrame, tree: list[str], size: int) -> DataFrame:
         """Chunks by bucket, a large bucket's in several parts, so that a task can sort the postings of its own in memory."""
         parts = max(1, size // (3 * TASK_BYTES))
@@ -264,7 +345,7 @@ class Engine:
 
     def _written(self, change: Change, name: str) -> DataFrame:
         """A table's rows in the buckets that a change brings."""
-        units = change.come[SPACE_OF[name]]
+        units = change.come.get(SPACE_OF[name], {})
         return self._read(name, [f"{self.root}/{name}/{unit['at']}/bucket=b{b}" for b, unit in sorted(units.items()) if name in unit["has"]])
 
     def follow(self, stream: DataFrame, tenant: str, collection: str, checkpoint: str, name: str, **trigger) -> StreamingQuery:
@@ -467,10 +548,25 @@ class Engine:
             documents = self.table("documents", come, at).withColumnRenamed("id", "document_id")
             asked = retrieval.small(gone)
             pick = lambda rows, how: rows.join(asked, ["tenant", "document_id"], how)
-            left = {"points": pick(points, "left_anti"), "postings": pick(postings, "left_anti"), "documents": pick(documents, "left_anti").withColumnRenamed("document_id", "id")}
+            # Where half the documents stay, the others are marked; the files of other buckets are written anew.
+            units = self._units("documents", come, at)
+            bucket = hashed.bucket_name(hashed.key_hash("tenant", "document_id"), at.units["documents"]).alias("bucket")
+            marks = self._marks(units).unionByName(pick(documents, "left_semi").select("tenant", "document_id")).select("*", bucket)
+            there = {r.bucket: r["count"] for r in documents.select(bucket).groupBy("bucket").count().collect()}
+            n = {r.bucket: r["count"] for r in marks.groupBy("bucket").count().collect()}
+            n = {b: k for b, k in n.items() if k > units[b].get("marks", 0)}
+            if not n:
+                return
+            marked = {b: k for b, k in n.items() if 2 * k <= there.get(b, 0) + units[b].get("marks", 0)}
+            anew = {b: come[b] for b in n if b not in marked}
+            left = {
+                "points": pick(self.table("points", anew, at).withColumns({"tenant": p["tenant"], "document_id": p["document_id"]}), "left_anti"),
+                "postings": pick(self.table("postings", anew, at), "left_anti"),
+                "documents": pick(self.table("documents", anew, at).withColumnRenamed("id", "document_id"), "left_anti").withColumnRenamed("document_id", "id"),
+            }
             # Files hold one bucket's rows each: what stays of some of them is sorted and written by the task that reads them.
-            with small_splits(self.spark, TASK_BYTES):
-                change = self._rewrite("documents", at, come, left, ("points", "postings"))
+            with splits(self.spark, TASK_BYTES):
+                change = self._rewrite("documents", at, anew, left, ("points", "postings"), marks.where(F.col("bucket").isin(*marked)), marked)
             self._add_parts(change, terms=_terms(pick(postings, "left_semi"), -1), stats=_documents(pick(documents, "left_semi"), -1).unionByName(_chunks(pick(points, "left_semi"), -1)))
             self.log.commit(at, change)
 

@@ -82,26 +82,39 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-_splits: dict[str, object] = {"users": 0}
+_changed: dict[str, list] = {}
 _lock = threading.Lock()
 
 
 @contextmanager
-def small_splits(spark: SparkSession, size: int) -> Iterator[None]:
-    """Meanwhile files are read in splits of some ``size`` bytes; threads may do so at once."""
-    key = "spark.sql.files.maxPartitionBytes"
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Meanwhile a setting has another value; threads that want the same may do so at once."""
     with _lock:
-        if not _splits["users"]:
-            _splits["before"] = spark.conf.get(key)
-            spark.conf.set(key, str(size))
-        _splits["users"] += 1
+        _changed.setdefault(key, [])
+        if not _changed[key]:
+            before = spark.conf.get(key, None)
+            spark.conf.set(key, value)
+        else:
+            before = _changed[key][0]
+        _changed[key].append(before)
     try:
         yield
     finally:
         with _lock:
-            _splits["users"] -= 1
-            if not _splits["users"]:
-                spark.conf.set(key, _splits["before"])
+            before = _changed[key].pop()
+            if not _changed[key]:
+                spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def splits(spark: SparkSession, size: int):
+    """Meanwhile files are read in splits of some ``size`` bytes at most; threads that want the same size may do so at once."""
+    return _set(spark, "spark.sql.files.maxPartitionBytes", str(size))
+
+
+def freed_shuffles(spark: SparkSession):
+    """Meanwhile a query's shuffle files go when it ends, not when the driver collects its garbage; for queries that keep
+    nothing by ``persist``."""
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def together(spark: SparkSession, *jobs: Callable[[], object]) -> None:
